@@ -44,13 +44,14 @@ class _Questions:
     def __init__(self, table: pa.Table, key: str, scope: str | None):
         self.ids = table.column(key).combine_chunks()
         self.vectors = _unit_rows(table.column("_v")).T if table.num_rows else None
-        self.allowed = None
+        self.allowed, self.open = None, []
         if scope:
-            seen: dict = {}
+            self.allowed = {}
             for position, groups in enumerate(table.column(scope).to_pylist()):
+                if groups is None:
+                    self.open.append(position)
                 for group in groups or []:
-                    seen.setdefault(group, []).append(position)
-            self.allowed = {g: np.array(p) for g, p in seen.items()}
+                    self.allowed.setdefault(group, []).append(position)
 
 
 def _best_rows(batch: pa.Table, questions: _Questions, keys, group, best_of_group, k, floor):
@@ -68,6 +69,7 @@ def _best_rows(batch: pa.Table, questions: _Questions, keys, group, best_of_grou
             codes = coded.indices.to_numpy(zero_copy_only=False)
             if questions.allowed is not None:
                 visible = np.zeros((len(coded.dictionary), scores.shape[1]), bool)
+                visible[:, questions.open] = True
                 for code, value in enumerate(coded.dictionary.to_pylist()):
                     visible[code, questions.allowed.get(value, [])] = True
                 scores[~visible[codes]] = -np.inf
@@ -143,7 +145,7 @@ def nearest(
     """Best ``k`` rows of ``corpus`` per query: (query_key, keys, similarity).
 
     ``scope`` names an array column of ``queries`` with the ``group`` values a query
-    may see.  With ``best_of_group`` a group counts once, with its best vector, and
+    may see; null stands for all of them.  With ``best_of_group`` a group counts once, with its best vector, and
     ``keys`` must be the group column.  ``row_key`` (default ``keys``) tells single
     stored rows apart; it only spreads them over the blocks.
     """
