@@ -1,15 +1,20 @@
 """Change detection between successive states of a key."""
 
+import re
 from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from paperloom import constants as C
 from paperloom.functions.text import strip
 from paperloom.operators.ordered import with_neighbour
 
 
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
+
+
 def content_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
@@ -53,7 +58,7 @@ def _kept_positions(old: list[str], new: list[str]) -> set[int]:
 
 
 def _added(old: str | None, new: str | None) -> str:
-    before, after = (old or "").splitlines(True), (new or "").splitlines(True)
+    before, after = _LINE.findall(old or ""), _LINE.findall(new or "")
     kept = _kept_positions(before, after)
     runs: list[str] = []
     for at, line in enumerate(after):
@@ -66,7 +71,7 @@ def _added(old: str | None, new: str | None) -> str:
     return "\n".join(runs).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def added_text(old: pd.Series, new: pd.Series) -> pd.Series:
     """Lines a line diff adds; runs of added lines are set apart by a line break."""
     return pd.Series([_added(a, b) for a, b in zip(old, new)], dtype=object)

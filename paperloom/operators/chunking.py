@@ -5,6 +5,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from paperloom import constants as C
 from paperloom.functions import text as T
@@ -36,10 +37,15 @@ def _rule(kind: Column, part: int) -> Column:
 
 
 def _explode(df: DataFrame, chunks: Column, drop: list[str]) -> DataFrame:
-    """Chunk list to rows with index, total and sizes."""
+    """Chunk list to rows with index, total and sizes.
+
+    The outer form of the generator keeps the optimiser from deriving a "list is not
+    empty" filter, which it would push below and so compute every chunk twice.
+    """
     listed = df.withColumn("_chunks", chunks).withColumn("total_chunks", F.size("_chunks"))
     kept = [c for c in listed.columns if c not in {"_chunks", *drop}]
-    rows = listed.select(*kept, F.posexplode("_chunks").alias("chunk_index", "chunk_text"))
+    rows = listed.select(*kept, F.posexplode_outer("_chunks").alias("chunk_index", "chunk_text"))
+    rows = rows.where(F.col("chunk_text").isNotNull())
     return rows.withColumn("word_count", T.word_count(F.col("chunk_text"))).withColumn(
         "token_count", T.estimate_tokens(F.col("word_count"))
     )
@@ -126,7 +132,7 @@ def _split(text: str, size: int, overlap: int) -> list[str]:
     return _pack(pieces, size, overlap)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def split_recursive(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
     return pd.Series([_split(*row) for row in zip(text, size, overlap)], dtype=object)
 

@@ -19,21 +19,22 @@ Embedder = Callable[[Column], Column]
 _TERM = re.compile(r"[^\W_]+")
 
 
+@lru_cache(maxsize=200_000)
+def _term_hash(term: str) -> int:
+    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+
+
 def hashed_terms(dim: int) -> Embedder:
     """Term counts in ``dim`` buckets (first 32 bits of the term's md5), unit length.
 
     A text without terms has no vector: the result is null.
     """
 
-    @lru_cache(maxsize=200_000)
-    def bucket(term: str) -> int:
-        return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
-
     def embed(texts: pa.Array) -> pa.Array:
         rows = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
             terms = _TERM.findall((text.as_py() or "").lower())
-            rows[row] = np.bincount([bucket(t) for t in terms], minlength=dim) if terms else 0
+            rows[row] = np.bincount([_term_hash(t) % dim for t in terms], minlength=dim) if terms else 0
         length = np.sqrt((rows * rows).sum(axis=1))
         empty = length == 0
         rows /= np.where(empty, 1.0, length)[:, None]

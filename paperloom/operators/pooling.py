@@ -4,19 +4,16 @@ Sums run per dimension inside one hash aggregation, so vectors are combined befo
 the shuffle and a hot key sends one partial row per task.
 """
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom import constants as C
 from paperloom.functions.vector import l2_normalize
 
 
-def vector_sum(vector: str, dim: int, weight: Column | None = None) -> Column:
-    """Element-wise sum as an aggregate expression."""
-    v = F.col(vector)
-    parts = [v[i] if weight is None else v[i] * weight for i in range(dim)]
-    return F.array(*[F.sum(part) for part in parts])
+def vector_sum(vector: str, dim: int, weight: str | None = None) -> Column:
+    """Element-wise sum as an aggregate expression; ``weight`` is a SQL expression."""
+    factor = f" * ({weight})" if weight else ""
+    return F.expr("array(" + ", ".join(f"sum({vector}[{i}]{factor})" for i in range(dim)) + ")")
 
 
 def mean_vectors(df: DataFrame, keys: list[str], dim: int, vector: str = "embedding") -> DataFrame:
@@ -32,7 +29,7 @@ def weighted_pool(
     *extra: Column,
 ) -> DataFrame:
     """Unit vector of the weighted mean; a weight below one counts as one."""
-    effective = F.greatest(F.col(weight), F.lit(1))
+    effective = f"greatest({weight}, 1)"
     sums = df.groupBy(*keys).agg(vector_sum(vector, dim, effective).alias("_sum"), *extra)
     return sums.withColumn(vector, l2_normalize(F.col("_sum"))).drop("_sum")
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom import constants as C
 from paperloom.functions.truth import first_text, text_or_null
-from paperloom.operators.similarity import nearest
+from paperloom.operators.similarity import QuestionSet, nearest
 
 KINDS = ["prototype", "buffer", "segment"]
 _TIE = 1e-9                      # far above rounding noise, far below six decimals
@@ -16,7 +16,7 @@ def round6(value: Column) -> Column:
 
 
 def search_kind(
-    queries: DataFrame, table: DataFrame, groups: DataFrame, index: str, *,
+    queries: DataFrame | QuestionSet, table: DataFrame, groups: DataFrame, index: str, *,
     keys: list[str], min_similarity: float, k: int = C.HITS_PER_SOURCE, **options,
 ) -> DataFrame:
     """Top-k rows of one vector table that belong to a known group."""
@@ -103,16 +103,17 @@ def search_groups(
     k: int = C.HITS_PER_SOURCE, **options,
 ) -> DataFrame:
     """Hits of all three vector tables, tagged with their kind."""
+    queries = QuestionSet(queries, **options)
     rows = ["group_id", "doc_id", "segment_index"]
     searches = [
         ("prototype", prototypes, "proto_index", ["group_id", "proto_index"], review),
         ("buffer", buffer, "segment_index", rows, review),
-        ("segment", segments.where(F.col("group_id").isNotNull()), "segment_index", rows, review - margin),
+        ("segment", segments.where(F.col("group_id").isNotNull()), "segment_index", rows, round(review - margin, 6)),
     ]
     found = None
     for kind, table, index, keys, floor in searches:
         hits = search_kind(
-            queries, table, groups, index, keys=keys, min_similarity=floor, k=k, **options
+            queries, table, groups, index, keys=keys, min_similarity=floor, k=k
         ).select("query_id", "group_id", "hit_index", "similarity", F.lit(kind).alias("kind"))
         found = hits if found is None else found.unionByName(hits)
     return found
@@ -214,7 +215,7 @@ def review_lines(candidates: Column) -> Column:
         lambda c: F.concat(
             F.lit("- "), first_text(c["name"], F.lit("unknown")), F.lit(" (id="),
             first_text(c["id"], F.lit("unknown")), F.lit(", similarity="),
-            F.format_number(F.coalesce(c["similarity"], F.lit(0.0)), "0.000"), F.lit(")"),
+            F.format_string("%.3f", F.coalesce(c["similarity"], F.lit(0.0))), F.lit(")"),
         ),
     )
     return F.when(F.size(candidates) > 0, F.array_join(lines, "\n")).otherwise(

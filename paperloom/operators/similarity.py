@@ -4,9 +4,8 @@ Each task multiplies its stored vectors with the query matrix and keeps only the
 k best rows per query, so a task emits at most ``k x queries`` rows whatever it
 reads, and no (query, row) pair list is ever built.
 
-* Up to ``broadcast_bytes`` of query vectors go to every task; the stored side is
-  then scanned in place, without a shuffle.  The bound is proven by reading one
-  row more than fits.
+* Up to ``broadcast_rows`` query vectors go to every task; the stored side is then
+  scanned in place, without a shuffle.
 * Beyond it both sides are hashed into blocks of ``block_rows`` rows and every
   block pair is one task.  Blocks hash the row key, so a hot group is spread.
 
@@ -126,73 +125,86 @@ def _answer(table: pa.Table, questions: _Questions, query_key: str, names: list)
     return table.append_column(query_key, owners).select(names)
 
 
+class QuestionSet:
+    """Queries made ready for several searches: read once, broadcast when few enough.
+
+    One row more than ``broadcast_rows`` is asked for, which proves the bound.
+    """
+
+    def __init__(
+        self, queries: DataFrame, *, query_key: str = "query_id", vector: str = "embedding",
+        scope: str | None = None, broadcast_rows: int = 8_192,
+    ):
+        asked = queries.where(F.col(vector).isNotNull()).select(
+            query_key, as_vector(F.col(vector)).alias("_v"), *([scope] if scope else [])
+        )
+        self.asked, self.key, self.scope, self.limit = asked, query_key, scope, broadcast_rows
+        head = asked.limit(broadcast_rows + 1).toArrow()
+        self.shared = None
+        if head.num_rows <= broadcast_rows:
+            context = queries.sparkSession.sparkContext
+            self.shared = context.broadcast(_Questions(head, query_key, scope))
+
+
 def nearest(
-    queries: DataFrame,
+    queries: DataFrame | QuestionSet,
     corpus: DataFrame,
     *,
     k: int,
     keys: list[str],
     min_similarity: float | None = None,
-    query_key: str = "query_id",
     vector: str = "embedding",
     group: str | None = None,
     best_of_group: bool = False,
     scope: str | None = None,
     row_key: list[str] | None = None,
-    broadcast_bytes: int = 64 << 20,
+    broadcast_rows: int = 8_192,
     block_rows: int = 20_000,
 ) -> DataFrame:
-    """Best ``k`` rows of ``corpus`` per query: (query_key, keys, similarity).
+    """Best ``k`` rows of ``corpus`` per query: (query key, keys, similarity, rank).
 
     ``scope`` names an array column of ``queries`` with the ``group`` values a query
-    may see; null stands for all of them.  With ``best_of_group`` a group counts once, with its best vector, and
-    ``keys`` must be the group column.  ``row_key`` (default ``keys``) tells single
-    stored rows apart; it only spreads them over the blocks.
+    may see; null stands for all of them.  With ``best_of_group`` a group counts once,
+    with its best vector, and ``keys`` must be the group column.  ``row_key`` (default
+    ``keys``) tells single stored rows apart; it only spreads them over the blocks.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(
-        query_key, as_vector(F.col(vector)).alias("_v"), *([scope] if scope else [])
-    )
+    if isinstance(queries, DataFrame):
+        queries = QuestionSet(queries, vector=vector, scope=scope, broadcast_rows=broadcast_rows)
     row_key = row_key or keys
     columns = list(dict.fromkeys([*keys, *([group] if group else []), *row_key]))
     stored = corpus.where(F.col(vector).isNotNull()).select(
         *columns, as_vector(F.col(vector)).alias("_v")
     )
-    fields = [asked.schema[query_key], *[stored.schema[c] for c in keys]]
+    fields = [queries.asked.schema[queries.key], *[stored.schema[c] for c in keys]]
     schema = StructType(fields + [StructField("similarity", DoubleType())])
     names = schema.fieldNames()
+    how = (keys, group, best_of_group, k, min_similarity)
 
-    sample = asked.limit(1).select(F.size("_v")).collect()
-    dim = max(1, sample[0][0]) if sample else 1
-    fits = max(1, broadcast_bytes // (8 * dim))
-    head = asked.limit(fits + 1).toArrow()
-
-    if head.num_rows <= fits:
-        shared = corpus.sparkSession.sparkContext.broadcast(
-            _Questions(head, query_key, scope)
-        )
+    if queries.shared is not None:
+        shared, query_key = queries.shared, queries.key
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             questions = shared.value
             tables = (pa.Table.from_batches([b]) for b in batches if b.num_rows)
-            found = _search(tables, questions, keys, group, best_of_group, k, min_similarity)
+            found = _search(tables, questions, *how)
             if found is not None:
                 yield from _answer(found, questions, query_key, names).to_batches()
 
         hits = stored.mapInArrow(scan, schema)
     else:
-        how = (keys, group, best_of_group, k, min_similarity)
-        hits = _blocked(asked, stored, query_key, row_key, scope, how, schema, fits, block_rows)
+        hits = _blocked(queries, stored, row_key, how, schema, block_rows)
 
     if best_of_group:
-        hits = hits.groupBy(query_key, *keys).agg(F.max("similarity").alias("similarity"))
-    rank = Window.partitionBy(query_key).orderBy(F.desc("similarity"), *keys)
+        hits = hits.groupBy(queries.key, *keys).agg(F.max("similarity").alias("similarity"))
+    rank = Window.partitionBy(queries.key).orderBy(F.desc("similarity"), *keys)
     ranked = hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return ranked.select(*names, F.col("rank").cast("int").alias("rank"))
+    return ranked.select(*names, "rank")
 
 
-def _blocked(asked, stored, query_key, row_key, scope, how, schema, fits, block_rows):
+def _blocked(queries, stored, row_key, how, schema, block_rows):
     """Every query block meets every stored block; both are bounded in size."""
-    query_blocks = math.ceil(asked.count() / min(fits, block_rows))
+    asked, query_key, scope = queries.asked, queries.key, queries.scope
+    query_blocks = math.ceil(asked.count() / min(queries.limit, block_rows))
     store_blocks = max(1, math.ceil(stored.count() / block_rows))
     names, empty = schema.fieldNames(), to_arrow_schema(schema).empty_table()
 

@@ -9,6 +9,16 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input that has fewer splits than there are cores.
+
+    Text analysis costs far more than moving a small input; a table with enough splits
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def vector_table(
     df: DataFrame, groups: list[str] | None = None, *, group: str = "group_id",
     vector: str = "embedding",
