@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from paperloom.functions.bind import bind
+
 
 def as_vector(col: Column) -> Column:
     """Vector from any numeric array."""
@@ -29,19 +31,15 @@ def norm(v: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Null when either side has zero length."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size)
+    return bind(
+        norm(a) * norm(b), lambda size: F.when(size > 0, dot(a, b) / size)
+    )
 
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; null for a zero vector, so that callers can quarantine it."""
-    length = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x, lambda acc: F.sqrt(acc))
-    # the length sits in a one-element array so that the lambda reads a value
-    return F.when(
-        length > 0,
-        F.flatten(
-            F.transform(F.array(length), lambda n: F.transform(v, lambda x: x / n))
-        ),
+    return bind(
+        norm(v), lambda length: F.when(length > 0, F.transform(v, lambda x: x / length))
     )
 
 

@@ -99,12 +99,16 @@ def recompute_policy(
     min_docs: int = C.BUFFER_TRIGGER,
 ) -> DataFrame:
     """(group_id, n_buffered, has_prototypes, has_segments, needs_recompute)."""
+    asked = groups.select("group_id").distinct()
+
+    def of_groups(table: DataFrame) -> DataFrame:
+        return table.join(asked, "group_id", "left_semi")
+
     def present(table: DataFrame, name: str) -> DataFrame:
-        return table.select("group_id").distinct().withColumn(name, F.lit(True))
+        return of_groups(table).select("group_id").distinct().withColumn(name, F.lit(True))
 
     joined = (
-        groups.select("group_id")
-        .join(buffered_documents(buffer), "group_id", "left")
+        asked.join(buffered_documents(of_groups(buffer)), "group_id", "left")
         .join(present(prototypes, "has_prototypes"), "group_id", "left")
         .join(present(segments, "has_segments"), "group_id", "left")
         .na.fill(0, ["n_buffered"])
@@ -132,7 +136,8 @@ def regrouped(old_documents: DataFrame, new_documents: DataFrame, segments: Data
         F.col("group_id").isNotNull() & ~F.col("group_id").eqNullSafe(F.col("_now"))
     )
     losers = moved.groupBy("group_id").agg(F.count("*").alias("n_moved"))
-    left = segments.select("group_id").distinct().withColumn("has_segments", F.lit(True))
+    left = segments.join(losers, "group_id", "left_semi").select("group_id").distinct()
+    left = left.withColumn("has_segments", F.lit(True))
     return losers.join(left, "group_id", "left").na.fill(False, ["has_segments"])
 
 

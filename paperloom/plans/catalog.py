@@ -14,7 +14,7 @@ from paperloom.operators import (
     sessions, tables,
 )
 from paperloom.plans import bindings as B
-from paperloom.plans.ingest import ingest
+from paperloom.plans.ingest import STATE_SCHEMAS, ingest
 from paperloom.plans.retrieve import retrieve as run_retrieval
 from paperloom.sources import deadletter, events
 from paperloom.sources.tables import load, vector_table
@@ -493,9 +493,9 @@ def embed_terms(spark, sf):
 
 @query
 def vector_scan(spark, sf):
-    """Stored vectors of two groups, the group filter pushed to the scan."""
+    """Stored vectors, read back with their group."""
     stored = load(spark, sf, "embeddings").withColumnRenamed("label", "group_id")
-    rows = vector_table(stored, [3, 7])
+    rows = vector_table(stored)
     return _elements(rows, ["group_id", "vec_id"])
 
 
@@ -650,8 +650,6 @@ def ingest_batch(spark, sf):
         F.col("doc_id").cast("string").alias("doc_id"), "doc_path", "group_id",
         F.lit(None).cast("string").alias("title"), "content",
     )
-    from paperloom.plans.ingest import STATE_SCHEMAS
-
     state = {name: spark.createDataFrame([], schema) for name, schema in STATE_SCHEMAS.items()}
     state["groups"] = batch.select("group_id").distinct().select(
         "group_id", F.col("group_id").alias("group_name"), F.lit("").alias("group_summary"),
@@ -660,7 +658,10 @@ def ingest_batch(spark, sf):
     after = ingest(
         batch, state, embedding.hashed_terms(B.TEXT_DIM), B.TEXT_DIM, chunker=chunking.window_chunks
     )
-    return after["groups"].select("group_id", "doc_count", "proto_count")
+    waiting = tables.buffered_documents(after["buffer"])
+    return after["groups"].join(waiting, "group_id", "left").select(
+        "group_id", "doc_count", "proto_count", F.coalesce("n_buffered", F.lit(0)).alias("n_buffered")
+    )
 
 
 # --- events ----------------------------------------------------------------------------

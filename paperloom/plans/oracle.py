@@ -196,19 +196,19 @@ FROM medoid_sum
 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY greatest(s, -1.0) DESC, doc_id) = 1""")
 
 
-def _kmeans(prefix: str, k: str, rounds: int) -> str:
-    """Views for ``rounds`` rounds over seg; returns the name of the last assignment."""
-    _view(f"{prefix}_c0", "seg", f"""
+def _kmeans(prefix: str, k: str, rounds: int, table: str = "seg", member: str = "doc_id") -> str:
+    """Views for ``rounds`` rounds over a table; returns the name of the last assignment."""
+    _view(f"{prefix}_c0", table, f"""
 SELECT group_id, CAST(r - 1 AS INTEGER) AS cluster, embedding
-FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY md5(group_id || ':' || doc_id), doc_id) AS r,
-             count(*) OVER (PARTITION BY group_id) AS n FROM seg)
+FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY md5(group_id || ':' || {member}), {member}) AS r,
+             count(*) OVER (PARTITION BY group_id) AS n FROM {table})
 WHERE r <= {k}""")
 
     def assign(at: int) -> str:
-        _view(f"{prefix}_a{at}", f"seg {prefix}_c{at}", f"""
-SELECT s.group_id, s.doc_id, s.embedding,
+        _view(f"{prefix}_a{at}", f"{table} {prefix}_c{at}", f"""
+SELECT s.group_id, s.{member}, s.embedding,
        first(c.cluster ORDER BY greatest(list_inner_product(s.embedding, c.embedding), -1.0) DESC, c.cluster) AS cluster
-FROM seg s JOIN {prefix}_c{at} c USING (group_id) GROUP BY s.group_id, s.doc_id, s.embedding""")
+FROM {table} s JOIN {prefix}_c{at} c USING (group_id) GROUP BY s.group_id, s.{member}, s.embedding""")
         return f"{prefix}_a{at}"
 
     for at in range(rounds):
@@ -253,7 +253,7 @@ FROM (SELECT group_id, cluster, max(CASE WHEN i = 1 THEN members END) AS chunk_i
 _sql("vector_scan", "", """
 SELECT CAST(label AS INTEGER) AS group_id, vec_id, CAST(i - 1 AS INTEGER) AS pos, round(x + 1e-9, 6) AS value
 FROM (SELECT label, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i
-      FROM embeddings WHERE label IN (3, 7))""")
+      FROM embeddings)""")
 
 # --- text --------------------------------------------------------------------------
 
@@ -804,3 +804,9 @@ FROM (SELECT *, duplicate OR (reviewed AND decision = 'ASSIGN') OR route = 'AUTO
             FROM (SELECT * FROM message) m LEFT JOIN labels l ON l.doc_id = m.message_id
             LEFT JOIN routed r ON r.query_id = m.source || '/' || m.lang
             LEFT JOIN decision d ON d.doc_id = m.message_id))""")
+
+_ingested = _kmeans("ingest", _PROTO_K, C.KMEANS_ITERATIONS, "tseg", "segment_id")
+_sql("ingest_batch", _ingested, f"""
+SELECT d.group_id, d.doc_count, coalesce(p.n, 0) AS proto_count, CAST(0 AS BIGINT) AS n_buffered
+FROM (SELECT source AS group_id, count(*) AS doc_count FROM documents GROUP BY source) d
+LEFT JOIN (SELECT group_id, count(DISTINCT cluster) AS n FROM {_ingested} GROUP BY group_id) p USING (group_id)""")
