@@ -117,7 +117,8 @@ def _kmeans_in_blocks(plain, large, keys, identity, iterations, dim, block_rows,
 
     def pack(group: pa.Table) -> pa.Table:
         head = group.slice(0, 1).select(keys)
-        ids = pa.array([group.column(identity).to_pylist()])
+        members = group.column(identity).combine_chunks()
+        ids = pa.ListArray.from_arrays(pa.array([0, len(members)], pa.int32()), members)
         matrix = pa.array([_rows(group.column("_v")).tobytes()], pa.binary())
         return head.append_column("_ids", ids).append_column("_m", matrix)
 
@@ -159,7 +160,7 @@ def _kmeans_in_blocks(plain, large, keys, identity, iterations, dim, block_rows,
             "_v", F.coalesce("_new", "_old")
         )
         shift = F.aggregate(
-            F.zip_with("_v", "_old", lambda a, b: F.abs(a - b)), F.lit(0.0), F.greatest
+            F.zip_with("_v", "_old", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b)
         )
         listed = F.array_sort(F.collect_list(F.struct("cluster", "_v")))
         centroids = cut_lineage(
@@ -175,7 +176,7 @@ def _kmeans_in_blocks(plain, large, keys, identity, iterations, dim, block_rows,
     def assign(batches):
         for batch in batches:
             for row, vectors, known in matrices(batch):
-                ids = pa.array(batch.column("_ids")[row].as_py(), batch.column("_ids").type.value_type)
+                ids = batch.column("_ids")[row].values
                 head = pa.Table.from_batches([batch]).select(keys).take([row] * len(ids))
                 head = head.append_column(identity, ids)
                 chosen = pa.array(_closest(vectors, known), pa.int32())
