@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from paperloom import constants as C
 
@@ -43,7 +44,7 @@ def hashed_terms(dim: int) -> Embedder:
             offsets, pa.array(rows.ravel()), mask=pa.array(empty)
         )
 
-    return F.arrow_udf(embed, "array<double>")
+    return F.arrow_udf(embed, ArrayType(DoubleType()))
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder, prefix: str = C.DOC_PREFIX) -> DataFrame:
