@@ -56,6 +56,10 @@ DECISIONS = ["ASSIGN", "CREATE_NEW"]
 
 # --- patterns ----------------------------------------------------------------
 SPACE = r"\s\x1c-\x1f"           # inside a character class, with (?U)
+SPACES = (                       # the same characters, to trim
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 BULLET_LINE = r"(?U)^(?:[-*+]\s+|\d+[.)]\s+)"
 HEADING_LINE = r"(?U)^#+\s+"

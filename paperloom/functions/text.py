@@ -6,11 +6,10 @@ from paperloom import constants as C
 from paperloom.functions.truth import first_text, text_or_null
 
 _WORD = rf"(?U)[^{C.SPACE}]+"
-_EDGES = rf"(?U)^[{C.SPACE}]+|[{C.SPACE}]+$"
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, _EDGES, "")
+    return F.trim(col, F.lit(C.SPACES))
 
 
 def words(col: Column) -> Column:
@@ -35,13 +34,13 @@ def _matching(line_list: Column, pattern: str) -> Column:
     return F.size(F.filter(line_list, lambda line: line.rlike(pattern)))
 
 
-def struct_type(text: Column, line_list: Column) -> Column:
+def struct_type(text: Column, n_words: Column, line_list: Column) -> Column:
     """short, code, list, structured or prose, tested in that order."""
     total = F.size(line_list)
     code = (total > 0) & (_matching(line_list, C.CODE_LINE) / total >= C.CODE_SHARE)
     bullets = (total > 0) & (_matching(line_list, C.BULLET_LINE) / total >= C.BULLET_SHARE)
     return (
-        F.when(word_count(text) < C.SHORT_DOC_WORDS, "short")
+        F.when(n_words < C.SHORT_DOC_WORDS, "short")
         .when(text.contains(C.FENCE) | code, "code")
         .when(bullets, "list")
         .when(_matching(line_list, C.HEADING_LINE) >= C.MIN_HEADINGS, "structured")
@@ -52,7 +51,7 @@ def struct_type(text: Column, line_list: Column) -> Column:
 def title(text: Column, line_list: Column, kind: Column, given: Column | None = None) -> Column:
     """Given title, else one read off the first line or the first sentence."""
     first = F.get(line_list, F.lit(0))
-    sentence = words(F.split_part(strip(text), F.lit("."), F.lit(1)))
+    sentence = words(F.substring_index(strip(text), ".", 1))
     opening = F.array_join(F.slice(sentence, 1, C.TITLE_WORDS), " ")
     caps = (first == F.upper(first)) & (first != F.lower(first))
     found = (

@@ -19,7 +19,3 @@ def number_or_null(col: Column) -> Column:
 def join_present(separator: str, *cols: Column) -> Column:
     """Join the non-empty texts; an empty text when there is none."""
     return F.concat_ws(separator, *[text_or_null(c) for c in cols])
-
-
-def trimmed(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")

@@ -18,7 +18,7 @@ def analyze(df: DataFrame, text: str = "text", given_title: str | None = None) -
     return (
         df.withColumn("_lines", T.lines(F.col(text)))
         .withColumn("n_words", T.word_count(F.col(text)))
-        .withColumn("struct_type", T.struct_type(F.col(text), F.col("_lines")))
+        .withColumn("struct_type", T.struct_type(F.col(text), F.col("n_words"), F.col("_lines")))
         .withColumn("title", T.title(F.col(text), F.col("_lines"), F.col("struct_type"), given))
         .drop("_lines")
     )

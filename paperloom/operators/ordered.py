@@ -33,23 +33,3 @@ def with_neighbour(
         .drop("_bucket", "_place", "_near", "_carried")
     )
 
-
-def with_running_max(
-    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, *, bucket: Column
-) -> DataFrame:
-    """Add ``out``: largest non-null ``value`` up to and including the row."""
-    local = df.withColumn("_bucket", bucket)
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    totals = local.groupBy(*keys, "_bucket").agg(F.max(value).alias("_top"))
-    carried = totals.select(*keys, "_bucket", F.max("_top").over(before).alias("_carried"))
-    return (
-        local.withColumn("_here", F.max(value).over(within))
-        .join(carried, [*keys, "_bucket"])
-        .withColumn(out, F.greatest("_here", "_carried"))
-        .drop("_bucket", "_here", "_carried")
-    )

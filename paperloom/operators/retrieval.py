@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom import constants as C
+from paperloom.functions.bind import bind
 from paperloom.functions.truth import text_or_null
 from paperloom.operators.similarity import nearest
 
@@ -61,14 +62,19 @@ def retrieve_chunks(
     )
 
 
+def terms(text: Column) -> Column:
+    """Distinct lower-case terms (runs of letters and digits)."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.array_distinct(found)
+
+
 def term_overlap(query: Column, text: Column) -> Column:
     """Logit from the share of question terms found in the text: -4 for none, 4 for all."""
-    def terms(col: Column) -> Column:
-        return F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    def logit(asked: Column) -> Column:
+        shared = F.size(F.array_intersect(asked, terms(text)))
+        return F.when(F.size(asked) > 0, 8.0 * shared / F.size(asked) - 4.0).otherwise(F.lit(-4.0))
 
-    asked = terms(query)
-    shared = F.size(F.array_intersect(asked, terms(text)))
-    return F.when(F.size(asked) > 0, 8.0 * shared / F.size(asked) - 4.0).otherwise(F.lit(-4.0))
+    return bind(terms(query), logit)
 
 
 def sigmoid(logit: Column) -> Column:
@@ -76,8 +82,14 @@ def sigmoid(logit: Column) -> Column:
 
 
 def rerank(hits: DataFrame, scorer: Scorer = term_overlap, query: str = "query_text") -> DataFrame:
-    """Add ``rerank_score`` in 0..1 and the rank by it; ties keep the vector order."""
-    scored = hits.withColumn(
+    """Add ``rerank_score`` in 0..1 and the rank by it; ties keep the vector order.
+
+    Scoring a pair costs far more than moving it, so the pairs are first spread over all
+    cores; a few per question would otherwise be merged into one task.
+    """
+    cores = hits.sparkSession.sparkContext.defaultParallelism
+    spread = hits.repartition(cores, "query_id", "doc_id", "chunk_index")
+    scored = spread.withColumn(
         "rerank_score", F.round(sigmoid(scorer(F.col(query), F.col("chunk_text"))), 6)
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")

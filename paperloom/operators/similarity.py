@@ -26,6 +26,7 @@ from paperloom.functions.vector import as_vector
 
 DIGITS = 6
 SLICE_CELLS = 4_000_000
+FILTERED_GROUPS = 1_000          # a longer list is left to the tasks
 
 
 def _unit_rows(column) -> np.ndarray:
@@ -38,58 +39,71 @@ def _unit_rows(column) -> np.ndarray:
 
 
 class _Questions:
-    """Query ids, unit vectors and, per group, the queries allowed to see it."""
+    """Query ids, unit vectors and, per group, the queries that may see it."""
 
     def __init__(self, table: pa.Table, key: str, scope: str | None):
         self.ids = table.column(key).combine_chunks()
         self.vectors = _unit_rows(table.column("_v")).T if table.num_rows else None
-        self.allowed, self.open = None, []
+        self.allowed = None
         if scope:
-            self.allowed = {}
+            listed: dict = {}
+            everywhere = []
             for position, groups in enumerate(table.column(scope).to_pylist()):
                 if groups is None:
-                    self.open.append(position)
+                    everywhere.append(position)
                 for group in groups or []:
-                    self.allowed.setdefault(group, []).append(position)
+                    listed.setdefault(group, []).append(position)
+            self.allowed = {g: np.array(everywhere + p) for g, p in listed.items()}
+            self.everywhere = np.array(everywhere, int)
+
+    def groups(self) -> list | None:
+        """The only groups any query may see; null when some query sees all."""
+        if self.allowed is None or len(self.everywhere):
+            return None
+        return list(self.allowed)
+
+
+def _blocks(codes, values, questions: _Questions):
+    """(rows, query positions) to compare; with a scope only a group's own queries."""
+    everything = np.arange(len(questions.ids))
+    if questions.allowed is None:
+        yield np.arange(len(codes)), everything
+        return
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    for rows in np.split(order, starts[1:]):
+        asking = questions.allowed.get(values[codes[rows[0]]], questions.everywhere)
+        if len(asking):
+            yield np.sort(rows), asking
 
 
 def _best_rows(batch: pa.Table, questions: _Questions, keys, group, best_of_group, k, floor):
     """The k best rows of one batch for every query: (query position, score, keys)."""
-    found = []
-    total = batch.num_rows
     step = max(1, SLICE_CELLS // max(1, len(questions.ids)))
-    for start in range(0, total, step):
+    for start in range(0, batch.num_rows, step):
         part = batch.slice(start, step)
-        scores = np.round(_unit_rows(part.column("_v")) @ questions.vectors, DIGITS) + 0.0
-        scores[np.isnan(scores)] = -np.inf
-        labels = part.select(keys)
+        vectors, names = _unit_rows(part.column("_v")), part.select(keys)
+        codes, values = np.zeros(part.num_rows, int), [None]
         if group:
             coded = part.column(group).combine_chunks().dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            if questions.allowed is not None:
-                visible = np.zeros((len(coded.dictionary), scores.shape[1]), bool)
-                visible[:, questions.open] = True
-                for code, value in enumerate(coded.dictionary.to_pylist()):
-                    visible[code, questions.allowed.get(value, [])] = True
-                scores[~visible[codes]] = -np.inf
+            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            values = [*coded.dictionary.to_pylist(), None]
+        for rows, asking in _blocks(codes, values, questions):
+            scores = np.round(vectors[rows] @ questions.vectors[:, asking], DIGITS) + 0.0
+            scores[np.isnan(scores)] = -np.inf
             if best_of_group:
-                order = np.argsort(codes, kind="stable")
-                starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
-                scores = np.maximum.reduceat(scores[order], starts, axis=0)
-                labels = labels.take(pa.array(order[starts]))
-        cut = np.full(scores.shape[1], -np.inf)
-        if scores.shape[0] > k:
-            cut = np.partition(scores, scores.shape[0] - k, axis=0)[scores.shape[0] - k]
-        if floor is not None:
-            cut = np.maximum(cut, floor)
-        rows, positions = np.nonzero((scores >= cut) & np.isfinite(scores))
-        hits = labels.take(pa.array(rows))
-        found.append(
-            hits.append_column("_q", pa.array(positions)).append_column(
-                "similarity", pa.array(scores[rows, positions])
-            )
-        )
-    return found
+                order = np.argsort(codes[rows], kind="stable")
+                starts = np.flatnonzero(np.diff(codes[rows][order], prepend=-1))
+                scores, rows = np.maximum.reduceat(scores[order], starts, axis=0), rows[order[starts]]
+            cut = np.full(len(asking), -np.inf)
+            if len(rows) > k:
+                cut = np.partition(scores, len(rows) - k, axis=0)[len(rows) - k]
+            if floor is not None:
+                cut = np.maximum(cut, floor)
+            found, places = np.nonzero((scores >= cut) & np.isfinite(scores))
+            hits = names.take(pa.array(rows[found]))
+            hits = hits.append_column("_q", pa.array(asking[places]))
+            yield hits.append_column("similarity", pa.array(scores[found, places]))
 
 
 def _shrink(parts: list, keys, best_of_group, k) -> pa.Table:
@@ -182,6 +196,9 @@ def nearest(
 
     if queries.shared is not None:
         shared, query_key = queries.shared, queries.key
+        visible = shared.value.groups()
+        if visible is not None and len(visible) <= FILTERED_GROUPS:
+            stored = stored.where(F.col(group).isin(visible))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             questions = shared.value

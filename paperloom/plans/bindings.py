@@ -90,14 +90,24 @@ def embedded_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.embed_chunks(chunks, embedding.hashed_terms(TEXT_DIM))
 
 
+def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The embedded chunks, written once as ingest writes them."""
+    return cut_lineage(embedded_chunks(spark, sf))
+
+
+def page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spread(load(spark, sf, "pages").select("page_id", "html"), "page_id")
+    return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """The benchmark texts as questions."""
     asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return embedding.embed_queries(asked, embedding.hashed_terms(TEXT_DIM))
 
 
-def text_segments(chunks: DataFrame) -> DataFrame:
-    owner = chunks.select("doc_id", "group_id", "lang").distinct()
+def text_segments(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    owner = documents.select("doc_id", "group_id", "lang")
     return clustering.build_segments(chunks, TEXT_DIM).join(owner, "doc_id").withColumn(
         "segment_id", F.concat_ws(":", "doc_id", "segment_index")
     )
@@ -105,15 +115,16 @@ def text_segments(chunks: DataFrame) -> DataFrame:
 
 def text_state(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Stored tables of the retrieval queries, written once as ingest would have."""
-    chunks = cut_lineage(embedded_chunks(spark, sf))
-    stored = cut_lineage(text_segments(chunks))
+    chunks = stored_chunks(spark, sf)
+    documents = stored_documents(spark, sf)
+    stored = cut_lineage(text_segments(chunks, documents))
     protos = clustering.medoids(stored, ["group_id", "lang"], "segment_id", TEXT_DIM)
     labelled = load(spark, sf, "labels").select("doc_id")
     return {
         "chunks": chunks,
-        "documents": stored_documents(spark, sf),
+        "documents": documents,
         "segments": stored,
-        "prototypes": protos.withColumn("proto_index", F.xxhash64("segment_id")),
+        "prototypes": cut_lineage(protos.withColumn("proto_index", F.xxhash64("segment_id"))),
         "buffer": stored.join(labelled, "doc_id", "left_semi"),
     }
 
@@ -166,7 +177,7 @@ def _struct(**fields) -> Column:
 def github_events(spark: SparkSession, sf: str) -> DataFrame:
     """A push per document: every line is the content of a file named by its first word."""
     null = F.lit(None).cast("string")
-    rows = load(spark, sf, "documents").withColumn("_lines", F.split("text", "\n"))
+    rows = spread(load(spark, sf, "documents"), "doc_id").withColumn("_lines", F.split("text", "\n"))
 
     def changed(line):
         return _struct(
@@ -207,7 +218,7 @@ def jira_events(spark: SparkSession, sf: str) -> DataFrame:
         status=F.col("o_orderstatus"), priority=F.col("o_orderpriority"),
         project=F.col("o_custkey").cast("string"), changelog=changes,
     )
-    return load(spark, sf, "orders").select(
+    return spread(load(spark, sf, "orders"), "o_orderkey").select(
         F.concat(F.lit("j"), "o_orderkey").alias("event_id"), F.lit("jira").alias("source"),
         _json(issue=_struct(key=key)).alias("payload"), details.alias("full_data"),
     )
@@ -223,7 +234,7 @@ def confluence_events(spark: SparkSession, sf: str) -> DataFrame:
         space=F.regexp_extract("html", 'lang="([^"]*)"', 1), url=F.col("url"),
         change=_struct(versionBefore=version - 1, versionAfter=version),
     )
-    return load(spark, sf, "pages").select(
+    return spread(load(spark, sf, "pages"), "page_id").select(
         F.concat(F.lit("c"), "page_id").alias("event_id"), F.lit("confluence").alias("source"),
         _json(page=_struct(id=page)).alias("payload"), details.alias("full_data"),
     )
@@ -240,7 +251,7 @@ def miro_events(spark: SparkSession, sf: str) -> DataFrame:
         ),
     )
     details = _json(boardId=F.col("user_id").cast("string"), type=kind)
-    return load(spark, sf, "events").select(
+    return spread(load(spark, sf, "events"), "event_id").select(
         F.concat(F.lit("m"), "event_id").alias("event_id"), F.lit("miro").alias("source"),
         payload.alias("payload"), details.alias("full_data"),
     )

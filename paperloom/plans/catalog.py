@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperloom import constants as C
 from paperloom.functions import citations, text as T
-from paperloom.functions.html import html_to_text
 from paperloom.functions.vector import cosine, dot, l2_normalize, norm
 from paperloom.operators import (
     changes, chunking, clustering, embedding, normalize, parsing, pooling, retrieval, scoring,
@@ -16,8 +15,9 @@ from paperloom.operators import (
 from paperloom.plans import bindings as B
 from paperloom.plans.ingest import STATE_SCHEMAS, ingest
 from paperloom.plans.retrieve import retrieve as run_retrieval
+from paperloom.session import cut_lineage
 from paperloom.sources import deadletter, events
-from paperloom.sources.tables import load, vector_table
+from paperloom.sources.tables import load, spread, vector_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,7 +30,8 @@ def query(build: Query) -> Query:
 
 def _elements(df: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
     """One row per vector element, at six decimals."""
-    rows = df.select(*keys, F.posexplode(vector).alias("pos", "value"))
+    rows = df.select(*keys, F.posexplode_outer(vector).alias("pos", "value"))
+    rows = rows.where(F.col("pos").isNotNull())
     return rows.withColumn("value", scoring.round6(F.col("value")))
 
 
@@ -271,7 +272,7 @@ def citation_map(spark, sf):
 
 @query
 def word_stats(spark, sf):
-    rows = load(spark, sf, "documents")
+    rows = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     n = T.word_count(F.col("text"))
     return rows.select(
         "doc_id", n.alias("n_words"), T.estimate_tokens(n).alias("n_tokens"),
@@ -288,7 +289,7 @@ def struct_type(spark, sf):
 @query
 def page_struct_type(spark, sf):
     """Structural type of pages, whose headings and bullets come from their markup."""
-    rows = load(spark, sf, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    rows = B.page_texts(spark, sf)
     return chunking.analyze(rows).select("page_id", "n_words", "struct_type", "title")
 
 
@@ -311,7 +312,7 @@ def chunk_stats(spark, sf):
 
 @query
 def document_sizes(spark, sf):
-    chunks = B.embedded_chunks(spark, sf)
+    chunks = B.stored_chunks(spark, sf)
     return chunking.document_sizes(chunks, clustering.build_segments(chunks, B.TEXT_DIM))
 
 
@@ -421,7 +422,7 @@ def segment_plan(spark, sf):
 
 @query
 def segment_split(spark, sf):
-    rows = clustering.build_segments(B.embedded_chunks(spark, sf), B.TEXT_DIM)
+    rows = clustering.build_segments(B.stored_chunks(spark, sf), B.TEXT_DIM)
     return _elements(
         rows.select("doc_id", "segment_index", _list_text(F.col("chunk_indices")).alias("chunk_indices"), "embedding"),
         ["doc_id", "segment_index", "chunk_indices"],
@@ -485,7 +486,7 @@ def group_prototypes(spark, sf):
 
 @query
 def embed_terms(spark, sf):
-    rows = load(spark, sf, "documents").select("doc_id", "text")
+    rows = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return _elements(
         embedding.embed_queries(rows, embedding.hashed_terms(B.TEXT_DIM)), ["doc_id"]
     )
@@ -623,7 +624,7 @@ def recompute_policy(spark, sf):
 def prototype_replace(spark, sf):
     """New prototypes for the groups due; the others keep theirs."""
     old = B.prototypes(spark, sf).select("group_id", "proto_index")
-    due = recompute_policy(spark, sf).where("needs_recompute").select("group_id")
+    due = cut_lineage(recompute_policy(spark, sf).where("needs_recompute").select("group_id"))
     fresh = clustering.medoids(
         B.segments(spark, sf).join(due, "group_id", "left_semi"), ["group_id"], "doc_id", B.VECTOR_DIM
     ).select("group_id", F.col("doc_id").cast("int").alias("proto_index"))
@@ -817,7 +818,7 @@ def added_lines(spark, sf):
 
 @query
 def bullet_features(spark, sf):
-    rows = load(spark, sf, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    rows = B.page_texts(spark, sf)
     listed = changes.bullet_features(F.col("text"))
     return rows.select(
         "page_id", F.size(listed).alias("n_features"), F.array_join(listed, "|").alias("features"),
@@ -838,7 +839,7 @@ def version_changes(spark, sf):
 
 @query
 def html_text(spark, sf):
-    return load(spark, sf, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    return B.page_texts(spark, sf)
 
 
 @query

@@ -188,8 +188,9 @@ def test_confidence(spark, proto, rerank, paths, vec, band, score):
 
 def test_reranking(spark):
     df = spark.createDataFrame(
-        [("q", "Alpha beta", 1, "nothing here"), ("q", "Alpha beta", 2, "BETA, alpha!"), ("q", "Alpha beta", 3, "alpha")],
-        "query_id string, query_text string, rank int, chunk_text string",
+        [("q", "Alpha beta", 1, "d", 0, "nothing here"), ("q", "Alpha beta", 2, "d", 1, "BETA, alpha!"),
+         ("q", "Alpha beta", 3, "d", 2, "alpha")],
+        "query_id string, query_text string, rank int, doc_id string, chunk_index int, chunk_text string",
     )
     rows = R.rerank(df).orderBy("rerank_rank").collect()
     assert [r["rank"] for r in rows] == [2, 3, 1]
