@@ -36,6 +36,10 @@ def _rule(kind: Column, part: int) -> Column:
     return column.otherwise(C.CHUNK_RULES["prose"][part])
 
 
+def _chunk(text: Column, n_words: Column) -> Column:
+    return F.struct(text.alias("chunk_text"), n_words.alias("word_count"))
+
+
 def _explode(df: DataFrame, chunks: Column, drop: list[str]) -> DataFrame:
     """Chunk list to rows with index, total and sizes.
 
@@ -44,11 +48,9 @@ def _explode(df: DataFrame, chunks: Column, drop: list[str]) -> DataFrame:
     """
     listed = df.withColumn("_chunks", chunks).withColumn("total_chunks", F.size("_chunks"))
     kept = [c for c in listed.columns if c not in {"_chunks", *drop}]
-    rows = listed.select(*kept, F.posexplode_outer("_chunks").alias("chunk_index", "chunk_text"))
-    rows = rows.where(F.col("chunk_text").isNotNull())
-    return rows.withColumn("word_count", T.word_count(F.col("chunk_text"))).withColumn(
-        "token_count", T.estimate_tokens(F.col("word_count"))
-    )
+    rows = listed.select(*kept, F.posexplode_outer("_chunks").alias("chunk_index", "_chunk"))
+    rows = rows.where(F.col("_chunk").isNotNull()).select(*kept, "chunk_index", "_chunk.*")
+    return rows.withColumn("token_count", T.estimate_tokens(F.col("word_count")))
 
 
 def window_chunks(df: DataFrame, text: str = "text") -> DataFrame:
@@ -66,11 +68,15 @@ def window_chunks(df: DataFrame, text: str = "text") -> DataFrame:
     )
     fresh = F.size("_words") - (F.col("_size") - F.col("_step"))
     count = F.greatest(F.lit(1), F.ceil(fresh / F.col("_step"))).cast("int")
-    windows = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.array_join(F.slice("_words", i * F.col("_step") + 1, F.col("_size")), " "),
-    )
-    chunks = F.when(F.col("struct_type") == "short", F.array("_source")).otherwise(windows)
+
+    def window(i: Column) -> Column:
+        start = i * F.col("_step")
+        text = F.array_join(F.slice("_words", start + 1, F.col("_size")), " ")
+        return _chunk(text, F.least(F.col("_size"), F.size("_words") - start))
+
+    windows = F.transform(F.sequence(F.lit(0), count - 1), window)
+    whole = F.array(_chunk(F.col("_source"), F.size("_words")))
+    chunks = F.when(F.col("struct_type") == "short", whole).otherwise(windows)
     return _explode(sized, chunks, [text, "_source", "_words", "_size", "_step"])
 
 
@@ -147,9 +153,10 @@ def recursive_chunks(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("_size", _rule(F.col("struct_type"), 0))
         .withColumn("_overlap", _rule(F.col("struct_type"), 1))
     )
-    chunks = F.when(F.col("struct_type") == "short", F.array("_source")).otherwise(
+    texts = F.when(F.col("struct_type") == "short", F.array("_source")).otherwise(
         split_recursive("_source", "_size", "_overlap")
     )
+    chunks = F.transform(texts, lambda text: _chunk(text, T.word_count(text)))
     return _explode(sized, chunks, [text, "_source", "_size", "_overlap"])
 
 

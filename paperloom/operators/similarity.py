@@ -5,7 +5,8 @@ k best rows per query, so a task emits at most ``k x queries`` rows whatever it
 reads, and no (query, row) pair list is ever built.
 
 * Up to ``broadcast_rows`` query vectors go to every task; the stored side is then
-  scanned in place, without a shuffle.
+  scanned in place, without a shuffle, by a few tasks per core: what is shuffled
+  afterwards grows with tasks x queries x k, not with the table.
 * Beyond it both sides are hashed into blocks of ``block_rows`` rows and every
   block pair is one task.  Blocks hash the row key, so a hot group is spread.
 
@@ -27,6 +28,7 @@ from paperloom.functions.vector import as_vector
 DIGITS = 6
 SLICE_CELLS = 4_000_000
 FILTERED_GROUPS = 1_000          # a longer list is left to the tasks
+TASKS_PER_CORE = 4
 
 
 def _unit_rows(column) -> np.ndarray:
@@ -77,8 +79,11 @@ def _blocks(codes, values, questions: _Questions):
             yield np.sort(rows), asking
 
 
-def _best_rows(batch: pa.Table, questions: _Questions, keys, group, best_of_group, k, floor):
-    """The k best rows of one batch for every query: (query position, score, keys)."""
+def _best_rows(batch: pa.Table, questions: _Questions, keys, group, best_of_group, k, floors):
+    """The k best rows of every slice for every query: (query position, score, keys).
+
+    ``floors`` holds the lowest score per query that can still matter.
+    """
     step = max(1, SLICE_CELLS // max(1, len(questions.ids)))
     for start in range(0, batch.num_rows, step):
         part = batch.slice(start, step)
@@ -95,11 +100,9 @@ def _best_rows(batch: pa.Table, questions: _Questions, keys, group, best_of_grou
                 order = np.argsort(codes[rows], kind="stable")
                 starts = np.flatnonzero(np.diff(codes[rows][order], prepend=-1))
                 scores, rows = np.maximum.reduceat(scores[order], starts, axis=0), rows[order[starts]]
-            cut = np.full(len(asking), -np.inf)
+            cut = floors[asking]
             if len(rows) > k:
-                cut = np.partition(scores, len(rows) - k, axis=0)[len(rows) - k]
-            if floor is not None:
-                cut = np.maximum(cut, floor)
+                cut = np.maximum(cut, np.partition(scores, len(rows) - k, axis=0)[len(rows) - k])
             found, places = np.nonzero((scores >= cut) & np.isfinite(scores))
             hits = names.take(pa.array(rows[found]))
             hits = hits.append_column("_q", pa.array(asking[places]))
@@ -121,19 +124,28 @@ def _shrink(parts: list, keys, best_of_group, k) -> pa.Table:
 
 
 def _search(batches, questions, keys, group, best_of_group, k, floor) -> pa.Table | None:
+    """Best rows over all batches; the k-th best so far prunes what follows."""
     kept: list = []
-    held, limit = 0, 20 * k * max(1, len(questions.ids))
-    if len(questions.ids):
-        for batch in batches:
-            for hits in _best_rows(batch, questions, keys, group, best_of_group, k, floor):
-                kept.append(hits)
-                held += hits.num_rows
-                if held > limit:
-                    kept = [_shrink(kept, keys, best_of_group, k)]
-                    held = kept[0].num_rows
+    asked = len(questions.ids)
+    held, limit = 0, 4 * k * max(1, asked)
+    floors = np.full(asked, -np.inf if floor is None else floor)
+    for batch in batches if asked else ():
+        for hits in _best_rows(batch, questions, keys, group, best_of_group, k, floors):
+            kept.append(hits)
+            held += hits.num_rows
+            if held > limit:
+                kept = [_shrink(kept, keys, best_of_group, k)]
+                held = kept[0].num_rows
+                _raise_floors(floors, kept[0], k)
     return _shrink(kept, keys, best_of_group, k) if kept else None
 
 
+def _raise_floors(floors: np.ndarray, best: pa.Table, k: int) -> None:
+    owner, score = best.column("_q").to_numpy(), best.column("similarity").to_numpy()
+    last = np.flatnonzero(np.arange(len(owner)) - np.searchsorted(owner, owner, side="left") == k - 1)
+    floors[owner[last]] = score[last]
+
+
 def _answer(table: pa.Table, questions: _Questions, query_key: str, names: list) -> pa.Table:
     owners = questions.ids.take(table.column("_q").combine_chunks())
     return table.append_column(query_key, owners).select(names)
@@ -173,7 +185,7 @@ def nearest(
     scope: str | None = None,
     row_key: list[str] | None = None,
     broadcast_rows: int = 8_192,
-    block_rows: int = 20_000,
+    block_rows: int = 50_000,
 ) -> DataFrame:
     """Best ``k`` rows of ``corpus`` per query: (query key, keys, similarity, rank).
 
@@ -207,7 +219,8 @@ def nearest(
             if found is not None:
                 yield from _answer(found, questions, query_key, names).to_batches()
 
-        hits = stored.mapInArrow(scan, schema)
+        tasks = TASKS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism
+        hits = stored.coalesce(tasks).mapInArrow(scan, schema)
     else:
         hits = _blocked(queries, stored, row_key, how, schema, block_rows)
 

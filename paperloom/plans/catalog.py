@@ -78,9 +78,9 @@ def group_multi_hit_score(spark, sf):
     return scoring.score_groups(_hits(spark, sf, "segment"))
 
 
-def _candidates(spark, sf):
+def _candidates(spark, sf, queries=None):
     hits = scoring.search_groups(
-        B.routed_queries(spark, sf), B.prototypes(spark, sf), B.buffer(spark, sf),
+        queries or B.routed_queries(spark, sf), B.prototypes(spark, sf), B.buffer(spark, sf),
         B.segments(spark, sf), B.groups(spark, sf),
     )
     return scoring.merge_candidates(hits)
@@ -92,8 +92,9 @@ def group_candidates_merged(spark, sf):
 
 
 def _routed(spark, sf):
-    candidates = scoring.with_group_details(_candidates(spark, sf), B.groups(spark, sf))
-    return scoring.decide_route(B.routed_queries(spark, sf).select("query_id"), candidates)
+    queries = cut_lineage(B.routed_queries(spark, sf))
+    candidates = scoring.with_group_details(_candidates(spark, sf, queries), B.groups(spark, sf))
+    return scoring.decide_route(queries.select("query_id"), candidates)
 
 
 @query
@@ -122,8 +123,8 @@ def candidate_format(spark, sf):
 @query
 def review_vector_cache(spark, sf):
     """Vectors cached for review, and the lookup for every routed document."""
-    queries = B.routed_queries(spark, sf)
-    routed = scoring.decide_route(queries, _candidates(spark, sf))
+    queries = cut_lineage(B.routed_queries(spark, sf))
+    routed = scoring.decide_route(queries, _candidates(spark, sf, queries))
     cached = tables.cached_vectors(
         queries.select(F.col("query_id").alias("doc_id")), scoring.review_cache(routed)
     )
