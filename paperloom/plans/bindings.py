@@ -5,7 +5,7 @@ Every view covers its whole source tables; rows are tied together by natural key
 document, and so on).
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from paperloom.functions.html import html_to_text
 from paperloom.functions.vector import as_vector
@@ -119,16 +119,26 @@ def text_state(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     documents = stored_documents(spark, sf)
     stored = cut_lineage(text_segments(chunks, documents))
     protos = clustering.medoids(stored, ["group_id", "lang"], "segment_id", TEXT_DIM)
+    place = Window.partitionBy("group_id").orderBy("lang")
+    protos = protos.withColumn("proto_index", F.row_number().over(place) - 1)
     labelled = load(spark, sf, "labels").select("doc_id")
     return {
         "chunks": chunks,
         "documents": documents,
         "segments": stored,
-        "prototypes": cut_lineage(protos.withColumn("proto_index", F.xxhash64("segment_id"))),
+        "prototypes": cut_lineage(protos),
         "buffer": stored.join(labelled, "doc_id", "left_semi"),
     }
 
 
+def text_groups(documents: DataFrame) -> DataFrame:
+    counts = documents.groupBy("group_id").agg(F.count("*").alias("doc_count"))
+    return counts.select(
+        "group_id", F.concat(F.lit("team-"), "group_id").alias("group_name"), "doc_count",
+        F.lit(0).cast("long").alias("proto_count"),
+    )
+
+
 # --- two states of the stored documents ----------------------------------------------
 
 def document_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,10 +13,11 @@ from paperloom.operators import (
     sessions, tables,
 )
 from paperloom.plans import bindings as B
+from paperloom.plans.classify import classify
 from paperloom.plans.ingest import STATE_SCHEMAS, ingest
 from paperloom.plans.retrieve import retrieve as run_retrieval
 from paperloom.session import cut_lineage
-from paperloom.sources import deadletter, events
+from paperloom.sources import deadletter, events, seed
 from paperloom.sources.tables import load, spread, vector_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +161,24 @@ def final_outcome(spark, sf):
     )
 
 
+@query
+def classify_pages(spark, sf):
+    """Pages as new documents: normalised, validated, routed by content, placed."""
+    state = B.text_state(spark, sf)
+    state["groups"] = B.text_groups(state["documents"])
+    state["documents"] = state["documents"].withColumn("doc_id", F.col("doc_id").cast("string"))
+    incoming = normalize.normalize(B.confluence_events(spark, sf)).select(
+        F.concat(F.lit("page-"), "doc_id").alias("doc_id"), "source", "title", "content", "metadata"
+    )
+    none = spark.createDataFrame([], "doc_id string, raw string")
+    placed = classify(
+        cut_lineage(incoming), state, embedding.hashed_terms(B.TEXT_DIM), fingerprints=none, decisions=none
+    )
+    return placed.select(
+        "doc_id", "outcome", "route", "top_similarity", "group_name", "group_id", "doc_path"
+    )
+
+
 @query
 def group_chunk_topk(spark, sf):
     """Best chunks of the document's own group, asked with the stored medoid vectors."""
@@ -645,6 +664,17 @@ def regroup_affected(spark, sf):
     return tables.regrouped(state["documents"], batch["documents"], after["segments"])
 
 
+@query
+def seed_load(spark, sf):
+    """Documents as seed rows: id, path and the content with its header lines."""
+    rows = load(spark, sf, "documents").select(
+        F.col("source").alias("group_id"), F.col("lang").alias("group_name"),
+        F.concat("doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("Document "), "doc_id").alias("title"),
+        F.lit("jira").alias("source"), F.col("text").alias("body"),
+    )
+    return seed.seed_documents(rows)
+
+
 @query
 def ingest_batch(spark, sf):
     """Documents ingested into an empty store: the resulting group counters."""
@@ -881,13 +911,17 @@ def dead_letter_replay(spark, sf):
     return good.select("message_id", "doc_id", "source", "content")
 
 
+def _clock(column: str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+
+
 @query
 def debounce_sessions(spark, sf):
     sent = sessions.debounce(
         _timed_events(spark, sf).withColumn("payload", F.concat_ws(":", "event_type", "props")),
         "user_id", "ts", "payload", tie="event_id", bucket=_day(),
     )
-    return sent.select("user_id", F.unix_micros("sent_at").alias("sent_at"), "payload", "n")
+    return sent.select("user_id", _clock("sent_at"), "payload", "n")
 
 
 @query
@@ -897,10 +931,7 @@ def debounce_long_gap(spark, sf):
         _timed_events(spark, sf).withColumn("payload", F.concat_ws(":", "event_type", "props")),
         "user_id", "ts", "payload", tie="event_id", bucket=_day(), gap="6 hours",
     )
-    return sent.select(
-        "user_id", F.unix_micros("started_at").alias("started_at"),
-        F.unix_micros("sent_at").alias("sent_at"), "payload", "n",
-    )
+    return sent.select("user_id", _clock("started_at"), _clock("sent_at"), "payload", "n")
 
 
 # --- model output -----------------------------------------------------------------------

@@ -67,13 +67,13 @@ FROM (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY source, lang)) AS n
 GROUP BY source, lang""")
 
 
-def _topk(table: str, index: str, floor: float, k: int = 20) -> str:
+def _topk(table: str, index: str, floor: float, k: int = 20, queries: str = "q", tie: str = "") -> str:
     return f"""
 SELECT query_id, group_id, CAST({index} AS BIGINT) AS hit_index, similarity, CAST(rank AS INTEGER) AS rank
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, group_id, {index}) AS rank
-      FROM (SELECT q.query_id, t.group_id, t.{index},
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, group_id, {tie}{index}) AS rank
+      FROM (SELECT q.query_id, t.* EXCLUDE (embedding),
                    round(list_cosine_similarity(q.embedding, t.embedding), 6) AS similarity
-            FROM q CROSS JOIN {table} t WHERE t.group_id IN (SELECT group_id FROM grp))
+            FROM {queries} q CROSS JOIN {table} t)
       WHERE similarity >= {floor})
 WHERE rank <= {k}"""
 
@@ -393,13 +393,14 @@ SELECT doc_id, c.n AS n_chunks, coalesce(s.n, 0) AS n_segments
 FROM (SELECT doc_id, count(*) AS n FROM chunk GROUP BY doc_id) c
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM tseg GROUP BY doc_id) s USING (doc_id)""")
 _view("tproto", "tseg", """
-SELECT group_id, lang, doc_id, segment_index, embedding
-FROM (SELECT a.group_id, a.lang, a.doc_id, a.segment_index, a.segment_id, a.embedding,
+SELECT group_id, lang, doc_id, segment_index, embedding,
+       row_number() OVER (PARTITION BY group_id ORDER BY lang) - 1 AS proto_index
+FROM (SELECT * FROM (SELECT a.group_id, a.lang, a.doc_id, a.segment_index, a.segment_id, a.embedding,
              coalesce(round(sum(list_inner_product(a.embedding, b.embedding)), 9), 0.0) AS s
       FROM tseg a LEFT JOIN tseg b
         ON a.group_id = b.group_id AND a.lang = b.lang AND a.segment_id <> b.segment_id
       GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY group_id, lang ORDER BY greatest(s, -1.0) DESC, segment_id) = 1""")
+      QUALIFY row_number() OVER (PARTITION BY group_id, lang ORDER BY greatest(s, -1.0) DESC, segment_id) = 1)""")
 _view("tier1", "tproto tseg ask", """
 SELECT query_id, group_id, similarity, rank, max(similarity) OVER (PARTITION BY query_id) >= 0.55 AS near
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, group_id) AS rank
@@ -740,7 +741,8 @@ SELECT message_id, CAST(message_id AS VARCHAR) AS doc_id, 'replay' AS source, te
 
 def _sessions(gap: str) -> str:
     return f"""
-SELECT user_id, min(epoch_us(ts)) AS started_at, max(epoch_us(ts)) AS sent_at,
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started_at,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS sent_at,
        last(event_type || ':' || props ORDER BY ts, event_id) AS payload, count(*) AS n
 FROM (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL {gap} THEN 1 ELSE 0 END)
                 OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst
@@ -810,3 +812,42 @@ _sql("ingest_batch", _ingested, f"""
 SELECT d.group_id, d.doc_count, coalesce(p.n, 0) AS proto_count, CAST(0 AS BIGINT) AS n_buffered
 FROM (SELECT source AS group_id, count(*) AS doc_count FROM documents GROUP BY source) d
 LEFT JOIN (SELECT group_id, count(DISTINCT cluster) AS n FROM {_ingested} GROUP BY group_id) p USING (group_id)""")
+
+_sql("seed_load", "", """
+SELECT source || ':' || doc_id || '.md' AS doc_id, doc_id || '.md' AS doc_path, source AS group_id,
+       'Document ' || doc_id AS title,
+       'Title: Document ' || doc_id || chr(10) || 'Group: ' || lang || chr(10) || 'Source: jira' || chr(10) || chr(10)
+       || text || chr(10) AS content
+FROM documents""")
+
+# --- pages as new documents --------------------------------------------------------------
+
+_view("incoming", "page", """
+SELECT 'page-' || page_id AS query_id, text, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM page""")
+_view("page_vec", "incoming", _term_vectors("incoming", "query_id", "'search_query: ' || text"))
+_view("tbuf", "tseg", "SELECT * FROM tseg WHERE doc_id IN (SELECT doc_id FROM labels)")
+for _kind, _table, _index, _floor, _tie in [
+    ("page_proto", "tproto", "proto_index", 0.4, ""),
+    ("page_buffer", "tbuf", "segment_index", 0.4, "doc_id, "),
+    ("page_segment", "tseg", "segment_index", 0.37, "doc_id, "),
+]:
+    _view(f"{_kind}_hit", f"page_vec {_table}", _topk(_table, _index, _floor, queries="page_vec", tie=_tie))
+    _view(f"{_kind}_score", f"{_kind}_hit", _score(f"{_kind}_hit"))
+_view("page_early", "page_proto_score page_buffer_score", _merge("page_proto_score", "page_buffer_score"))
+_view("page_candidate", "page_early page_segment_score", _merge("page_early", "page_segment_score"))
+_sql("classify_pages", "incoming page_candidate", f"""
+SELECT doc_id, outcome, route, top_similarity, group_name,
+       CASE outcome WHEN 'ASSIGNED' THEN top_group
+                    WHEN 'CREATED' THEN left(sha256(group_name || '/' || doc_id), 32) END AS group_id,
+       CASE WHEN outcome <> 'INVALID' THEN 'docs/' || group_name || '/reference/confluence/' || doc_id || '.md' END AS doc_path
+FROM (SELECT query_id AS doc_id, top_group, outcome, CASE WHEN outcome <> 'INVALID' THEN route END AS route, top_similarity,
+             CASE outcome WHEN 'ASSIGNED' THEN 'team-' || top_group
+                          WHEN 'CREATED' THEN {_slug("CASE WHEN title = '' THEN 'Untitled' ELSE title END")} END AS group_name
+      FROM (SELECT i.query_id, i.title, c.group_id AS top_group,
+                   CASE WHEN i.text <> '' THEN coalesce(c.similarity, 0.0) END AS top_similarity,
+                   CASE WHEN c.group_id IS NULL THEN 'CREATE_NEW_GROUP' WHEN c.similarity >= 0.7 THEN 'AUTO_ASSIGN'
+                        ELSE 'REVIEW_BY_AGENT' END AS route,
+                   CASE WHEN i.text = '' THEN 'INVALID' WHEN route = 'AUTO_ASSIGN' THEN 'ASSIGNED' ELSE 'CREATED' END AS outcome
+            FROM incoming i
+            LEFT JOIN (SELECT * FROM page_candidate
+                       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, group_id) = 1) c USING (query_id)))""")
