@@ -57,8 +57,17 @@ def _kept_positions(old: list[str], new: list[str]) -> set[int]:
     return kept
 
 
+def _shared_edge(a: list[str], b: list[str]) -> int:
+    """Number of leading lines both lists share."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def _added(old: str | None, new: str | None) -> str:
     before, after = _LINE.findall(old or ""), _LINE.findall(new or "")
+    head = _shared_edge(before, after)
+    before, after = before[head:], after[head:]
+    tail = _shared_edge(before[::-1], after[::-1])
+    before, after = before[:len(before) - tail], after[:len(after) - tail]
     kept = _kept_positions(before, after)
     runs: list[str] = []
     for at, line in enumerate(after):

@@ -13,9 +13,9 @@ def write_snapshot(df: DataFrame, root: str, version: int, partition_by: tuple =
     writer.parquet(f"{root}/version={version}")
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Completed versions, ascending."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
+def versions(spark: SparkSession, root: str, kind: str = "version") -> list[int]:
+    """Numbers of the completed folders ``root/kind=N``, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}=*/_SUCCESS")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 

@@ -1,8 +1,9 @@
 """Tables as folders of row versions: a batch adds its rows and rewrites nothing.
 
-``root/version=N`` holds the rows of batch N only.  A row is current when no later batch
-wrote its key, so replacing a document costs as much as the batch, not the table.
-Repeating a batch overwrites its own folder.
+``root/batch=N`` holds the rows of batch N, marked with their ``version``.  A row is
+current when no later batch wrote its key, so replacing a document costs as much as the
+batch, not the table.  Repeating a batch overwrites its own folder.  ``write_base`` folds
+the history into one folder now and then, so that readers open few folders.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,19 +12,29 @@ from paperloom.sources.snapshots import versions
 
 
 def append_version(df: DataFrame, root: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
+    marked = df.withColumn("version", F.lit(version))
+    marked.write.mode("overwrite").parquet(f"{root}/batch={version}")
+
+
+def write_base(rows: DataFrame, root: str, version: int) -> None:
+    """Keep only ``rows``, with the versions they have, for all batches up to ``version``."""
+    rows.write.mode("overwrite").parquet(f"{root}/base={version}")
 
 
 def all_versions(
     spark: SparkSession, root: str, schema: str, before: int | None = None
 ) -> DataFrame:
-    """Rows of every completed batch (before one), with their ``version``."""
-    done = [v for v in versions(spark, root) if before is None or v < before]
+    """Rows of the newest base and of every later batch (before one), with ``version``."""
+    def done(kind: str) -> list[int]:
+        return [v for v in versions(spark, root, kind) if before is None or v < before]
+
+    base = max(done("base"), default=None)
+    paths = [] if base is None else [f"{root}/base={base}"]
+    paths += [f"{root}/batch={v}" for v in done("batch") if base is None or v > base]
     typed = f"{schema}, version int"
-    if not done:
+    if not paths:
         return spark.createDataFrame([], typed)
-    reader = spark.read.schema(typed).option("basePath", root)
-    return reader.parquet(*[f"{root}/version={v}" for v in done])
+    return spark.read.schema(typed).parquet(*paths)
 
 
 def newest(rows: DataFrame, key: str) -> DataFrame:
@@ -34,4 +45,3 @@ def newest(rows: DataFrame, key: str) -> DataFrame:
 def current(rows: DataFrame, key: str, marks: DataFrame | None = None) -> DataFrame:
     """Rows written by the last batch of their key; ``marks`` may come from a parent table."""
     return rows.join(newest(rows, key) if marks is None else marks, [key, "version"])
-

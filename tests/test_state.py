@@ -215,6 +215,13 @@ def test_ingest_stream(spark, tmp_path):
     assert {r.doc_id for r in state["buffer"].collect()} == {"a0", "a1"}
     counts = {r.group_name: (r.doc_count, r.proto_count) for r in flow.with_counts(state).collect()}
     assert counts == {"alpha": (2, 1), "beta": (1, 1)}
+    def content(state):
+        return {n: sorted(map(str, t.collect())) for n, t in state.items()}
+
+    before = content(state)
+    flow.compact(spark, root, 1)
+    assert versioned.versions(spark, f"{root}/chunks", "base") == [1]
+    assert content(flow.read_state(spark, root)) == before
     again = spark.createDataFrame(batches[1], DOCUMENT)
     flow.ingest_batch(again, root, 1, EMBED, DIM, fingerprints=none, decisions=none)
     assert {r.doc_id for r in flow.read_state(spark, root)["documents"].collect()} == set(docs)
