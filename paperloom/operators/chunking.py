@@ -89,18 +89,17 @@ def _tokens(text: str) -> int:
 
 def _units(text: str) -> list[tuple[str, bool]]:
     """Text in order as (piece, is fenced code); a fence closes with its own marker."""
-    units, at = [], 0
+    units, begin, at = [], 0, 0
     while opening := _FENCE_OPENING.search(text, at):
         mark = re.escape(opening.group(1))
         closing = re.compile(rf"^[ \t]*{mark}[ \t]*(?:\n|\Z)", re.M)
         line_end = text.find("\n", opening.end())
         end = closing.search(text, line_end + 1) if line_end >= 0 else None
-        if end is None:
-            at = opening.end()
-            continue
-        units += [(text[:opening.start()], False), (text[opening.start():end.end()], True)]
-        text, at = text[end.end():], 0
-    return [unit for unit in [*units, (text, False)] if unit[0]]
+        at = end.end() if end else opening.end()
+        if end:
+            units += [(text[begin:opening.start()], False), (text[opening.start():at], True)]
+            begin = at
+    return [unit for unit in [*units, (text[begin:], False)] if unit[0]]
 
 
 def _pieces(text: str, size: int, separators: list[str]) -> list[str]:

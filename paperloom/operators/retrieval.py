@@ -220,7 +220,9 @@ def retrieval_results(queries: DataFrame, shortlist, fetched, final, blocks, rat
         queries.join(rated, "query_id").join(per_query, "query_id", "left")
         .join(groups, "query_id", "left").join(retrieved, "query_id", "left")
     )
-    blocks_or_none = F.coalesce("context_blocks", F.filter("context_blocks", lambda b: F.lit(False)))
+    blocks_or_none = F.coalesce(
+        "context_blocks", F.array().cast(dict(joined.dtypes)["context_blocks"])
+    )
     return joined.select(
         "query_id", F.col("text").alias("query"), blocks_or_none.alias("context_blocks"),
         F.map_from_entries(

@@ -338,18 +338,30 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", raw.alias("raw"))
 
 
+def cited_sentences(text: Column) -> Column:
+    """The text with source n cited after its n-th sentence."""
+    marked = F.transform(
+        F.split(text, r"\. "),
+        lambda s, i: F.concat(s, F.lit(" ["), (i + 1).cast("string"), F.lit("]")),
+    )
+    return F.array_join(marked, ". ")
+
+
+def question_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that repeat the question and cite a source per sentence."""
+    return load(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), cited_sentences(F.col("text")).alias("answer")
+    )
+
+
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as answers: the n-th sentence cites source n.
 
     As many sources exist as there were turns before, so early turns cite unknown ones.
     """
-    cited = F.transform(
-        F.split("text", r"\. "),
-        lambda s, i: F.concat(s, F.lit(" ["), (i + 1).cast("string"), F.lit("]")),
-    )
     known = F.when(F.col("turn") > 0, F.sequence(F.lit(1).cast("long"), F.col("turn"))).otherwise(
         F.array().cast("array<bigint>")
     )
     return load(spark, sf, "conversations").select(
-        "conv_id", "turn", F.array_join(cited, ". ").alias("answer"), known.alias("known")
+        "conv_id", "turn", cited_sentences(F.col("text")).alias("answer"), known.alias("known")
     )

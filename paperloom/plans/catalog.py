@@ -15,7 +15,7 @@ from paperloom.operators import (
 from paperloom.plans import bindings as B
 from paperloom.plans.classify import classify
 from paperloom.plans.ingest import STATE_SCHEMAS, ingest
-from paperloom.plans.retrieve import retrieve as run_retrieval
+from paperloom.plans.retrieve import respond, retrieve as run_retrieval
 from paperloom.session import cut_lineage
 from paperloom.sources import deadletter, events, seed
 from paperloom.sources.tables import load, spread, vector_table
@@ -273,6 +273,17 @@ def source_rows(spark, sf):
     return retrieval.source_rows(cited, F.lit("https://docs.example.org/main/")).drop("doc_id")
 
 
+@query
+def search_response(spark, sf):
+    """Answers with renumbered citations and the sources they cite, flattened."""
+    found = respond(_retrieval(spark, sf), B.question_answers(spark, sf), "https://docs.example.org/main/")
+    listed = F.transform("sources", lambda s: F.concat_ws("=", s["source_index"], s["title"]))
+    return found.select(
+        "query_id", "answer", "confidence_score", F.size("sources").alias("n_sources"),
+        F.array_join(listed, ";").alias("sources"),
+    )
+
+
 @query
 def citation_map(spark, sf):
     rows = B.answers(spark, sf)

@@ -518,6 +518,26 @@ SELECT conv_id, turn, CAST(len(list_distinct(numbers)) AS INTEGER) AS n_cited,
            ELSE CAST(numbers[i] AS VARCHAR) END), '') AS answer
 FROM kept""")
 
+_view("reply", "block", r"""
+SELECT query_id, string_split_regex(answer, '\[\d+\]') AS parts, known, list_filter(numbers, lambda n: list_contains(known, n)) AS kept,
+       numbers
+FROM (SELECT item_id AS query_id, a.answer, coalesce(known, []) AS known,
+             list_transform(regexp_extract_all(a.answer, '\[(\d+)\]', 1), lambda x: CAST(x AS BIGINT)) AS numbers
+      FROM (SELECT item_id, array_to_string(list_transform(string_split(text, '. '), lambda s, i: s || ' [' || i || ']'), '. ') AS answer
+            FROM benchmark) a
+      LEFT JOIN (SELECT query_id, list(source_index ORDER BY source_index) AS known FROM block GROUP BY query_id) k
+        ON k.query_id = a.item_id)""")
+_sql("search_response", "reply rated block", """
+SELECT r.query_id,
+       array_to_string(list_transform(parts, lambda p, i: p || CASE WHEN i > len(numbers) THEN ''
+           WHEN list_contains(kept, numbers[i]) THEN '[' || list_position(kept, numbers[i]) || ']'
+           ELSE CAST(numbers[i] AS VARCHAR) END), '') AS answer,
+       CAST(c.score AS DOUBLE) AS confidence_score, CAST(len(kept) AS INTEGER) AS n_sources, coalesce(s.sources, '') AS sources
+FROM reply r JOIN rated c USING (query_id)
+LEFT JOIN (SELECT query_id, string_agg(list_position(kept, source_index) || '=' || string_split(doc_path, '/')[-1], ';'
+                                       ORDER BY source_index) AS sources
+           FROM block JOIN reply USING (query_id) WHERE list_contains(kept, source_index) GROUP BY query_id) s USING (query_id)""")
+
 # --- stored tables --------------------------------------------------------------------
 
 _view("old_doc", "", """

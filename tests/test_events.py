@@ -119,6 +119,9 @@ def test_commit_enrichment_drops_commits_without_text(spark):
     assert [c.commitId for c in done[1]] == ["c1"]
     assert [(f.filename, f.patch) for f in done[1][0].files] == [("b.md", "B"), ("a.md", "A")]
     assert not done[2]
+    coded = contents.withColumn("content", F.base64(F.col("content").cast("binary")))
+    again = {r.event_id: r.commits for r in N.enrich_commits(df, coded, encoded=True).collect()}
+    assert again == done
 
 
 def test_validation(spark):
