@@ -76,3 +76,37 @@ ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
     ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 ]
+
+# --- texts of results ----------------------------------------------------------
+MISSING_FIELDS = "Normalization error: missing required fields"
+UNKNOWN_SOURCE = 'No normalizer registered for source: "%s"'
+REQUIRED_FIELDS = ["doc_id", "source", "content", "metadata"]
+REQUIRED_MESSAGE = "Missing required fields: "
+EMPTY_CONTENT = "Content field is empty"
+DEFAULT_TITLE = "Untitled"
+DEFAULT_TITLES = {"github": "GitHub Repository", "jira": "Jira Issue", "miro": "Board "}
+UNKNOWN_REPO = "unknown-repo"
+UNKNOWN_DOC_SOURCE = "unknown-source"
+NEW_GROUP = "new-group"
+GROUP_DESCRIPTION = "Document group for %s."
+UNKNOWN_PROJECT = "unknown project"
+FINGERPRINT_LABELS = [           # field, label, is a list
+    ("project_identity", "Project Identity", False),
+    ("functional_domain", "Functional Domain", False),
+    ("doc_intent", "Document Intent", False),
+    ("lifecycle_stage", "Lifecycle Stage", False),
+    ("technical_concepts", "Technical Concepts", True),
+    ("key_entities", "Key Entities", True),
+    ("cross_tool_aliases", "Cross-Tool Aliases", True),
+]
+FINGERPRINT_SUMMARY = "Summary"
+REVIEW_FALLBACK = "Defaulted to CREATE_NEW due to error in agent review process."
+NO_CANDIDATES = "No candidate groups found."
+REASON_EMPTY = "No relevant chunks found."
+REASON_HIGH = "Strong prototype match, %d corroborating sources"
+REASON_MEDIUM = "Moderate matches found, relevance may vary"
+REASON_WEAK_GROUP = "Weak prototype match — query may not align with any group topic"
+REASON_WEAK_CHUNKS = "Weak evidence returned at the chunk level"
+BANNER = "**Retrieval Confidence: %s (%d%%)** — %s"
+SEED_CONTENT = "Title: %s\nGroup: %s\nSource: %s\n\n%s\n"
+SEED_SUMMARY = "Seed group for %s"

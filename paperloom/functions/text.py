@@ -84,7 +84,7 @@ def doc_path(
     built = F.concat_ws(
         "/", base, group,
         first_text(doc_type, F.lit(C.DEFAULT_TYPE)),
-        first_text(source, F.lit("unknown-source")),
+        first_text(source, F.lit(C.UNKNOWN_DOC_SOURCE)),
         name,
     )
     return built if existing is None else first_text(existing, built)
@@ -100,14 +100,14 @@ def new_group_name(
     return slugify(
         F.coalesce(
             unless_blank(agent_name), unless_blank(project),
-            first_text(title_col, doc_id, F.lit("new-group")),
+            first_text(title_col, doc_id, F.lit(C.NEW_GROUP)),
         )
     )
 
 
 def new_group_description(agent_text: Column, title_col: Column) -> Column:
-    generic = F.concat(
-        F.lit("Document group for "), F.coalesce(title_col, F.lit("unknown project")), F.lit(".")
+    generic = F.format_string(
+        C.GROUP_DESCRIPTION, F.coalesce(title_col, F.lit(C.UNKNOWN_PROJECT))
     )
     return F.coalesce(text_or_null(strip(agent_text)), generic)
 

@@ -165,17 +165,14 @@ def confidence(
         .otherwise(C.SCORE_LOW)
     )
     reason = (
-        F.when(F.col("n_chunks") == 0, "No relevant chunks found.")
+        F.when(F.col("n_chunks") == 0, C.REASON_EMPTY)
         .when(
             F.col("band") == "HIGH",
-            F.format_string("Strong prototype match, %d corroborating sources", "source_diversity"),
+            F.format_string(C.REASON_HIGH, "source_diversity"),
         )
-        .when(F.col("band") == "MEDIUM", "Moderate matches found, relevance may vary")
-        .when(
-            proto <= proto_medium,
-            "Weak prototype match — query may not align with any group topic",
-        )
-        .otherwise("Weak evidence returned at the chunk level")
+        .when(F.col("band") == "MEDIUM", C.REASON_MEDIUM)
+        .when(proto <= proto_medium, C.REASON_WEAK_GROUP)
+        .otherwise(C.REASON_WEAK_CHUNKS)
     )
     return (
         joined.withColumn("tier_drop_flag", drop).withColumn("band", band)
@@ -192,9 +189,7 @@ def context_strings(blocks: DataFrame, rated: DataFrame) -> DataFrame:
         F.concat(F.lit("["), F.col("source_index"), F.lit("] "), F.coalesce("doc_path", F.lit("None"))).alias("line"),
     )
     listed = blocks.groupBy("query_id").agg(F.array_sort(F.collect_list(block)).alias("_b"))
-    banner = F.format_string(
-        "**Retrieval Confidence: %s (%d%%)** — %s", "band", "score", "reason"
-    )
+    banner = F.format_string(C.BANNER, "band", "score", "reason")
 
     def joined(field: str, separator: str) -> Column:
         return F.coalesce(F.array_join(F.transform("_b", lambda b: b[field]), separator), F.lit(""))
@@ -251,7 +246,7 @@ def source_rows(cited: DataFrame, base: Column) -> DataFrame:
         document_url(base, F.col("doc_path")).alias("url"),
         F.col("text").alias("chunk_text"),
         F.coalesce("best_similarity", F.col("score") / 100.0).alias("similarity"),
-        F.when(text_or_null(F.col("doc_path")).isNull(), "Untitled").otherwise(title).alias("title"),
+        F.when(text_or_null(F.col("doc_path")).isNull(), C.DEFAULT_TITLE).otherwise(title).alias("title"),
     )
 
 

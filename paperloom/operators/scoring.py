@@ -219,5 +219,5 @@ def review_lines(candidates: Column) -> Column:
         ),
     )
     return F.when(F.size(candidates) > 0, F.array_join(lines, "\n")).otherwise(
-        "No candidate groups found."
+        C.NO_CANDIDATES
     )

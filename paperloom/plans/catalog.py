@@ -111,7 +111,7 @@ def route_decision(spark, sf):
 def candidate_format(spark, sf):
     routed = _routed(spark, sf)
     shown = scoring.summarize_candidates(F.col("candidates"))
-    lines = F.when(F.col("candidates").isNull(), "No candidate groups found.").otherwise(
+    lines = F.when(F.col("candidates").isNull(), C.NO_CANDIDATES).otherwise(
         scoring.review_lines(F.col("candidates"))
     )
     best = F.get(shown, F.lit(0))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom import constants as C
 from paperloom.operators import changes, normalize as N, sessions
 from paperloom.sources import deadletter, events
 
@@ -44,7 +45,7 @@ def test_github(spark):
 def test_github_without_anything(spark):
     row, _ = _normalize(spark, "github", {}, {"commits": []})
     assert row.doc_id == "unknown-repo" and row.title == "GitHub Repository"
-    assert row.error == N.MISSING_FIELDS
+    assert row.error == C.MISSING_FIELDS
 
 
 def test_jira(spark):
@@ -68,7 +69,7 @@ def test_confluence(spark):
     assert meta["versionBefore"] is None and meta["versionAfter"] == 1
     assert meta["eventType"] == "page_event" and meta["updatedBy"] == {"id": "u", "name": None}
     empty, _ = _normalize(spark, "confluence", {}, {"pageId": "1", "content": ""})
-    assert empty.error == N.MISSING_FIELDS
+    assert empty.error == C.MISSING_FIELDS
 
 
 def test_miro(spark):
@@ -78,7 +79,7 @@ def test_miro(spark):
     assert meta["item"] == {"itemId": "i", "itemType": None, "action": "created"}
     row, meta = _normalize(spark, "miro", {"boardId": {"name": "N"}}, {"boardId": "b1"})
     assert row.title == "N" and meta["type"] == "board_event" and meta["item"] is None
-    assert row.error == N.MISSING_FIELDS
+    assert row.error == C.MISSING_FIELDS
 
 
 def test_unknown_source(spark):

@@ -5,8 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import chunking, embedding, tables
-from paperloom.plans.classify import classify, new_groups
+from paperloom.operators import embedding, tables
+from paperloom.plans.classify import classify
 from paperloom.plans.ingest import STATE_SCHEMAS, ingest, summary
 from paperloom.sources import events, seed, snapshots, versioned
 from paperloom.streaming import events as live, ingest as flow
