@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from paperloom.functions.html import html_to_text
 from paperloom.functions.vector import as_vector
 from paperloom.operators import chunking, clustering, embedding, pooling
-from paperloom.session import cut_lineage
+from paperloom.session import cut_lineage, write_through
 from paperloom.sources.tables import load, spread
 
 VECTOR_DIM = 64
@@ -92,7 +92,7 @@ def embedded_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The embedded chunks, written once as ingest writes them."""
-    return cut_lineage(embedded_chunks(spark, sf))
+    return write_through(embedded_chunks(spark, sf))
 
 
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +117,7 @@ def text_state(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Stored tables of the retrieval queries, written once as ingest would have."""
     chunks = stored_chunks(spark, sf)
     documents = stored_documents(spark, sf)
-    stored = cut_lineage(text_segments(chunks, documents))
+    stored = write_through(text_segments(chunks, documents))
     protos = clustering.medoids(stored, ["group_id", "lang"], "segment_id", TEXT_DIM)
     place = Window.partitionBy("group_id").orderBy("lang")
     protos = protos.withColumn("proto_index", F.row_number().over(place) - 1)

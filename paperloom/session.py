@@ -1,6 +1,7 @@
 """Session settings and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder, so lost executors do not lose it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_through(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage`` for wide tables that are read several times.
+
+    A Parquet table in the checkpoint folder lets every reader take only the columns it
+    needs, such as vectors without texts.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
