@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import mixing, quality_rules, sharding
+from paperloom.llm import credentials, licenses, mixing, pieces, quality_rules, sharding, simhash, substrings
 from paperloom.sources.tables import load
 
 
@@ -14,11 +14,36 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(m[n].alias(n) for n in names))
 
 
+def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of three-word shingles and component, at most two differing bits, of every document."""
+    found = simhash.classes(load(spark, sf_dir, "documents"), shingle=3, budget=2)
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources meet the square root of their shares; as many rows in all."""
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets, and of linked weak parts, of every document."""
+    found = credentials.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+    base = F.filter(spans, lambda s: s["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(credentials.joined(base), 256).alias("base_sha256"), credentials.joined(spans).alias("spans"),
+    )
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that earlier windows of twenty words repeat, and a digest of the rest."""
+    cut = substrings.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 of near equal bytes."""
     return sharding.shard_documents(load(spark, sf_dir, "documents"), 40).select(
@@ -27,8 +52,34 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
+    found = licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    m = F.col("license")
+    return found.select(
+        "doc_id", m["n_words"].alias("n_words"), F.size(m["places"]).cast("long").alias("n_base"),
+        F.array_min(m["places"]).alias("first_word"), F.array_max(m["places"]).alias("last_word"),
+        F.array_join(m["base_labels"], ",").alias("base_labels"), F.array_join(m["labels"], ",").alias("labels"),
+        m["score"].alias("score"),
+    )
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding gives the text back (its own marks as blanks)."""
+    model = pieces.read_model(pieces.default_model())
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, model), model)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_simhash_neardup": op3_simhash_neardup,
     "op5_mixing": op5_mixing,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
+    "op9_license_scan": op9_license_scan,
+    "op10_sentencepiece": op10_sentencepiece,
 }
