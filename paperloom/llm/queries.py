@@ -2,10 +2,15 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import credentials, licenses, mixing, pieces, quality_rules, sharding, simhash, substrings
+from paperloom.llm import credentials, embedding_dedup, licenses, mixing, pieces, quality_rules, sharding, simhash, substrings
 from paperloom.sources.tables import load
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, cosine 0.93 within a label."""
+    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     judged = quality_rules.judge(load(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -74,6 +79,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op5_mixing": op5_mixing,
