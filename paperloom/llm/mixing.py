@@ -3,7 +3,10 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from paperloom.llm.common import free_name
+from paperloom.session import write_through
 
+#: rates are broadcast up to so many table entries (8 bytes each); beyond, they are joined by a shuffle
+BROADCAST_ENTRIES = 1_000_000
 #: hash digits of a uniform number: 12 hex digits, 48 bits
 DIGITS = 12
 
@@ -76,7 +79,10 @@ def mix(
     """
     rates = source_rates(docs, source_col, weights=weights, temperature=temperature, epochs=epochs)
     sums, named, copy, key = (free_name(docs, c) for c in ("sums", "mix_source", "copy", "shuffle_key"))
-    rates = rates.select(F.col("source").alias(named), F.col("sums").alias(sums))
+    rates = write_through(rates.select(F.col("source").alias(named), F.col("sums").alias(sums)))
+    # as a shuffled join, the texts of a hot source would meet in few tasks
+    entries = rates.agg(F.sum(F.size(sums) + 1)).first()[0] or 0
+    rates = F.broadcast(rates) if entries <= BROADCAST_ENTRIES else rates
     drawn = docs.join(rates, docs[source_col].eqNullSafe(F.col(named))).drop(named)
     number = uniform(F.lit(seed), docs[id_col])
     times = F.size(F.filter(F.col(sums), lambda below: below < number))
