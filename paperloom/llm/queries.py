@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import credentials, embedding_dedup, licenses, mixing, pieces, quality_rules, sharding, simhash, substrings
+from paperloom.llm import (
+    credentials, embedding_dedup, licenses, lm_scoring, mixing, pieces, quality_rules, sharding, simhash, substrings,
+)
 from paperloom.sources.tables import load
 
 
@@ -26,6 +28,11 @@ def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log probability of every document; learns from the documents that aren't held out."""
+    return lm_scoring.score(load(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources meet the square root of their shares; as many rows in all."""
     return mixing.mix(load(spark, sf_dir, "documents"))
@@ -82,6 +89,7 @@ QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_neardup": op3_simhash_neardup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
