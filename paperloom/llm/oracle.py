@@ -1,3 +1,149 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, written apart from the operators."""
 
-ORACLES: dict[str, str] = {}
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+EMBEDDING_NEARDUP = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON vec_id = least.a LEFT JOIN counts ON vec_id = counts.a
+"""
+
+QUALITY_RULES = rf"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)
+), repeats AS (
+  SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next_i
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, sum(least(8, coalesce(next_i - i, 8))) AS n FROM repeats GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id
+), v AS (
+  SELECT *, 1000 * n_symbols // greatest(n_words, 1) AS v1, 1000 * n_dup_lines // greatest(n_lines, 1) AS v2,
+    1000 * word_chars // greatest(n_words, 1) AS v3, 1000 * n_repeat_words // greatest(n_words, 1) AS v4
+  FROM m
+), each AS (
+  SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([v1, v2, v3, v4]) AS x FROM v
+), bucketed AS (
+  SELECT lang, source, k, CASE WHEN x < 1 THEN 0 ELSE 1 + ceil(round(ln(x::DOUBLE) / ln(1.02), 9)) END AS bucket FROM each
+), levels AS (
+  SELECT 1 AS level, lang, source, k, bucket FROM bucketed
+  UNION ALL SELECT 2, lang, NULL, k, bucket FROM bucketed
+  UNION ALL SELECT 3, NULL, NULL, k, bucket FROM bucketed
+), sketches AS (
+  SELECT level, lang, source, k, bucket, count(*) AS n FROM levels GROUP BY ALL
+), ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, k ORDER BY bucket) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, k) AS whole
+  FROM sketches
+), quarters AS (
+  SELECT level, lang, source, k, max(whole) AS rows,
+    min(CASE WHEN 4 * upto >= whole THEN bucket END) AS b1, min(CASE WHEN 4 * upto >= 3 * whole THEN bucket END) AS b3
+  FROM ranked GROUP BY ALL
+), valued AS (
+  SELECT *, CASE WHEN b1 = 0 THEN 0 ELSE pow(1.02, b1 - 1) * (2 / 2.02) END AS q1,
+    CASE WHEN b3 = 0 THEN 0 ELSE pow(1.02, b3 - 1) * (2 / 2.02) END AS q3,
+    CASE k WHEN 1 THEN 150 WHEN 2 THEN 350 WHEN 3 THEN 3000 ELSE 300 END AS least_gap
+  FROM quarters
+), fences AS (
+  SELECT level, lang, source, k, rows, CASE WHEN k = 3 THEN q1 - greatest(3 * (q3 - q1), least_gap) ELSE -1 END AS low,
+    q3 + greatest(3 * (q3 - q1), least_gap) AS high
+  FROM valued
+), fenced AS (
+  SELECT v.doc_id, bool_or(x < chosen.low OR x > chosen.high) AS outside
+  FROM (SELECT doc_id, lang, source, unnest([1, 2, 3, 4]) AS k, unnest([v1, v2, v3, v4]) AS x FROM v) v
+  JOIN fences f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM v.lang AND f1.source IS NOT DISTINCT FROM v.source AND f1.k = v.k
+  JOIN fences f2 ON f2.level = 2 AND f2.lang IS NOT DISTINCT FROM v.lang AND f2.k = v.k
+  JOIN fences f3 ON f3.level = 3 AND f3.k = v.k
+  JOIN fences chosen ON chosen.k = v.k AND CASE
+    WHEN f1.rows >= 200 THEN chosen.level = 1 AND chosen.lang IS NOT DISTINCT FROM v.lang AND chosen.source IS NOT DISTINCT FROM v.source
+    WHEN f2.rows >= 200 THEN chosen.level = 2 AND chosen.lang IS NOT DISTINCT FROM v.lang
+    ELSE chosen.level = 3 END
+  GROUP BY v.doc_id
+), based AS (
+  SELECT v.*, outside, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM v JOIN fenced ON v.doc_id = fenced.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT outside AS kept
+FROM based
+"""
+
+MIXING = """
+WITH counts AS (
+  SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.5) AS weight FROM documents GROUP BY source
+), whole AS (
+  SELECT sum(n)::BIGINT AS all_n, sum(weight::DECIMAL(38, 9))::DOUBLE AS all_weight FROM counts
+), rates AS (
+  SELECT source, 1.0::DOUBLE * all_n * (weight / all_weight) / n AS rate FROM counts, whole
+), terms AS (
+  SELECT source, rate, unnest(range(0, ceil(rate + 10 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM rates
+), sums AS (
+  SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below FROM terms
+), numbers AS (
+  SELECT *, (('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5)
+    / 281474976710656.0::DOUBLE AS u
+  FROM documents
+), drawn AS (
+  SELECT doc_id, count(*) AS times
+  FROM numbers JOIN sums ON numbers.source IS NOT DISTINCT FROM sums.source WHERE below < u GROUP BY doc_id
+), copies AS (
+  SELECT doc_id, unnest(range(0, times)) AS copy FROM drawn
+)
+SELECT d.doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
+  md5('deal42|' || d.doc_id::VARCHAR || '|' || copy::VARCHAR) AS shuffle_key
+FROM documents d JOIN copies ON d.doc_id = copies.doc_id
+"""
+
+SUBSTRING_DEDUP = f"""
+WITH w AS (
+  SELECT doc_id, {WORDS} AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)
+), later AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+), marked AS (
+  SELECT words.doc_id, word, words.i,
+    coalesce(max(later.i) OVER (PARTITION BY words.doc_id ORDER BY words.i) > words.i - 20, false) AS gone
+  FROM words LEFT JOIN later ON words.doc_id = later.doc_id AND words.i = later.i
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_neardup": EMBEDDING_NEARDUP,
+    "op2_quality_rules": QUALITY_RULES,
+    "op5_mixing": MIXING,
+    "op7_substring_dedup": SUBSTRING_DEDUP,
+}
