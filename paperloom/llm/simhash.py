@@ -14,9 +14,9 @@ from paperloom.session import write_through
 
 SEED = 42
 BITS = 64
-#: distinct fingerprints in a leaf of the trie: this many, or a 1024th of all if that is more
-LEAF = 50_000
-SHARE = 1024
+#: distinct fingerprints in a leaf of the trie: a 16th of all, so that small and large inputs are cut alike, up to
+#: ``LEAF``, beyond which the trie gets more leaves; a 1024th of all if that is more
+LEAF, SHARE, MOST_SHARE = 500_000, 16, 1024
 #: levels of the trie that one counting pass adds
 LEVELS = 8
 #: node pairs that are expanded at once, pairs below which a node pair is compared directly, links merged at once
@@ -180,7 +180,11 @@ def leaf_links(x: np.ndarray, y: np.ndarray | None, budget: int) -> np.ndarray:
     return parent
 
 
-def fingerprint_links(prints: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
+def leaf_size(total: int) -> int:
+    return max(1, min(LEAF, total // SHARE), total // MOST_SHARE)
+
+
+def fingerprint_links(prints: DataFrame, budget: int, leaf: int | None = None) -> DataFrame:
     """Links (a, b) that connect fingerprints within the budget, as ``rep`` ids: a spanning forest per task.
 
     ``prints`` has distinct ``fp`` and its ``rep``, and is read several times. The upper trie is counted in
@@ -188,7 +192,7 @@ def fingerprint_links(prints: DataFrame, budget: int, leaf: int = LEAF) -> DataF
     whatever the number of rows. Each pair of leaves is a task that holds two leaves.
     """
     total = prints.count()
-    tree = Leaves(max(leaf, total // SHARE))
+    tree = Leaves(leaf or leaf_size(total))
     depth = 0
     while tree.full and depth < BITS:
         inside = prints
