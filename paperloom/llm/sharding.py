@@ -56,30 +56,30 @@ def assign_shards(
     items = [(row["bundle"], row["size"]) for row in rest]
     items += [(bundles + k, row["size"]) for k, row in enumerate(big)]
     placed = schedule(items, shards)
-    by_bundle = _table(spark, [(b, s) for b, s in placed.items() if b < bundles], "_bundle int, _shard int")
+    by_bundle = _table(spark, [(b, s) for b, s in placed.items() if b < bundles], "b__ int, s__ int")
     by_member = _table(
-        spark, [(row["member"], placed[bundles + k]) for k, row in enumerate(big)], "_member string, _own int"
+        spark, [(row["member"], placed[bundles + k]) for k, row in enumerate(big)], "m__ string, o__ int"
     )
     # both tables have at most shards * items_per_shard rows
     put = (
-        rows.join(F.broadcast(by_member), key == F.col("_member"), "left")
-        .join(F.broadcast(by_bundle), F.col(bundle) == F.col("_bundle"), "left")
-        .withColumn(shard, F.coalesce("_own", "_shard"))
+        rows.join(F.broadcast(by_member), key == F.col("m__"), "left")
+        .join(F.broadcast(by_bundle), F.col(bundle) == F.col("b__"), "left")
+        .withColumn(shard, F.coalesce("o__", "s__"))
     )
     n_rows = rows.count()
     parts = max(1, n_rows // (shards * slot_rows) + 1)
     part = F.pmod(F.xxhash64(F.col(order), key), F.lit(parts)).cast("int")
-    put = put.drop("_member", "_own", "_bundle", "_shard", bundle).withColumn("_part", part)
-    counts = put.groupBy(F.col(shard).alias("_s"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    put = put.drop("m__", "o__", "b__", "s__", bundle).withColumn("p__", part)
+    counts = put.groupBy(F.col(shard).alias("of__"), F.col("p__").alias("op__")).agg(F.count("*").alias("n__"))
     # shards * parts rows, that is rows / slot_rows at most
-    ahead = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
-    within = Window.partitionBy(shard, "_part").orderBy(F.col(order), key)
+    ahead = Window.partitionBy("of__").orderBy("op__").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("st__", F.coalesce(F.sum("n__").over(ahead), F.lit(0))).drop("n__")
+    within = Window.partitionBy(shard, "p__").orderBy(F.col(order), key)
     return (
-        put.withColumn("_row", F.row_number().over(within) - 1)
-        .join(starts, (F.col(shard) == F.col("_s")) & (F.col("_part") == F.col("_p")))
-        .withColumn(slot, F.col("_start") + F.col("_row"))
-        .drop("_s", "_p", "_part", "_row", "_start")
+        put.withColumn("r__", F.row_number().over(within) - 1)
+        .join(starts, (F.col(shard) == F.col("of__")) & (F.col("p__") == F.col("op__")))
+        .withColumn(slot, F.col("st__") + F.col("r__"))
+        .drop("of__", "op__", "p__", "r__", "st__")
     )
 
 
