@@ -69,31 +69,54 @@ def tag_of(text: bytes) -> int:
     return zlib.crc32(text)
 
 
-def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first, count) of runs of consecutive positions; input ordered by doc, then position."""
-    if not len(doc):
-        return doc, pos, pos
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
-    at = np.flatnonzero(new)
-    return doc[at], pos[at], np.diff(np.append(at, len(doc)))
+#: windows for their bucket, or runs for their slice of the documents (``part``), packed
+SENT_TYPES = pa.schema([
+    ("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("docs", pa.int32()),
+    ("hashes", pa.binary()), ("places", pa.binary()),
+])
+SENT_SCHEMA = "bucket int, part int, n int, docs int, hashes binary, places binary"
 
 
-def _run_lists(doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """One list of firsts and one of counts per doc, in order."""
-    change = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-    offsets = pa.array(np.append(change, len(doc)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (first, count)]
-    return doc[change], *lists
+def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    mixed = ids.astype(np.uint64) * np.uint64(FACTORS[1])
+    return (((mixed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-SENT = ["bucket", "n", "docs", "hashes", "places", "doc_id", "tag", "first", "count"]
-SENT_TYPES = pa.schema([
-    ("bucket", pa.int32()), ("n", pa.int32()), ("docs", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()),
-    ("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.list_(pa.int32())), ("count", pa.list_(pa.int32())),
-])
-SENT_SCHEMA = ("bucket int, n int, docs int, hashes binary, places binary, "
-               "doc_id long, tag long, first array<int>, count array<int>")
+def _packed_runs(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Runs of window starts, input ordered by id, tag and position: one row per slice of the documents."""
+    doc = np.cumsum(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))) if len(ids) else ids
+    new = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)) if len(ids) else np.empty(0, bool)
+    at = np.flatnonzero(new)
+    count, part = np.diff(np.append(at, len(ids))), _part_of(ids[at], parts)
+    order = np.argsort(part, kind="stable")
+    rows = []
+    for one in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(one):
+            own, runs = doc[at[one]], len(one)
+            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            of = at[one[heads]]
+            places = b"".join((
+                np.diff(ids[of], prepend=0).astype("<i8").tobytes(), tags[of].astype("<u4").tobytes(),
+                np.diff(np.append(heads, runs)).astype("<i4").tobytes(),
+                pos[at[one]].astype("<i4").tobytes(), count[one].astype("<i4").tobytes(),
+            ))
+            rows.append((int(part[one[0]]), runs, len(heads), pa.compress(places, "zstd", asbytes=True)))
+    return _batch(len(rows), **{
+        c: pa.array([row[k] for row in rows], SENT_TYPES.field(c).type) for k, c in enumerate(("part", "n", "docs", "places"))})
+
+
+def _unpacked_runs(n: int, docs: int, places: bytes) -> tuple[np.ndarray, ...]:
+    raw = pa.decompress(places, 16 * docs + 8 * n, "zstd", asbytes=True)
+    counts = np.frombuffer(raw, "<i4", docs, 12 * docs)
+    ids = np.cumsum(np.frombuffer(raw, "<i8", docs))
+    tags = np.frombuffer(raw, "<u4", docs, 8 * docs).astype(np.int64)
+    first, count = (np.frombuffer(raw, "<i4", n, 16 * docs + k * 4 * n) for k in (0, 1))
+    return np.repeat(ids, counts), np.repeat(tags, counts), first, count
+
+
+def _batch(length: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [columns[f.name] if f.name in columns else pa.nulls(length, f.type) for f in SENT_TYPES], schema=SENT_TYPES)
 
 
 class Chunk:
@@ -134,19 +157,13 @@ class Chunk:
         low, high = (r.roll(words)[at] for r in self.rollers)
         bucket = (((high >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
         again = repeated(low, bucket, ids[doc], pos, ordered=len(np.unique(ids)) == len(ids))
-        of, first, count = _run_lists(*_runs(doc[again], pos[again]))
-        yield self._batch(len(of), doc_id=pa.array(ids[of]), tag=pa.array(tags[of]), first=first, count=count)
+        yield _packed_runs(ids[doc[again]], tags[doc[again]], pos[again], self.buckets)
         send = np.flatnonzero(~again)
         send = send[np.argsort(bucket[send].astype(np.uint32), kind="stable")]
         edges = np.flatnonzero(np.diff(bucket[send])) + 1
         rows = [self._packed(part, bucket, low, doc, pos, ids, tags) for part in np.split(send, edges) if len(part)]
-        columns = dict(zip(SENT[:5], zip(*rows, strict=True), strict=True))
-        yield self._batch(len(rows), **{c: pa.array(v, SENT_TYPES.field(c).type) for c, v in columns.items()})
-
-    @staticmethod
-    def _batch(length: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [columns[f.name] if f.name in columns else pa.nulls(length, f.type) for f in SENT_TYPES], schema=SENT_TYPES)
+        columns = dict(zip(("bucket", "n", "docs", "hashes", "places"), zip(*rows, strict=True), strict=True))
+        yield _batch(len(rows), **{c: pa.array(v, SENT_TYPES.field(c).type) for c, v in columns.items()})
 
     @staticmethod
     def _packed(part, bucket, low, doc, pos, ids, tags) -> tuple:
@@ -205,26 +222,36 @@ def repeated(low: np.ndarray, high: np.ndarray | None, ids: np.ndarray, pos: np.
     return out
 
 
-def _bucket_runs(table: pa.Table) -> pa.Table:
-    """Runs of repeated windows in one bucket, per document."""
+def _bucket_runs(table: pa.Table, parts: int) -> pa.Table:
+    """Runs of repeated windows in one bucket, packed by slice of the documents."""
     rows = [table.column(c).to_pylist() for c in ("n", "docs", "hashes", "places")]
     low, ids, tags, pos = (np.concatenate(v) for v in zip(*(_unpacked(*r) for r in zip(*rows, strict=True)), strict=True))
     del rows
     again = np.flatnonzero(repeated(low, None, ids, pos, ordered=False))
     by = again[np.lexsort((pos[again], tags[again], ids[again]))]
-    number = np.cumsum(np.append(True, (ids[by][1:] != ids[by][:-1]) | (tags[by][1:] != tags[by][:-1]))) if len(by) else by
-    of, first, count = _run_lists(*_runs(number, pos[by].astype(np.int64)))
-    heads = by[np.searchsorted(number, of)] if len(by) else by
-    return pa.table({"doc_id": ids[heads], "tag": tags[heads], "first": first, "count": count})
+    return pa.Table.from_batches([_packed_runs(ids[by], tags[by], pos[by], parts)])
+
+
+def _document_runs(table: pa.Table) -> pa.Table:
+    """One row per document of a slice, with all its runs."""
+    rows = zip(*(table.column(c).to_pylist() for c in ("n", "docs", "places")), strict=True)
+    ids, tags, first, count = (np.concatenate(v) for v in zip(*(_unpacked_runs(*r) for r in rows), strict=True))
+    by = np.lexsort((first, tags, ids))
+    ids, tags, first, count = ids[by], tags[by], first[by], count[by]
+    heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))
+    offsets = pa.array(np.append(heads, len(ids)).astype(np.int32))
+    runs = pa.StructArray.from_arrays([pa.array(first), pa.array(count)], ["first", "count"])
+    return pa.table({"doc_id": ids[heads], "tag": tags[heads], "runs": pa.ListArray.from_arrays(offsets, runs)})
 
 
 def repeated_runs(docs: DataFrame, *, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """doc_id, tag, ``first`` and ``count``: runs of starts of repeated windows, several rows per document.
+    """doc_id, tag and ``runs`` (first, count) of starts of repeated windows, one row per document that has some.
 
     A task compares the windows of a million words itself and sends one of each, so a passage in
     a third of all documents reaches its bucket once per chunk. A window travels as 7 bytes of
     one rolling hash, in a bucket that a second one picks, and its place in about two bytes. Buckets
-    grow in number with the text, so that one holds some three million windows.
+    grow in number with the text, so that one holds some three million windows. What a bucket or a chunk finds
+    goes back as one row per slice of the documents, and there are as many slices as buckets.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -240,16 +267,14 @@ def repeated_runs(docs: DataFrame, *, id_col: str, text_col: str, window: int =
                         yield from chunk.sent()
         yield from chunk.sent()
 
-    every = rows.mapInArrow(sent, SENT_SCHEMA)
-    own = F.coalesce(F.col("bucket"), F.lit(-1) - F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-
-    def merged(table: pa.Table) -> pa.Table:
-        # negative buckets hold runs found within chunks, which pass
-        if table.column("bucket")[0].as_py() is None:
-            return table.select(["doc_id", "tag", "first", "count"])
-        return _bucket_runs(table)
+    def judged(table: pa.Table) -> pa.Table:
+        # negative keys hold runs found within chunks, which pass
+        return table if table.column("bucket")[0].as_py() is None else _bucket_runs(table, buckets)
 
-    return every.groupBy(own.alias("by")).applyInArrow(merged, "doc_id long, tag long, first array<int>, count array<int>")
+    key = F.coalesce(F.col("bucket"), F.lit(-1) - F.col("part"))
+    runs = rows.mapInArrow(sent, SENT_SCHEMA).groupBy(key.alias("by")).applyInArrow(judged, SENT_SCHEMA)
+    return runs.groupBy("part").applyInArrow(
+        _document_runs, "doc_id long, tag long, runs array<struct<first: int, count: int>>")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -260,9 +285,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     input. Null texts have no words. Rows without an id are left whole and remove nothing elsewhere.
     Rows that repeat an id are one document: an equal row is no earlier one.
     """
-    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, window=window)
-    runs = write_through(
-        runs.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list(F.arrays_zip("first", "count"))).alias("runs")))
+    runs = write_through(repeated_runs(docs, id_col=id_col, text_col=text_col, window=window))
     names = {c: free_name(docs, c) for c in ("doc_id_", "tag_", "runs_", "own_tag")}
     found = runs.select(*(F.col(c).alias(names[n]) for c, n in (("doc_id", "doc_id_"), ("tag", "tag_"), ("runs", "runs_"))))
     tag = F.crc32(F.coalesce(F.col(text_col), F.lit("")))
