@@ -31,8 +31,12 @@ def change_gate(
 def text_gate(
     df: DataFrame, keys: list[str], order: list[str], text: str, *, bucket: Column
 ) -> DataFrame:
-    """Like ``change_gate`` on one text that starts out empty; adds ``old_text``."""
-    seen = with_neighbour(df, keys, order, text, "_last", bucket=bucket)
+    """Like ``change_gate`` on one text that starts out empty; adds ``old_text``.
+
+    A row without a text changes nothing: the next text is compared with the last one seen.
+    """
+    given = df.where(F.col(text).isNotNull())
+    seen = with_neighbour(given, keys, order, text, "_last", bucket=bucket)
     seen = seen.withColumn("old_text", F.coalesce("_last", F.lit(""))).drop("_last")
     return seen.where(F.sha2("old_text", 256) != F.sha2(text, 256))
 

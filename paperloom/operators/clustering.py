@@ -15,7 +15,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from paperloom import constants as C
 from paperloom.functions.vector import dot
 from paperloom.operators.pooling import plan_segments, pool_segments, vector_sum
-from paperloom.session import cut_lineage
+from paperloom.session import cut_lineage, write_through
+
+#: centroids are rounded before they are compared, so that sums added in another order agree
+CENTROID_DIGITS = 12
 
 
 def prototype_count(n: Column) -> Column:
@@ -40,7 +43,7 @@ def _closest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def _moved(sums: np.ndarray, old: np.ndarray) -> np.ndarray:
     """Unit sums; an empty or cancelled cluster keeps its centroid."""
     length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-    return np.where(length > 0, sums / np.where(length > 0, length, 1.0), old)
+    return np.where(length > 0, np.round(sums / np.where(length > 0, length, 1.0), CENTROID_DIGITS), old)
 
 
 def _cluster_sums(points: np.ndarray, chosen: np.ndarray, k: int) -> np.ndarray:
@@ -96,10 +99,10 @@ def kmeans(
 def _kmeans_in_blocks(plain, large, keys, identity, iterations, dim, block_rows, schema):
     members = plain.join(large, keys)
     order = Window.partitionBy(*keys).orderBy(*start_order(*keys, identity))
+    most = large.agg(F.max("_k")).first()[0]  # as a constant, it limits the window before the shuffle
     first = (
         members.withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") <= F.greatest(F.lit(C.MAX_PROTOTYPES), F.lit(C.CLUSTERED_SEGMENTS)))
-        .where(F.col("_r") <= F.col("_k"))
+        .where(F.col("_r") <= most).where(F.col("_r") <= F.col("_k"))
     )
     ordered = F.array_sort(F.collect_list(F.struct("_r", "_v")))
     centroids = cut_lineage(
@@ -122,7 +125,8 @@ def _kmeans_in_blocks(plain, large, keys, identity, iterations, dim, block_rows,
         matrix = pa.array([_rows(group.column("_v")).tobytes()], pa.binary())
         return head.append_column("_ids", ids).append_column("_m", matrix)
 
-    packed = blocks.groupBy(*keys, "_block").applyInArrow(pack, packed_schema).persist()
+    packed = blocks.groupBy(*keys, "_block").applyInArrow(pack, packed_schema)
+    packed = write_through(packed)
 
     def matrices(batch: pa.RecordBatch):
         for row in range(batch.num_rows):
@@ -153,23 +157,21 @@ def _kmeans_in_blocks(plain, large, keys, identity, iterations, dim, block_rows,
         length = F.sqrt(dot(F.col("_s"), F.col("_s")))
         summed = summed.withColumn("_l", length).where(F.col("_l") > 0)
         unit = summed.select(
-            *keys, "cluster", F.transform("_s", lambda x: x / F.col("_l")).alias("_new")
+            *keys, "cluster",
+            F.transform("_s", lambda x: F.round(x / F.col("_l"), CENTROID_DIGITS)).alias("_new"),
         )
         old = centroids.select(*keys, F.posexplode("_c").alias("cluster", "_old"))
         moved = old.join(unit, [*keys, "cluster"], "left").withColumn(
             "_v", F.coalesce("_new", "_old")
         )
-        shift = F.aggregate(
-            F.zip_with("_v", "_old", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b)
-        )
         listed = F.array_sort(F.collect_list(F.struct("cluster", "_v")))
         centroids = cut_lineage(
             moved.groupBy(*keys).agg(
-                F.transform(listed, lambda c: c["_v"]).alias("_c"), F.max(shift).alias("_shift")
+                F.transform(listed, lambda c: c["_v"]).alias("_c"), F.max(F.col("_v") != F.col("_old")).alias("_moves")
             )
         )
-        still = centroids.where(F.col("_shift") > 1e-12).isEmpty()
-        centroids = centroids.drop("_shift")
+        still = centroids.where("_moves").isEmpty()
+        centroids = centroids.drop("_moves")
         if still:
             break
 

@@ -6,30 +6,39 @@ version numbers): the window runs per (key, bucket), and the one value needed fr
 the neighbouring bucket comes from a table with one row per (key, bucket).
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def with_neighbour(
     df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-    *, bucket: Column, following: bool = False,
+    *, bucket: Column,
 ) -> DataFrame:
-    """Add ``out``: ``value`` of the previous (or following) row of the same key."""
-    direction = F.desc if following else F.asc
+    """Add ``out``: ``value`` of the previous row of the same key.
+
+    A null key is a key of its own.  Rows whose order, and so whose bucket, is null come
+    before all others of their key.
+    """
     local = df.withColumn("_bucket", bucket)
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*[direction(c) for c in order])
-    across = Window.partitionBy(*keys).orderBy(direction("_bucket"))
-    nearest_edge = F.min_by if following else F.max_by
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_bucket")
     edges = local.groupBy(*keys, "_bucket").agg(
-        nearest_edge(F.struct(value), F.struct(*order)).alias("_edge")
+        F.max_by(F.struct(value), F.struct(*order)).alias("_edge")
+    )
+    places = [*keys, "_bucket"]
+    carried = edges.select(
+        *(F.col(c).alias(f"_of_{c}") for c in places), F.lag("_edge").over(across).alias("_carried")
     )
-    carried = edges.select(*keys, "_bucket", F.lag("_edge").over(across).alias("_carried"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in places))
     return (
         local.withColumn("_place", F.row_number().over(within))
         .withColumn("_near", F.lag(value).over(within))
-        .join(carried, [*keys, "_bucket"])
+        .join(carried, same)
         .withColumn(
             out, F.when(F.col("_place") == 1, F.col(f"_carried.{value}")).otherwise(F.col("_near"))
         )
-        .drop("_bucket", "_place", "_near", "_carried")
+        .drop("_bucket", "_place", "_near", "_carried", *(f"_of_{c}" for c in places))
     )
 

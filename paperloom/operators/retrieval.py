@@ -215,17 +215,18 @@ def retrieval_results(queries: DataFrame, shortlist, fetched, final, blocks, rat
         queries.join(rated, "query_id").join(per_query, "query_id", "left")
         .join(groups, "query_id", "left").join(retrieved, "query_id", "left")
     )
-    blocks_or_none = F.coalesce(
-        "context_blocks", F.array().cast(dict(joined.dtypes)["context_blocks"])
-    )
+    def or_empty(name: str) -> Column:
+        return F.coalesce(name, F.array().cast(dict(joined.dtypes)[name]))
+
+    blocks_or_none = or_empty("context_blocks")
     return joined.select(
         "query_id", F.col("text").alias("query"), blocks_or_none.alias("context_blocks"),
         F.map_from_entries(
-            F.transform("context_blocks", lambda b: F.struct(b["source_index"], b["doc_path"]))
+            F.transform(blocks_or_none, lambda b: F.struct(b["source_index"], b["doc_path"]))
         ).alias("citation_map"),
         rating.alias("retrieval_confidence"),
         F.struct(
-            "tier1_groups", F.coalesce("chunks_retrieved", F.lit(0)).alias("chunks_retrieved"),
+            or_empty("tier1_groups").alias("tier1_groups"), F.coalesce("chunks_retrieved", F.lit(0)).alias("chunks_retrieved"),
             F.col("n_chunks").alias("chunks_returned"),
         ).alias("debug"),
     )

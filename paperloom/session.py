@@ -1,7 +1,9 @@
 """Session settings and the shared checkpoint folder."""
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +55,46 @@ def write_through(df: DataFrame) -> DataFrame:
     """Like ``cut_lineage`` for wide tables that are read several times.
 
     A Parquet table in the checkpoint folder lets every reader take only the columns it
-    needs, such as vectors without texts.
+    needs, such as vectors without texts.  The table goes when the application ends, or
+    with ``release``.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    folder, store = _stored(spark, path)
+    store.deleteOnExit(folder)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables written so far; results that still read them must be stored before."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        folder, store = _stored(spark, path)
+        store.delete(folder, True)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _stored(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Needed where a job starts outside the repository and neither ``PYTHONPATH`` nor
+    ``--py-files`` gives the workers the package.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_paperloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.parent.is_dir():  # not a zip that was shipped itself
+        zipped = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='paperloom-')}/{package.name}", "zip", package.parent, package.name
+        )
+        context.addPyFile(zipped)
+    context._paperloom_shipped = True

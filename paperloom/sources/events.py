@@ -29,16 +29,32 @@ def parse_messages(df: DataFrame, body: str, schema: str = DOCUMENT_SCHEMA) -> D
     ).drop("_corrupt_record")
 
 
-def document_error(df: DataFrame) -> Column:
-    """Why a parsed message is no document; a missing title is allowed."""
+def document_error(df: DataFrame, body: str | None = None) -> Column:
+    """Why a parsed message is no document; a missing title is allowed.
+
+    With ``body``, metadata must also be an object and content a string in that JSON text.
+    """
     needed = ["doc_id", "source", "content", "metadata"]
     missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in needed])
     return F.coalesce(
         F.col("error"),
         F.concat(F.lit("missing fields: "), text_or_null(missing)),
+        *([] if body is None else _wrong_kinds(F.col(body))),
     )
 
 
+def _wrong_kinds(body: Column) -> list[Column]:
+    whole = F.try_parse_json(body)
+
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(whole, path, "variant"))
+
+    return [
+        F.when(~kind("$.metadata").startswith("OBJECT"), "metadata is not an object"),
+        F.when(kind("$.content") != "STRING", "content is not a string"),
+    ]
+
+
 def read_documents(df: DataFrame, body: str) -> DataFrame:
     parsed = parse_messages(df, body)
-    return parsed.withColumn("error", document_error(parsed))
+    return parsed.withColumn("error", document_error(parsed, body))
