@@ -13,7 +13,6 @@ piece that ends it and stays apart from the piece before, and the same pass give
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,14 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: score of an unknown character below the lowest piece
 UNKNOWN_PENALTY = 10.0
-#: words whose pieces a worker remembers, and neighbour pairs; both are forgotten when full
-WORD_MEMORY, PAIR_MEMORY = 300_000, 1_000_000
+#: words whose pieces a worker remembers, and neighbour pairs; when full, words out of use and all pairs are forgotten
+WORD_MEMORY, PAIR_MEMORY = 400_000, 1_000_000
 #: longer words aren't remembered
 LONGEST_REMEMBERED = 64
 #: bytes of text whose words are gathered at once
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+#: characters that tell which pieces may end a prefix
+TAIL = 4
 
 
 class Codec:
@@ -72,15 +73,17 @@ class Codec:
         single = "".join(map(re.escape, alone))
         self.words = re.compile(r"(?s:.+)") if crossing else re.compile(
             f"{MARK}*[^{MARK}{single}]+|{MARK}+" + (f"|[{single}]" if single else ""))
-        self.known: dict[str, list[int]] = {}
-        self.apart: dict[str, dict[str, bool]] = {}
+        self.known: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
+        # neighbours that were merged alone, by left piece; what a piece may end with, by the last characters
+        self.apart: dict[str, dict[str, bool]] = {"": {}}
         self.pairs = 0
+        self.candidates: dict[str, tuple[int, ...]] = {}
         self.totals: list[float] = []
-        # lengths of the pieces that end with two given characters
-        ends: dict[str, set[int]] = {}
+        self.ends: dict[str, set[int]] = {}
         for piece in self.ids:
-            ends.setdefault(piece[-2:], {1}).add(len(piece))
-        self.lengths = {tail: tuple(sorted(found, reverse=True)) for tail, found in ends.items()}
+            if len(piece) > TAIL:
+                self.ends.setdefault(piece[-TAIL:], set()).add(len(piece))
 
     def marked(self, text: str) -> str:
         """The text as the model sees it: blanks as marks, one mark before the first word."""
@@ -109,39 +112,46 @@ class Codec:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
             border -= at + 1 < border
 
-    def stay_apart(self, left: str, right: str) -> bool:
+    def _lengths(self, tail: str) -> tuple[int, ...]:
+        """Lengths that a piece which ends with ``tail``, the last characters of a prefix, can have."""
+        if len(self.candidates) >= PAIR_MEMORY:
+            self.candidates.clear()
+        short = [n for n in range(1, len(tail) + 1) if n == 1 or tail[-n:] in self.ids]
+        found = self.candidates[tail] = (*short, *sorted(self.ends.get(tail, ())))
+        return found
+
+    def stay_apart(self, left: str, right: str, pairs: dict[str, bool]) -> bool:
         """Whether merging ``left`` and ``right`` together gives just these two pieces."""
-        if self.pairs >= PAIR_MEMORY:
-            self.apart.clear()
-            self.pairs = 0
         self.pairs += 1
-        known = self._merged(list(left + right), len(left))
-        self.apart.setdefault(left, {})[right] = known
+        known = pairs[right] = self._merged(list(left + right), len(left))
         return known
 
-    def _extend_merged(self, word: str, lasts: list) -> None:
-        """Append the last piece of each further prefix of ``word``."""
-        ids, lengths, apart = self.ids, self.lengths, self.apart
+    def _extend_merged(self, word: str, lasts: list[str], pairs: list[dict]) -> None:
+        """Append the last piece of each further prefix of ``word``, and that piece's neighbours."""
+        ids, candidates, apart = self.ids, self.candidates, self.apart
         for end in range(len(lasts) + 1, len(word) + 1):
-            for length in lengths.get(word[max(0, end - 2) : end], (1,)):
+            tail = word[end - TAIL if end > TAIL else 0 : end]
+            for length in candidates.get(tail) or self._lengths(tail):
                 start = end - length
                 if start < 0:
-                    continue
+                    break
                 piece = word[start:end]
-                if length > 1 and piece not in ids:
+                if length > TAIL and piece not in ids:
                     continue
-                left = lasts[start - 1] if start else ""
-                pairs = apart.get(left)
-                keep = pairs.get(piece) if pairs is not None else None
+                keep = pairs[start].get(piece)
                 if keep is None:
-                    keep = self.stay_apart(left, piece)
+                    keep = self.stay_apart(lasts[start - 1] if start else "", piece, pairs[start])
                 if keep:
                     lasts.append(piece)
+                    own = apart.get(piece)
+                    if own is None:
+                        own = apart[piece] = {}
+                    pairs.append(own)
                     break
             else:
                 raise AssertionError(f"no piece ends {word[:end]!r}")
 
-    def _extend_best(self, word: str, lasts: list) -> None:
+    def _extend_best(self, word: str, lasts: list[str], _) -> None:
         """Append the last piece of the best segmentation of each further prefix; totals go beside."""
         totals = self.totals
         del totals[len(lasts):]
@@ -160,33 +170,42 @@ class Codec:
             lasts.append(chosen)
             totals.append(best)
 
-    def _ids_of(self, lasts: list[str]) -> list[int]:
-        pieces, end = [], len(lasts)
+    def _raw(self, piece: str) -> bytes:
+        """Ids of a piece, or of an unknown character, as 32-bit numbers."""
+        number = self.ids.get(piece)
+        if number is not None:
+            found = [number]
+        else:
+            found = [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
+        out = np.array(found, "<i4").tobytes()
+        if len(self.raw) < PAIR_MEMORY:
+            self.raw[piece] = out
+        return out
+
+    def _ids_of(self, lasts: list[str]) -> bytes:
+        pieces, end, raw = [], len(lasts), self.raw
         while end:
             piece = lasts[end - 1]
-            pieces.append(piece)
+            pieces.append(raw.get(piece) or self._raw(piece))
             end -= len(piece)
-        out = []
-        for piece in reversed(pieces):
-            number = self.ids.get(piece)
-            if number is not None:
-                out.append(number)
-            elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in piece.encode())
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)  # a run of unknown characters is one unknown piece
-        return out
+        pieces.reverse()
+        if not self.byte_ids:  # a run of unknown characters is one unknown piece
+            alone = np.array([self.unknown], "<i4").tobytes()
+            pieces = [p for k, p in enumerate(pieces) if not (k and p == alone == pieces[k - 1])]
+        return b"".join(pieces)
 
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of distinct marked words: one depth-first pass over their trie."""
         extend = self._extend_merged if self.kind == BPE else self._extend_best
-        out, before, lasts = {}, "", []
+        if self.pairs >= PAIR_MEMORY:
+            self.apart, self.pairs = {"": {}}, 0
+        out, before, lasts, pairs = {}, "", [], [self.apart[""]]
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del lasts[shared:]
-            extend(word, lasts)
+            del lasts[shared:], pairs[shared + 1 :]
+            extend(word, lasts, pairs)
             out[word] = self._ids_of(lasts)
             before = word
         return out
@@ -194,18 +213,22 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts."""
         cut = [self.words.findall(self.marked(text)) if text else [] for text in texts]
-        fresh = set().union(*cut)
+        used = set().union(*cut)
+        fresh = used.difference(self.known)
         if len(self.known) + len(fresh) > WORD_MEMORY:
-            self.known.clear()
-        fresh.difference_update(self.known)
+            self.known = {word: self.known[word] for word in used.intersection(self.known)}
         got = self.encode_words(fresh)
-        if len(self.known) + len(got) <= WORD_MEMORY:
-            self.known.update((w, i) for w, i in got.items() if len(w) <= LONGEST_REMEMBERED)
-        find = {**self.known, **got} if got else self.known
-        rows = [np.fromiter(chain.from_iterable(map(find.__getitem__, words)), np.int32) for words in cut]
+        if any(len(word) > LONGEST_REMEMBERED for word in got) or len(self.known) + len(got) > WORD_MEMORY:
+            find = {**self.known, **got}
+            room = max(0, WORD_MEMORY - len(self.known))
+            self.known.update([(w, i) for w, i in got.items() if len(w) <= LONGEST_REMEMBERED][:room])
+        else:
+            find = self.known
+            find.update(got)
+        rows = [b"".join(map(find.__getitem__, words)) for words in cut]
         offsets = np.zeros(len(rows) + 1, np.int64)
-        np.cumsum([len(r) for r in rows], out=offsets[1:])
-        return offsets, np.concatenate(rows) if rows else np.empty(0, np.int32)
+        np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+        return offsets, np.frombuffer(b"".join(rows), "<i4")
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -252,7 +275,10 @@ def decode(rows: DataFrame, model: bytes, *, ids_col: str = "ids", out: str = "d
         made = codec(model)
         for batch in batches:
             column = batch.column(ids_col)
-            texts = [None if ids is None else made.decode(ids) for ids in column.to_pylist()]
+            values, ends = np.asarray(column.values), np.asarray(column.offsets)
+            whole = np.asarray(column.is_valid())
+            texts = [made.decode(values[a:b].tolist()) if valid else None
+                     for a, b, valid in zip(ends[:-1], ends[1:], whole, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
