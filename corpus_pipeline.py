@@ -35,9 +35,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars and the piece ids of every document."""
     model = pieces.read_model(pieces.default_model())
-    rows = pieces.encode(docs, model)
-    ids = F.col(rows.columns[-1])
-    return rows.select("doc_id", "lang", "source", "n_chars", F.size(ids).cast("long").alias("n_ids"), ids.alias("ids"))
+    rows = pieces.encode(docs, model, keep=["doc_id", "lang", "source", "n_chars"])
+    return rows.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 STAGES = [

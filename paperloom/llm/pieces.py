@@ -25,7 +25,7 @@ UNIGRAM, BPE = 1, 2
 #: score of an unknown character below the lowest piece
 UNKNOWN_PENALTY = 10.0
 #: words whose pieces a worker remembers, and neighbour pairs; when full, words out of use and all pairs are forgotten
-WORD_MEMORY, PAIR_MEMORY = 400_000, 1_000_000
+WORD_MEMORY, PAIR_MEMORY = 250_000, 1_000_000
 #: longer words aren't remembered
 LONGEST_REMEMBERED = 64
 #: bytes of text whose words are gathered at once
@@ -247,24 +247,38 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, model: bytes, *, text_col: str = "text", out: str = "ids", keep: list[str] | None = None,
+    check: str | None = None,
+) -> DataFrame:
     """Add an array ``out`` of piece ids; no shuffle.
 
+    ``keep`` names the columns to carry (all by default, in which the text is left out if need be). ``check`` names a
+    further column that tells whether the ids decode to the text again, with its own marks as blanks.
     Null and empty texts have no ids. Unknown characters become byte pieces, or one unknown piece
     for a run of them if the model has none. Words of any length are encoded whole. Rows are
     encoded alone; an empty table stays empty.
     """
-    name = free_name(docs, out)
+    kept = docs.columns if keep is None else keep
+    name = free_name(docs.select(*kept), out)
+    fields = [*(docs.schema[c] for c in kept), T.StructField(name, T.ArrayType(T.IntegerType()))]
+    if check:
+        fields.append(T.StructField(check, T.BooleanType()))
+    names = [f.name for f in fields]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(model)
         for batch in slices(batches, text_col, BATCH_BYTES):
-            offsets, ids = made.encode_batch(batch.column(text_col).to_pylist())
-            new = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, name])
-
-    return docs.mapInArrow(
-        encoded, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+            texts = batch.column(text_col).to_pylist()
+            ends, ids = made.encode_batch(texts)
+            new = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+            if check:
+                new.append(pa.array([
+                    made.decode(ids[a:b].tolist()) == (text or "").replace(MARK, " ")
+                    for text, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names)
+
+    return docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(encoded, T.StructType(fields))
 
 
 def decode(rows: DataFrame, model: bytes, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
