@@ -36,6 +36,7 @@ CHUNK_RULES = {                  # struct_type -> (size, overlap)
     "list": (256, 32),
 }
 SEPARATORS = ["\n\n", "\n", ". ", "! ", "? ", " "]
+LONG_WORD = 24                   # characters; a longer word counts once per so many
 DOC_PREFIX = "search_document: "
 QUERY_PREFIX = "search_query: "
 SEMANTIC_TYPES = ["troubleshooting", "design", "requirements", "runbook", "reference"]
@@ -74,7 +75,10 @@ SUMMARY_LENGTH = 200
 # entity -> character; the ampersand comes last
 ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+    ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
+    ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&euro;", "€"), ("&trade;", "™"),
+    ("&reg;", "®"), ("&deg;", "°"), ("&times;", "×"), ("&rarr;", "→"), ("&larr;", "←"), ("&amp;", "&"),
 ]
 
 # --- texts of results ----------------------------------------------------------

@@ -15,10 +15,6 @@ def parse_vector(col: Column) -> Column:
     return F.from_json(col, "array<double>")
 
 
-def vector_literal(col: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(col, ","), F.lit("]"))
-
-
 def dot(a: Column, b: Column) -> Column:
     """Sum of products over the shorter length."""
     products = F.zip_with(a, b, lambda x, y: x * y)
@@ -41,7 +37,3 @@ def l2_normalize(v: Column) -> Column:
     return bind(
         norm(v), lambda length: F.when(length > 0, F.transform(v, lambda x: x / length))
     )
-
-
-def has_dim(v: Column, dim: int) -> Column:
-    return F.coalesce(F.size(v) == dim, F.lit(False))

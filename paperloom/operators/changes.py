@@ -1,8 +1,10 @@
 """Change detection between successive states of a key."""
 
 import re
-from bisect import bisect_left
+from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
@@ -41,26 +43,64 @@ def text_gate(
     return seen.where(F.sha2("old_text", 256) != F.sha2(text, 256))
 
 
-def _kept_positions(old: list[str], new: list[str]) -> set[int]:
-    """Positions of ``new`` on a longest common subsequence with ``old``."""
-    places: dict[str, list[int]] = {}
+#: bits of alignment rows kept at once; longer texts are halved first
+_DIFF_BITS = 1 << 28
+
+
+def _alignment(old: list, new: list) -> Iterator[int]:
+    """Row i tells, as bits, where the common subsequence of ``old`` and ``new[:i + 1]`` does not grow.
+
+    A row costs a few operations on integers with one bit per old line, however often lines repeat.
+    """
+    places: dict = {}
     for at, line in enumerate(old):
         places.setdefault(line, []).append(at)
-    tails: list[int] = []          # smallest old position ending a run of each length
-    chains: list[tuple] = []       # (new position, shorter chain)
-    for at, line in enumerate(new):
-        for place in reversed(places.get(line, [])):
-            length = bisect_left(tails, place)
-            chain = (at, chains[length - 1] if length else None)
-            tails[length:length + 1] = [place]
-            chains[length:length + 1] = [chain]
-    kept, chain = set(), chains[-1] if chains else None
-    while chain:
-        kept.add(chain[0])
-        chain = chain[1]
+    masks = {line: sum(1 << at for at in found) for line, found in places.items()}
+    full = (1 << len(old)) - 1
+    row = full
+    for line in new:
+        hit = row & masks.get(line, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _growth(row: int, size: int) -> np.ndarray:
+    """Length of the common subsequence with each prefix of the old lines."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")[:size]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _kept_positions(old: list, new: list) -> set[int]:
+    """Positions of ``new`` on a longest common subsequence with ``old``."""
+    if not old or not new:
+        return set()
+    if len(new) > 1 and len(old) * len(new) > _DIFF_BITS:
+        half = len(new) // 2
+        left = _growth(_last_row(old, new[:half]), len(old))
+        right = _growth(_last_row(old[::-1], new[half:][::-1]), len(old))[::-1]
+        cut = int(np.argmax(left + right))
+        after = _kept_positions(old[cut:], new[half:])
+        return _kept_positions(old[:cut], new[:half]) | {half + at for at in after}
+    rows = list(_alignment(old, new))
+    kept, row, column = set(), len(new) - 1, len(old) - 1
+    while row >= 0 and column >= 0:
+        if rows[row] >> column & 1:
+            column -= 1
+        else:
+            # the subsequence grows here: with this line, unless it did without it
+            if row and not rows[row - 1] >> column & 1:
+                row -= 1
+                continue
+            kept.add(row)
+            row -= 1
+            column -= 1
     return kept
 
 
+def _last_row(old: list, new: list) -> int:
+    return deque(_alignment(old, new), maxlen=1).pop()
+
+
 def _shared_edge(a: list[str], b: list[str]) -> int:
     """Number of leading lines both lists share."""
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))

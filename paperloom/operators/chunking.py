@@ -84,7 +84,10 @@ _FENCE_OPENING = re.compile(r"^[ \t]*(`{3,}|~{3,})", re.M)
 
 
 def _tokens(text: str) -> int:
-    return math.ceil(len(text.split()) * C.TOKENS_PER_WORD)
+    """Estimated tokens; a long word counts once per ``LONG_WORD`` characters."""
+    words = text.split()
+    long = sum((len(w) - 1) // C.LONG_WORD for w in words if len(w) > C.LONG_WORD)
+    return math.ceil((len(words) + long) * C.TOKENS_PER_WORD)
 
 
 def _units(text: str) -> list[tuple[str, bool]]:
@@ -112,7 +115,16 @@ def _pieces(text: str, size: int, separators: list[str]) -> list[str]:
             parts = parts[:1] + [separator + part for part in parts[1:]]
             deeper = separators[rank + 1:]
             return [p for part in parts if part for p in _pieces(part, size, deeper)]
-    return [text]
+    return _characters(text, size)
+
+
+def _characters(text: str, size: int) -> list[str]:
+    """The last resort for a word without separators: cut by length, or in halves where blanks are odd."""
+    length = max(1, math.floor(size / C.TOKENS_PER_WORD)) * C.LONG_WORD
+    parts = [text[at : at + length] for at in range(0, len(text), length)]
+    if len(parts) == 1 and len(text) > 1:
+        parts = [text[: len(text) // 2], text[len(text) // 2 :]]
+    return [p for part in parts for p in ([part] if _tokens(part) <= size else _characters(part, size))]
 
 
 def _pack(pieces: list[tuple[str, int]], size: int, overlap: int) -> list[str]:
@@ -145,7 +157,8 @@ def split_recursive(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.
 def recursive_chunks(df: DataFrame, text: str = "text") -> DataFrame:
     """Chunks cut at paragraph, line, sentence and word ends; fenced code is never cut.
 
-    A fenced block longer than the chunk size is a chunk of its own.
+    A fenced block longer than the chunk size is a chunk of its own; nothing else is longer, as
+    words without an end are cut by length.
     """
     sized = (
         df.withColumn("_source", titled_text(text))

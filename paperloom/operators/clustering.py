@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from paperloom import constants as C
 from paperloom.functions.vector import dot
-from paperloom.operators.pooling import plan_segments, pool_segments, vector_sum
+from paperloom.operators.pooling import plan_segments, pool_segments, sum_vectors
 from paperloom.session import cut_lineage, write_through
 
 #: centroids are rounded before they are compared, so that sums added in another order agree
@@ -153,7 +153,7 @@ def _kmeans_in_blocks(plain, large, keys, identity, iterations, dim, block_rows,
         sums = packed.join(centroids, keys).select(*keys, "_m", "_c").mapInArrow(
             partial_sums, partial_schema
         )
-        summed = sums.groupBy(*keys, "cluster").agg(vector_sum("_s", dim).alias("_s"))
+        summed = sum_vectors(sums, [*keys, "cluster"], dim, "_s").select(*keys, "cluster", F.col("_sum").alias("_s"))
         length = F.sqrt(dot(F.col("_s"), F.col("_s")))
         summed = summed.withColumn("_l", length).where(F.col("_l") > 0)
         unit = summed.select(
@@ -222,9 +222,7 @@ def medoids(
     The sum over all others is x . S - x . x with S the key's vector sum, so the cost is
     linear.  The first member wins ties, and sums up to -1 all count as ties.
     """
-    totals = points.groupBy(*keys).agg(
-        F.count("*").alias("n_members"), vector_sum(vector, dim).alias("_sum")
-    )
+    totals = sum_vectors(points, keys, dim, vector).select(*keys, F.col("_n").alias("n_members"), "_sum")
     v = F.col(vector)
     scored = points.join(totals, keys).withColumn(
         "_score", F.round(dot(v, F.col("_sum")) - dot(v, v), 9)

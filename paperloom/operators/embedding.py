@@ -64,5 +64,5 @@ def split_by_dim(df: DataFrame, dim: int, vector: str = "embedding") -> DataFram
         F.when(F.col(vector).isNull(), "no vector").when(
             size != dim,
             F.concat(F.lit(f"Expected {dim}-dimensional embedding, got "), size.cast("string"), F.lit(".")),
-        ),
+        ).when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), "vector has missing values"),
     )

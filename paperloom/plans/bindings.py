@@ -58,6 +58,22 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def all_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of vectors, and one empty group per document source."""
+    named = described_segments(spark, sf).select(F.col("source").alias("group_id")).distinct()
+    empty = named.select(
+        "group_id", F.concat(F.lit("group-"), "group_id").alias("group_name"),
+        F.lit(0).cast("long").alias("doc_count"), F.lit(0).cast("long").alias("proto_count"),
+    )
+    return groups(spark, sf).unionByName(empty)
+
+
+def all_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments under their label, and once more under their document's source."""
+    by_source = described_segments(spark, sf).withColumn("group_id", F.col("source")).drop("lang", "source")
+    return segments(spark, sf).unionByName(by_source)
+
+
 def routed_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Documents to route: the mean vector of every source and language."""
     means = pooling.mean_vectors(described_segments(spark, sf), ["source", "lang"], VECTOR_DIM)

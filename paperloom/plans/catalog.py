@@ -36,6 +36,12 @@ def _elements(df: DataFrame, keys: list[str], vector: str = "embedding") -> Data
     return rows.withColumn("value", scoring.round6(F.col("value")))
 
 
+def _millionths(vector: Column) -> Column:
+    """All values of a vector as text, in millionths."""
+    return F.array_join(F.transform(
+        vector, lambda x: F.floor((x + F.lit(1e-9)) * F.lit(1e6) + F.lit(0.5)).cast("long").cast("string")), ",")
+
+
 def _list_text(col: Column) -> Column:
     return F.array_join(F.transform(col, lambda x: x.cast("string")), ",")
 
@@ -130,8 +136,7 @@ def review_vector_cache(spark, sf):
         queries.select(F.col("query_id").alias("doc_id")), scoring.review_cache(routed)
     )
     return cached.select(
-        "doc_id", F.col("embedding").isNotNull().alias("cached"),
-        scoring.round6(F.get("embedding", F.lit(0))).alias("first_value"),
+        "doc_id", F.col("embedding").isNotNull().alias("cached"), _millionths(F.col("embedding")).alias("vector")
     )
 
 
@@ -139,9 +144,10 @@ def review_vector_cache(spark, sf):
 def final_outcome(spark, sf):
     parsed = events.read_documents(B.messages(spark, sf), "body").drop("error")
     checked = normalize.validate(parsed.withColumn("doc_id", F.col("message_id").cast("string")))
-    kept = load(spark, sf, "labels").where("toxic = 0").select(
+    # toxic documents are stored too, without a group
+    kept = load(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("doc_id"),
-        F.concat(F.lit("q"), "quality").alias("group_id"), F.lit("").alias("doc_path"),
+        F.when(F.col("toxic") == 0, F.concat(F.lit("q"), "quality")).alias("group_id"), F.lit("").alias("doc_path"),
     )
     checked = normalize.duplicate_check(checked, kept)
     routes = _routed(spark, sf).select(
@@ -354,6 +360,24 @@ def recursive_chunks(spark, sf):
     )
 
 
+@query
+def recursive_chunk_words(spark, sf):
+    """Every document's chunks hold its first, last and all distinct words, and none is too long."""
+    rows = B.analyzed(spark, sf)
+    chunks = chunking.recursive_chunks(rows)
+    words = F.filter(F.split("chunk_text", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    limit = F.when(F.col("struct_type") == "report", 1024).when(F.col("struct_type") == "code", 384).when(
+        F.col("struct_type") == "list", 256).otherwise(512)
+    fits = (F.ceil(F.size(words) * 0.75) <= limit) | (F.col("struct_type") == "short") | F.col("chunk_text").contains("```")
+    per = chunks.withColumn("_w", words).groupBy("doc_id").agg(
+        F.min_by(F.get("_w", F.lit(0)), "chunk_index").alias("first_word"),
+        F.max_by(F.element_at("_w", -1), "chunk_index").alias("last_word"),
+        F.flatten(F.collect_list(F.array_distinct("_w"))).alias("_all"), F.min(fits).alias("all_fit"),
+    )
+    return per.select(
+        "doc_id", "first_word", "last_word", F.size(F.array_distinct("_all")).cast("long").alias("n_distinct"), "all_fit")
+
+
 @query
 def slugify(spark, sf):
     return load(spark, sf, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
@@ -402,7 +426,7 @@ def assigned_group_name(spark, sf):
 def vector_similarity(spark, sf):
     """Dot product and cosine of every vector with the sum of its group."""
     rows = B.segments(spark, sf)
-    sums = rows.groupBy("group_id").agg(pooling.vector_sum("embedding", B.VECTOR_DIM).alias("total"))
+    sums = pooling.sum_vectors(rows, ["group_id"], B.VECTOR_DIM).select("group_id", F.col("_sum").alias("total"))
     joined = rows.join(sums, "group_id")
     v, total = F.col("embedding"), F.col("total")
     return joined.select(
@@ -439,7 +463,7 @@ def group_mean_vector(spark, sf):
 @query
 def weighted_pool(spark, sf):
     sizes = load(spark, sf, "documents").select("doc_id", "n_chars")
-    rows = B.described_segments(spark, sf).join(sizes, "doc_id")
+    rows = B.described_segments(spark, sf).join(sizes, "doc_id", "left")
     return _elements(
         pooling.weighted_pool(rows, ["source", "lang"], "n_chars", B.VECTOR_DIM), ["source", "lang"]
     )
@@ -487,6 +511,15 @@ def kmeans_groups(spark, sf):
     return clusters.select("group_id", "doc_id", "cluster")
 
 
+@query
+def kmeans_blocks(spark, sf):
+    """The same clusters when every group is too large for one task."""
+    return clustering.kmeans(
+        B.segments(spark, sf), ["group_id"], "doc_id", k=clustering.prototype_count(F.col("n")), dim=B.VECTOR_DIM,
+        task_rows=1, block_rows=16,
+    )
+
+
 @query
 def cluster_segments(spark, sf):
     """Each group read as one long document whose chunks are its vectors."""
@@ -499,7 +532,7 @@ def cluster_segments(spark, sf):
     found = clustering.build_segments(chunks, B.VECTOR_DIM)
     return found.select(
         "doc_id", "segment_index", _list_text(F.col("chunk_indices")).alias("chunk_indices"),
-        scoring.round6(F.col("embedding")[0]).alias("first_value"),
+        _millionths(F.col("embedding")).alias("vector"),
     )
 
 
@@ -627,8 +660,8 @@ def buffered_distinct_docs(spark, sf):
 
 @query
 def doc_count_refresh(spark, sf):
-    documents = B.segments(spark, sf).join(load(spark, sf, "labels").where("quality = 1"), "doc_id", "left_semi")
-    refreshed = tables.refresh_doc_count(B.groups(spark, sf), documents)
+    """Groups of vectors, and groups named like sources, which have no document here."""
+    refreshed = tables.refresh_doc_count(B.all_groups(spark, sf), B.segments(spark, sf))
     return refreshed.select("group_id", "doc_count")
 
 
@@ -639,15 +672,11 @@ def proto_count_update(spark, sf):
     )
 
 
-def _kept_prototypes(spark, sf):
-    """Prototypes of the languages other than English; some groups have none of some."""
-    return B.prototypes(spark, sf).where("lang = 'es'")
-
-
 @query
 def recompute_policy(spark, sf):
+    """Groups of vectors have prototypes; those named like sources have segments only."""
     return tables.recompute_policy(
-        B.groups(spark, sf), B.buffer(spark, sf), _kept_prototypes(spark, sf), B.segments(spark, sf)
+        B.all_groups(spark, sf), B.buffer(spark, sf), B.prototypes(spark, sf), B.all_segments(spark, sf)
     )
 
 
@@ -657,7 +686,7 @@ def prototype_replace(spark, sf):
     old = B.prototypes(spark, sf).select("group_id", "proto_index")
     due = cut_lineage(recompute_policy(spark, sf).where("needs_recompute").select("group_id"))
     fresh = clustering.medoids(
-        B.segments(spark, sf).join(due, "group_id", "left_semi"), ["group_id"], "doc_id", B.VECTOR_DIM
+        B.all_segments(spark, sf).join(due, "group_id", "left_semi"), ["group_id"], "doc_id", B.VECTOR_DIM
     ).select("group_id", F.col("doc_id").cast("int").alias("proto_index"))
     return tables.replace_prototypes(old, fresh)
 
@@ -847,7 +876,7 @@ def readme_gate(spark, sf):
     passed = changes.text_gate(
         rows, ["source"], ["doc_id"], "text", bucket=F.floor(F.col("doc_id") / 5000)
     )
-    return passed.select("doc_id", "source", F.length("old_text").alias("old_length"))
+    return passed.select("doc_id", "source", F.md5("old_text").alias("old_md5"))
 
 
 @query
@@ -951,7 +980,7 @@ def debounce_long_gap(spark, sf):
 def strip_fences(spark, sf):
     raw = B.responses(spark, sf)
     body = parsing.strip_fences(F.col("raw"))
-    return raw.select("doc_id", F.length(body).alias("n_chars"), body.startswith("{").alias("is_object"))
+    return raw.select("doc_id", F.length(body).alias("n_chars"), F.md5(body).alias("body_md5"))
 
 
 @query

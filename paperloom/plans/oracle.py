@@ -5,10 +5,7 @@ a query.  They are written for clarity, with pair joins and full outer joins whe
 the Spark side takes another way.
 """
 
-import re
-
 from paperloom import constants as C
-from paperloom.functions.html import MARKUP_RULES, SPACE_RULES
 
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, tuple[list[str], str]] = {}
@@ -140,7 +137,8 @@ SELECT query_id, coalesce(lines, 'No candidate groups found.') AS lines,
 FROM routed LEFT JOIN listed USING (query_id)""")
 _sql("review_vector_cache", "routed", """
 SELECT query_id AS doc_id, route = 'REVIEW_BY_AGENT' AS cached,
-       CASE WHEN route = 'REVIEW_BY_AGENT' THEN round(embedding[1] + 1e-9, 6) END AS first_value
+       CASE WHEN route = 'REVIEW_BY_AGENT' THEN array_to_string(list_transform(embedding,
+            lambda x: CAST(floor((x + 1e-9::DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT)), ',') END AS vector
 FROM routed""")
 _sql("assigned_group_name", "routed listed grp", """
 SELECT query_id,
@@ -179,7 +177,7 @@ SELECT source, lang, CAST(i - 1 AS INTEGER) AS pos, round(m / sqrt(sum(m * m) OV
 FROM (SELECT source, lang, i, sum(x * w) / sum(w) AS m
       FROM (SELECT s.source, s.lang, greatest(d.n_chars, 1) AS w, unnest(s.embedding) AS x,
                    generate_subscripts(s.embedding, 1) AS i
-            FROM dseg s JOIN documents d USING (doc_id))
+            FROM dseg s LEFT JOIN documents d USING (doc_id))
       GROUP BY source, lang, i)""")
 _sql("nearest_centroid", "seg proto", """
 SELECT group_id, doc_id, CAST(proto_index AS INTEGER) AS cluster, round(greatest(sim, -1.0) + 1e-9, 6) AS similarity
@@ -232,6 +230,7 @@ _one = _kmeans("one", _PROTO_K, 1)
 _sql("kmeans_one_step", _one, f"SELECT group_id, doc_id, cluster FROM {_one}")
 _full = _kmeans("full", _PROTO_K, C.KMEANS_ITERATIONS)
 _sql("kmeans_groups", _full, f"SELECT group_id, doc_id, cluster FROM {_full}")
+_sql("kmeans_blocks", _full, f"SELECT group_id, doc_id, cluster FROM {_full}")
 _sql("group_prototypes", _full, f"""
 SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY cluster) - 1 AS INTEGER) AS proto_index, doc_id
 FROM (SELECT a.group_id, a.cluster, a.doc_id,
@@ -243,9 +242,9 @@ FROM (SELECT a.group_id, a.cluster, a.doc_id,
 _parts = _kmeans("part", _SEGMENT_K, C.KMEANS_ITERATIONS)
 _sql("cluster_segments", _parts, f"""
 SELECT group_id AS doc_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY cluster) - 1 AS INTEGER) AS segment_index,
-       chunk_indices, round(s / n + 1e-9, 6) AS first_value
-FROM (SELECT group_id, cluster, max(CASE WHEN i = 1 THEN members END) AS chunk_indices,
-             max(CASE WHEN i = 1 THEN s END) AS s, sqrt(sum(s * s)) AS n
+       chunk_indices, array_to_string(list_transform(s,
+            lambda x: CAST(floor((x / n + 1e-9::DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT)), ',') AS vector
+FROM (SELECT group_id, cluster, max(members) AS chunk_indices, list(s ORDER BY i) AS s, sqrt(sum(s * s)) AS n
       FROM (SELECT group_id, cluster, i, sum(x) AS s, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members
             FROM (SELECT group_id, cluster, doc_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM {_parts})
             GROUP BY group_id, cluster, i)
@@ -309,6 +308,11 @@ SELECT doc_id, n_words, CAST(greatest(1, ceil(n_words * 0.75)) AS INTEGER) AS n_
 FROM doc""")
 _sql("struct_type", "doc", "SELECT doc_id, n_words, struct_type FROM doc")
 _sql("title_extract", "doc", "SELECT doc_id, title FROM doc")
+_sql("recursive_chunk_words", "doc", r"""
+SELECT doc_id, ws[1] AS first_word, ws[-1] AS last_word, CAST(len(list_distinct(ws)) AS BIGINT) AS n_distinct, TRUE AS all_fit
+FROM (SELECT doc_id, regexp_extract_all(CASE WHEN coalesce(title, '') = '' THEN text ELSE title || ' ' || text END, '\S+') AS ws
+      FROM doc)
+WHERE len(ws) > 0""")
 _sql("window_chunks", "chunk", "SELECT doc_id, chunk_index, chunk_text FROM chunk")
 _sql("chunk_stats", "chunk", """
 SELECT doc_id, chunk_index, total_chunks, word_count,
@@ -591,23 +595,28 @@ SELECT group_id, doc_id, segment_index FROM buf WHERE doc_id NOT IN (SELECT doc_
 UNION ALL
 SELECT source, doc_id, segment_index FROM dseg WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
 _sql("buffered_distinct_docs", "buf", "SELECT group_id, count(DISTINCT doc_id) AS n_buffered FROM buf GROUP BY group_id")
-_sql("doc_count_refresh", "grp seg", """
-SELECT group_id, (SELECT count(*) FROM seg s WHERE s.group_id = g.group_id
-                  AND s.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS doc_count FROM grp g""")
+_view("all_grp", "grp dseg", "SELECT group_id FROM grp UNION ALL SELECT DISTINCT source FROM dseg")
+_view("all_seg", "seg dseg", """
+SELECT group_id, doc_id, embedding FROM seg UNION ALL SELECT source, doc_id, embedding FROM dseg""")
+_sql("doc_count_refresh", "all_grp seg", """
+SELECT group_id, (SELECT count(*) FROM seg s WHERE s.group_id = g.group_id) AS doc_count FROM all_grp g""")
 _sql("proto_count_update", "grp proto", """
 SELECT group_id, (SELECT count(*) FROM proto p WHERE p.group_id = g.group_id) AS proto_count FROM grp g""")
-_view("policy", "grp buf proto seg", """
+_view("policy", "all_grp buf proto all_seg", """
 SELECT *, (n_buffered >= 20 OR NOT has_prototypes) AND has_segments AS needs_recompute
 FROM (SELECT group_id, (SELECT count(DISTINCT doc_id) FROM buf b WHERE b.group_id = g.group_id) AS n_buffered,
-             group_id IN (SELECT group_id FROM proto WHERE lang = 'es') AS has_prototypes,
-             group_id IN (SELECT group_id FROM seg) AS has_segments
-      FROM grp g)""")
+             group_id IN (SELECT group_id FROM proto) AS has_prototypes,
+             group_id IN (SELECT group_id FROM all_seg) AS has_segments
+      FROM all_grp g)""")
+_view("all_medoid_sum", "all_seg", """
+SELECT a.group_id, a.doc_id, coalesce(round(sum(list_inner_product(a.embedding, b.embedding)), 9), 0.0) AS s
+FROM all_seg a LEFT JOIN all_seg b ON a.group_id = b.group_id AND a.doc_id <> b.doc_id GROUP BY a.group_id, a.doc_id""")
 _sql("recompute_policy", "policy", "SELECT * FROM policy")
-_sql("prototype_replace", "policy proto medoid_sum", """
+_sql("prototype_replace", "policy proto all_medoid_sum", """
 SELECT group_id, proto_index FROM proto WHERE group_id NOT IN (SELECT group_id FROM policy WHERE needs_recompute)
 UNION ALL
 SELECT group_id, CAST(doc_id AS INTEGER) FROM
-  (SELECT * FROM medoid_sum WHERE group_id IN (SELECT group_id FROM policy WHERE needs_recompute)
+  (SELECT * FROM all_medoid_sum WHERE group_id IN (SELECT group_id FROM policy WHERE needs_recompute)
    QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY greatest(s, -1.0) DESC, doc_id) = 1)""")
 _sql("buffer_clear", "policy buf", """
 SELECT group_id, doc_id FROM buf WHERE group_id NOT IN (SELECT group_id FROM policy WHERE needs_recompute)""")
@@ -671,18 +680,29 @@ SELECT 'j' || o_orderkey AS event_id, 'ORD-' || o_orderkey AS doc_id, 'jira' AS
 FROM (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS price FROM orders)""")
 
 
-def _html(text: str) -> str:
-    for pattern, replacement in MARKUP_RULES:
-        replacement = re.sub(r"\$(\d)", r"\\\1", replacement)
-        text = f"regexp_replace({text}, {_quote(pattern)}, {_quote(replacement)}, 'g')"
-    for entity, character in C.ENTITIES:
-        text = f"replace({text}, {_quote(entity)}, {_quote(character)})"
-    for pattern, replacement in SPACE_RULES:
-        text = f"regexp_replace({text}, {_quote(pattern)}, {_quote(replacement)}, 'g')"
-    return text
-
-
-_view("page", "", f"SELECT page_id, url, html, {_html('html')} AS text FROM pages")
+# the constructs that the given pages hold, one step each, written apart from the library's rules
+_view("page_plain", "", r"""
+SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(html,
+       '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS t
+FROM pages""")
+_view("page_marked", "page_plain", r"""
+SELECT page_id, url, html, replace(replace(
+       regexp_replace(regexp_replace(t, '<b>([^<]*)</b>', '**\1**', 'g'),
+                      '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', '[\2](\1)', 'g'),
+       '<li>', chr(10) || '- '), '<h1>', chr(10) || chr(10) || '# ') AS t
+FROM page_plain""")
+_view("page_lines", "page_marked", r"""
+SELECT page_id, url, html, regexp_replace(regexp_replace(replace(t, '<br>', chr(10)),
+       '</?(p|div|ul|article|nav|footer|title|h1)( [^>]*)?>', chr(10) || chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS t
+FROM page_marked""")
+_view("page_chars", "page_lines", r"""
+SELECT page_id, url, html, replace(replace(replace(replace(t,
+       '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t
+FROM page_lines""")
+_view("page", "page_chars", r"""
+SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(t,
+       '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text
+FROM page_chars""")
 _sql("html_text", "page", "SELECT page_id, text FROM page")
 _view("page_doc", "page", _analysis("page", "page_id", "text"))
 _sql("page_struct_type", "page_doc", "SELECT page_id, n_words, struct_type, title FROM page_doc")
@@ -710,7 +730,7 @@ _sql("change_gate", "", """
 SELECT event_id, user_id, event_type FROM events
 QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)""")
 _sql("readme_gate", "", """
-SELECT doc_id, source, CAST(length(old_text) AS INTEGER) AS old_length
+SELECT doc_id, source, md5(old_text) AS old_md5
 FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY source ORDER BY doc_id), '') AS old_text FROM documents)
 WHERE old_text <> text""")
 _view("turn_line", "", r"""
@@ -786,12 +806,13 @@ FROM documents""".replace("'Key Entities: source, lang'", "'Key Entities: ' || s
 _sql("doc_type_check", "", """
 SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN 'design' ELSE 'reference' END AS doc_type FROM documents""")
 _sql("strip_fences", "", r"""
-SELECT doc_id, CAST(CASE WHEN lang = 'es' THEN length(regexp_replace('{"fingerprint": ' || text, '\s+$', ''))
-       WHEN lang = 'de' THEN length(to_json({'fingerprint': text, 'doc_type': lang, 'key_entities': [source, lang]}))
-       ELSE length(to_json({'fingerprint': text, 'doc_type': ' Design ', 'project_identity': source, 'functional_domain': '',
-                            'lifecycle_stage': lang, 'technical_concepts': string_split(text, ' ')[1:3],
-                            'key_entities': CAST([] AS VARCHAR[])})) END AS INTEGER) AS n_chars, TRUE AS is_object
-FROM documents""")
+SELECT doc_id, CAST(length(body) AS INTEGER) AS n_chars, md5(body) AS body_md5
+FROM (SELECT doc_id, CASE WHEN lang = 'es' THEN regexp_replace('{"fingerprint": ' || text, '\s+$', '')
+       WHEN lang = 'de' THEN CAST(to_json({'fingerprint': text, 'doc_type': lang, 'key_entities': [source, lang]}) AS VARCHAR)
+       ELSE CAST(to_json({'fingerprint': text, 'doc_type': ' Design ', 'project_identity': source, 'functional_domain': '',
+                          'lifecycle_stage': lang, 'technical_concepts': string_split(text, ' ')[1:3],
+                          'key_entities': CAST([] AS VARCHAR[])}) AS VARCHAR) END AS body
+      FROM documents)""")
 _view("decision", "", """
 SELECT doc_id, CASE lang WHEN 'en' THEN 'ASSIGN' ELSE 'CREATE_NEW' END AS decision,
        CASE lang WHEN 'en' THEN source END AS assigned_group_id,

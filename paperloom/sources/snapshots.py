@@ -1,30 +1,10 @@
-"""Table snapshots: one folder per version, complete once Spark wrote ``_SUCCESS``.
+"""Numbered folders of a table, complete once Spark wrote ``_SUCCESS``."""
 
-Writing the same version again replaces it, so a repeated micro-batch is harmless.
-"""
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def write_snapshot(df: DataFrame, root: str, version: int, partition_by: tuple = ()) -> None:
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/version={version}")
-
-
-def versions(spark: SparkSession, root: str, kind: str = "version") -> list[int]:
+def versions(spark: SparkSession, root: str, kind: str) -> list[int]:
     """Numbers of the completed folders ``root/kind=N``, ascending."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}=*/_SUCCESS")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
-
-
-def read_snapshot(
-    spark: SparkSession, root: str, schema: str, before: int | None = None
-) -> DataFrame:
-    """Newest completed version (older than ``before``), an empty table when there is none."""
-    done = [v for v in versions(spark, root) if before is None or v < before]
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/version={done[-1]}")

@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from paperloom import constants as C
 from paperloom.operators.changes import content_hash
+from paperloom.streaming.trigger import ONCE, triggered
 from paperloom.sources.deadletter import split_errors
 from paperloom.sources.versioned import append_version
 
@@ -70,7 +71,8 @@ def change_gate_stream(
 
 
 def split_stream(
-    rows: DataFrame, step: Callable[[DataFrame], DataFrame], good: str, dead: str, checkpoint: str
+    rows: DataFrame, step: Callable[[DataFrame], DataFrame], good: str, dead: str, checkpoint: str,
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Run ``step`` per micro-batch; good rows and failures go to two versioned tables.
 
@@ -85,10 +87,10 @@ def split_stream(
         done.unpersist()
 
     query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return query.trigger(availableNow=True).start()
+    return triggered(query, trigger).start()
 
 
-def table_sink(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def table_sink(rows: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Append a stream to a Parquet table, exactly once."""
     query = rows.writeStream.format("parquet").option("path", path)
-    return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return triggered(query.option("checkpointLocation", checkpoint), trigger).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import embedding, tables
 from paperloom.plans.classify import classify
 from paperloom.plans.ingest import STATE_SCHEMAS, ingest, summary
-from paperloom.sources import events, seed, snapshots, versioned
+from paperloom.sources import events, seed, versioned
 from paperloom.streaming import events as live, ingest as flow
 
 DIM = 32
@@ -116,16 +116,6 @@ def test_classify(spark):
     assert done["far"].outcome in ("CREATED", "ASSIGNED")
 
 
-def test_snapshots(spark, tmp_path):
-    root = str(tmp_path / "t")
-    empty = snapshots.read_snapshot(spark, root, "a int")
-    assert empty.count() == 0
-    for version, n in [(1, 3), (2, 5), (2, 4)]:
-        snapshots.write_snapshot(spark.range(n).select(F.col("id").cast("int").alias("a")), root, version)
-    assert snapshots.read_snapshot(spark, root, "a int").count() == 4
-    assert snapshots.read_snapshot(spark, root, "a int", before=2).count() == 3
-
-
 def test_versioned_rows(spark, tmp_path):
     root = str(tmp_path / "t")
     write = lambda rows, v: versioned.append_version(spark.createDataFrame(rows, "k string, x int"), root, v)
