@@ -13,7 +13,7 @@ from paperloom.plans.catalog import QUERIES  # noqa: E402
 from paperloom.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "route_decision", "group_candidates_merged", "group_shortlist", "global_chunk_topk", "retrieve",
+    "route_decision", "document_proto_topk", "group_candidates_merged", "group_shortlist", "global_chunk_topk", "retrieve",
     "struct_type", "window_chunks", "recursive_chunks", "embed_terms", "segment_split",
     "kmeans_groups", "group_prototypes", "group_medoid",
     "replace_by_document", "cascade_regroup", "upsert_latest",

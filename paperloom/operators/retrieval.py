@@ -21,12 +21,10 @@ def shortlist_groups(
     Those at the threshold or above, at most ``top_k``; if there are none, the best two.
     """
     columns = ["group_id", "embedding"]
-    spread = F.xxhash64("embedding").alias("row_hash")
-    vectors = prototypes.select(*columns, F.col("proto_index").cast("string").alias("row_id"), spread)
-    vectors = vectors.unionByName(buffer.select(*columns, F.col("doc_id").cast("string").alias("row_id"), spread))
+    vectors = prototypes.select(*columns).unionByName(buffer.select(*columns))
     best = nearest(
         queries, vectors, k=max(top_k, fallback), keys=["group_id"], group="group_id",
-        best_of_group=True, row_key=["group_id", "row_id", "row_hash"], **options,
+        best_of_group=True, **options,
     )
     near = F.max("similarity").over(Window.partitionBy("query_id")) >= threshold
     listed = best.withColumn("_near", near)
@@ -84,12 +82,12 @@ def sigmoid(logit: Column) -> Column:
 def rerank(hits: DataFrame, scorer: Scorer = term_overlap, query: str = "query_text") -> DataFrame:
     """Add ``rerank_score`` in 0..1 and the rank by it; ties keep the vector order.
 
-    Scoring a pair costs far more than moving it, so the pairs are first spread over all
-    cores; a few per question would otherwise be merged into one task.
+    Scoring a pair costs far more than moving it, so the pairs are first dealt by their key, over the
+    number of shuffle partitions; a few per question would otherwise be merged into one task.
     """
-    cores = hits.sparkSession.sparkContext.defaultParallelism
-    spread = hits.repartition(cores, "query_id", "doc_id", "chunk_index")
-    scored = spread.withColumn(
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hits.repartition(parts, "query_id", "doc_id", "chunk_index")
+    scored = dealt.withColumn(
         "rerank_score", F.round(sigmoid(scorer(F.col(query), F.col("chunk_text"))), 6)
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")

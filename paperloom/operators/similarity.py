@@ -4,11 +4,11 @@ Each task multiplies its stored vectors with the query matrix and keeps only the
 k best rows per query, so a task emits at most ``k x queries`` rows whatever it
 reads, and no (query, row) pair list is ever built.
 
-* Up to ``broadcast_rows`` query vectors go to every task; the stored side is then
-  scanned in place, without a shuffle, by a few tasks per core: what is shuffled
-  afterwards grows with tasks x queries x k, not with the table.
-* Beyond it both sides are hashed into blocks of ``block_rows`` rows and every
-  block pair is one task.  Blocks hash the row key, so a hot group is spread.
+* Queries go to the tasks in batches of bounded rows and bytes; the stored side is
+  scanned in place, once per batch, and never shuffled or copied.  What is shuffled
+  afterwards grows with scan tasks x queries x k.
+* With a scope a batch reads only the groups its queries may see, and a task compares a
+  group with the queries that may see it.
 
 Similarity is rounded to six decimals before ranking and ties go to the smaller
 key, so the result does not depend on the partitioning.
@@ -16,19 +16,21 @@ key, so the result does not depend on the partitioning.
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from paperloom.functions.vector import as_vector
+from paperloom.session import write_through
 
 DIGITS = 6
 SLICE_CELLS = 4_000_000
 FILTERED_GROUPS = 1_000          # a longer list is left to the tasks
-TASKS_PER_CORE = 4
+BATCH_BYTES = 64 << 20           # vectors of one batch of queries
+BATCH_FILL = 0.8                 # batches are dealt by hash, so they aim below their bound
 
 
 def _unit_rows(column) -> np.ndarray:
@@ -152,9 +154,11 @@ def _answer(table: pa.Table, questions: _Questions, query_key: str, names: list)
 
 
 class QuestionSet:
-    """Queries made ready for several searches: read once, broadcast when few enough.
+    """Queries made ready for several searches: batches that are each broadcast.
 
-    One row more than ``broadcast_rows`` is asked for, which proves the bound.
+    A batch holds at most ``broadcast_rows`` queries and about ``BATCH_BYTES`` of vectors. One row
+    more is asked for, which proves that one batch is enough; else the queries are written
+    once and dealt into batches by a hash of their key.
     """
 
     def __init__(
@@ -164,12 +168,25 @@ class QuestionSet:
         asked = queries.where(F.col(vector).isNotNull()).select(
             query_key, as_vector(F.col(vector)).alias("_v"), *([scope] if scope else [])
         )
-        self.asked, self.key, self.scope, self.limit = asked, query_key, scope, broadcast_rows
-        head = asked.limit(broadcast_rows + 1).toArrow()
-        self.shared = None
-        if head.num_rows <= broadcast_rows:
-            context = queries.sparkSession.sparkContext
-            self.shared = context.broadcast(_Questions(head, query_key, scope))
+        self.key, self.scope, self.field = query_key, scope, asked.schema[query_key]
+        context = queries.sparkSession.sparkContext
+
+        def shared(part: DataFrame):
+            return context.broadcast(_Questions(part.toArrow(), query_key, scope))
+
+        first = asked.limit(1).toArrow()
+        width = len(first.column("_v")[0]) if first.num_rows else 1
+        most = max(1, min(broadcast_rows, BATCH_BYTES // (8 * max(1, width))))
+        head = asked.limit(most + 1).toArrow()
+        if head.num_rows <= most:
+            self.batches = [context.broadcast(_Questions(head, query_key, scope))]
+            return
+        stored = write_through(asked)
+        count = math.ceil(stored.count() / max(1, int(BATCH_FILL * most)))
+        dealt = write_through(
+            stored.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(count)).cast("int")).repartition("_b")
+        )
+        self.batches = [shared(dealt.where(F.col("_b") == b).drop("_b")) for b in range(count)]
 
 
 def nearest(
@@ -183,34 +200,31 @@ def nearest(
     group: str | None = None,
     best_of_group: bool = False,
     scope: str | None = None,
-    row_key: list[str] | None = None,
     broadcast_rows: int = 8_192,
-    block_rows: int = 50_000,
 ) -> DataFrame:
     """Best ``k`` rows of ``corpus`` per query: (query key, keys, similarity, rank).
 
     ``scope`` names an array column of ``queries`` with the ``group`` values a query
     may see; null stands for all of them.  With ``best_of_group`` a group counts once,
-    with its best vector, and ``keys`` must be the group column.  ``row_key`` (default
-    ``keys``) tells single stored rows apart; it only spreads them over the blocks.
+    with its best vector, and ``keys`` must be the group column.
     """
     if isinstance(queries, DataFrame):
         queries = QuestionSet(queries, vector=vector, scope=scope, broadcast_rows=broadcast_rows)
-    row_key = row_key or keys
-    columns = list(dict.fromkeys([*keys, *([group] if group else []), *row_key]))
+    columns = list(dict.fromkeys([*keys, *([group] if group else [])]))
     stored = corpus.where(F.col(vector).isNotNull()).select(
         *columns, as_vector(F.col(vector)).alias("_v")
     )
-    fields = [queries.asked.schema[queries.key], *[stored.schema[c] for c in keys]]
-    schema = StructType(fields + [StructField("similarity", DoubleType())])
-    names = schema.fieldNames()
+    schema = StructType(
+        [queries.field, *(stored.schema[c] for c in keys), StructField("similarity", DoubleType())]
+    )
+    names, query_key = schema.fieldNames(), queries.key
     how = (keys, group, best_of_group, k, min_similarity)
 
-    if queries.shared is not None:
-        shared, query_key = queries.shared, queries.key
+    def searched(shared) -> DataFrame:
         visible = shared.value.groups()
+        seen = stored
         if visible is not None and len(visible) <= FILTERED_GROUPS:
-            stored = stored.where(F.col(group).isin(visible))
+            seen = stored.where(F.col(group).isin(visible))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             questions = shared.value
@@ -219,40 +233,12 @@ def nearest(
             if found is not None:
                 yield from _answer(found, questions, query_key, names).to_batches()
 
-        tasks = TASKS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism
-        hits = stored.coalesce(tasks).mapInArrow(scan, schema)
-    else:
-        hits = _blocked(queries, stored, row_key, how, schema, block_rows)
+        return seen.mapInArrow(scan, schema)
 
+    hits = reduce(DataFrame.unionByName, [searched(batch) for batch in queries.batches])
     if best_of_group:
         hits = hits.groupBy(queries.key, *keys).agg(F.max("similarity").alias("similarity"))
     rank = Window.partitionBy(queries.key).orderBy(F.desc("similarity"), *keys)
     ranked = hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select(*names, "rank")
 
-
-def _blocked(queries, stored, row_key, how, schema, block_rows):
-    """Every query block meets every stored block; both are bounded in size."""
-    asked, query_key, scope = queries.asked, queries.key, queries.scope
-    query_blocks = math.ceil(asked.count() / min(queries.limit, block_rows))
-    store_blocks = max(1, math.ceil(stored.count() / block_rows))
-    names, empty = schema.fieldNames(), to_arrow_schema(schema).empty_table()
-
-    def block(n: int, *columns: str):
-        return F.pmod(F.xxhash64(*columns), F.lit(n))
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    left = asked.withColumn("_qb", block(query_blocks, query_key))
-    left = left.withColumn("_sb", every(store_blocks))
-    right = stored.withColumn("_sb", block(store_blocks, *row_key))
-    right = right.withColumn("_qb", every(query_blocks))
-
-    def meet(questions: pa.Table, rows: pa.Table) -> pa.Table:
-        known = _Questions(questions, query_key, scope)
-        found = _search([rows], known, *how) if rows.num_rows else None
-        return empty if found is None else _answer(found, known, query_key, names)
-
-    blocks = left.groupBy("_qb", "_sb").cogroup(right.groupBy("_qb", "_sb"))
-    return blocks.applyInArrow(meet, schema)

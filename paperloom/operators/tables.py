@@ -3,7 +3,7 @@
 Each function takes table snapshots and returns the next snapshot.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from paperloom import constants as C
 
@@ -25,10 +25,10 @@ def replace_documents(state: dict[str, DataFrame], batch: dict[str, DataFrame])
 
 
 def latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """One row per key, the one with the greatest version; combined before the shuffle."""
-    values = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*values), F.struct(*version)).alias("_row")
-    return df.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*df.columns)
+    """One row per key, the one with the greatest version; a task sends one row per key at most."""
+    newest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in version))
+    ranked = df.withColumn("_r", F.row_number().over(newest))
+    return ranked.where(F.col("_r") == 1).select(*df.columns)
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

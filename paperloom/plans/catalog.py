@@ -16,7 +16,7 @@ from paperloom.plans import bindings as B
 from paperloom.plans.classify import classify
 from paperloom.plans.ingest import STATE_SCHEMAS, ingest
 from paperloom.plans.retrieve import respond, retrieve as run_retrieval
-from paperloom.session import cut_lineage
+from paperloom.session import cut_lineage, write_through
 from paperloom.sources import deadletter, events, seed
 from paperloom.sources.tables import load, spread, vector_table
 
@@ -70,6 +70,18 @@ def proto_topk(spark, sf):
     return _hits(spark, sf, "prototype")
 
 
+@query
+def document_proto_topk(spark, sf):
+    """Every stored vector asks for its nearest prototypes, in batches of 128 queries."""
+    asked = B.segments(spark, sf).select(F.col("doc_id").cast("string").alias("query_id"), "embedding")
+    hits = scoring.search_kind(
+        scoring.QuestionSet(asked, broadcast_rows=128), write_through(B.prototypes(spark, sf)),
+        cut_lineage(B.groups(spark, sf)), "proto_index", keys=["group_id", "proto_index"],
+        min_similarity=C.REVIEW_THRESHOLD,
+    )
+    return hits.select("query_id", "group_id", "hit_index", "similarity", "rank")
+
+
 @query
 def buffer_topk(spark, sf):
     return _hits(spark, sf, "buffer")
@@ -85,10 +97,11 @@ def group_multi_hit_score(spark, sf):
     return scoring.score_groups(_hits(spark, sf, "segment"))
 
 
-def _candidates(spark, sf, queries=None):
+def _candidates(spark, sf, queries=None, groups=None):
+    """Derived tables that several branches read are written once."""
     hits = scoring.search_groups(
-        queries or B.routed_queries(spark, sf), B.prototypes(spark, sf), B.buffer(spark, sf),
-        B.segments(spark, sf), B.groups(spark, sf),
+        queries or cut_lineage(B.routed_queries(spark, sf)), write_through(B.prototypes(spark, sf)), B.buffer(spark, sf),
+        B.segments(spark, sf), groups or cut_lineage(B.groups(spark, sf)),
     )
     return scoring.merge_candidates(hits)
 
@@ -99,8 +112,8 @@ def group_candidates_merged(spark, sf):
 
 
 def _routed(spark, sf):
-    queries = cut_lineage(B.routed_queries(spark, sf))
-    candidates = scoring.with_group_details(_candidates(spark, sf, queries), B.groups(spark, sf))
+    queries, groups = cut_lineage(B.routed_queries(spark, sf)), cut_lineage(B.groups(spark, sf))
+    candidates = scoring.with_group_details(_candidates(spark, sf, queries, groups), groups)
     return scoring.decide_route(queries.select("query_id"), candidates)
 
 

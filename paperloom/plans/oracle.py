@@ -78,6 +78,8 @@ WHERE rank <= {k}"""
 _view("proto_hit", "q proto grp", _topk("proto", "proto_index", 0.4))
 _view("buffer_hit", "q buf grp", _topk("buf", "segment_index", 0.4))
 _view("segment_hit", "q seg grp", _topk("seg", "segment_index", 0.37))
+_view("dq", "seg", "SELECT CAST(doc_id AS VARCHAR) AS query_id, embedding FROM seg")
+_sql("document_proto_topk", "proto dq", _topk("proto", "proto_index", 0.4, queries="dq"))
 for _name, _hit in [("proto_topk", "proto_hit"), ("buffer_topk", "buffer_hit"), ("segment_topk", "segment_hit")]:
     _sql(_name, _hit, f"SELECT * FROM {_hit}")
 

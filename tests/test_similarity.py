@@ -29,7 +29,7 @@ def _tables(spark, n_query=30, n_stored=400, seed=5):
     return q, c, np.round(_unit(queries) @ _unit(stored).T, 6), groups
 
 
-MODES = [{}, {"broadcast_rows": 7, "block_rows": 50}]
+MODES = [{}, {"broadcast_rows": 7}]
 
 
 @pytest.mark.parametrize("mode", MODES)
@@ -50,8 +50,7 @@ def test_topk(spark, mode, floor):
 def test_best_of_group(spark, mode):
     q, c, sims, groups = _tables(spark)
     found = nearest(
-        q, c.repartition(4), k=3, keys=["group_id"], group="group_id", best_of_group=True,
-        row_key=["row_id"], **mode,
+        q, c.repartition(4), k=3, keys=["group_id"], group="group_id", best_of_group=True, **mode,
     )
     got = {(r.query_id, r["rank"]): (r.group_id, round(r.similarity, 6)) for r in found.collect()}
     for i, row in enumerate(sims):
@@ -88,3 +87,13 @@ def test_zero_and_null_vectors_are_not_found(spark):
     )
     ids = {r.row_id for r in nearest(q, c.unionByName(odd), k=10, keys=["row_id"]).collect()}
     assert ids == {0, 1, 2, 3}
+
+
+def test_batches_scan_the_stored_side_in_place(spark):
+    """Many queries add scans, not copies of stored rows."""
+    q, c, _, _ = _tables(spark)
+    found = nearest(q, c, k=2, keys=["row_id"], broadcast_rows=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("MapInArrow")
+    assert plan.count("MapInArrow") >= 5 and "Exchange" in above and "Exchange" not in below.partition("Union")[0].split("MapInArrow")[0]
+    assert "CoGroup" not in plan and "Generate" not in plan
