@@ -18,6 +18,8 @@ MOST_REPEATED = 30  # percent
 GAMMA = 1.02
 #: a group with fewer documents takes the thresholds of its language, then those of all
 LEAST_ROWS = 200
+#: so many groups' fences (some 100 bytes each) are broadcast at most; more are joined by a shuffle
+BROADCAST_GROUPS = 100_000
 #: fences lie this many quartile distances outside the quartiles
 REACH = 3
 #: measures in thousandths: the least distance of a fence from its quartile, and whether low values fail too
@@ -172,7 +174,9 @@ def judge(
     sketches = write_through(sketch(slim, ["lang", "source"], _thousandths(F.col("m"))))
     limits = fences(sketches, least_rows)
     names = {c: free_name(rows, f"limit_{c}") for c in ("lang", "source", "fences")}
-    limits = limits.select(*(F.col(c).alias(n) for c, n in names.items()))
+    limits = write_through(limits.select(*(F.col(c).alias(n) for c, n in names.items())))
+    # as a shuffled join, the texts of a hot source would meet in few tasks
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
     joined = rows.join(
         limits,
         F.col(lang_col).eqNullSafe(F.col(names["lang"])) & F.col(source_col).eqNullSafe(F.col(names["source"])), "left",
