@@ -4,9 +4,12 @@ Each task multiplies its stored vectors with the query matrix and keeps only the
 k best rows per query, so a task emits at most ``k x queries`` rows whatever it
 reads, and no (query, row) pair list is ever built.
 
-* Queries go to the tasks in batches of bounded rows and bytes; the stored side is
-  scanned in place, once per batch, and never shuffled or copied.  What is shuffled
-  afterwards grows with scan tasks x queries x k.
+* Few queries go to the tasks in batches of bounded rows and bytes, and few of these; the
+  stored side is scanned in place, once per batch, and never shuffled or copied.  What is
+  shuffled afterwards grows with scan tasks x queries x k.
+* More queries stay in Spark.  If the stored side proves small it is broadcast, and the
+  queries are scanned in place; else blocks of queries meet blocks of stored rows, dealt by
+  row number, and the k best rows of every block are merged per query.
 * With a scope a batch reads only the groups its queries may see, and a task compares a
   group with the queries that may see it.
 
@@ -21,6 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from paperloom.functions.vector import as_vector
@@ -31,6 +35,8 @@ SLICE_CELLS = 4_000_000
 FILTERED_GROUPS = 1_000          # a longer list is left to the tasks
 BATCH_BYTES = 64 << 20           # vectors of one batch of queries
 BATCH_FILL = 0.8                 # batches are dealt by hash, so they aim below their bound
+MOST_BATCHES = 8                 # together they hold no more than BATCH_BYTES
+BLOCK_HITS = 4_000_000           # hits that a block of queries may hold at once
 
 
 def _unit_rows(column) -> np.ndarray:
@@ -154,11 +160,12 @@ def _answer(table: pa.Table, questions: _Questions, query_key: str, names: list)
 
 
 class QuestionSet:
-    """Queries made ready for several searches: batches that are each broadcast.
+    """Queries made ready for several searches: broadcast ``batches``, or a ``table`` that stays in Spark.
 
     A batch holds at most ``broadcast_rows`` queries and about ``BATCH_BYTES`` of vectors. One row
-    more is asked for, which proves that one batch is enough; else the queries are written
-    once and dealt into batches by a hash of their key.
+    more is asked for, which proves that one batch is enough; else the queries are written once and
+    counted. Up to ``MOST_BATCHES`` with ``BATCH_BYTES`` in all are dealt by a hash of their key;
+    beyond, the driver reads no query.
     """
 
     def __init__(
@@ -169,6 +176,7 @@ class QuestionSet:
             query_key, as_vector(F.col(vector)).alias("_v"), *([scope] if scope else [])
         )
         self.key, self.scope, self.field = query_key, scope, asked.schema[query_key]
+        self.batches, self.table, self.count = [], None, 0
         context = queries.sparkSession.sparkContext
 
         def shared(part: DataFrame):
@@ -176,19 +184,72 @@ class QuestionSet:
 
         first = asked.limit(1).toArrow()
         width = len(first.column("_v")[0]) if first.num_rows else 1
-        most = max(1, min(broadcast_rows, BATCH_BYTES // (8 * max(1, width))))
+        self.block_rows = max(1, BATCH_BYTES // (8 * max(1, width)))
+        most = max(1, min(broadcast_rows, self.block_rows))
         head = asked.limit(most + 1).toArrow()
         if head.num_rows <= most:
             self.batches = [context.broadcast(_Questions(head, query_key, scope))]
             return
-        stored = write_through(asked)
-        count = math.ceil(stored.count() / max(1, int(BATCH_FILL * most)))
+        stored = _numbered(asked)
+        self.count = stored.count()
+        count = math.ceil(self.count / max(1, int(BATCH_FILL * most)))
+        if count > MOST_BATCHES or self.count > self.block_rows:
+            self.table = stored
+            return
         dealt = write_through(
-            stored.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(count)).cast("int")).repartition("_b")
+            stored.drop("_n").withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(count)).cast("int")).repartition("_b")
         )
         self.batches = [shared(dealt.where(F.col("_b") == b).drop("_b")) for b in range(count)]
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows, written once with a number each, so that a task that runs again deals them alike."""
+    return write_through(rows.withColumn("_n", F.monotonically_increasing_id()))
+
+
+def _search_in_place(queries: QuestionSet, stored: pa.Table, schema: StructType, how: tuple) -> DataFrame:
+    """All queries against a small stored side that every task holds."""
+    shared = queries.table.sparkSession.sparkContext.broadcast(stored)
+    key, scope, names = queries.key, queries.scope, schema.fieldNames()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and shared.value.num_rows:
+                questions = _Questions(pa.Table.from_batches([batch]), key, scope)
+                found = _search([shared.value], questions, *how)
+                if found is not None:
+                    yield from _answer(found, questions, key, names).to_batches()
+
+    return queries.table.drop("_n").mapInArrow(scan, schema)
+
+
+def _search_blocks(queries: QuestionSet, stored: DataFrame, schema: StructType, how: tuple, k: int) -> DataFrame:
+    """Every block of queries against every block of stored rows; a pair of blocks is a task's unit of memory."""
+    key, scope, names = queries.key, queries.scope, schema.fieldNames()
+    stored = _numbered(stored)
+    asked_rows = max(1, min(queries.block_rows, BLOCK_HITS // (4 * k)))
+    asked_blocks = math.ceil(queries.count / max(1, int(BATCH_FILL * asked_rows)))
+    stored_blocks = math.ceil(stored.count() / max(1, int(BATCH_FILL * queries.block_rows)))
+
+    def dealt(rows: DataFrame, own: str, count: int, other: str, copies: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("_n"), F.lit(count)).cast("int")
+        return rows.withColumn(own, block).drop("_n").withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    def compared(asked: pa.Table, seen: pa.Table) -> pa.Table:
+        found = None
+        if asked.num_rows and seen.num_rows:
+            questions = _Questions(asked, key, scope)
+            found = _search([seen], questions, *how)
+        if found is None:
+            return empty
+        return _answer(found, questions, key, names)
+
+    empty = to_arrow_schema(schema).empty_table()
+    left = dealt(queries.table, "_a", asked_blocks, "_b", stored_blocks)
+    right = dealt(stored, "_b", stored_blocks, "_a", asked_blocks)
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(compared, schema)
+
+
 def nearest(
     queries: DataFrame | QuestionSet,
     corpus: DataFrame,
@@ -235,7 +296,14 @@ def nearest(
 
         return seen.mapInArrow(scan, schema)
 
-    hits = reduce(DataFrame.unionByName, [searched(batch) for batch in queries.batches])
+    if queries.table is None:
+        hits = reduce(DataFrame.unionByName, [searched(batch) for batch in queries.batches])
+    else:
+        head = stored.limit(queries.block_rows + 1).toArrow()
+        if head.num_rows <= queries.block_rows:
+            hits = _search_in_place(queries, head, schema, how)
+        else:
+            hits = _search_blocks(queries, stored, schema, how, k)
     if best_of_group:
         hits = hits.groupBy(queries.key, *keys).agg(F.max("similarity").alias("similarity"))
     rank = Window.partitionBy(queries.key).orderBy(F.desc("similarity"), *keys)

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators.similarity import nearest
+from paperloom.operators import similarity
+from paperloom.operators.similarity import QuestionSet, nearest
 
 DIM = 8
 
@@ -97,3 +98,27 @@ def test_batches_scan_the_stored_side_in_place(spark):
     above, _, below = plan.partition("MapInArrow")
     assert plan.count("MapInArrow") >= 5 and "Exchange" in above and "Exchange" not in below.partition("Union")[0].split("MapInArrow")[0]
     assert "CoGroup" not in plan and "Generate" not in plan
+
+
+def _ranked(found):
+    return sorted((r.query_id, r["rank"], *r[1:-2], r.similarity) for r in found.collect())
+
+
+@pytest.mark.parametrize("held", [None, 20])
+@pytest.mark.parametrize("options", [
+    {"keys": ["row_id"]}, {"keys": ["row_id"], "group": "group_id", "scope": "groups", "min_similarity": 0.1},
+    {"keys": ["group_id"], "group": "group_id", "best_of_group": True},
+])
+def test_many_queries_stay_in_spark(spark, monkeypatch, held, options):
+    """Beyond a few batches no query is collected, whether the stored side is small (held: None) or not."""
+    q, c, _, _ = _tables(spark)
+    c = c.repartition(5)
+    expected = _ranked(nearest(q, c, k=4, **options))
+    if held:
+        monkeypatch.setattr(similarity, "BATCH_BYTES", 8 * DIM * held)
+    asked = QuestionSet(q, scope=options.get("scope"), broadcast_rows=2)
+    assert asked.batches == [] and asked.table.count() == 30
+    found = nearest(asked, c, k=4, **options)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and ("CoGroup" in plan) == bool(held)
+    assert _ranked(found) == expected
