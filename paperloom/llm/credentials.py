@@ -21,14 +21,16 @@ KINDS = ["assign", "access", "hex", "identifier", "credential", "endpoint"]
 #: weak parts: each is common in harmless texts and is reported only beside its complements
 IDENTIFIER = re.compile(
     r"""(?ai:\b(?:user(?:_?name)?|login|client_?id|account(?:_?(?:id|name))?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,}))""")
-CREDENTIAL = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+CREDENTIAL = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9]{8,}|[A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(
     r"""(?ai:\b[a-z][a-z0-9+.-]{0,20}://[^\s"'<>]+|\b(?:host(?:name)?|server|endpoint|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,})""")
 SCOPE_BREAK = re.compile(r"\n[\x20\t\r]*\n")
 #: parts of one credential lie at most this many characters apart, in one paragraph
 REACH = 400
-#: a hex run counts as a credential from this length on
+#: a hex run counts as a credential from this length on, a shorter one if it has letters and digits
 HEX_CREDENTIAL = 32
+#: letters alone count as a credential from this length on, which words hardly reach
+LETTERS_CREDENTIAL = 24
 
 
 class Span(NamedTuple):
@@ -47,9 +49,10 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def _varied(value: str) -> bool:
-    """Upper, lower and digits, so that words and numbers aren't taken for keys."""
-    return any(c.isupper() for c in value) and any(c.islower() for c in value) and any(c.isdigit() for c in value)
+def _keylike(value: str) -> bool:
+    """Letters and digits of any case, or a long run of letters, so that words and numbers aren't taken for keys."""
+    letters = any(c.isalpha() for c in value)
+    return letters and any(c.isdigit() for c in value) or len(value) >= LETTERS_CREDENTIAL and value.isalpha()
 
 
 class Neighbours:
@@ -88,23 +91,31 @@ def find_spans(text: str) -> list[Span]:
     """Base spans and linked weak parts, by start, then kind.
 
     A weak identifier needs a credential, a weak credential an identifier, an endpoint both, each
-    within ``REACH`` in the same paragraph. Intervals are joined by sorted lookups, so a text with
-    many parts costs n log n.
+    within ``REACH`` in the same paragraph. An assigned value under the base length is a weak
+    credential too, for which an endpoint is enough, as its name tells what it is; an access key id is
+    no complement of it, as its secret is long. Intervals are joined by sorted lookups, so a text
+    with many parts costs n log n.
     """
     strong = base_spans(text)
     access = [s for s in strong if s.kind == 1]
-    weak_ids = []
+    weak_ids, short = [], []
     if "=" in text or ":" in text:
-        weak_ids = _inside([Span(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)], strong)
-    if access or weak_ids:
+        short = _inside([
+            Span(m.start(), 4, m.end()) for m in ASSIGN.finditer(text)
+            if len(m[2]) < LEAST_ASSIGN and any(c.isalnum() for c in m[2])], strong)
+        weak_ids = _inside([Span(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)], strong + short)
+    if access or weak_ids or short:
         scopes = [m.end() for m in SCOPE_BREAK.finditer(text)]
-        keys = [s for s in strong if s.kind == 0 or s.kind == 2 and s.end - s.start >= HEX_CREDENTIAL]
+        keys = [s for s in strong if s.kind == 0 or s.kind == 2 and (
+            s.end - s.start >= HEX_CREDENTIAL or _keylike(text[s.start : s.end]))]
         weak_keys = _inside(
-            [Span(m.start(), 4, m.end()) for m in CREDENTIAL.finditer(text) if _varied(m[0])], strong + weak_ids)
-        ids, credentials = Neighbours(access + weak_ids, scopes), Neighbours(keys + weak_keys, scopes)
+            [Span(m.start(), 4, m.end()) for m in CREDENTIAL.finditer(text) if _keylike(m[0])], strong + weak_ids + short)
+        ids, credentials = Neighbours(access + weak_ids, scopes), Neighbours(keys + weak_keys + short, scopes)
         places = _inside([Span(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)], strong)
+        beside = Neighbours(weak_ids + places, scopes)
         strong += [s for s in weak_ids if credentials.near(s)]
         strong += [s for s in weak_keys if ids.near(s)]
+        strong += [s for s in short if beside.near(s)]
         strong += [s for s in places if ids.near(s) and credentials.near(s)]
     return sorted(strong)
 

@@ -105,6 +105,18 @@ def test_secret_links():
     assert kinds("PASSWORD=abcdefghijklm ſecret=abcdefghijklm") == ["assign"]
 
 
+def test_short_and_single_case_secrets_are_linked():
+    """Short assigned values, and shorter or single-case tokens, count beside their complements only."""
+    kinds = lambda text: [credentials.KINDS[s.kind] for s in credentials.find_spans(text)]
+    assert kinds("user=admin password=hunter2 host=db.example.org") == ["identifier", "credential", "endpoint"]
+    assert kinds("password=hunter2 at https://db.example.org") == ["credential"]
+    assert kinds("password=hunter2") == [] and kinds("user=admin\n\npassword=hunter2") == []
+    for key in ("k3q9z7x1" * 4, "K3Q9Z7X1" * 4, "k3q9z7x1", "zqxwvkjp" * 3):
+        assert kinds(f"client_id: bob42 and {key}") == ["identifier", "credential"] and kinds(key) == []
+    assert kinds("client_id: bob42 and 0123456789abcdef") == ["identifier", "hex"]
+    assert kinds("client_id: bob42 and 12345678 documentation") == []
+
+
 def test_mixing(messy, empty):
     mixed = mixing.mix(messy, marks=False)
     assert mixed.columns == messy.columns
