@@ -218,6 +218,31 @@ def test_token_probabilities_sum_to_one():
     assert np.allclose((10**table).sum(axis=1), 1)
 
 
+def test_words_of_one_ending_have_contexts_of_their_own(spark):
+    """Two words beyond the single ones, alike in ending and count, follow different words."""
+    filler = " ".join(f"f{k}" for k in range(lm_scoring.SINGLES + 10))
+    pairs = ["left alphaab", "right gammaab"]
+    rows = [(k, f"{filler} {filler} {filler} " + f"{pairs[k % 2]} {pairs[k % 2]}") for k in range(0, 240)]
+    rows += [(1000, "left alphaab"), (1001, "left gammaab"), (1002, "right gammaab"), (1003, "right alphaab")]
+    found = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 1000").collect()
+    score = {r["doc_id"]: r["score"] for r in found}
+    assert score[1000] > score[1001] + 0.3 and score[1002] > score[1003] + 0.3
+
+
+def test_word_probabilities_sum_to_one():
+    import numpy as np
+
+    layout = lm_scoring.Layout([f"w{k}".encode() for k in range(400)])
+    size = len(layout.classes)
+    assert size == 401 + lm_scoring.GROUPS and layout.number(b"w3") == 4 and layout.number(b"other") > 400
+    rng = np.random.default_rng(1)
+    model = lm_scoring.Model.start(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES), np.full(size, 1 / size))
+    model.values["w"] += rng.normal(0, 0.5, model.values["w"].shape).astype(np.float32)
+    seen = lm_scoring.log10_tokens(model, layout, np.full(size, 7), np.full(size, 390), np.arange(size))
+    empty = lm_scoring.CLASSES - len(set(layout.classes.tolist()))
+    assert empty == 0 and np.isclose((10**seen).sum(), 1, atol=1e-5)
+
+
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
