@@ -64,7 +64,7 @@ def source_rates(
 
 def mix(
     docs: DataFrame, *, source_col: str = "source", id_col: str = "doc_id", weights: dict[str | None, float] | None = None,
-    temperature: float = 0.5, epochs: float = 1.0, seed: int = 42, marks: bool = True,
+    temperature: float = 0.5, epochs: float = 1.0, seed: int = 42, marks: bool = True, text_col: str = "text",
 ) -> DataFrame:
     """Repeat each document a Poisson number of times, so that sources meet their target shares.
 
@@ -74,8 +74,8 @@ def mix(
     by a hash of seed, id and copy and ordered by it within them, which is a global shuffle.
 
     A null source is a source of its own (weight: key None). Sources that ``weights`` doesn't
-    name have weight 0 and vanish. Rows that repeat an id are drawn alike. Null ids share one
-    number. An empty table stays empty.
+    name have weight 0 and vanish. Rows that repeat an id are drawn alike. Source and text stand
+    in for a null id, so only equal texts of a source are drawn alike. An empty table stays empty.
     """
     rates = source_rates(docs, source_col, weights=weights, temperature=temperature, epochs=epochs)
     sums, named, copy, key = (free_name(docs, c) for c in ("sums", "mix_source", "copy", "shuffle_key"))
@@ -84,13 +84,16 @@ def mix(
     entries = rates.agg(F.sum(F.size(sums) + 1)).first()[0] or 0
     rates = F.broadcast(rates) if entries <= BROADCAST_ENTRIES else rates
     drawn = docs.join(rates, docs[source_col].eqNullSafe(F.col(named))).drop(named)
-    number = uniform(F.lit(seed), docs[id_col])
+    text = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) if text_col in docs.columns else F.lit("")
+    unnamed = F.concat_ws("|", F.lit("null"), F.coalesce(F.col(source_col).cast("string"), F.lit("null")), text)
+    own = F.coalesce(F.col(id_col).cast("string"), unnamed)
+    number = uniform(F.lit(seed), own)
     times = F.size(F.filter(F.col(sums), lambda below: below < number))
     many = (
         drawn.withColumn(sums, times).where(F.col(sums) > 0)
         .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(sums) - 1))).drop(sums)
         .withColumn(key, F.md5(F.concat_ws(
-            "|", F.lit(f"deal{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy))))
+            "|", F.lit(f"deal{seed}"), own, F.col(copy))))
     )
     dealt = many.repartition(key).sortWithinPartitions(key)
     return dealt if marks else dealt.drop(copy, key)

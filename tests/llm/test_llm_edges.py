@@ -117,6 +117,16 @@ def test_short_and_single_case_secrets_are_linked():
     assert kinds("client_id: bob42 and 12345678 documentation") == []
 
 
+def test_mixing_draws_rows_without_ids_apart(spark):
+    """A source without ids meets its weight, and again the same way."""
+    rows = spark.createDataFrame(
+        [(None, f"text {k}", "en", "a", 6) for k in range(400)] + [(k, "other", "en", "b", 5) for k in range(400)], DOC)
+    found = mixing.mix(rows).where("source = 'a'").select("text").collect()
+    assert 320 < len(found) < 480 and 200 < len(set(found)) < 300
+    again = mixing.mix(rows.repartition(7)).where("source = 'a'").select("text").collect()
+    assert sorted(found) == sorted(again)
+
+
 def test_mixing(messy, empty):
     mixed = mixing.mix(messy, marks=False)
     assert mixed.columns == messy.columns
