@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.llm import (
-    credentials, embedding_dedup, licenses, lm_scoring, mixing, pieces, quality_rules, sharding, simhash, substrings,
+    credentials, embedding_dedup, licenses, lm_scoring, merkle, mixing, pieces, quality_model, quality_rules, sharding, simhash,
+    spelling, substrings,
 )
+from paperloom.llm.common import lower_ascii
 from paperloom.sources.tables import load
 
 
@@ -83,6 +85,28 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality of every document."""
+    return quality_model.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, grouped with their variants one letter away."""
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a third of them, tampered with, still verify."""
+    docs, fields = load(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 0
+    other = merkle.leaf_digest(*(lower_ascii(F.col(f)) if f == "text" else F.col(f) for f in fields))
+    found = merkle.manifest(docs, fields=fields, carry={"other": F.when(tampered, other)})
+    folded = merkle.folded(F.coalesce("other", "leaf"), F.col("proof"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_quality_rules": op2_quality_rules,
@@ -94,4 +118,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
