@@ -141,9 +141,110 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
+#: the table of the usual CRC-32 and its value for a list of bytes
+CRC_TABLE = """crc_table AS (
+  SELECT list(value ORDER BY byte) AS crcs FROM (
+    SELECT byte, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, byte) AS value
+    FROM range(256) bytes(byte))
+)"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, where ``crcs`` of the table is at hand."""
+    octets = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda k: ('0x' || substr(hex(encode({text})), k, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY doc_id, run
+), marked AS (
+  SELECT run, n, {crc32("doc_id::VARCHAR || ':' || run")} AS h FROM runs, crc_table
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+    FROM marked)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), places AS (
+  SELECT word, n, unnest(range(0, length(word))) AS k FROM words
+), cut AS (
+  SELECT DISTINCT word, n, substr(word, 1, k) || substr(word, k + 2) AS less FROM places
+), blanked AS (
+  SELECT word, n, substr(word, 1, k) || '*' || substr(word, k + 2) AS pattern FROM places
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM blanked a JOIN blanked b ON a.pattern = b.pattern AND a.word <> b.word
+  UNION ALL SELECT cut.word, cut.n, words.word, words.n FROM cut JOIN words ON cut.less = words.word
+  UNION ALL SELECT words.word, words.n, cut.word, cut.n FROM cut JOIN words ON cut.less = words.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word
+), formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * words.n THEN form END AS form,
+    CASE WHEN form_n >= 2 * words.n THEN form_n END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word
+), chain AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL
+  SELECT chain.word, formed.word, formed.form FROM chain JOIN formed ON chain.next = formed.word
+)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN chain ON formed.word = chain.word AND chain.next IS NULL
+"""
+
+
+def _leaf(text: str) -> str:
+    framed = " || ".join(
+        f"coalesce(octet_length(encode({f}::VARCHAR)) || ':' || {f}::VARCHAR, '-')" for f in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({framed})"
+
+
+def _levels(name: str, of: str) -> str:
+    """All nodes of trees over rows (tree, i, digest) that start on level 0, and the siblings beside each."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, i, digest, count(*) OVER (PARTITION BY tree) AS n FROM {of}
+  UNION ALL
+  SELECT tree, level + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), (n + 7) // 8 FROM {name} WHERE n > 1
+  GROUP BY tree, level, i // 8, n
+), {name}_beside AS (
+  SELECT tree, level, i,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name} WHERE n > 1
+)"""
+
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE {CRC_TABLE}, leaves AS (
+  SELECT lang AS tree, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, {_leaf("text")} AS digest,
+    CASE WHEN {crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf(LOWERED)} ELSE {_leaf("text")} END AS given
+  FROM documents, crc_table
+), {_levels("node", "leaves")}, subroots AS (
+  SELECT 0 AS tree, tree AS lang, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, digest FROM node WHERE n = 1
+), {_levels("top", "subroots")}, path AS (
+  SELECT doc_id, level, before, after
+  FROM leaves JOIN node_beside b ON leaves.tree IS NOT DISTINCT FROM b.tree AND leaves.i // (8 ** level)::BIGINT = b.i
+  UNION ALL
+  SELECT doc_id, 100 + level, before, after
+  FROM leaves JOIN subroots ON leaves.tree IS NOT DISTINCT FROM subroots.lang
+  JOIN top_beside b ON subroots.i // (8 ** level)::BIGINT = b.i
+), proofs AS (
+  SELECT doc_id, string_agg(before || after, '' ORDER BY level) AS proof, list(before || '|' || after ORDER BY level) AS steps
+  FROM path GROUP BY doc_id
+), folds AS (
+  SELECT leaves.*, subroots.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(coalesce(steps, []), lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2)), given) AS folded_root
+  FROM leaves JOIN subroots ON leaves.tree IS NOT DISTINCT FROM subroots.lang LEFT JOIN proofs ON leaves.doc_id = proofs.doc_id
+)
+SELECT doc_id, digest AS leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folds
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_neardup": EMBEDDING_NEARDUP,
     "op2_quality_rules": QUALITY_RULES,
     "op5_mixing": MIXING,
     "op7_substring_dedup": SUBSTRING_DEDUP,
+    "op12_spelling_variants": SPELLING_VARIANTS,
+    "op13_merkle_manifest": MERKLE_MANIFEST,
 }

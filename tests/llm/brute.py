@@ -81,3 +81,77 @@ def longest_first(groups, shards):
     for size in sorted(groups, reverse=True):
         loads[loads.index(min(loads))] += size
     return sorted(loads)
+
+
+def one_edit(a, b):
+    """Whether two words differ by exactly one inserted, deleted or replaced letter."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) - len(a) == 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+
+def spelling(docs, shortest=5, least=3):
+    counts = Counter()
+    for d, text in docs:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for run in re.findall("[A-Za-zÀ-ÿ]+", low):
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= shortest and n >= least}
+    near = {w: [o for o in words if abs(len(o) - len(w)) < 2 and one_edit(w, o)] for w in words}
+    forms = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-words[o], o), default=None)
+        if best and words[best] >= 2 * words[w]:
+            forms[w] = best
+    out = {}
+    for w in words:
+        root = w
+        while root in forms:
+            root = forms[root]
+        out[w] = (forms.get(w), root, words[w], len(near[w]), words.get(forms.get(w)))
+    return out
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle_tree(leaves, arity):
+    """Root, and for every leaf the digests left and right of its path."""
+    level, paths = list(leaves), [[] for _ in leaves]
+    width = 1
+    while len(level) > 1:
+        for k, path in enumerate(paths):
+            own = k // width
+            start = own // arity * arity
+            path.append(("".join(level[start:own]), "".join(level[own + 1 : start + arity])))
+        level = [sha(*level[k : k + arity]) for k in range(0, len(level), arity)]
+        width *= arity
+    return level[0], paths
+
+
+def merkle(rows, arity=8):
+    """(leaf, subroot, root, proof) of rows of (doc_id, text, lang, source, n_chars) in their order."""
+    def leaf(r):
+        fields = (r[0], r[3], r[2], r[4], r[1])
+        return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in fields))
+
+    groups = {}
+    for k, r in enumerate(rows):
+        groups.setdefault(r[2], []).append(((r[0] is not None, r[0] or 0), leaf(r), k))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in names:
+        groups[g].sort()
+        trees[g] = merkle_tree([x[1] for x in groups[g]], arity)
+    root, tops = merkle_tree([trees[g][0] for g in names], arity) if names else ("", [])
+    out = {}
+    for g, top in zip(names, tops, strict=True):
+        for (_, own, k), path in zip(groups[g], trees[g][1], strict=True):
+            out[k] = (own, trees[g][0], root, path + top)
+    return [out[k] for k in range(len(rows))]
