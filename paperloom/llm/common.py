@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
@@ -50,3 +51,35 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+SUMS = "block int, salt int, sums binary"
+
+
+def sums_batch(block: int, salt: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["block", "salt", "sums"])
+
+
+def added_blocks(parts: DataFrame, kind: type, order: list[str]) -> DataFrame:
+    """The sums of tasks' arrays per ``block``, from rows of ``SUMS`` and the ``order`` columns, which say in what order to add.
+
+    Added in two steps, first per salt, so that no task adds more than a share of them; rows come sorted, so a task holds one sum.
+    """
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for batch in batches:
+            for block, salt, sums in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "sums")), strict=True):
+                part = np.frombuffer(sums, kind)
+                if (block, salt) == key:
+                    total += part
+                    continue
+                if key is not None:
+                    yield sums_batch(*key, total)
+                key, total = (block, salt), part.copy()
+        if key is not None:
+            yield sums_batch(*key, total)
+
+    salted = parts.repartition("block", "salt").sortWithinPartitions("block", "salt", *order).mapInArrow(merged, SUMS)
+    last = salted.repartition("block").sortWithinPartitions("block", "salt").withColumn("salt", F.lit(0))
+    return last.mapInArrow(merged, SUMS)

@@ -1,21 +1,25 @@
 """Log-bilinear language model over words, trained by noise-contrastive estimation, and its scores.
 
-P(token | two tokens before) = P(class | words before) * P(token | class, words before). The classes are the
-end of a text, the most frequent words, and groups of the other words by their last two bytes. Both factors
-are log-bilinear in the vectors of the two words before, and normalised: over the classes, and over the words of a
-class. The vocabulary grows with the training counts up to a bound of memory; the words beyond it are one outcome per
-group, within which counts tell them apart.
+P(token | two tokens before) is the product of up to three steps down a tree: its class, its part of the class, itself. The
+classes are the end of a text, the most frequent words, and groups of the other words by their last two bytes; parts
+hold words of a group that are about as frequent. Every step is log-bilinear in the vectors of the two words before,
+and normalised by a matrix product over the outcomes of that step only. The vocabulary grows with the training counts up
+to a bound of memory; the words beyond it are one outcome per group, within which counts tell them apart.
+
+Texts are read twice: to count words, and to turn them into word numbers, from which the model is trained and scores are
+made. Documents are dealt to shards by a hash of their id; every shard trains a model of its own from the same start, and
+the result is their mean, each row weighed by how often a shard trained it. One shard or very many: nothing else changes.
 """
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from paperloom.llm.common import byte_texts, lower_ascii, slices, word_array
+from paperloom.llm.common import SUMS, added_blocks, byte_texts, slices
 from paperloom.session import write_through
 
 # fixed values of the base score and the split
@@ -23,22 +27,22 @@ ADDED = 0.1
 FOLDS, HELD_OUT = 10, 0
 END = ""  # no word is empty
 
-#: classes: the end, frequent words, and groups of the rest
-CLASSES, SINGLES = 256, 127
+#: classes: the end, frequent words, and groups of the rest; words of a part of a group
+CLASSES, SINGLES, PART = 128, 63, 32
 GROUPS = CLASSES - 1 - SINGLES
 #: words whose counts travel with the tasks; the counts of all others are joined
 HEAD = 100_000
 HEAD_PARTS = 8
 #: words with vectors of their own: those with so many training tokens, up to a bound (a model of 13 MB)
 LEAST_COUNT, VOCABULARY = 5, 65_536
-#: model: width, noise samples per batch, examples per batch, learning rate
-WIDTH, NOISE, BATCH, RATE = 24, 64, 512, 0.1
-#: tokens that a task trains on at once and, at least, altogether; passes over fewer tokens than VISITS, up to PASSES
-CHUNK, SHARD, VISITS, PASSES = 1_000_000, 2_000_000, 8_000_000, 4
-#: tokens sorted by class and normalised over classes at once; rows of a model that are averaged together
-SCORED, NORMALISED, BLOCK = 16_384, 1_024, 4_096
-#: bytes of text scored at once
-SCORED_BYTES = 4 << 20
+#: model: width, noise samples per batch, examples per batch, learning rate, passes over a chunk
+WIDTH, NOISE, BATCH, RATE, PASSES = 24, 64, 512, 0.1, 1
+#: tokens that a task trains on at once; tokens of a shard; first sums per block of rows; rows that are added together
+CHUNK, SHARD, SALTS, BLOCK = 1 << 20, 6_000_000, 64, 4_096
+#: tokens scored together; tokens normalised over classes at once
+SCORED, NORMALISED = 1 << 18, 2_048
+#: bytes of text turned into numbers at once; words counted in a task before they are sent on
+SCORED_BYTES, COUNTED = 4 << 20, 400_000
 SEED = 11
 
 
@@ -58,19 +62,17 @@ def _group_column(word: Column) -> Column:
 
 class Model:
     """Context vectors of all words (r), a weight per context place (c), and target vectors with their biases of all
-    classes (k) and all words (w)."""
+    classes (k), parts (s) and words (w)."""
 
     def __init__(self, values: dict[str, np.ndarray]):
         self.values = values
 
     @classmethod
-    def start(cls, shares: np.ndarray, word_shares: np.ndarray | None = None) -> "Model":
-        """Both factors start at the shares of classes and words; without words, each class is one word."""
-        words = shares if word_shares is None else word_shares
+    def start(cls, shares: dict[str, np.ndarray]) -> "Model":
+        """All steps start at the shares of their outcomes."""
         rng = np.random.default_rng(SEED)
-        made = {"r": rng.normal(0, 0.1, (len(words), WIDTH)), "c": np.ones((2, WIDTH)),
-                "k": np.column_stack([np.zeros((len(shares), WIDTH)), np.log(shares)]),
-                "w": np.column_stack([np.zeros((len(words), WIDTH)), np.log(words)])}
+        made = {"r": rng.normal(0, 0.1, (len(shares["w"]), WIDTH)), "c": np.ones((2, WIDTH))}
+        made |= {name: np.column_stack([np.zeros((len(s), WIDTH)), np.log(s)]) for name, s in shares.items()}
         return cls({name: v.astype(np.float32) for name, v in made.items()})
 
     def copy(self) -> "Model":
@@ -83,17 +85,6 @@ class Model:
         out[:, :-1] = v["c"][0] * v["r"][before2] + v["c"][1] * v["r"][before1]
         return out
 
-    def log_classes(self, hidden: np.ndarray) -> np.ndarray:
-        """log P(class | context), normalised."""
-        scores = hidden @ self.values["k"].T
-        return scores - _log_sum(scores.copy())[:, None]
-
-    def log10_table(self) -> np.ndarray:
-        """log10 P(class | two words before) where the first ``CLASSES`` words are the contexts."""
-        before = np.arange(len(self.values["k"]))
-        rows = [self.log_classes(self.hidden(np.full(len(before), two), before)) for two in before]
-        return np.concatenate(rows).astype(np.float64).reshape(-1) / np.log(10)
-
 
 def _log_sum(scores: np.ndarray) -> np.ndarray:
     """log of the sum of exp of each row; the scores are overwritten."""
@@ -102,6 +93,22 @@ def _log_sum(scores: np.ndarray) -> np.ndarray:
     return most + np.log(np.exp(scores, out=scores).sum(axis=1))
 
 
+def _against(x: np.ndarray) -> np.ndarray:
+    """The logistic of -x, in its place."""
+    np.exp(np.clip(x, -30, 30, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _runs(of: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Members of each of n owners, in order, and each member's place among them."""
+    order = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[order], np.arange(n + 1))
+    place = np.zeros(len(of), np.int32)
+    place[order] = np.arange(len(of)) - bounds[of[order]]
+    return [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], place
+
+
 class Layout:
     """Word numbers: 0 the end, then the vocabulary by falling count, then one per group for the words beyond it."""
 
@@ -110,38 +117,55 @@ class Layout:
         self.size = 1 + len(vocabulary)
         groups = [group_of(word) for word in vocabulary[SINGLES:]]
         singles = np.arange(1 + min(SINGLES, len(vocabulary)))
-        self.classes = np.concatenate([singles, groups, np.arange(1 + SINGLES, CLASSES)]).astype(np.int64)
-        order = np.argsort(self.classes, kind="stable")
-        bounds = np.searchsorted(self.classes[order], np.arange(CLASSES + 1))
-        self.members = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.place = np.zeros(len(order), np.int64)
-        self.place[order] = np.arange(len(order)) - bounds[self.classes[order]]
+        self.classes = np.concatenate([singles, groups, np.arange(1 + SINGLES, CLASSES)]).astype(np.int32)
+        # the words of a class by falling count, PART at a time
+        _, place = _runs(self.classes, CLASSES)
+        pairs = self.classes.astype(np.int64) * len(self.classes) + place // PART
+        found, parts = np.unique(pairs, return_inverse=True)
+        self.parts = parts.astype(np.int32)
+        self.class_parts, self.part_place = _runs((found // len(self.classes)).astype(np.int32), CLASSES)
+        self.members, self.place = _runs(self.parts, len(found))
+        #: whether more than one word is in the class
+        self.inner = np.bincount(self.classes, minlength=CLASSES)[self.classes] > 1
 
     def number(self, word: bytes) -> int:
         return self.words.get(word) or self.size + group_of(word) - 1 - SINGLES
 
+    def shares(self, word_n: np.ndarray) -> dict[str, np.ndarray]:
+        """Smoothed shares of all classes, parts and words."""
+        counts = {"k": np.bincount(self.classes, word_n, CLASSES), "s": np.bincount(self.parts, word_n), "w": word_n}
+        return {name: smoothed_shares(n) for name, n in counts.items()}
+
 
 def log10_tokens(model: Model, layout: Layout, before2: np.ndarray, before1: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log10 P(token | two tokens before), by matrix products: all classes, then the words of each class met."""
+    """log10 P(token | two tokens before), by matrix products: all classes, the parts of each class met, the words of each part."""
     out = np.empty(len(target))
+    k, s, w = (model.values[name] for name in "ksw")
     for start in range(0, len(target), SCORED):
         part = slice(start, start + SCORED)
         hidden, aim = model.hidden(before2[part], before1[part]), target[part]
         kinds = layout.classes[aim]
-        got = np.empty(len(aim))
+        got = np.empty(len(aim), np.float32)
         for first in range(0, len(aim), NORMALISED):
             some = slice(first, first + NORMALISED)
-            scores = hidden[some] @ model.values["k"].T
+            scores = hidden[some] @ k.T
             own = scores[np.arange(len(scores)), kinds[some]]
             got[some] = own - _log_sum(scores)
-        order = np.argsort(kinds, kind="stable")
-        bounds = np.searchsorted(kinds[order], np.arange(1 + SINGLES, CLASSES + 1))
-        for kind, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1 + SINGLES):
-            if a < b:
-                rows = order[a:b]
-                scores = hidden[rows] @ model.values["w"][layout.members[kind]].T
-                own = scores[np.arange(b - a), layout.place[aim[rows]]]
-                got[rows] += own - _log_sum(scores)
+
+        def step(owners: np.ndarray, outcomes: list, places: np.ndarray, table: np.ndarray) -> None:
+            order = np.argsort(owners, kind="stable")
+            heads = np.flatnonzero(np.diff(owners[order], prepend=-1))
+            for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
+                held = outcomes[owners[order[a]]]
+                if len(held) > 1:
+                    rows = order[a:b]
+                    scores = hidden[rows] @ table[held].T
+                    own = scores[np.arange(b - a), places[rows]]
+                    got[rows] += own - _log_sum(scores)
+
+        parts = layout.parts[aim]
+        step(kinds, layout.class_parts, layout.part_place[parts], s)
+        step(parts, layout.members, layout.place[aim], w)
         out[part] = got
     return out / np.log(10)
 
@@ -149,58 +173,69 @@ def log10_tokens(model: Model, layout: Layout, before2: np.ndarray, before1: np.
 class Trainer:
     """A model in training, its squared gradients, and how often each row was trained."""
 
-    def __init__(self, model: Model, class_shares: np.ndarray, word_shares: np.ndarray, classes: np.ndarray):
-        self.model, self.classes = model.copy(), classes
+    def __init__(self, model: Model, layout: Layout, shares: dict[str, np.ndarray]):
+        self.model, self.layout = model.copy(), layout
         self.squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.model.values.items()}
-        self.seen = {k: np.zeros(len(v)) for k, v in self.model.values.items()}
-        self.noise = {"k": class_shares, "w": word_shares}
-        self.log_noise = {k: np.log(NOISE * s).astype(np.float32) for k, s in self.noise.items()}
-        self.below = {k: np.cumsum(s) for k, s in self.noise.items()}
+        self.seen = {k: np.zeros(len(v), np.int64) for k, v in self.model.values.items()}
+        self.log_noise = {k: np.log(NOISE * s).astype(np.float32) for k, s in shares.items()}
+        self.below = {k: np.cumsum(s) for k, s in shares.items()}
 
     def _step(self, name: str, ids: np.ndarray, grads: np.ndarray, rate: float) -> None:
         """AdaGrad on the rows met, gradients of a row added."""
         order = np.argsort(ids, kind="stable")
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        rows, grad = ids[order[starts]], np.add.reduceat(grads[order], starts, axis=0)
+        self._move(name, ids[order[starts]], np.add.reduceat(grads[order], starts, axis=0), rate)
+
+    def _move(self, name: str, rows: np.ndarray | slice, grad: np.ndarray, rate: float) -> None:
         squares = self.squares[name][rows] + grad * grad
         self.squares[name][rows] = squares
         self.model.values[name][rows] += rate * grad / np.sqrt(squares)
 
-    def _tell(self, name: str, hidden: np.ndarray, target: np.ndarray, rng, rate: float) -> np.ndarray:
+    def _tell(self, name: str, hidden: np.ndarray, target: np.ndarray, rng, rate: float, whole: int) -> np.ndarray:
         """Tell the targets from noise drawn by their shares; trains the targets and returns the contexts' gradient."""
         q, log_noise, below = self.model.values[name], self.log_noise[name], self.below[name]
         noise = np.minimum(np.searchsorted(below, rng.random(NOISE) * below[-1], side="right"), len(below) - 1)
-        true = np.einsum("ij,ij->i", hidden, q[target]) - log_noise[target]
-        false = hidden @ q[noise].T - log_noise[noise]
-        d_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        d_false = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        d_hidden = d_true[:, None] * q[target] + d_false @ q[noise]
-        grads = np.concatenate([d_true[:, None] * hidden, d_false.T @ hidden]) / np.float32(len(target))
-        self._step(name, np.concatenate([target, noise]), grads, rate)
-        return d_hidden[:, :-1] / np.float32(len(target))
+        aimed, drawn = q[target], q[noise]
+        true = np.einsum("ij,ij->i", hidden, aimed) - log_noise[target]
+        false = hidden @ drawn.T
+        false -= log_noise[noise]
+        d_true, d_false = _against(true), -_against(np.negative(false, out=false))
+        d_hidden = d_true[:, None] * aimed + d_false @ drawn
+        if len(q) <= CLASSES:  # few rows: one product adds the gradients of all of them
+            told = np.zeros((len(q), len(target)), np.float32)
+            told[target, np.arange(len(target))] = d_true
+            np.add.at(told, noise, d_false.T)
+            self._move(name, slice(None), told @ hidden / np.float32(whole), rate)
+        else:
+            grads = np.concatenate([d_true[:, None] * hidden, d_false.T @ hidden]) / np.float32(whole)
+            self._step(name, np.concatenate([target, noise.astype(target.dtype)]), grads, rate)
+        return d_hidden[:, :-1] / np.float32(whole)
 
     def train(self, row: np.ndarray, passes: int, seed: int) -> None:
         """Passes of falling rate over the trigrams of a row of word numbers; a text's end starts the next."""
         ends = row == 0
-        at = np.flatnonzero(np.arange(len(row)) >= 2)
+        target, before1 = row[2:], row[1:-1]
         # the first word of a text follows two ends
-        before1, target = row[at - 1], row[at]
-        before2 = np.where(ends[at - 1], 0, row[at - 2])
-        v = self.model.values
+        before2 = np.where(ends[1:-1], 0, row[:-2])
+        v, layout = self.model.values, self.layout
         for turn in range(passes):
-            rng = np.random.default_rng(seed + turn)
-            order, rate = rng.permutation(len(at)), RATE / (1 + turn)
+            rng = np.random.default_rng((*seed, turn))
+            order, rate = rng.permutation(len(target)), RATE / (1 + turn)
             for start in range(0, len(order), BATCH):
                 rows = order[start : start + BATCH]
                 two, one, aim = before2[rows], before1[rows], target[rows]
                 hidden = self.model.hidden(two, one)
-                d = self._tell("k", hidden, self.classes[aim], rng, rate) + self._tell("w", hidden, aim, rng, rate)
+                d = self._tell("k", hidden, layout.classes[aim], rng, rate, len(rows))
+                inner = np.flatnonzero(layout.inner[aim])
+                if len(inner):
+                    near, few = hidden[inner], aim[inner]
+                    d[inner] += self._tell("s", near, layout.parts[few], rng, rate, len(rows))
+                    d[inner] += self._tell("w", near, few, rng, rate, len(rows))
                 d_c = np.stack([(d * v["r"][two]).sum(0), (d * v["r"][one]).sum(0)])
                 self._step("r", np.concatenate([two, one]), np.concatenate([d * v["c"][0], d * v["c"][1]]), rate)
-                self._step("c", np.arange(2), d_c, rate)
-        self.seen["k"] += np.bincount(self.classes[target], minlength=len(v["k"]))
-        self.seen["w"] += np.bincount(target, minlength=len(v["w"]))
-        self.seen["r"] += np.bincount(before1, minlength=len(v["r"])) + np.bincount(before2, minlength=len(v["r"]))
+                self._move("c", slice(None), d_c, rate)
+        for name, ids in (("k", layout.classes[target]), ("s", layout.parts[target]), ("w", target), ("r", before1), ("r", before2)):
+            self.seen[name] += np.bincount(ids, minlength=len(v[name]))
         self.seen["c"] += len(target)
 
 
@@ -225,86 +260,96 @@ def smoothed_shares(counts: np.ndarray) -> np.ndarray:
     return (counts + 1.0) / (counts.sum() + len(counts))
 
 
-def numbers(text: bytes, known: dict[bytes, int], layout: Layout) -> np.ndarray:
-    """Word numbers of a text and its end; ``known`` remembers those of words met before."""
-    words = text.lower().split()
-    if len(known) > 4 * HEAD:
-        known.clear()
-    for word in set(words).difference(known):
-        known[word] = layout.number(word)
-    row = np.zeros(len(words) + 1, np.int64)
-    row[:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return row
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word``, ``c``: lower-cased words and ends of all texts."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
 
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+
+        for batch in slices(batches, "text"):
+            for text in byte_texts(batch.column("text")):
+                counts.update(text.lower().split())
+                if len(counts) > COUNTED:
+                    yield sent()
+                    counts.clear()
+            counts[b""] += batch.num_rows
+        if counts:
+            yield sent()
+
+    return texts.mapInArrow(counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-def _averaged(train: DataFrame, model: Model, layout: Layout, class_n, word_n, passes: int, first: bool) -> Model:
-    """The mean of the models that the tasks train from ``model``, each row weighed by how often a task trained it.
 
-    Tasks send blocks of rows, which are added in Spark; the driver gets one model. With ``first`` only one task trains.
+def _sections(values: dict[str, np.ndarray]) -> list[tuple[str, int]]:
+    """Blocks of rows of all tables, in order."""
+    return [(name, start) for name, v in values.items() for start in range(0, len(v), BLOCK)]
+
+
+def fit(numbered: DataFrame, layout: Layout, word_n: np.ndarray, shard: int = SHARD, passes: int = PASSES) -> Model:
+    """The mean of the models that shards train on all trigrams of ``numbered(id, ids)``.
+
+    A shard holds about ``shard`` tokens and trains ``passes`` over each chunk of them. Which documents it holds, and their
+    order, follows from their ids alone. The driver gets one model.
     """
-    shared = train.sparkSession.sparkContext.broadcast((model.values, layout, class_n, word_n))
+    shares, total = layout.shares(word_n), int(word_n.sum())
+    start = Model.start(shares)
+    if not total:
+        return start
+    shared = numbered.sparkSession.sparkContext.broadcast((start.values, layout, shares))  # 13 MB, and the words
+    shards = max(1, round(total / shard))
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        if first and task:
-            return
-        values, layout, class_n, word_n = shared.value
-        trainer = Trainer(Model(values), smoothed_shares(class_n), smoothed_shares(word_n), layout.classes)
-        known: dict[bytes, int] = {}
+        values, layout, shares = shared.value
+        trainer, own = None, -1
         held, size, turn = [], 0, 0
 
         def chunk() -> None:
-            trainer.train(np.concatenate([np.zeros(2, np.int64), *held]), passes, SEED + task * 100_003 + turn * PASSES)
-
-        for batch in slices(batches, "text"):
-            for text in byte_texts(batch.column("text")):
-                held.append(numbers(text, known, layout))
+            trainer.train(np.concatenate([np.zeros(2, np.int32), *held]), passes, (SEED, own, turn))
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for block, (name, start) in enumerate(_sections(trainer.model.values)):
+                value = trainer.model.values[name][start : start + BLOCK].astype(np.float64)
+                weight = trainer.seen[name][start : start + BLOCK, None].astype(np.float64)
+                if weight.any():
+                    sums = np.column_stack([value * weight, weight]).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int32()), pa.array([own % SALTS], pa.int32()), pa.array([sums.tobytes()], pa.binary()),
+                         pa.array([own], pa.int32())], ["block", "salt", "sums", "shard"])
+
+        for batch in batches:
+            for shard, ids in zip(batch.column("shard").to_pylist(), batch.column("ids"), strict=True):
+                if shard != own:
+                    if trainer and held:
+                        chunk()
+                        yield from sent()
+                    trainer, own = Trainer(Model(values), layout, shares), shard
+                    held, size, turn = [], 0, 0
+                held.append(np.frombuffer(ids.as_buffer(), np.int32))
                 size += len(held[-1])
                 if size >= CHUNK:
                     chunk()
-                    held, size, turn = [], 0, turn + 1
-        if held:
+                    held, size, turn = [held[-1][-1:]], 0, turn + 1  # an end, so that what is left is never empty
+        if trainer and held:
             chunk()
-        if not trainer.seen["c"][0]:
-            return
-        for name, value in trainer.model.values.items():
-            weight = trainer.seen[name] + 0.01
-            for start in range(0, len(value), BLOCK):
-                part = slice(start, start + BLOCK)
-                sums = np.column_stack([value[part] * weight[part, None], weight[part]]).ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([start]), pa.array([sums], pa.list_(pa.float64()))], ["name", "start", "sums"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total = sum(chunk.flatten().to_numpy().reshape(len(chunk), -1).sum(0) for chunk in table.column("sums").chunks if len(chunk))
-        return table.slice(0, 1).select(["name", "start"]).append_column("sums", pa.array([total], pa.list_(pa.float64())))
-
-    schema = "name string, start long, sums array<double>"
-    got = train.mapInArrow(trained, schema).groupBy("name", "start").applyInArrow(added, schema).toArrow()
-    out = model.copy()
-    for name, start, sums in zip(*(got.column(c) for c in ("name", "start", "sums")), strict=True):
-        value, start = out.values[name.as_py()], start.as_py()
-        table = sums.values.to_numpy().reshape(-1, value.shape[1] + 1)
-        value[start : start + len(table)] = table[:, :-1] / table[:, -1:]
+            yield from sent()
+
+    shard_of = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    dealt = numbered.withColumn("shard", shard_of).repartition(shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("ids"))
+    parts = dealt.select("shard", "ids").mapInArrow(trained, f"{SUMS}, shard int")
+    out, sections = start.copy(), _sections(start.values)
+    for row in added_blocks(parts, np.float32, ["shard"]).collect():  # one model
+        name, first = sections[row["block"]]
+        value = out.values[name]
+        table = np.frombuffer(row["sums"], np.float32).reshape(-1, value.shape[1] + 1)
+        met = table[:, -1] > 0
+        value[first : first + len(table)][met] = table[met, :-1] / table[met, -1:]
     return out
 
 
-def fit(train: DataFrame, layout: Layout, class_n: np.ndarray, word_n: np.ndarray) -> Model:
-    """Train on all trigrams of the training texts, in tasks of at least ``SHARD`` tokens.
-
-    One task trains first, so that the others start from the same trained model and their mean keeps what each learns.
-    """
-    model, total = Model.start(smoothed_shares(class_n), smoothed_shares(word_n)), int(word_n.sum())
-    if not total:
-        return model
-    passes = max(1, min(PASSES, VISITS // total))
-    shards = train.coalesce(max(1, total // SHARD))
-    model = _averaged(shards, model, layout, class_n, word_n, passes, True)
-    return model if total < 2 * SHARD else _averaged(shards, model, layout, class_n, word_n, passes, False)
-
-
 def score(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, shard: int = SHARD, passes: int = PASSES,
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
@@ -313,19 +358,15 @@ def score(
     Null texts are empty ones, and score their end. Words that no training text has share the mass of one
     unknown word, in the base score and in their group. Null ids are held out. Every row is scored alone, so
     rows that repeat an id get a row each. Without training texts the classes are equally likely. Ties in
-    frequency go to the smaller word. Tasks train on their own texts, so the model, but not the base score,
-    depends on how the texts are split.
+    frequency go to the smaller word. The model follows from the ids and texts, however the files are split.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = rows.where(~held_out(F.col("id"))).select("text")
-    tokens = F.concat(word_array(lower_ascii(F.col("text"))), F.array(F.lit(END)))
-    counts = write_through(
-        train.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("c")))
+    counts = write_through(word_counts(rows.where(~held_out(F.col("id"))).select("text")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = most_frequent(counts.where(F.col("word") != END), head)
     vocabulary = [row["word"].encode() for row in frequent[:VOCABULARY] if row["c"] >= LEAST_COUNT]
     layout, most = Layout(vocabulary), len(vocabulary)
-    words = {row["word"].encode(): k for k, row in enumerate(frequent)}
+    heads = [row["word"].encode() for row in frequent]
     c = np.array([row["c"] for row in frequent], np.float64)
     # words beyond the vocabulary are counted by group: all of the group, less the vocabulary
     by_group = counts.where(F.col("word") != END).groupBy(_group_column(F.col("word")).alias("g")).agg(
@@ -334,58 +375,69 @@ def score(
     for row in by_group:
         rest_n[row["g"]], rest_v[row["g"]] = row["n"], row["v"]
     ends = train_ends(counts) if total else 0
-    of = np.array([group_of(word) - 1 - SINGLES for word in words], np.int64)
+    of = np.array([group_of(word) - 1 - SINGLES for word in heads], np.int64)
     np.subtract.at(rest_n, of[:most], c[:most].astype(np.int64))
     np.subtract.at(rest_v, of[:most], 1)
     word_n = np.concatenate([[ends], c[:most], rest_n]).astype(np.int64)
-    class_n = np.bincount(layout.classes, word_n, CLASSES)
-    model = fit(train, layout, class_n, word_n)
-    shared = docs.sparkSession.sparkContext.broadcast((model.values, layout))
 
     base_whole = total + ADDED * (distinct + 1)
     rest_whole = rest_n + ADDED * (rest_v + 1)
     base_log = lambda c: np.log10((c + ADDED) / base_whole)
     head_base = base_log(c) if len(c) else c
     head_own = np.where(np.arange(len(c)) < most, 0.0, np.log10((c + ADDED) / rest_whole[of])) if len(c) else c
-    number = np.where(np.arange(len(c)) < most, 1 + np.arange(len(c)), layout.size + of)
-    end_base = float(base_log(ends))
+    number = np.where(np.arange(len(c)) < most, 1 + np.arange(len(c)), layout.size + of).astype(np.int32)
+    end_base, size = float(base_log(ends)), layout.size
+    known_words = docs.sparkSession.sparkContext.broadcast((heads, number, head_base, head_own))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, layout = shared.value
-        model = Model(values)
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, number, head_base, head_own = known_words.value
+        words = {w: k for k, w in enumerate(heads)}
         for batch in slices(batches, "text", SCORED_BYTES):
-            out, texts = [], []
+            out = []
             for text in byte_texts(batch.column("text")):
                 parts = text.lower().split()
-                at = np.fromiter((words.get(w, -1) for w in parts), np.int64, len(parts))
-                row = np.zeros(len(parts) + 3, np.int64)
+                at = np.fromiter((words.get(w, -1) for w in parts), np.int32, len(parts))
+                row = np.zeros(len(parts) + 1, np.int32)
                 known = at >= 0
                 if len(parts):
-                    row[2:-1][known] = number[at[known]]
+                    row[:-1][known] = number[at[known]]
                 rare: dict[bytes, int] = {}
                 for k in np.flatnonzero(~known):
                     word = parts[k]
-                    row[2 + k] = layout.number(word)
+                    row[k] = size + group_of(word) - 1 - SINGLES
                     rare[word] = rare.get(word, 0) + 1
-                texts.append(row)
                 out.append((
                     len(parts) + 1, int(known.sum()) + (1 if total else 0), float(head_base[at[known]].sum()) + end_base,
-                    float(head_own[at[known]].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()],
+                    float(head_own[at[known]].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()], row.tobytes(),
                 ))
-            columns = list(zip(*out, strict=True))
-            each = log10_tokens(model, layout, *(
-                np.concatenate([row[k : len(row) - 2 + k] for row in texts]) for k in range(3)))
-            starts = np.cumsum([0, *columns[0][:-1]])
-            columns[3] = np.array(columns[3]) + np.add.reduceat(each, starts)
-            new = [pa.array(v, t) for v, t in zip(columns, PARTIAL.values(), strict=True)]
+            new = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), PARTIAL.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *new], ["id", *PARTIAL])
 
     schema = T.StructType([rows.schema["id"], *(
         T.StructField(n, t) for n, t in (
             ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("own", T.DoubleType()),
             ("rare", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("times", T.LongType())]))),
+            ("ids", T.BinaryType()),
         ))])
-    partial = write_through(rows.mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()))
+    partial = write_through(rows.mapInArrow(turned, schema).withColumn("row", F.monotonically_increasing_id()))
+    model = fit(partial.where(~held_out(F.col("id"))).select("id", "ids"), layout, word_n, shard, passes)
+    shared = docs.sparkSession.sparkContext.broadcast((model.values, layout))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, layout = shared.value
+        model = Model(values)
+        for batch in slices(batches, "ids", 4 * SCORED):
+            lists = [np.frombuffer(ids.as_buffer(), np.int32) for ids in batch.column("ids")]
+            edge = np.zeros(2, np.int32)
+            each = [np.concatenate([edge, ids]) for ids in lists]
+            found = log10_tokens(model, layout, *(
+                np.concatenate([row[k : len(row) - 2 + k] for row in each]) for k in range(3)))
+            starts = np.cumsum([0, *(len(ids) for ids in lists[:-1])])
+            own = batch.column("own").to_numpy() + np.add.reduceat(found, starts)
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in KEPT] + [pa.array(own)], [*KEPT, "own"])
+
+    whole_rows = partial.select(*KEPT, "own", "ids").mapInArrow(
+        scored, T.StructType([*(partial.schema[n] for n in KEPT), T.StructField("own", T.DoubleType())]))
     rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     counted = rare.join(counts, "word", "left").select(
         "row", "times", F.coalesce("c", F.lit(0)).alias("c"), _group_column(F.col("word")).alias("g"))
@@ -395,7 +447,7 @@ def score(
         F.sum(F.col("times") * F.log10((F.col("c") + ADDED) / F.lit(float(base_whole)))).alias("more_base"),
         F.sum(F.col("times") * F.log10((F.col("c") + ADDED) / whole)).alias("more_own"),
     )
-    joined = partial.drop("rare").join(sums, "row", "left")
+    joined = whole_rows.join(sums, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return joined.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens",
@@ -410,5 +462,6 @@ def train_ends(counts: DataFrame) -> int:
 
 PARTIAL = {
     "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "own": pa.float64(),
-    "rare": pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())])),
+    "rare": pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())])), "ids": pa.binary(),
 }
+KEPT = ["row", "id", "n_tokens", "n_known", "base"]

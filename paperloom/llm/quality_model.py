@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from paperloom.llm.common import byte_texts, slices
+from paperloom.llm.common import SUMS, added_blocks, byte_texts, slices, sums_batch
 from paperloom.session import write_through
 
 # fixed values of the split and the verdict
@@ -83,28 +83,6 @@ def neighbour_sums(tokens: np.ndarray, places: np.ndarray, signs: np.ndarray) ->
     return sums.reshape(ROWS, WIDTH), np.bincount(tokens, minlength=ROWS)
 
 
-SUMS = "block int, salt int, sums binary"
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per key of rows that come sorted by it; holds one sum."""
-    key, total = None, None
-    row = lambda: pa.RecordBatch.from_arrays(
-        [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "salt", "sums"])
-    for batch in batches:
-        for k in range(batch.num_rows):
-            now = (batch.column("block")[k].as_py(), batch.column("salt")[k].as_py())
-            part = np.frombuffer(batch.column("sums")[k].as_py(), np.int64)
-            if now == key:
-                total += part
-                continue
-            if key is not None:
-                yield row()
-            key, total = now, part.copy()
-    if key is not None:
-        yield row()
-
-
 def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Unit word vectors less their mean, and a weight, for every row of the vocabulary.
 
@@ -135,15 +113,10 @@ def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for block in range(ROWS // BLOCK):
             part = whole[block * BLOCK : (block + 1) * BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([part.tobytes()], pa.binary())],
-                    ["block", "salt", "sums"])
+                yield sums_batch(block, salt, part)
 
-    parts = texts.mapInArrow(counted, SUMS)
-    parts = parts.repartition("block", "salt").sortWithinPartitions("block", "salt").mapInArrow(_added, SUMS)
-    parts = parts.withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block").mapInArrow(_added, SUMS)
     whole = np.zeros((ROWS, WIDTH + 1))
-    for row in parts.collect():  # the vocabulary's rows, whatever the corpus
+    for row in added_blocks(texts.mapInArrow(counted, SUMS), np.int64, []).collect():  # the vocabulary's rows, whatever the corpus
         whole[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["sums"], np.int64).reshape(BLOCK, -1)
     counts, sums = whole[:, 0].copy(), whole[:, 1:]
     counts[0] = 0

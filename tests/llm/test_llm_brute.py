@@ -1,15 +1,17 @@
 """Queries that SQL can't express against plain versions, on whole small tables."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from paperloom.llm import embedding_dedup, licenses, mixing, pieces, sharding, simhash, substrings
+from paperloom.llm import embedding_dedup, licenses, lm_scoring, mixing, pieces, sharding, simhash, substrings
 from paperloom.llm.queries import QUERIES
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -76,6 +78,54 @@ def test_lm_query(spark):
     assert sum(row["score"] for row in held) > sum(row["base_score"] for row in held)
 
 
+def test_lm_scores_follow_from_ids_and_texts_alone(spark):
+    """Equal scores for two ways to split the table, with many shards; and a plain rebuild of them."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = lambda d: sorted((r["doc_id"], r["score"], r["base_score"]) for r in lm_scoring.score(d, shard=20_000).collect())
+    one, other = rows(docs.coalesce(1)), rows(docs.orderBy(F.desc("doc_id")).repartition(7))
+    assert np.allclose(one, other, rtol=1e-9)
+    # the same shards, trained one after the other and averaged
+    texts = {r["doc_id"]: brute.words(r["text"]) for r in docs.collect()}
+    learned = {d: [w.lower() for w in ws] for d, ws in texts.items() if zlib.crc32(str(d).encode()) % 10}
+    counts = Counter(w for ws in learned.values() for w in ws)
+    vocabulary = sorted((w for w in counts if counts[w] >= lm_scoring.LEAST_COUNT), key=lambda w: (-counts[w], w))
+    layout = lm_scoring.Layout(vocabulary)
+    ids = {d: np.array([layout.number(w) for w in ws] + [0], np.int32) for d, ws in learned.items()}
+    word_n = np.bincount(np.concatenate(list(ids.values())), minlength=len(layout.classes))
+    shares = layout.shares(word_n)
+    shards = max(1, round(word_n.sum() / 20_000))
+    of = {r["doc_id"]: r["s"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("s")).collect()}
+    sums = weights = None
+    for shard in range(shards):
+        trainer = lm_scoring.Trainer(lm_scoring.Model.start(shares), layout, shares)
+        mine = [ids[d] for d in sorted(ids) if of[d] == shard]
+        trainer.train(np.concatenate([np.zeros(2, np.int32), *mine]), lm_scoring.PASSES, (lm_scoring.SEED, shard, 0))
+        seen = {k: v[:, None].astype(float) for k, v in trainer.seen.items()}
+        value = {k: v.astype(float) * seen[k] for k, v in trainer.model.values.items()}
+        sums = value if sums is None else {k: sums[k] + value[k] for k in sums}
+        weights = seen if weights is None else {k: weights[k] + seen[k] for k in weights}
+    assert shards > 3
+    model = lm_scoring.Model.start(shares)
+    for name, v in model.values.items():
+        met = weights[name][:, 0] > 0
+        v[met] = (sums[name][met] / weights[name][met]).astype(np.float32)
+    score = dict((d, s) for d, s, _ in one)
+    rest = Counter(lm_scoring.group_of(w) for w in counts if counts[w] < lm_scoring.LEAST_COUNT)
+    rest_n = Counter()
+    for w in counts:
+        if counts[w] < lm_scoring.LEAST_COUNT:
+            rest_n[lm_scoring.group_of(w)] += counts[w]
+    for d in list(texts)[:40]:
+        ws = [w.lower() for w in texts[d]]
+        row = np.array([0, 0, *(layout.number(w) for w in ws), 0], np.int32)
+        want = lm_scoring.log10_tokens(model, layout, row[:-2], row[1:-1], row[2:]).sum()
+        for w in ws:
+            if w not in layout.words:
+                g = lm_scoring.group_of(w)
+                want += np.log10((counts.get(w, 0) + 0.1) / (rest_n[g] + 0.1 * (rest[g] + 1)))
+        assert score[d] == pytest.approx(want, rel=1e-5)
+
+
 def test_secret_query(spark):
     texts = documents(spark, MORE)
     for row in QUERIES["op6_secret_scan"](spark, MORE).collect():
