@@ -33,8 +33,8 @@ GROUPS = CLASSES - 1 - SINGLES
 #: words whose counts travel with the tasks; the counts of all others are joined
 HEAD = 100_000
 HEAD_PARTS = 8
-#: words with vectors of their own: those with so many training tokens, up to a bound (a model of 13 MB)
-LEAST_COUNT, VOCABULARY = 5, 65_536
+#: words with vectors of their own: those with so many training tokens, up to a bound (a model of 13 MB, numbers of 16 bits)
+LEAST_COUNT, VOCABULARY, NUMBER = 5, 65_000, np.uint16
 #: model: width, noise samples per batch, examples per batch, learning rate, passes over a chunk
 WIDTH, NOISE, BATCH, RATE, PASSES = 24, 64, 512, 0.1, 1
 #: tokens that a task trains on at once; tokens of a shard; first sums per block of rows; rows that are added together
@@ -326,7 +326,7 @@ def fit(numbered: DataFrame, layout: Layout, word_n: np.ndarray, shard: int = SH
                         yield from sent()
                     trainer, own = Trainer(Model(values), layout, shares), shard
                     held, size, turn = [], 0, 0
-                held.append(np.frombuffer(ids.as_buffer(), np.int32))
+                held.append(np.frombuffer(ids.as_buffer(), NUMBER).astype(np.int32))
                 size += len(held[-1])
                 if size >= CHUNK:
                     chunk()
@@ -336,7 +336,8 @@ def fit(numbered: DataFrame, layout: Layout, word_n: np.ndarray, shard: int = SH
             yield from sent()
 
     shard_of = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    dealt = numbered.withColumn("shard", shard_of).repartition(shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("ids"))
+    # by range: by hash, several shards would meet in one task
+    dealt = numbered.withColumn("shard", shard_of).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("ids"))
     parts = dealt.select("shard", "ids").mapInArrow(trained, f"{SUMS}, shard int")
     out, sections = start.copy(), _sections(start.values)
     for row in added_blocks(parts, np.float32, ["shard"]).collect():  # one model
@@ -408,7 +409,7 @@ def score(
                     rare[word] = rare.get(word, 0) + 1
                 out.append((
                     len(parts) + 1, int(known.sum()) + (1 if total else 0), float(head_base[at[known]].sum()) + end_base,
-                    float(head_own[at[known]].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()], row.tobytes(),
+                    float(head_own[at[known]].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()], row.astype(NUMBER).tobytes(),
                 ))
             new = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), PARTIAL.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *new], ["id", *PARTIAL])
@@ -426,10 +427,10 @@ def score(
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, layout = shared.value
         model = Model(values)
-        for batch in slices(batches, "ids", 4 * SCORED):
-            lists = [np.frombuffer(ids.as_buffer(), np.int32) for ids in batch.column("ids")]
-            edge = np.zeros(2, np.int32)
-            each = [np.concatenate([edge, ids]) for ids in lists]
+        for batch in slices(batches, "ids", NUMBER().nbytes * SCORED):
+            lists = [np.frombuffer(ids.as_buffer(), NUMBER) for ids in batch.column("ids")]
+            edge = np.zeros(2, NUMBER)
+            each = [np.concatenate([edge, ids]).astype(np.int32) for ids in lists]
             found = log10_tokens(model, layout, *(
                 np.concatenate([row[k : len(row) - 2 + k] for row in each]) for k in range(3)))
             starts = np.cumsum([0, *(len(ids) for ids in lists[:-1])])
