@@ -53,6 +53,7 @@ BUFFER_TRIGGER = 20
 # --- events ----------------------------------------------------------------
 SOURCES = ["github", "jira", "confluence", "miro"]
 DEBOUNCE_GAP = "5 seconds"
+DEBOUNCE_MS = 5_000
 DECISIONS = ["ASSIGN", "CREATE_NEW"]
 
 # --- patterns ----------------------------------------------------------------

@@ -16,9 +16,11 @@ from paperloom.plans import bindings as B
 from paperloom.plans.classify import classify
 from paperloom.plans.ingest import STATE_SCHEMAS, ingest
 from paperloom.plans.retrieve import respond, retrieve as run_retrieval
-from paperloom.session import cut_lineage, write_through
+from paperloom.session import cut_lineage, scratch_folder, write_through
 from paperloom.sources import deadletter, events, seed
+from paperloom.sources.buckets import BucketedTable
 from paperloom.sources.tables import load, spread, vector_table
+from paperloom.streaming import events as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -717,6 +719,21 @@ def regroup_affected(spark, sf):
     return tables.regrouped(state["documents"], batch["documents"], after["segments"])
 
 
+@query
+def stored_state(spark, sf):
+    """Documents kept as changes by bucket: all of them, then what labels move or drop, then one language again."""
+    rows = load(spark, sf, "documents").select("doc_id", F.col("source").alias("group_id"), "lang")
+    labels = load(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    table = BucketedTable(scratch_folder(spark), "doc_id bigint, group_id string, lang string", ("doc_id",), "doc_id", 32)
+    table.write(rows, 0)
+    judged = rows.join(labels, "doc_id")
+    moved = judged.where("quality = 1").withColumn("group_id", F.when(F.col("toxic") == 1, "flagged").otherwise(F.col("group_id")))
+    table.write(moved, 1, judged)
+    table.fold(spark, 1)
+    table.write(rows.where("lang = 'de'").withColumn("group_id", F.lit("de")), 2)
+    return table.current(spark).select("doc_id", "group_id", "version")
+
+
 @query
 def seed_load(spark, sf):
     """Documents as seed rows: id, path and the content with its header lines."""
@@ -873,6 +890,20 @@ def change_gate(spark, sf):
     return passed.select("event_id", "user_id", "event_type")
 
 
+@query
+def change_gate_batches(spark, sf):
+    """The change gate over four batches of a stream, each of which knows only the last kinds before it."""
+    rows = _timed_events(spark, sf)
+    cuts = rows.agg(F.expr("percentile_approx(unix_micros(ts), array(0.25, 0.5, 0.75))")).first()[0] or []
+    last, out = live.last_hashes(scratch_folder(spark), 16), None
+    for version, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = rows if lo is None else rows.where(F.unix_micros("ts") >= lo)
+        part = part if hi is None else part.where(F.unix_micros("ts") < hi)
+        passed = live.gate_batch(part, last, version, "user_id", ["ts", "event_id"], ["event_type"], bucket=_day())
+        out = passed if out is None else out.unionByName(passed)
+    return out.select("event_id", "user_id", "event_type")
+
+
 def _turn_block() -> Column:
     return F.floor(F.col("turn") / 1000)
 

@@ -731,6 +731,9 @@ FROM events""")
 _sql("change_gate", "", """
 SELECT event_id, user_id, event_type FROM events
 QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)""")
+_sql("change_gate_batches", "", """
+SELECT event_id, user_id, event_type FROM events
+QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)""")
 _sql("readme_gate", "", """
 SELECT doc_id, source, md5(old_text) AS old_md5
 FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY source ORDER BY doc_id), '') AS old_text FROM documents)
@@ -856,6 +859,12 @@ SELECT d.group_id, d.doc_count, coalesce(p.n, 0) AS proto_count, CAST(0 AS BIGIN
 FROM (SELECT source AS group_id, count(*) AS doc_count FROM documents GROUP BY source) d
 LEFT JOIN (SELECT group_id, count(DISTINCT cluster) AS n FROM {_ingested} GROUP BY group_id) p USING (group_id)""")
 
+_sql("stored_state", "", """
+SELECT d.doc_id, CASE WHEN lang = 'de' THEN 'de' WHEN toxic = 1 THEN 'flagged' ELSE source END AS group_id,
+       CASE WHEN lang = 'de' THEN 2 WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END AS version
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+WHERE lang = 'de' OR l.doc_id IS NULL OR quality = 1""")
+
 _sql("seed_load", "", """
 SELECT source || ':' || doc_id || '.md' AS doc_id, doc_id || '.md' AS doc_path, source AS group_id,
        'Document ' || doc_id AS title,

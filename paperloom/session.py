@@ -59,25 +59,32 @@ def write_through(df: DataFrame) -> DataFrame:
     with ``release``.
     """
     spark = df.sparkSession
+    path = scratch_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, deleted as ``write_through`` says."""
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4()}"
-    folder, store = _stored(spark, path)
+    folder, store = stored_path(spark, path)
     store.deleteOnExit(folder)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far; results that still read them must be stored before."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        folder, store = _stored(spark, path)
+        folder, store = stored_path(spark, path)
         store.delete(folder, True)
 
 
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def _stored(spark: SparkSession, path: str):
+def stored_path(spark: SparkSession, path: str):
+    """A path and the file system that holds it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 

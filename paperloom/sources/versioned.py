@@ -1,9 +1,9 @@
 """Tables as folders of row versions: a batch adds its rows and rewrites nothing.
 
 ``root/batch=N`` holds the rows of batch N, marked with their ``version``.  A row is
-current when no later batch wrote its key, so replacing a document costs as much as the
-batch, not the table.  Repeating a batch overwrites its own folder.  ``write_base`` folds
-the history into one folder now and then, so that readers open few folders.
+current when no later batch wrote its key, so replacing a row costs as much as the
+batch, not the table.  Repeating a batch overwrites its own folder.  For tables that grow with
+their history (results of a stream); tables that a stream reads back are ``sources.buckets``.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,21 +16,11 @@ def append_version(df: DataFrame, root: str, version: int) -> None:
     marked.write.mode("overwrite").parquet(f"{root}/batch={version}")
 
 
-def write_base(rows: DataFrame, root: str, version: int) -> None:
-    """Keep only ``rows``, with the versions they have, for all batches up to ``version``."""
-    rows.write.mode("overwrite").parquet(f"{root}/base={version}")
-
-
 def all_versions(
     spark: SparkSession, root: str, schema: str, before: int | None = None
 ) -> DataFrame:
-    """Rows of the newest base and of every later batch (before one), with ``version``."""
-    def done(kind: str) -> list[int]:
-        return [v for v in versions(spark, root, kind) if before is None or v < before]
-
-    base = max(done("base"), default=None)
-    paths = [] if base is None else [f"{root}/base={base}"]
-    paths += [f"{root}/batch={v}" for v in done("batch") if base is None or v > base]
+    """Rows of every batch (before one), with ``version``."""
+    paths = [f"{root}/batch={v}" for v in versions(spark, root, "batch") if before is None or v < before]
     typed = f"{schema}, version int"
     if not paths:
         return spark.createDataFrame([], typed)

@@ -1,14 +1,19 @@
 """Stored tables, ingest and streams."""
 
 import json
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import embedding, tables
 from paperloom.plans.classify import classify
 from paperloom.plans.ingest import STATE_SCHEMAS, ingest, summary
+from paperloom.session import write_through
 from paperloom.sources import events, seed, versioned
+from paperloom.sources.buckets import BucketedTable
+from paperloom.sources.snapshots import versions
 from paperloom.streaming import events as live, ingest as flow
 
 DIM = 32
@@ -153,8 +158,8 @@ def test_change_gate_stream(spark, tmp_path):
         time.sleep(0.02)
     stream = spark.readStream.schema("key string, at int, value string").option(
         "maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    gated = live.change_gate_stream(stream, "key", ["at"], ["value"])
-    query = live.table_sink(gated, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query = live.change_gate_stream(
+        stream, "key", ["at"], ["value"], str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp"), bucket=F.floor(F.col("at") / 10), fold_every=2)
     assert query.awaitTermination(180)
     got = {(r.key, r["at"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("k", 0), ("k", 2), ("k", 11), ("k", 22), ("j", 0)}
@@ -209,9 +214,152 @@ def test_ingest_stream(spark, tmp_path):
         return {n: sorted(map(str, t.collect())) for n, t in state.items()}
 
     before = content(state)
-    flow.compact(spark, root, 1)
-    assert versioned.versions(spark, f"{root}/chunks", "base") == [1]
-    assert content(flow.read_state(spark, root)) == before
+    for _ in range(2):
+        flow.compact(spark, root, 1)
+        assert versions(spark, f"{root}/chunks", "base") == [1]
+        assert content(flow.read_state(spark, root)) == before
     again = spark.createDataFrame(batches[1], DOCUMENT)
     flow.ingest_batch(again, root, 1, EMBED, DIM, fingerprints=none, decisions=none)
     assert {r.doc_id for r in flow.read_state(spark, root)["documents"].collect()} == set(docs)
+
+
+def _content(state):
+    return {n: sorted(map(str, t.collect())) for n, t in state.items()}
+
+
+def test_every_batch_may_run_twice(spark, tmp_path):
+    """Batches, folds among them, run once or twice: equal tables, those of the whole state kept in memory, few folders."""
+    rng = random.Random(3)
+    none = spark.createDataFrame([], RESPONSES)
+    batches = []
+    for k in range(5):
+        ids = rng.sample(range(8), 3)
+        topic = lambda i: "alpha" if (i + k) % 3 else "beta"  # noqa: B023, E731
+        batches.append([_document(f"d{i}", _text(topic(i), i + 7 * k) if i else "tiny", project=topic(i)) for i in ids])
+    # groups of the documents that are known stay; these move by an agent's decision
+    roots = [str(tmp_path / n) for n in ("once", "twice")]
+    for root, times in zip(roots, (1, 2), strict=True):
+        for k, rows in enumerate(batches):
+            for _ in range(times):
+                if k and k % 2 == 0:
+                    flow.compact(spark, root, k - 1, 4)
+                flow.ingest_batch(
+                    spark.createDataFrame(rows, DOCUMENT), root, k, EMBED, DIM, fingerprints=none, decisions=none, min_docs=2, buckets=4)
+    once, twice = (_content(flow.read_state(spark, root, buckets=4)) for root in roots)
+    assert once == twice and len(once["documents"]) == len({r[0] for b in batches for r in b})
+    for root in roots:
+        assert versions(spark, f"{root}/segments", "base") == [1, 3]
+        assert versions(spark, f"{root}/segments", "batch") == [2, 3, 4]  # the first fold's batches went with the second
+
+
+def test_stream_state_is_that_of_the_batch_job(spark, tmp_path):
+    """Documents that move between groups: counts, prototypes and buffer as ``ingest`` keeps them."""
+    root, tables_ = str(tmp_path / "s"), flow.state_tables(str(tmp_path / "s"), 4)
+    state = {**_empty(spark), "groups": _groups(spark, ["a", "b"])}
+    tables_["groups"].write(state["groups"], 0)
+    for name in ("documents", "chunks", "segments", "prototypes", "cache"):
+        tables_[name].write(state[name], 0)
+    from paperloom.plans.ingest import ingest_changes
+    steps = [[(f"d{i}", "a", _text("alpha", i)) for i in range(3)] + [("solo", "b", _text("beta", 1))],
+             [("solo", "a", _text("alpha", 9)), ("d0", "b", "tiny text")], [("d0", "a", "tiny again")]]
+    for v, rows in enumerate(steps, 1):
+        batch = _batch(spark, rows)
+        seen = flow.read_state(spark, root, v, 4)
+        old = seen["documents"].join(batch.select("doc_id"), "doc_id", "left_semi").select("group_id", "doc_id")
+        changes = ingest_changes(batch, seen, EMBED, DIM, min_docs=2)
+        pairs = batch.select("group_id", "doc_id").unionByName(old).distinct()
+        for name, keys in (("chunks", batch), ("segments", pairs), ("documents", batch),
+                           ("prototypes", changes["recomputed"].unionByName(changes["emptied"]))):
+            tables_[name].write(changes[name], v, keys)
+        state = ingest(batch, state, EMBED, DIM, min_docs=2)
+        stored = flow.read_state(spark, root, buckets=4)
+        for name in ("documents", "chunks", "segments", "prototypes", "buffer"):
+            assert _content({name: stored[name]}) == _content({name: state[name].select(stored[name].columns)}), (v, name)
+    assert _counts({"groups": flow.with_counts(stored)}) == _counts(state)
+
+
+def test_a_batch_opens_only_its_buckets(spark, tmp_path):
+    table = BucketedTable(str(tmp_path / "t"), "doc_id string, x int", ("doc_id",), "doc_id", 64)
+    table.write(spark.range(5000).selectExpr("cast(id as string) AS doc_id", "cast(id as int) AS x"), 0)
+    table.fold(spark, 0)
+    table.write(spark.range(0, 5000, 50).selectExpr("cast(id as string) AS doc_id", "-1 AS x"), 1)
+    asked = spark.createDataFrame([(str(k),) for k in range(0, 100, 10)], "doc_id string")
+    mine = table.buckets_of(asked)
+    found = table.current(spark, 2, mine)
+    opened = {f.split("/bucket=64-")[1].split("/")[0] for f in found.inputFiles()}
+    assert opened == {str(b) for b in mine} and len(mine) <= 10
+    got = {r.doc_id: r.x for r in found.join(asked, "doc_id", "left_semi").collect()}
+    assert got == {str(k): -1 if k % 50 == 0 else k for k in range(0, 100, 10)}
+    assert table.current(spark).count() == 5000
+
+
+def test_buckets_forget_what_is_gone(spark, tmp_path):
+    table = BucketedTable(str(tmp_path / "t"), "g string, d string, x int", ("g", "d"), "g", 3)
+    rows = lambda *r: spark.createDataFrame(list(r), "g string, d string, x int")
+    keys = lambda *r: spark.createDataFrame(list(r), "g string, d string")
+    everything = lambda: {(r.g, r.d, r.x, r.version) for r in table.current(spark).collect()}
+    assert everything() == set()
+    table.write(rows(("a", "1", 1), ("a", "1", 2), ("a", "2", 3), ("b", "3", 4)), 0)
+    table.fold(spark, 0)
+    table.write(rows(("b", "1", 9)), 1, keys(("a", "1"), ("b", "1")))
+    want = {("a", "2", 3, 0), ("b", "3", 4, 0), ("b", "1", 9, 1)}
+    assert everything() == want
+    table.fold(spark, 1)
+    table.fold(spark, 1)
+    assert everything() == want
+    table.write(rows(), 2, keys(("a", "2"), ("b", "1"), ("b", "3")))
+    assert everything() == set()
+    table.fold(spark, 2)
+    assert everything() == set()
+    assert {(r.g, r.d) for r in table.current(spark, 2).collect()} == {("a", "2"), ("b", "3"), ("b", "1")}
+    with pytest.raises(ValueError):
+        BucketedTable(table.root, table.schema, table.key, "g", 5).current(spark)
+
+
+def test_gate_of_batches_is_the_gate_of_all_rows(spark, tmp_path):
+    """A hot key with many rows, null keys, a batch that runs twice."""
+    rows = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 3 < 2 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('k', id % 50) END AS key",
+        "cast(id as int) AS at", "cast(floor(id / 5) * 7919 % 3 as int) AS value", "repeat('x', 50) AS payload")
+    last, passed = live.last_hashes(str(tmp_path), 4), None
+    for v, (lo, hi) in enumerate([(0, 25_000), (25_000, 25_001), (25_001, 60_000)]):
+        part = rows.where(f"at >= {lo} AND at < {hi}")
+        for _ in range(2):
+            got = live.gate_batch(part, last, v, "key", ["at"], ["value"], bucket=F.floor(F.col("at") / 1000)).drop("content_hash")
+            stored = write_through(got)  # as a stream does: two folds later its state is gone
+        passed = stored if passed is None else passed.unionByName(stored)
+        last.fold(spark, v)
+    from paperloom.operators.changes import change_gate
+    want = change_gate(rows, ["key"], ["at"], ["value"], bucket=F.floor(F.col("at") / 1000)).drop("content_hash")
+    assert passed.exceptAll(want).count() == want.exceptAll(passed).count() == 0 and want.count() > 1000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not [line for line in plan.splitlines() if "Window [" in line and "payload" in line]
+
+
+def test_a_quiet_streams_last_burst_is_sent(spark, tmp_path):
+    """One burst and nothing after it; a restart between the event and its timer loses nothing."""
+    line = lambda p, s: {"key": "k", "ts": f"2024-01-01T00:00:{s:02d}.000Z", "payload": p}
+    _write_lines(tmp_path / "in", "0.json", [line("B", 2), line("A", 0), line("C", 30)])
+    stream = spark.readStream.schema("key string, ts timestamp, payload string").json(str(tmp_path / "in"))
+
+    def run(until, gap_ms=4000):
+        sent = live.debounce_timers(stream, "key", "ts", "payload", gap_ms=gap_ms)
+        query = live.table_sink(sent, str(tmp_path / "out"), str(tmp_path / "cp"), {"processingTime": "500 milliseconds"})
+        got = set()
+        try:
+            for _ in range(240):
+                time.sleep(0.5)
+                if query.exception():
+                    raise query.exception()
+                done = list((tmp_path / "out").glob("*.parquet"))
+                got = {(r.payload, r.n) for r in spark.read.schema("key string, payload string, n long").parquet(
+                    str(tmp_path / "out")).collect()} if done else set()
+                if until(got):
+                    break
+        finally:
+            query.stop()
+        return got
+
+    first = run(lambda got: got, gap_ms=20_000)  # A, B by their times; C waits for its timer
+    assert first == {("B", 2)}
+    assert run(lambda got: len(got) > 1) == {("B", 2), ("C", 1)}
