@@ -11,7 +11,9 @@ reads, and no (query, row) pair list is ever built.
   queries are scanned in place; else blocks of queries meet blocks of stored rows, dealt by
   row number, and the k best rows of every block are merged per query.
 * With a scope a batch reads only the groups its queries may see, and a task compares a
-  group with the queries that may see it.
+  group with the queries that may see it.  More queries are exploded by group and joined with the
+  stored rows of theirs: a group is cut into as many blocks as its two counts ask for, small groups
+  share a task, and a group that nobody may see is never shuffled.
 
 Similarity is rounded to six decimals before ranking and ties go to the smaller
 key, so the result does not depend on the partitioning.
@@ -37,6 +39,7 @@ BATCH_BYTES = 64 << 20           # vectors of one batch of queries
 BATCH_FILL = 0.8                 # batches are dealt by hash, so they aim below their bound
 MOST_BATCHES = 8                 # together they hold no more than BATCH_BYTES
 BLOCK_HITS = 4_000_000           # hits that a block of queries may hold at once
+BROADCAST_GROUPS = 100_000       # groups whose counts are broadcast; more are joined by a shuffle
 
 
 def _unit_rows(column) -> np.ndarray:
@@ -61,7 +64,7 @@ class _Questions:
             for position, groups in enumerate(table.column(scope).to_pylist()):
                 if groups is None:
                     everywhere.append(position)
-                for group in groups or []:
+                for group in dict.fromkeys(groups or []):
                     listed.setdefault(group, []).append(position)
             self.allowed = {g: np.array(everywhere + p) for g, p in listed.items()}
             self.everywhere = np.array(everywhere, int)
@@ -162,7 +165,7 @@ def _answer(table: pa.Table, questions: _Questions, query_key: str, names: list)
 class QuestionSet:
     """Queries made ready for several searches: broadcast ``batches``, or a ``table`` that stays in Spark.
 
-    A batch holds at most ``broadcast_rows`` queries and about ``BATCH_BYTES`` of vectors. One row
+    A batch holds at most ``broadcast_rows`` queries and about ``batch_bytes`` (``BATCH_BYTES``) of vectors. One row
     more is asked for, which proves that one batch is enough; else the queries are written once and
     counted. Up to ``MOST_BATCHES`` with ``BATCH_BYTES`` in all are dealt by a hash of their key;
     beyond, the driver reads no query.
@@ -170,7 +173,7 @@ class QuestionSet:
 
     def __init__(
         self, queries: DataFrame, *, query_key: str = "query_id", vector: str = "embedding",
-        scope: str | None = None, broadcast_rows: int = 8_192,
+        scope: str | None = None, broadcast_rows: int = 8_192, batch_bytes: int | None = None,
     ):
         asked = queries.where(F.col(vector).isNotNull()).select(
             query_key, as_vector(F.col(vector)).alias("_v"), *([scope] if scope else [])
@@ -184,7 +187,7 @@ class QuestionSet:
 
         first = asked.limit(1).toArrow()
         width = len(first.column("_v")[0]) if first.num_rows else 1
-        self.block_rows = max(1, BATCH_BYTES // (8 * max(1, width)))
+        self.block_rows = max(1, (batch_bytes or BATCH_BYTES) // (8 * max(1, width)))
         most = max(1, min(broadcast_rows, self.block_rows))
         head = asked.limit(most + 1).toArrow()
         if head.num_rows <= most:
@@ -250,6 +253,81 @@ def _search_blocks(queries: QuestionSet, stored: DataFrame, schema: StructType,
     return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(compared, schema)
 
 
+def _search_table(
+    queries: QuestionSet, stored: DataFrame, schema: StructType, how: tuple, k: int, group: str | None
+) -> DataFrame:
+    """Queries that stay in Spark: against a small stored side in place, by group if they have a scope, or by blocks."""
+    head = stored.limit(queries.block_rows + 1).toArrow()
+    if head.num_rows <= queries.block_rows:
+        return _search_in_place(queries, head, schema, how)
+    if queries.scope:
+        return _search_groups(queries, stored, schema, how, k, group)
+    return _search_blocks(queries, stored, schema, how, k)
+
+
+def group_units(asked: DataFrame, stored: DataFrame, group: str, asked_rows: int, stored_rows: int) -> DataFrame:
+    """How the groups that both sides hold are cut: ``_g``, unit ``_u``, and blocks of queries ``_qb`` and of rows ``_sb``.
+
+    A group of one block on either side shares its unit with others; any other group is a unit of ``_qb * _sb`` pairs of blocks.
+    """
+    counts = asked.groupBy("_g").agg(F.count("*").alias("_qn")).join(
+        stored.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_sn")), F.col("_g").eqNullSafe(F.col("_of"))).drop("_of")
+    cut = lambda n, most: F.ceil(F.col(n) / max(1, int(BATCH_FILL * most))).cast("int")
+    sized = write_through(counts.select("_g", "_qn", "_sn", cut("_qn", asked_rows).alias("_qb"), cut("_sn", stored_rows).alias("_sb")))
+    small = (F.col("_qb") == 1) & (F.col("_sb") == 1)
+    asking, held = sized.where(small).agg(F.sum("_qn"), F.sum("_sn")).first()
+    bundles = max(1, math.ceil(2 * (asking or 0) / asked_rows), math.ceil(2 * (held or 0) / stored_rows))
+    bundle = F.pmod(F.xxhash64("_g"), F.lit(bundles))
+    return sized.select(
+        "_g", "_qb", "_sb", F.when(small, bundle).otherwise(bundles + F.monotonically_increasing_id()).alias("_u"))
+
+
+def _search_groups(
+    queries: QuestionSet, stored: DataFrame, schema: StructType, how: tuple, k: int, group: str
+) -> DataFrame:
+    """Every group's own queries against its rows; queries without a scope go against all rows."""
+    key, scope, names = queries.key, queries.scope, schema.fieldNames()
+    asked = queries.table.where(F.col(scope).isNotNull())
+    everywhere = QuestionSet.__new__(QuestionSet)
+    everywhere.__dict__ |= {**queries.__dict__, "scope": None, "table": queries.table.where(F.col(scope).isNull()).drop(scope)}
+    everywhere.count = everywhere.table.count()
+    rest = _search_blocks(everywhere, stored, schema, how, k) if everywhere.count else None
+
+    asked_rows = max(1, min(queries.block_rows, BLOCK_HITS // (4 * k)))
+    each = asked.withColumn("_g", F.explode(F.array_distinct(scope))).drop(scope)
+    stored = _numbered(stored)
+    units = write_through(group_units(each, stored, group, asked_rows, queries.block_rows))
+    few = units.count() <= BROADCAST_GROUPS
+
+    def cuts() -> DataFrame:
+        own = units.select(F.col("_g").alias("_of"), *(F.col(c).alias(c) for c in ("_u", "_qb", "_sb")))
+        return F.broadcast(own) if few else own
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    def own(count: str):
+        return F.pmod(F.xxhash64("_n"), F.col(count)).cast("int")
+
+    left = each.join(cuts(), F.col("_g").eqNullSafe(F.col("_of"))).withColumn("_a", own("_qb")).withColumn("_b", every("_sb"))
+    right = stored.join(cuts(), F.col(group).eqNullSafe(F.col("_of"))).withColumn("_b", own("_sb")).withColumn("_a", every("_qb"))
+    empty = to_arrow_schema(schema).empty_table()
+
+    def compared(asked: pa.Table, seen: pa.Table) -> pa.Table:
+        found = None
+        if asked.num_rows and seen.num_rows:
+            mine = pa.array([[g] for g in asked.column("_g").to_pylist()], pa.list_(asked.schema.field("_g").type))
+            questions = _Questions(asked.append_column("_scope", mine), key, "_scope")
+            found = _search([seen], questions, *how)
+        return empty if found is None else _answer(found, questions, key, names)
+
+    places = ["_u", "_a", "_b"]
+    left = left.select(key, "_v", "_g", *places)
+    right = right.drop("_of", "_qb", "_sb", "_n")
+    hits = left.groupBy(*places).cogroup(right.groupBy(*places)).applyInArrow(compared, schema)
+    return hits if rest is None else hits.unionByName(rest)
+
+
 def nearest(
     queries: DataFrame | QuestionSet,
     corpus: DataFrame,
@@ -261,16 +339,17 @@ def nearest(
     group: str | None = None,
     best_of_group: bool = False,
     scope: str | None = None,
-    broadcast_rows: int = 8_192,
+    **options,
 ) -> DataFrame:
     """Best ``k`` rows of ``corpus`` per query: (query key, keys, similarity, rank).
 
     ``scope`` names an array column of ``queries`` with the ``group`` values a query
     may see; null stands for all of them.  With ``best_of_group`` a group counts once,
-    with its best vector, and ``keys`` must be the group column.
+    with its best vector, and ``keys`` must be the group column.  Other options are those
+    of ``QuestionSet``.
     """
     if isinstance(queries, DataFrame):
-        queries = QuestionSet(queries, vector=vector, scope=scope, broadcast_rows=broadcast_rows)
+        queries = QuestionSet(queries, vector=vector, scope=scope, **options)
     columns = list(dict.fromkeys([*keys, *([group] if group else [])]))
     stored = corpus.where(F.col(vector).isNotNull()).select(
         *columns, as_vector(F.col(vector)).alias("_v")
@@ -299,11 +378,7 @@ def nearest(
     if queries.table is None:
         hits = reduce(DataFrame.unionByName, [searched(batch) for batch in queries.batches])
     else:
-        head = stored.limit(queries.block_rows + 1).toArrow()
-        if head.num_rows <= queries.block_rows:
-            hits = _search_in_place(queries, head, schema, how)
-        else:
-            hits = _search_blocks(queries, stored, schema, how, k)
+        hits = _search_table(queries, stored, schema, how, k, group)
     if best_of_group:
         hits = hits.groupBy(queries.key, *keys).agg(F.max("similarity").alias("similarity"))
     rank = Window.partitionBy(queries.key).orderBy(F.desc("similarity"), *keys)

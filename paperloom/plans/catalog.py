@@ -128,6 +128,23 @@ def route_decision(spark, sf):
     )
 
 
+@query
+def document_routes(spark, sf):
+    """Every stored vector as a document to route: three searches, merge and decision."""
+    queries = write_through(B.segments(spark, sf).select(F.col("doc_id").cast("string").alias("query_id"), "embedding"))
+    groups = cut_lineage(B.groups(spark, sf))
+    hits = scoring.search_groups(
+        queries, write_through(B.prototypes(spark, sf)), write_through(B.buffer(spark, sf)), write_through(B.segments(spark, sf)), groups,
+        broadcast_rows=64,
+    )
+    candidates = scoring.with_group_details(scoring.merge_candidates(hits), groups)
+    routed = scoring.decide_route(queries.select("query_id"), candidates)
+    return routed.select(
+        "query_id", "route", "top_similarity", "existing_group_id",
+        F.coalesce(_list_text(F.transform("candidates", lambda c: c["id"])), F.lit("")).alias("candidate_ids"),
+    )
+
+
 @query
 def candidate_format(spark, sf):
     routed = _routed(spark, sf)
@@ -214,6 +231,17 @@ def group_chunk_topk(spark, sf):
     return found.select("query_id", "group_id", "doc_id", "similarity", "rank")
 
 
+@query
+def scoped_chunk_topk(spark, sf):
+    """Every stored chunk asks for the nearest chunks of its own group: as many questions as chunks, joined by group."""
+    chunks = B.stored_chunks(spark, sf).select("doc_id", "chunk_index", "group_id", "embedding")
+    asked = chunks.select(
+        F.concat_ws("/", "doc_id", "chunk_index").alias("query_id"), "embedding", F.array("group_id").alias("groups"))
+    found = retrieval.nearest(
+        asked, chunks, k=5, keys=["doc_id", "chunk_index"], group="group_id", scope="groups", broadcast_rows=64, batch_bytes=1 << 18)
+    return found.select("query_id", "doc_id", "chunk_index", "similarity", "rank")
+
+
 @query
 def global_chunk_topk(spark, sf):
     found = retrieval.nearest(

@@ -128,6 +128,23 @@ SELECT query_id, string_agg(r.group_id, ',' ORDER BY r) AS ids, count(*) AS n,
        list(r.group_id ORDER BY r) AS id_list
 FROM ranked r JOIN grp g USING (group_id) WHERE r.r <= 4 GROUP BY query_id""")
 
+for _kind, _table, _index, _floor in [
+    ("dq_proto", "proto", "proto_index", 0.4), ("dq_buffer", "buf", "segment_index", 0.4), ("dq_segment", "seg", "segment_index", 0.37),
+]:
+    _view(f"{_kind}_hit", f"dq {_table} grp", _topk(_table, _index, _floor, queries="dq"))
+    _view(f"{_kind}_score", f"{_kind}_hit", _score(f"{_kind}_hit"))
+_view("dq_early", "dq_proto_score dq_buffer_score", _merge("dq_proto_score", "dq_buffer_score"))
+_view("dq_candidate", "dq_early dq_segment_score", _merge("dq_early", "dq_segment_score"))
+_view("dq_ranked", "dq_candidate", """
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, group_id) AS r FROM dq_candidate""")
+_sql("document_routes", "dq dq_ranked", """
+SELECT dq.query_id,
+       CASE WHEN any_value(t.group_id) IS NULL THEN 'CREATE_NEW_GROUP' WHEN max(t.similarity) >= 0.7 THEN 'AUTO_ASSIGN'
+            ELSE 'REVIEW_BY_AGENT' END AS route,
+       coalesce(max(t.similarity), 0.0) AS top_similarity,
+       CASE WHEN max(t.similarity) >= 0.7 THEN first(t.group_id ORDER BY t.r) END AS existing_group_id,
+       coalesce(string_agg(t.group_id, ',' ORDER BY t.r), '') AS candidate_ids
+FROM dq LEFT JOIN (SELECT * FROM dq_ranked WHERE r <= 4) t ON dq.query_id = t.query_id GROUP BY dq.query_id""")
 _sql("group_multi_hit_score", "segment_score", "SELECT * FROM segment_score")
 _sql("group_candidates_merged", "candidate", "SELECT * FROM candidate")
 _sql("route_decision", "routed listed", """
@@ -426,6 +443,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DES
                    round(list_cosine_similarity(a.embedding, c.embedding), 6) AS similarity
             FROM ask a CROSS JOIN chunk_vec c))
 WHERE rank <= 40""")
+_sql("scoped_chunk_topk", "stored", """
+SELECT query_id, doc_id, chunk_index, similarity, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id, chunk_index) AS rank
+      FROM (SELECT a.doc_id || '/' || a.chunk_index AS query_id, c.doc_id, c.chunk_index,
+                   round(list_cosine_similarity(a.embedding, c.embedding), 6) AS similarity
+            FROM stored a JOIN stored c USING (group_id)))
+WHERE rank <= 5""")
 _view("fetched", "ask stored short", """
 SELECT query_id, doc_id, chunk_index, group_id, doc_path, chunk_text, vector_similarity, rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_similarity DESC, doc_id, chunk_index) AS rank

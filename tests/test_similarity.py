@@ -120,5 +120,51 @@ def test_many_queries_stay_in_spark(spark, monkeypatch, held, options):
     assert asked.batches == [] and asked.table.count() == 30
     found = nearest(asked, c, k=4, **options)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "Union" not in plan and ("CoGroup" in plan) == bool(held)
+    assert ("Union" in plan) == (bool(held) and "scope" in options) and ("CoGroup" in plan) == bool(held)
     assert _ranked(found) == expected
+
+
+@pytest.mark.parametrize("rows", [4, 40, 5000])
+def test_scoped_search_is_a_join_on_the_group(spark, monkeypatch, rows):
+    """Hot and small groups, a group nobody may see, queries without a scope, scopes that name unknown groups or none."""
+    rng = np.random.default_rng(8)
+    count = [400, 60, 1, 7, 300]  # group g4 is seen by nobody
+    corpus, at = [], 0
+    for g, n in enumerate(count):
+        for _ in range(n):
+            corpus.append((at, f"g{g}", [float(x) for x in rng.normal(size=DIM)]))
+            at += 1
+    scopes = [["g0"], ["g0", "g1"], ["g2", "g0", "g0"], ["g3", "unknown"], [], None]
+    asked = [(k, [float(x) for x in rng.normal(size=DIM)], scopes[k % (6 if k < 60 else 5)]) for k in range(200)]
+    c = spark.createDataFrame(corpus, "row_id int, group_id string, embedding array<double>").repartition(5)
+    q = spark.createDataFrame(asked, "query_id int, embedding array<double>, groups array<string>").repartition(3)
+    monkeypatch.setattr(similarity, "BATCH_BYTES", 8 * DIM * rows)
+    queries = QuestionSet(q, scope="groups", broadcast_rows=2)
+    found = nearest(queries, c, k=3, keys=["row_id"], group="group_id", scope="groups", min_similarity=0.0)
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {}
+    for k, v, scope in asked:
+        hits = [(-round(float(unit(v) @ unit(e)), 6), r) for r, g, e in corpus if scope is None or g in scope]
+        want[k] = [r for s, r in sorted(hits) if s <= 0][:3]
+    got = {k: [] for k in want}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append(r.row_id)
+    assert got == want
+    if rows < 100:
+        units = similarity.group_units(
+            queries.table.where("groups IS NOT NULL").withColumn("_g", F.explode(F.array_distinct("groups"))), c, "group_id", rows, rows)
+        cut = {r["_g"]: (r["_qb"], r["_sb"]) for r in units.collect()}
+        assert set(cut) == {"g0", "g1", "g2", "g3"} and cut["g0"][1] > cut["g1"][1] >= 1
+
+
+def test_a_group_nobody_may_see_is_never_shuffled(spark, monkeypatch):
+    """The stored side meets the visible groups in a broadcast join, below the exchange that deals it to tasks."""
+    rows = spark.range(3000).selectExpr("cast(id as int) AS row_id", "concat('g', id % 3) AS group_id", "array(1.0D, id + 1.0D) AS embedding")
+    asked = rows.where("row_id < 300").selectExpr("row_id AS query_id", "embedding", "array('g1') AS groups")
+    monkeypatch.setattr(similarity, "BATCH_BYTES", 8 * 2 * 100)
+    found = nearest(asked, rows, k=2, keys=["row_id"], group="group_id", scope="groups", broadcast_rows=2)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    right = plan[plan.rindex("BroadcastHashJoin"):]
+    assert "Exchange hashpartitioning" not in right.split("Scan parquet")[0].replace("BroadcastExchange", "")
+    assert {r.row_id % 3 for r in found.collect()} == {1}
