@@ -9,7 +9,7 @@ from paperloom import constants as C
 from paperloom.functions import citations, text as T
 from paperloom.functions.vector import cosine, dot, l2_normalize, norm
 from paperloom.operators import (
-    changes, chunking, clustering, embedding, normalize, parsing, pooling, retrieval, scoring,
+    changes, chunking, clustering, embedding, normalize, parsing, pooling, pruning, retrieval, scoring,
     sessions, tables,
 )
 from paperloom.plans import bindings as B
@@ -242,6 +242,16 @@ def scoped_chunk_topk(spark, sf):
     return found.select("query_id", "doc_id", "chunk_index", "similarity", "rank")
 
 
+@query
+def pruned_topk(spark, sf):
+    """Every stored vector asks for its ten nearest; blocks that can't hold any of them are skipped."""
+    stored = write_through(B.segments(spark, sf).select("doc_id", "embedding"))
+    layout = pruning.lay_out(stored, "doc_id", B.VECTOR_DIM, clusters=64, rings=4)
+    found, _ = pruning.pruned_nearest(
+        stored.select(F.col("doc_id").alias("query_id"), "embedding"), layout, k=10, keys=["doc_id"], near=4)
+    return found.select("query_id", "doc_id", "similarity", "rank")
+
+
 @query
 def global_chunk_topk(spark, sf):
     found = retrieval.nearest(

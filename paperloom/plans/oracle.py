@@ -172,6 +172,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DES
             FROM proto p JOIN seg s USING (group_id)))
 WHERE rank <= 5""")
 
+_sql("pruned_topk", "seg", """
+SELECT query_id, doc_id, similarity, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank
+      FROM (SELECT q.doc_id AS query_id, s.doc_id, round(list_cosine_similarity(q.embedding, s.embedding), 6) AS similarity
+            FROM seg q CROSS JOIN seg s))
+WHERE rank <= 10""")
 _view("el", "seg", """
 SELECT doc_id, group_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM seg""")
 _view("total", "el", "SELECT group_id, list(s ORDER BY i) AS total FROM (SELECT group_id, i, sum(x) AS s FROM el GROUP BY group_id, i) GROUP BY group_id")
