@@ -215,14 +215,14 @@ def nearest_centroid(
 
 
 def medoids(
-    points: DataFrame, keys: list[str], identity: str, dim: int, vector: str = "embedding"
+    points: DataFrame, keys: list[str], identity: str, dim: int, vector: str = "embedding", sums: DataFrame | None = None,
 ) -> DataFrame:
     """Member with the largest summed similarity to the other members of its key.
 
     The sum over all others is x . S - x . x with S the key's vector sum, so the cost is
-    linear.  The first member wins ties, and sums up to -1 all count as ties.
+    linear.  The first member wins ties, and sums up to -1 all count as ties.  ``sums``, if kept, are those of the keys.
     """
-    totals = sum_vectors(points, keys, dim, vector).select(*keys, F.col("_n").alias("n_members"), "_sum")
+    totals = (sum_vectors(points, keys, dim, vector) if sums is None else sums).select(*keys, F.col("_n").alias("n_members"), "_sum")
     v = F.col(vector)
     scored = points.join(totals, keys).withColumn(
         "_score", F.round(dot(v, F.col("_sum")) - dot(v, v), 9)

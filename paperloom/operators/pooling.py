@@ -108,6 +108,24 @@ def sum_vectors(
     return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, schema)
 
 
+def changed_sums(
+    sums: DataFrame, removed: DataFrame, added: DataFrame, keys: list[str], dim: int, vector: str = "embedding"
+) -> DataFrame:
+    """``sums(keys, _n, _sum)`` after rows went and others came: the work follows the change, not the stored rows.
+
+    Only keys that still have rows are returned. Keys aren't null. Sums by difference carry the rounding of
+    all changes so far (about 1e-16 of the largest sum each), so a rebuild now and then, at a recompute, is in order.
+    """
+    def part(rows: DataFrame, v: str, n, weight: float) -> DataFrame:
+        return rows.select(*keys, F.col(v).alias("_v"), n.cast("long").alias("_k"), F.lit(weight).alias("_w"))
+
+    parts = part(sums, "_sum", F.col("_n"), 1.0).unionByName(part(removed, vector, F.lit(-1), -1.0)).unionByName(
+        part(added, vector, F.lit(1), 1.0))
+    counts = parts.groupBy(*keys).agg(F.sum("_k").alias("_n")).where(F.col("_n") > 0)
+    total = sum_vectors(parts, keys, dim, "_v", weight=F.col("_w"))
+    return counts.join(total.select(*keys, "_sum"), keys)
+
+
 def mean_vectors(df: DataFrame, keys: list[str], dim: int, vector: str = "embedding") -> DataFrame:
     """Unit vector in the direction of the mean, with the row count ``n``."""
     sums = sum_vectors(df, keys, dim, vector)

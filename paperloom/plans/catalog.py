@@ -757,6 +757,24 @@ def regroup_affected(spark, sf):
     return tables.regrouped(state["documents"], batch["documents"], after["segments"])
 
 
+@query
+def regroup_repair(spark, sf):
+    """Groups that lose or gain vectors: counts and medoid after the change, from sums kept by difference."""
+    old = B.segments(spark, sf).select("doc_id", "group_id", "embedding")
+    labels = load(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    judged = old.join(labels, "doc_id")
+    leaving = judged.where("quality = 0 OR toxic = 1").select(old.columns)
+    coming = judged.where("quality = 1 AND toxic = 1").withColumn(
+        "group_id", ((F.col("group_id").cast("long") + 1) % 10).cast("string")).select(old.columns)
+    sums = write_through(pooling.sum_vectors(old, ["group_id"], B.VECTOR_DIM))
+    now = cut_lineage(pooling.changed_sums(sums, leaving, coming, ["group_id"], B.VECTOR_DIM))
+    touched = leaving.select("group_id").unionByName(coming.select("group_id")).distinct()
+    members = old.join(leaving.select("doc_id"), "doc_id", "left_anti").unionByName(coming).join(touched, "group_id", "left_semi")
+    found = clustering.medoids(members, ["group_id"], "doc_id", B.VECTOR_DIM, sums=now)
+    return touched.join(found, "group_id", "left").select(
+        "group_id", F.coalesce("n_members", F.lit(0)).alias("n_documents"), F.col("doc_id").alias("prototype"))
+
+
 @query
 def stored_state(spark, sf):
     """Documents kept as changes by bucket: all of them, then what labels move or drop, then one language again."""

@@ -889,6 +889,21 @@ SELECT d.group_id, d.doc_count, coalesce(p.n, 0) AS proto_count, CAST(0 AS BIGIN
 FROM (SELECT source AS group_id, count(*) AS doc_count FROM documents GROUP BY source) d
 LEFT JOIN (SELECT group_id, count(DISTINCT cluster) AS n FROM {_ingested} GROUP BY group_id) p USING (group_id)""")
 
+_view("moved_seg", "seg", """
+SELECT s.doc_id, s.group_id AS old_group, s.embedding,
+       CASE WHEN quality = 0 THEN NULL WHEN toxic = 1 THEN CAST((CAST(s.group_id AS BIGINT) + 1) % 10 AS VARCHAR) ELSE s.group_id END AS group_id
+FROM seg s LEFT JOIN labels l ON l.doc_id = s.doc_id""")
+_view("moved_group", "moved_seg", """
+SELECT DISTINCT unnest([old_group, group_id]) AS group_id FROM moved_seg WHERE group_id IS DISTINCT FROM old_group""")
+_view("moved_medoid", "moved_seg", """
+SELECT group_id, doc_id, count(*) OVER (PARTITION BY group_id) AS n
+FROM (SELECT a.group_id, a.doc_id, coalesce(round(sum(list_inner_product(a.embedding, b.embedding)), 9), 0.0) AS s
+      FROM moved_seg a LEFT JOIN moved_seg b ON a.group_id = b.group_id AND a.doc_id <> b.doc_id
+      WHERE a.group_id IS NOT NULL GROUP BY a.group_id, a.doc_id)
+QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY greatest(s, -1.0) DESC, doc_id) = 1""")
+_sql("regroup_repair", "moved_group moved_medoid", """
+SELECT g.group_id, coalesce(n, 0) AS n_documents, doc_id AS prototype
+FROM moved_group g LEFT JOIN moved_medoid m ON g.group_id = m.group_id WHERE g.group_id IS NOT NULL""")
 _sql("stored_state", "", """
 SELECT d.doc_id, CASE WHEN lang = 'de' THEN 'de' WHEN toxic = 1 THEN 'flagged' ELSE source END AS group_id,
        CASE WHEN lang = 'de' THEN 2 WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END AS version

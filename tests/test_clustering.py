@@ -109,3 +109,25 @@ def test_nearest_centroid_ties_go_to_the_first(spark):
         "g string, cluster int, embedding array<double>",
     )
     assert K.nearest_centroid(points, centroids, ["g"], "id").first().cluster == 0
+
+
+def test_sums_by_difference_equal_a_rebuild(spark):
+    """After many random batches that add, move and remove."""
+    from paperloom.operators.pooling import changed_sums, sum_vectors
+
+    rng = np.random.default_rng(12)
+    held, frame = {}, lambda rows: spark.createDataFrame(rows, "g string, d int, embedding array<double>")
+    sums = sum_vectors(frame([]), ["g"], 4)
+    for _ in range(6):
+        gone = [(g, d, v) for d, (g, v) in held.items() if rng.random() < 0.3]
+        came = [(f"g{rng.integers(4)}", int(d), [float(x) for x in rng.normal(size=4)]) for d in rng.integers(0, 60, 25)]
+        came = list({d: (g, d, v) for g, d, v in came}.values())
+        gone += [(*held[d][:1], d, held[d][1]) for _, d, _ in came if d in held and d not in {x[1] for x in gone}]
+        for _, d, _ in gone:
+            del held[d]
+        held |= {d: (g, v) for g, d, v in came}
+        rows = changed_sums(sums, frame(gone), frame(came), ["g"], 4).collect()
+        sums = spark.createDataFrame([(r.g, r._n, r._sum) for r in rows], "g string, _n long, _sum array<double>")
+    want = {r.g: (r._n, r._sum) for r in sum_vectors(frame([(g, d, v) for d, (g, v) in held.items()]), ["g"], 4).collect()}
+    got = {r.g: (r._n, r._sum) for r in rows}
+    assert set(got) == set(want) and all(got[g][0] == want[g][0] and np.allclose(got[g][1], want[g][1], atol=1e-12) for g in want)
