@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from paperloom import constants as C
 from paperloom.functions.text import strip
-from paperloom.operators.ordered import with_neighbour
+from paperloom.operators.ordered import with_late_neighbour, with_neighbour
 
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
@@ -38,8 +38,8 @@ def text_gate(
     A row without a text changes nothing: the next text is compared with the last one seen.
     """
     given = df.where(F.col(text).isNotNull())
-    seen = with_neighbour(given, keys, order, text, "_last", bucket=bucket)
-    seen = seen.withColumn("old_text", F.coalesce("_last", F.lit(""))).drop("_last")
+    seen = with_late_neighbour(given, keys, order, text, "_last", bucket=bucket)
+    seen = seen.withColumn("old_text", F.coalesce("_last", F.lit(""))).drop("_last", "_last_order")
     return seen.where(F.sha2("old_text", 256) != F.sha2(text, 256))
 
 
@@ -155,9 +155,8 @@ def version_changes(
 
     ``change`` is null for unchanged content; a first version changes from null.
     """
-    kept = df.withColumn("_was", F.struct(F.col(version).alias("v"), F.col(content).alias("t")))
-    seen = with_neighbour(kept, [key], [version], "_was", "_before", bucket=bucket)
-    previous = F.when(F.col("_before.v") == F.col(version) - 1, F.col("_before.t"))
+    seen = with_late_neighbour(df, [key], [version], content, "_was", bucket=bucket)
+    previous = F.when(F.col(f"_was_order.{version}") == F.col(version) - 1, F.col("_was"))
     return (
         seen.withColumn("previous", previous)
         .withColumn(
@@ -168,5 +167,5 @@ def version_changes(
             ),
         )
         .withColumn("summary", F.substring(content, 1, C.SUMMARY_LENGTH))
-        .drop("_was", "_before")
+        .drop("_was", "_was_order")
     )

@@ -5,19 +5,19 @@ The default embedder counts hashed terms.  Any ``Column -> Column`` function wit
 """
 
 import hashlib
-import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from paperloom import constants as C
 
 Embedder = Callable[[Column], Column]
-_TERM = re.compile(r"[^\W_]+")
+_BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 @lru_cache(maxsize=200_000)
@@ -32,10 +32,16 @@ def hashed_terms(dim: int) -> Embedder:
     """
 
     def embed(texts: pa.Array) -> pa.Array:
-        rows = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            terms = _TERM.findall((text.as_py() or "").lower())
-            rows[row] = np.bincount([_term_hash(t) % dim for t in terms], minlength=dim) if terms else 0
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        # all terms of the batch at once; every distinct term is hashed once
+        lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), _BETWEEN)
+        owner, coded = pc.list_parent_indices(lists).to_numpy(), lists.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        bucket = np.array([_term_hash(t) % dim if t else -1 for t in known], np.int64)
+        places = bucket[coded.indices.to_numpy()] if known else bucket
+        real = places >= 0
+        rows = np.bincount(owner[real] * dim + places[real], minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
         length = np.sqrt((rows * rows).sum(axis=1))
         empty = length == 0
         rows /= np.where(empty, 1.0, length)[:, None]
@@ -64,5 +70,6 @@ def split_by_dim(df: DataFrame, dim: int, vector: str = "embedding") -> DataFram
         F.when(F.col(vector).isNull(), "no vector").when(
             size != dim,
             F.concat(F.lit(f"Expected {dim}-dimensional embedding, got "), size.cast("string"), F.lit(".")),
-        ).when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), "vector has missing values"),
+        ).when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), "vector has missing values")
+        .when(F.exists(vector, lambda x: F.abs(x) == float("inf")), "vector has infinite values"),
     )

@@ -223,3 +223,19 @@ def test_messages_and_dead_letters(spark):
         lambda df: events.read_documents(df, "body"),
     )
     assert [r.id for r in fixed.collect()] == [2] and still.count() == 3
+
+
+def test_neighbours_texts_are_fetched_late(spark):
+    """Only bucket borders look texts up, and the rows that carry what crosses a border hold no text."""
+    from paperloom.operators.ordered import with_late_neighbour, with_neighbour
+
+    rows = spark.range(400).selectExpr(
+        "CASE WHEN id % 4 = 0 THEN NULL ELSE concat('k', id % 4) END AS k", "cast(id as int) AS t",
+        "CASE WHEN id % 11 = 0 THEN NULL ELSE concat('text ', floor(id / 23)) END AS c")
+    late = with_late_neighbour(rows, ["k"], ["t"], "c", "was", bucket=F.floor(F.col("t") / 37))
+    early = with_neighbour(rows, ["k"], ["t"], "c", "was", bucket=F.floor(F.col("t") / 37))
+    assert late.drop("was_order").exceptAll(early).count() == early.exceptAll(late.drop("was_order")).count() == 0
+    order = {(r.k, r.t): r.was_order and r.was_order.t for r in late.collect()}
+    assert order[("k1", 1)] is None and all(order[("k1", t)] == t - 4 for t in range(5, 400, 4))
+    edges = [line for line in late._jdf.queryExecution().optimizedPlan().toString().splitlines() if "lag(_last" in line]
+    assert edges and not any("c#" in line.replace("_bucket", "") for line in edges)

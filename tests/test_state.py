@@ -119,6 +119,11 @@ def test_classify(spark):
     assert done["a1"].outcome == "ASSIGNED" and done["a1"].doc_path == "p/a1" and done["a1"].is_duplicate
     assert done["bad"].outcome == "INVALID" and done["bad"].doc_path is None
     assert done["far"].outcome in ("CREATED", "ASSIGNED")
+    named = spark.createDataFrame([("far", " Distant Things "), ("new", "not asked")], RESPONSES)
+    alone = {**state, **{n: state[n].limit(0) for n in ("segments", "prototypes", "buffer")}}
+    for proposed, want in ((named, "distant-things"), (named.withColumn("raw", F.lit(" !? ")), "far-away"), (None, "far-away")):
+        rows = classify(docs.where("doc_id = 'far'"), alone, EMBED, fingerprints=prints, decisions=decisions, names=proposed).collect()
+        assert [(r.outcome, r.group_name) for r in rows] == [("CREATED", want)]
 
 
 def test_versioned_rows(spark, tmp_path):
