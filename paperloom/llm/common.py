@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paperloom.session import write_through
+
 # fixed values: the characters that part words
 BREAKS = " \t\n\x0b\x0c\r"
 BREAK_RUN = r"[\x20\x09-\x0D]+"
@@ -53,6 +55,23 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: plans that read stored files and give their rows in the same order every time, whatever columns are asked for
+_IN_ORDER = {"LogicalRelation", "Project", "Filter", "SubqueryAlias"}
+
+
+def numbered_rows(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a number per row that is the same whenever it is read, also by parts of a plan that read fewer columns.
+
+    A table that is read from files is numbered in place; anything else is written first.
+    """
+    def in_order(plan) -> bool:
+        children = plan.children()
+        return plan.getClass().getSimpleName() in _IN_ORDER and all(in_order(children.apply(k)) for k in range(children.size()))
+
+    numbered = df.withColumn(key, F.monotonically_increasing_id())
+    return numbered if in_order(df._jdf.queryExecution().optimizedPlan()) else write_through(numbered)
+
+
 SUMS = "block int, salt int, sums binary"
 
 

@@ -8,6 +8,8 @@ Unigram models: the state of a prefix is its best score and the piece that ends
 BPE models: merging is no best sum of scores, but a piece sequence is the result of merging
 exactly if each two neighbours stay apart when merged alone. So the state of a prefix is the one
 piece that ends it and stays apart from the piece before, and the same pass gives the library's pieces.
+
+Models with user-defined symbols are refused.
 """
 
 import re
@@ -22,6 +24,7 @@ from paperloom.llm.common import free_name, slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+USER_DEFINED = 4  # a kind of piece
 #: score of an unknown character below the lowest piece
 UNKNOWN_PENALTY = 10.0
 #: words whose pieces a worker remembers, and neighbour pairs; when full, words out of use and all pairs are forgotten
@@ -46,6 +49,8 @@ class Codec:
         self.kind = proto.trainer_spec.model_type
         if self.kind not in (UNIGRAM, BPE) or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only unigram and BPE models whose words begin with the mark")
+        if any(p.type == USER_DEFINED for p in proto.pieces):
+            raise ValueError("models with user-defined symbols aren't supported: those would have to be cut out of texts first")
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normalize = processor.normalize if normal.precompiled_charsmap else None
         self.dummy, self.squeeze = normal.add_dummy_prefix, normal.remove_extra_whitespaces

@@ -4,7 +4,7 @@ import heapq
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from paperloom.llm.common import free_name
+from paperloom.llm.common import free_name, numbered_rows
 from paperloom.session import write_through
 
 #: bundles and large groups together are at most about twice this many per shard
@@ -99,15 +99,20 @@ def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id"
     return assign_shards(digest, shards, size="size", group="text_key", order=id_col)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents, with ``slot``, to one folder per shard.
+def write_shards(
+    docs: DataFrame, path: str, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", file_rows: int = 100_000,
+) -> None:
+    """Write the documents, with their ``slot``, to one folder per ``shard`` (further underscores where names are taken).
 
-    Rows find their shard by text, so a join on the text's digest attaches it; the writer
-    splits a shard over several tasks by a part of the slot.
+    A shard's rows are written ``file_rows`` slots to a task, in order of their slots. Rows are joined with their place by a number of their own, so a
+    text that fills a table meets no single task.
     """
-    placed = shard_documents(docs, shards, id_col=id_col, text_col=text_col)
-    keys = placed.groupBy("text_key").agg(F.first("shard").alias("shard"))
-    key = free_name(docs, "text_key")
-    named = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    keys = keys.withColumnRenamed("text_key", key)
-    named.join(keys, key).drop(key).write.partitionBy("shard").parquet(path)
+    key = free_name(docs, "row_id")
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    numbered = numbered_rows(docs, key)
+    plain = numbered.select(F.col(key).alias("row_key"), F.col(text_col).alias("row_text"))
+    placed = shard_documents(plain, shards, id_col="row_key", text_col="row_text").select(
+        F.col("row_key").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    joined = numbered.join(placed, key).drop(key)
+    part = F.floor(F.col(slot) / file_rows)
+    joined.repartition(shard, part).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from paperloom.llm.common import byte_texts, free_name, slices
+from paperloom.llm.common import byte_texts, free_name, numbered_rows, slices
 from paperloom.llm.components import components
 from paperloom.session import write_through
 
@@ -270,8 +270,22 @@ def classes(
     )
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns as they came; rows without an id stay."""
-    gone, key = classes(docs, id_col=id_col, **options), free_name(docs, "gone_id")
-    gone = gone.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
-    return docs.join(gone, docs[id_col] == F.col(key), "left_anti")
+def keep_first(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2,
+) -> DataFrame:
+    """One row of each component of fingerprints, the one with the smallest id, with its columns as they came.
+
+    Here every row is a document: of exact repeated rows one stays, a row without an id is compared like any other and stays only
+    if its component has no row with one, and of an id with several texts each is judged by its own.
+    """
+    key = free_name(docs, "row_id")
+    numbered = numbered_rows(docs, key)
+    prints = write_through(fingerprints(numbered.select(id_col, text_col, key), text_col=text_col, shingle=shingle, out="fp_"))
+    prints = prints.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("row"), F.col(prints.columns[-1]).alias("fp"))
+    # the first row of every fingerprint, then of every component: copies never meet
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row"))
+    distinct = write_through(prints.groupBy("fp").agg(first.alias("first")))
+    found = components(fingerprint_links(distinct.select("fp", F.col("fp").alias("rep")), budget))
+    kept = distinct.join(found, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("of")).agg(
+        F.min("first").alias("first")).select(F.col("first.row").alias(key))
+    return numbered.join(kept, key, "left_semi").drop(key)

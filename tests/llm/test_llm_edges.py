@@ -68,10 +68,19 @@ def test_simhash(messy, empty):
     assert [r["fingerprint"] for r in found if r["doc_id"] == 3] == [0]
     kept = simhash.keep_first(messy)
     assert kept.columns == messy.columns
-    assert by_id(kept.collect()) == [(1,), (1,), (10,), (3,), (7,), (8,), (9,), (None,)]
+    # of the rows with id 1, and of their copies without one, one stays
+    assert by_id(kept.collect()) == [(1,), (10,), (3,), (7,), (8,), (9,), (None,)]
     assert simhash.keep_first(empty).collect() == [] and simhash.classes(empty).collect() == []
 
 
+def test_one_row_of_each_component_stays(spark):
+    far = " ".join(f"other{k}" for k in range(60))
+    rows = [(5, SENTENCE, "first", "", 1), (5, far, "second", "", 1), (2, SENTENCE, "third", "", 1), (None, SENTENCE, "fourth", "", 1),
+            (None, "lone " * 30, "fifth", "", 1), (None, "lone " * 30, "sixth", "", 1), (2, SENTENCE, "third", "", 1)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, DOC).coalesce(1)).collect()
+    assert by_id(kept, "lang") == [(2, "third"), (5, "second"), (None, "fifth")]
+
+
 def test_simhash_repeated_id_with_other_texts(spark):
     rows = spark.createDataFrame(
         [(5, SENTENCE, "", "", 1), (5, SENTENCE.upper() + " z" * 50, "", "", 1), (2, SENTENCE + " z" * 0, "", "", 1)], DOC)
@@ -141,7 +150,7 @@ def test_mixing(messy, empty):
 
 
 def test_poisson_table_of_large_rates(spark):
-    row = spark.range(1).select(mixing.poisson_table(F.lit(2000.0)).alias("t")).first()["t"]
+    row = mixing.poisson_tables(spark.range(1).select(F.lit("a").alias("source"), F.lit(2000.0).alias("rate"))).first()["sums"]
     assert row[-1] == pytest.approx(1, abs=1e-9) and row[2000] == pytest.approx(0.5059, abs=1e-3) and row[0] == 0
 
 
@@ -176,8 +185,19 @@ def test_sharding_with_few_items_and_parts(messy):
 
 
 def test_write_shards(messy, tmp_path, spark):
-    sharding.write_shards(messy.drop("shard"), f"{tmp_path}/out", 3)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == len(ROWS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows are one task
+    try:
+        sharding.write_shards(messy, f"{tmp_path}/out", 3, file_rows=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(found.columns) == sorted([*messy.columns, "_shard", "_slot"])  # both names are taken
+    rows = found.collect()
+    assert len(rows) == len(ROWS) and by_id(rows, "text") == by_id(messy.collect(), "text")
+    for shard in {r["_shard"] for r in rows}:
+        assert sorted(r["_slot"] for r in rows if r["_shard"] == shard) == list(range(sum(r["_shard"] == shard for r in rows)))
+    assert len({r["_shard"] for r in rows if r["text"] == SENTENCE}) == 1
+    assert max(len(list(p.glob("*.parquet"))) for p in (tmp_path / "out").glob("_shard=*")) > 1  # several tasks
 
 
 def test_licenses(messy, empty):
@@ -278,3 +298,36 @@ def test_stages(spark, messy, empty, name):
     found.collect()
     assert last or found.columns == messy.columns
     assert stage(spark, empty, "").collect() == []
+
+
+def test_only_ratios_of_weights_matter(spark):
+    rows = [(k, f"text {k}", "en", "ab"[k % 2], 1) for k in range(100)]
+    docs = spark.createDataFrame(rows, DOC)
+    mixed = lambda w: sorted((r["doc_id"], r["copy"]) for r in mixing.mix(docs, weights={"a": w, "b": w}).collect())
+    assert mixed(1e-11) == mixed(1.0) == mixed(1e200) and 60 < len(mixed(1.0)) < 140
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, weights={"a": bad, "b": 1.0})
+    with pytest.raises(ValueError):
+        mixing.mix(docs, epochs=-1.0)
+    assert mixing.mix(docs, weights={"a": 0.0}).collect() == []
+
+
+def test_large_rates_and_rates_that_do_not_fit_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x", "en", "a", 1), (2, "y", "en", None, 1)], DOC)
+    many = mixing.mix(docs, epochs=40_000.0, weights={"a": 3.0, None: 1.0}).groupBy("doc_id").count().collect()
+    counts = {r["doc_id"]: r["count"] for r in many}
+    assert abs(counts[1] - 60_000) < 1_500 and abs(counts[2] - 20_000) < 900
+    broad = mixing.mix(docs, epochs=20.0).select("doc_id", "copy")
+    monkeypatch.setattr(mixing, "BROADCAST_ENTRIES", 0)
+    salted = mixing.mix(docs, epochs=20.0).select("doc_id", "copy")
+    assert sorted(map(tuple, broad.collect())) == sorted(map(tuple, salted.collect()))
+
+
+def test_user_defined_symbols_are_refused(tmp_path, model):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(model)
+    proto.pieces[300].type = pieces.USER_DEFINED
+    with pytest.raises(ValueError):
+        pieces.Codec(proto.SerializeToString())
