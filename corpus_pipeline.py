@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component (three-word shingles, two bits): the smallest id."""
+    """One row of each SimHash component (three-word shingles, two bits): the one with the smallest id."""
     return simhash.keep_first(docs, shingle=3, budget=2)
 
 
@@ -33,10 +33,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars and the piece ids of every document."""
+    """doc_id, lang, source, n_chars and the piece ids of every document, and whether decoding them gives its text back."""
     model = pieces.read_model(pieces.default_model())
-    rows = pieces.encode(docs, model, keep=["doc_id", "lang", "source", "n_chars"])
-    return rows.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_ids"), "ids")
+    rows = pieces.encode(docs, model, keep=["doc_id", "lang", "source", "n_chars"], check="round_trip")
+    return rows.select(
+        "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES = [
