@@ -177,3 +177,16 @@ def test_vectors(spark):
     ).collect()
     assert (row.n, row.d, row.c, row.p) == ([0.6, 0.8], 3.0, 1.0, [3.0, 4.0])
     assert (zero.n, zero.c) == (None, None)
+
+
+@pytest.mark.parametrize("markup, text", [
+    ("<p><a class=x href='/a?b=1'>one</a> <a href=\"/c\">two</a></p>", "[one](/a?b=1) [two](/c)"),
+    ("<ol><li>a<ol><li>x</li><li>y</li></ol></li><li>b</li><li>c</li></ol><ul><li>d</li></ul>",
+     "1. a\n\n1. x\n2. y\n\n2. b\n3. c\n\n- d"),
+    ("<OL><li>a</li></OL> and <ol><li>b</li></ol></ol>", "1. a\n\n and\n\n1. b"),
+    ("<b>k</b><pre><code>if <b>a</b> &lt; 1:\n  <i>x</i></code></pre><p><b>z <i>y</i></b></p>", "**k**\n\n```\nif a < 1:\n  x\n```\n\n**z _y_**"),
+    ("<b>a <b>b</b></b><br>c", "**a **b****\nc"),
+    ("<pre>never closed <b>x</b>", "never closed **x**"),
+])
+def test_markup_by_hand(spark, markup, text):
+    assert _one(spark, html.html_to_text(F.col("h")), h=markup) == text
