@@ -13,11 +13,12 @@ from paperloom.plans.catalog import QUERIES  # noqa: E402
 from paperloom.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "route_decision", "document_proto_topk", "group_candidates_merged", "group_shortlist", "global_chunk_topk", "retrieve",
+    "route_decision", "document_proto_topk", "document_routes", "group_candidates_merged", "group_shortlist", "global_chunk_topk",
+    "scoped_chunk_topk", "pruned_topk", "retrieve",
     "struct_type", "window_chunks", "recursive_chunks", "embed_terms", "segment_split",
     "kmeans_groups", "group_prototypes", "group_medoid",
-    "replace_by_document", "cascade_regroup", "upsert_latest",
-    "normalize_github", "normalize_jira", "html_text", "change_gate", "debounce_sessions", "citation_map",
+    "replace_by_document", "cascade_regroup", "upsert_latest", "stored_state", "regroup_repair",
+    "normalize_github", "normalize_jira", "html_text", "change_gate", "change_gate_batches", "debounce_sessions", "citation_map",
 ]
 
 
