@@ -239,3 +239,19 @@ def test_neighbours_texts_are_fetched_late(spark):
     assert order[("k1", 1)] is None and all(order[("k1", t)] == t - 4 for t in range(5, 400, 4))
     edges = [line for line in late._jdf.queryExecution().optimizedPlan().toString().splitlines() if "lag(_last" in line]
     assert edges and not any("c#" in line.replace("_bucket", "") for line in edges)
+
+
+def test_file_texts_are_dealt_by_event_once(spark):
+    """One exchange brings files with their texts to their event, one the events; the groupings add none."""
+    file = "named_struct('filename', concat('docs/', id % 3), 'status', 'm', 'additions', 1, 'deletions', 0, 'changes', 1)"
+    commit = f"named_struct('id', 'c', 'message', 'm', 'author', 'a', 'timestamp', '', 'files', array({file}))"
+    rows = spark.range(50).selectExpr("id AS event_id", "concat('r', id % 2) AS repo", f"array({commit}, {commit}) AS commits")
+    texts = spark.range(6).selectExpr("concat('r', id % 2) AS repo", "concat('docs/', id % 3) AS filename", "repeat('t', 100) AS content")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = N.enrich_commits(rows, texts)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(event_id") == 2 and plan.count("Exchange hashpartitioning(") == 4
+        assert all(len(r.commits) == 2 and r.commits[1].files[0].patch == "t" * 100 for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
