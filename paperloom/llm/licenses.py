@@ -1,4 +1,4 @@
-"""License detections: ordered signature rules behind keyword gates, overlaps resolved by priority."""
+"""License detections: ordered hand-written signature rules behind keyword gates, overlaps resolved by priority."""
 
 import re
 from bisect import bisect_right
@@ -11,143 +11,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from paperloom.llm.common import byte_texts, free_name, slices
+from paperloom.llm.license_rules import BARE, NAMES, NOTICES, SHORT, VERSIONED as VERSIONED_NAMES
 
 # fixed values: phrases and their labels
 BASE = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 
-#: label -> (keyword that every match holds, name pattern, versions). Names are lower-case words.
-FAMILIES = {
-    "mit": ("mit", r"(?:the )?(?:mit|expat|x11) licen[cs]e", ""),
-    "mit-0": ("attribution", r"mit no attribution(?: licen[cs]e)?", ""),
-    "isc": ("isc", r"isc licen[cs]e", ""),
-    "zlib": ("zlib", r"zlib(?: libpng)? licen[cs]e", ""),
-    "bsl": ("boost", r"boost software licen[cs]e", "1.0"),
-    "bsd": ("bsd", r"(?:modified |simplified |new |revised )?bsd(?: style)? licen[cs]e", ""),
-    "bsd-2-clause": ("clause", r"(?:bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?", ""),
-    "bsd-3-clause": ("clause", r"(?:bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)?", ""),
-    "bsd-4-clause": ("clause", r"(?:bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?", ""),
-    "0bsd": ("0bsd", r"0bsd(?: licen[cs]e)?", ""),
-    "apache": ("apache", r"apache(?: software)? licen[cs]e", "1.0 1.1 2.0"),
-    "gpl": ("general public", r"(?:gnu )?general public licen[cs]e", "1 2 3"),
-    "lgpl": ("lesser", r"(?:gnu )?lesser general public licen[cs]e", "2.1 3"),
-    "lgpl-library": ("library", r"(?:gnu )?library general public licen[cs]e", "2"),
-    "agpl": ("affero", r"(?:gnu )?affero general public licen[cs]e", "1 3"),
-    "gfdl": ("documentation", r"(?:gnu )?free documentation licen[cs]e", "1.1 1.2 1.3"),
-    "gpl-short": ("gpl", r"gnu gpl", "1 2 3"),
-    "mpl": ("mozilla", r"mozilla public licen[cs]e", "1.0 1.1 2.0"),
-    "epl": ("eclipse", r"eclipse public licen[cs]e", "1.0 2.0"),
-    "edl": ("eclipse", r"eclipse distribution licen[cs]e", "1.0"),
-    "cddl": ("common development", r"common development and distribution licen[cs]e", "1.0 1.1"),
-    "cpl": ("common public", r"common public licen[cs]e", "1.0"),
-    "cpal": ("attribution", r"common public attribution licen[cs]e", "1.0"),
-    "ipl": ("ibm", r"ibm public licen[cs]e", "1.0"),
-    "eupl": ("european", r"european union public licen[cs]e", "1.0 1.1 1.2"),
-    "osl": ("open software", r"open software licen[cs]e", "1.0 1.1 2.0 2.1 3.0"),
-    "afl": ("academic", r"academic free licen[cs]e", "1.1 1.2 2.0 2.1 3.0"),
-    "ecl": ("educational", r"educational community licen[cs]e", "1.0 2.0"),
-    "artistic": ("artistic", r"(?:perl )?artistic licen[cs]e", "1.0 2.0"),
-    "psf": ("python", r"python(?: software foundation)? licen[cs]e", "2"),
-    "php": ("php", r"php licen[cs]e", "3.0 3.01"),
-    "ruby": ("ruby", r"ruby licen[cs]e", ""),
-    "postgresql": ("postgresql", r"postgresql licen[cs]e", ""),
-    "openssl": ("openssl", r"openssl licen[cs]e", ""),
-    "curl": ("curl", r"curl licen[cs]e", ""),
-    "ncsa": ("ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e", ""),
-    "w3c": ("w3c", r"w3c(?: software(?: notice and)?)? licen[cs]e", ""),
-    "unicode": ("unicode", r"unicode(?: terms of use| licen[cs]e)", ""),
-    "ofl": ("open font", r"(?:sil )?open font licen[cs]e", "1.0 1.1"),
-    "lppl": ("latex", r"latex project public licen[cs]e", "1.0 1.1 1.2 1.3"),
-    "qpl": ("q public", r"q public licen[cs]e", "1.0"),
-    "ms-pl": ("microsoft", r"microsoft public licen[cs]e", ""),
-    "ms-rl": ("microsoft", r"microsoft reciprocal licen[cs]e", ""),
-    "apsl": ("apple", r"apple public source licen[cs]e", "1.0 1.1 1.2 2.0"),
-    "vim": ("vim", r"vim licen[cs]e", ""),
-    "unlicense": ("unlicense", r"(?:the )?unlicense", ""),
-    "wtfpl": ("wtfpl", r"wtfpl", "1 2"),
-    "cc0": ("cc0", r"cc0(?: public domain dedication| universal)?", "1.0"),
-    "cc-by": ("by", r"(?:cc|creative commons) (?:by|attribution)", "1.0 2.0 2.5 3.0 4.0"),
-    "cc-by-sa": ("by", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)", "1.0 2.0 2.5 3.0 4.0"),
-    "cc-by-nd": ("by", r"(?:cc|creative commons) (?:by nd|attribution no ?derivatives)", "1.0 2.0 2.5 3.0 4.0"),
-    "cc-by-nc": ("by", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)", "1.0 2.0 2.5 3.0 4.0"),
-    "cc-by-nc-sa": ("by", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)", "1.0 2.0 2.5 3.0 4.0"),
-    "cc-by-nc-nd": ("by", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?derivatives)", "1.0 2.0 2.5 3.0 4.0"),
-    "odbl": ("open database", r"open (?:data commons )?open ?database licen[cs]e|open database licen[cs]e", "1.0"),
-    "odc-by": ("open data commons", r"open data commons attribution licen[cs]e", "1.0"),
-    "pddl": ("public domain", r"(?:open data commons )?public domain dedication and licen[cs]e", "1.0"),
-    "sspl": ("server side", r"server side public licen[cs]e", "1"),
-    "busl": ("business source", r"business source licen[cs]e", "1.0 1.1"),
-    "elastic": ("elastic", r"elastic licen[cs]e", "1 2.0"),
-    "mulan-psl": ("mulan", r"mulan permissive software licen[cs]e", "1 2"),
-    "cecill": ("cecill", r"cecill(?: free software licen[cs]e)?", "1.0 2.0 2.1"),
-    "hpnd": ("historical", r"historical permission notice and disclaimer", ""),
-}
-
-#: sentences of the licenses themselves: label, keyword, pattern
-NOTICES = [
-    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "hereby granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", r"neither the name of (?:\S+ ){{1,12}}?nor the names of (?:its|any) contributors may be used to endorse"),
-    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display"),
-    ("zlib", "as is", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("gpl", "free software", r"this program is free software you can redistribute it and or modify it under the terms of"),
-    ("lgpl", "free software", r"this library is free software you can redistribute it and or modify it under the terms of"),
-    ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("proprietary", "rights reserved", r"all rights reserved"),
-]
-
-#: form -> (priority, confidence, pattern around {name} and {version})
-VERSIONED = {
-    "tag": (4, 1.0, r"spdx licen[cs]e identifier {tag}(?: only| or later)?"),
-    "grant": (3, 0.95, r"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: version| v)? v?{version}(?: international| or later)?"),
-    "title": (2, 0.85, r"(?:{name})(?: version| v)? v?{version}"),
-}
-PLAIN = {
-    "tag": (4, 1.0, r"spdx licen[cs]e identifier {tag}"),
-    "grant": (3, 0.9, r"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of )?(?:the )?(?:{name})"),
-    "title": (1, 0.6, r"(?:{name})"),
-}
-NOTICE_PRIORITY, NOTICE_CONFIDENCE, BASE_CONFIDENCE = 2, 0.8, 0.6
-
-#: every rule's match holds one of these, so a text without them passes no other gate
-GATES = [b"licen", b"public domain", b"hereby granted", b"redistribut", b"endorse", b"advertising", b"gpl", b"cc0",
-         b"cc by", b"creative commons", b"0bsd", b"clause", b"as is", b"free software", b"rights reserved", b"wtfpl",
-         b"cecill", b"historical permission", b"unicode terms", b"mit no attribution"]
+#: what comes before a bare name, and what joins names in an expression
+CONTEXT = re.compile(
+    rb" (?:(?P<tag>spdx licen[cs]e identifier)"
+    rb"|licen[cs](?:es?|ing)(?: (?:type|name|id|identifier|expression|key|is|are|under|osi approved|spdx))*"
+    rb"|licen[cs]ed (?:under|with|as)|(?:released|distributed|available|published|provided|covered) under)"
+    rb"(?: (?:the|a|either|both|terms of|conditions of|terms and conditions of))*(?= )")
+JOINT = re.compile(rb"(?: (?:and or|or|and|with))?(?: the)?(?= )")
+#: a full name after these words is a grant
+GRANT = re.compile(
+    rb" (?:licen[cs]ed|released|distributed|available|published|provided|covered) (?:under|with)"
+    rb"(?: the)?(?: terms(?: and conditions)? of)?(?: the)?$")
+GRANT_REACH = 80
+#: a bare name before these is part of a full name, which has rules of its own
+FULL_NAME = r"(?! (?:software )?licen[cs]e)"
+
+#: (priority, confidence) by place: a tag, a field or grant, a sentence, a versioned name, a plain one
+TAG, FIELD, NOTICE, VERSIONED, PLAIN = (4, 1.0), (3, 0.95), (3, 0.8), (2, 0.85), (1, 0.6)
+GRANTED = {VERSIONED: (3, 0.95), PLAIN: (3, 0.9)}
+BASE_CONFIDENCE = 0.6
 
 
 class Rule(NamedTuple):
     label: str
-    keyword: bytes
-    priority: int
-    confidence: float
-    pattern: re.Pattern
+    keywords: tuple[str, ...]
+    pattern: str
+    rank: tuple[int, float]
+
+    @property
+    def signature(self) -> re.Pattern:
+        return re.compile(f" {_spelled(self.pattern)}(?= )".encode())
+
+
+def _spelled(pattern: str) -> str:
+    return f"(?:{pattern})".replace("LIC", "licen[cs]e").replace("VER", "(?:version |ver |v |v)?")
+
+
+def _table(text: str, rank: tuple[int, float]) -> list[Rule]:
+    lines = (line.split("  ", 2) for line in text.strip().splitlines())
+    return [Rule(label, tuple(words.split(",")), pattern, rank) for label, words, pattern in lines]
+
+
+class Signatures(NamedTuple):
+    rules: list[Rule]
+    patterns: list[re.Pattern]
+    #: word -> rules whose matches hold it or another of their keywords
+    gates: dict[bytes, list[int]]
+    #: names of an expression as one pattern, and their rules
+    operand: re.Pattern
+    operands: list[Rule]
 
 
 @cache
-def rules() -> list[Rule]:
-    """All rules in order: each family's forms for each of its versions, then without, then the notices."""
-    made = []
-
-    def add(label: str, keyword: str, form: tuple, **parts: str) -> None:
-        priority, confidence, pattern = form
-        bounded = f"(?<= ){pattern.format(**parts)}(?= )"
-        made.append(Rule(label, keyword.encode(), priority, confidence, re.compile(bounded.encode())))
-
-    for family, (keyword, name, versions) in FAMILIES.items():
-        words = family.replace("-", " ")
-        for version in versions.split():
-            spoken = version.replace(".", " ")
-            full = f"{family}-{version}" if "." in version else f"{family}-{version}.0"
-            optional = spoken if "." in version else f"{spoken}(?: 0)?"
-            for form, rule in VERSIONED.items():
-                gate = "spdx" if form == "tag" else keyword
-                add(full, gate, rule, name=name, version=optional, tag=f"{words} {optional}")
-        for form, rule in PLAIN.items():
-            add(family, "spdx" if form == "tag" else keyword, rule, name=name, tag=words)
-    for label, keyword, pattern in NOTICES:
-        add(label, keyword, (NOTICE_PRIORITY, NOTICE_CONFIDENCE, pattern))
-    return made
+def signatures() -> Signatures:
+    """All rules in order, compiled, with their keyword gates."""
+    short, bare = _table(SHORT, VERSIONED), _table(BARE, FIELD)
+    ordered = [*_table(NOTICES, NOTICE), *_table(VERSIONED_NAMES, VERSIONED), *short, *_table(NAMES, PLAIN)]
+    gates: dict[bytes, list[int]] = {}
+    for number, rule in enumerate(ordered):
+        for word in rule.keywords:
+            gates.setdefault(word.encode(), []).append(number)
+    for rule in bare:  # no signature of their own, but their words open the gate
+        for word in rule.keywords:
+            gates.setdefault(word.encode(), [])
+    either = "|".join(
+        [f"({_spelled(r.pattern)}(?= ))" for r in short] + [f"({_spelled(r.pattern)}(?= ){FULL_NAME})" for r in bare])
+    return Signatures(
+        ordered, [r.signature for r in ordered], gates, re.compile(f" (?:{either})".encode()), short + bare)
+
+
+def _expressions(joined: bytes) -> Iterator[tuple[int, int, Rule]]:
+    """Names behind a tag, a field or a grant, one after another as far as they are joined."""
+    known = signatures()
+    for context in CONTEXT.finditer(joined):
+        rank = TAG if context["tag"] else FIELD
+        start, at = context.start() + 1, context.end()
+        while name := known.operand.match(joined, at):
+            yield start, name.end(), known.operands[name.lastindex - 1]._replace(rank=rank)
+            joint = JOINT.match(joined, name.end())
+            if not joint:
+                break
+            at = joint.end()
+            start = at + 1
 
 
 #: A-Z to a-z, and everything that is no word character to a blank; other bytes are word characters
@@ -183,7 +133,9 @@ def detect(text: bytes) -> dict:
     words = [w for w in folded_words(text) if w]
     joined = b" " + b" ".join(words) + b" "
     out = {"n_words": len(words), "places": [], "base_labels": [], "spans": [], "labels": [], "score": 0.0}
-    if not any(gate in joined for gate in GATES):
+    known = signatures()
+    gates = known.gates.keys() & words
+    if not gates:
         return out
     offsets: list[int] = []
 
@@ -199,21 +151,27 @@ def detect(text: bytes) -> dict:
             out["places"].append(word_at(at + 1))
             base.add(label)
             at = joined.find(b" " + phrase + b" ", at + 1)
+    chosen: list[Rule] = []
     found = []
-    present: dict[bytes, bool] = {}
-    for number, rule in enumerate(rules()):
-        if rule.keyword not in present:
-            present[rule.keyword] = rule.keyword in joined
-        if present[rule.keyword]:
-            for match in rule.pattern.finditer(joined):
-                found.append((rule.priority, word_at(match.start()), word_at(match.end() - 1) + 1, number))
-    kept = _surviving(found)
-    chosen = [(start, end, rules()[number]) for _, start, end, number in kept]
+
+    def add(start: int, end: int, rule: Rule) -> None:
+        found.append((rule.rank[0], word_at(start), word_at(end - 1) + 1, len(chosen)))
+        chosen.append(rule)
+
+    for number in sorted({n for gate in gates for n in known.gates[gate]}):
+        rule = known.rules[number]
+        for match in known.patterns[number].finditer(joined):
+            start = match.start() + 1
+            granted = rule.rank in GRANTED and GRANT.search(joined[max(0, start - GRANT_REACH) : start - 1])
+            add(start, match.end(), rule._replace(rank=GRANTED[rule.rank]) if granted else rule)
+    for one in _expressions(joined):
+        add(*one)
+    kept = [(start, end, chosen[k]) for _, start, end, k in _surviving(found)]
     out["places"].sort()
     out["base_labels"] = sorted(base)
-    out["spans"] = [{"first": s, "last": e - 1, "label": r.label, "confidence": r.confidence} for s, e, r in chosen]
-    out["labels"] = sorted(base | {r.label for _, _, r in chosen})
-    out["score"] = max([BASE_CONFIDENCE] * bool(base) + [r.confidence for _, _, r in chosen], default=0.0)
+    out["spans"] = [{"first": s, "last": e - 1, "label": r.label, "confidence": r.rank[1]} for s, e, r in kept]
+    out["labels"] = sorted(base | {r.label for _, _, r in kept})
+    out["score"] = max([BASE_CONFIDENCE] * bool(base) + [r.rank[1] for _, _, r in kept], default=0.0)
     return out
 
 
