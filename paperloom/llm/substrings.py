@@ -16,12 +16,14 @@ WINDOW = 20
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: words whose windows a task compares itself before it sends one of each
 CHUNK_WORDS = 1_000_000
-#: text bytes behind one bucket of window hashes, about three million windows
-BUCKET_BYTES = 20 << 20
+#: text bytes behind one bucket of window hashes, about two and a half million windows
+BUCKET_BYTES = 16 << 20
+#: buckets have a task each up to this many; beyond it, tasks take several buckets, one after another
+MOST_TASKS = 100_000
 #: word hashes a worker remembers
 WORD_MEMORY = 400_000
-#: bytes of the first hash that travel; the second one picks the bucket
-KEPT = 7
+#: the first hash travels whole, with 32 bits of the second from this one on, whose upper bits pick the bucket
+CHECK_SHIFT = 8
 
 
 def _powers(factor: int, n: int) -> np.ndarray:
@@ -156,17 +158,18 @@ class Chunk:
         at = starts[doc] + pos
         low, high = (r.roll(words)[at] for r in self.rollers)
         bucket = (((high >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
-        again = repeated(low, bucket, ids[doc], pos, ordered=len(np.unique(ids)) == len(ids))
+        again = repeated(low, high, ids[doc], pos, ordered=len(np.unique(ids)) == len(ids))
         yield _packed_runs(ids[doc[again]], tags[doc[again]], pos[again], self.buckets)
         send = np.flatnonzero(~again)
         send = send[np.argsort(bucket[send].astype(np.uint32), kind="stable")]
         edges = np.flatnonzero(np.diff(bucket[send])) + 1
-        rows = [self._packed(part, bucket, low, doc, pos, ids, tags) for part in np.split(send, edges) if len(part)]
+        check = (high >> np.uint64(CHECK_SHIFT)).astype("<u4")
+        rows = [self._packed(part, bucket, low, check, doc, pos, ids, tags) for part in np.split(send, edges) if len(part)]
         columns = dict(zip(("bucket", "n", "docs", "hashes", "places"), zip(*rows, strict=True), strict=True))
         yield _batch(len(rows), **{c: pa.array(v, SENT_TYPES.field(c).type) for c, v in columns.items()})
 
     @staticmethod
-    def _packed(part, bucket, low, doc, pos, ids, tags) -> tuple:
+    def _packed(part, bucket, low, check, doc, pos, ids, tags) -> tuple:
         """One bucket's windows: hashes, and documents with counts and position steps, compressed."""
         own, place = doc[part], pos[part]
         heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -177,13 +180,12 @@ class Chunk:
             np.diff(ids[of], prepend=0).astype("<i8").tobytes(), tags[of].astype("<u4").tobytes(),
             np.diff(np.append(heads, len(own))).astype("<i4").tobytes(), steps.astype("<i4").tobytes(),
         ))
-        hashes = low[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+        hashes = low[part].astype("<u8").tobytes() + check[part].tobytes()
         return int(bucket[part[0]]), len(part), len(of), hashes, pa.compress(places, "zstd", asbytes=True)
 
 
 def _unpacked(n: int, docs: int, hashes: bytes, places: bytes) -> tuple[np.ndarray, ...]:
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :KEPT] = np.frombuffer(hashes, np.uint8).reshape(n, KEPT)
+    low, check = np.frombuffer(hashes, "<u8", n), np.frombuffer(hashes, "<u4", n, 8 * n)
     raw = pa.decompress(places, 16 * docs + 4 * n, "zstd", asbytes=True)
     ids = np.cumsum(np.frombuffer(raw, "<i8", docs))
     tags = np.frombuffer(raw, "<u4", docs, 8 * docs).astype(np.int64)
@@ -192,19 +194,17 @@ def _unpacked(n: int, docs: int, hashes: bytes, places: bytes) -> tuple[np.ndarr
     heads = np.cumsum(counts) - counts
     sums = np.cumsum(steps)
     pos = sums - np.repeat(sums[heads] - steps[heads], counts)
-    return wide.view("<u8").ravel(), np.repeat(ids, counts), np.repeat(tags, counts), pos.astype(np.int32)
+    return low, check, np.repeat(ids, counts), np.repeat(tags, counts), pos.astype(np.int32)
 
 
-def repeated(low: np.ndarray, high: np.ndarray | None, ids: np.ndarray, pos: np.ndarray, ordered: bool) -> np.ndarray:
-    """Which windows start after another of equal hash, by id, then position. ``ordered``: rows come so."""
+def repeated(low: np.ndarray, high: np.ndarray, ids: np.ndarray, pos: np.ndarray, ordered: bool) -> np.ndarray:
+    """Which windows start after another of equal hashes, by id, then position. ``ordered``: rows come so."""
     order = np.argsort(low, kind="stable")
     same = low[order[1:]] == low[order[:-1]]
-    if high is not None:
-        # equal low hashes in different buckets are different windows
-        clash = same & (high[order[1:]] != high[order[:-1]])
-        if clash.any():
-            order = np.lexsort((low, high))
-            same = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
+    if (same & (high[order[1:]] != high[order[:-1]])).any():
+        # windows are equal only if both hashes are; stable, so rows of one group stay in order
+        order = np.lexsort((low, high))
+        same = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
     out = np.zeros(len(low), bool)
     if ordered:
         out[order[1:][same]] = True
@@ -225,9 +225,9 @@ def repeated(low: np.ndarray, high: np.ndarray | None, ids: np.ndarray, pos: np.
 def _bucket_runs(table: pa.Table, parts: int) -> pa.Table:
     """Runs of repeated windows in one bucket, packed by slice of the documents."""
     rows = [table.column(c).to_pylist() for c in ("n", "docs", "hashes", "places")]
-    low, ids, tags, pos = (np.concatenate(v) for v in zip(*(_unpacked(*r) for r in zip(*rows, strict=True)), strict=True))
+    low, check, ids, tags, pos = (np.concatenate(v) for v in zip(*(_unpacked(*r) for r in zip(*rows, strict=True)), strict=True))
     del rows
-    again = np.flatnonzero(repeated(low, None, ids, pos, ordered=False))
+    again = np.flatnonzero(repeated(low, check, ids, pos, ordered=False))
     by = again[np.lexsort((pos[again], tags[again], ids[again]))]
     return pa.Table.from_batches([_packed_runs(ids[by], tags[by], pos[by], parts)])
 
@@ -248,9 +248,10 @@ def repeated_runs(docs: DataFrame, *, id_col: str, text_col: str, window: int =
     """doc_id, tag and ``runs`` (first, count) of starts of repeated windows, one row per document that has some.
 
     A task compares the windows of a million words itself and sends one of each, so a passage in
-    a third of all documents reaches its bucket once per chunk. A window travels as 7 bytes of
-    one rolling hash, in a bucket that a second one picks, and its place in about two bytes. Buckets
-    grow in number with the text, so that one holds some three million windows. What a bucket or a chunk finds
+    a third of all documents reaches its bucket once per chunk. A window travels as 12 bytes of
+    two rolling hashes, in a bucket that the second one picks, and its place in about two bytes. Both
+    hashes must agree. Buckets and the tasks that take them grow in number with the text, so that one holds
+    some two and a half million windows. What a bucket or a chunk finds
     goes back as one row per slice of the documents, and there are as many slices as buckets.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -269,11 +270,13 @@ def repeated_runs(docs: DataFrame, *, id_col: str, text_col: str, window: int =
 
     def judged(table: pa.Table) -> pa.Table:
         # negative keys hold runs found within chunks, which pass
-        return table if table.column("bucket")[0].as_py() is None else _bucket_runs(table, buckets)
+        return table.drop_columns("by") if table.column("bucket")[0].as_py() is None else _bucket_runs(table, buckets)
 
     key = F.coalesce(F.col("bucket"), F.lit(-1) - F.col("part"))
-    runs = rows.mapInArrow(sent, SENT_SCHEMA).groupBy(key.alias("by")).applyInArrow(judged, SENT_SCHEMA)
-    return runs.groupBy("part").applyInArrow(
+    tasks = min(buckets, MOST_TASKS)
+    windows = rows.mapInArrow(sent, SENT_SCHEMA).withColumn("by", key).repartition(tasks, "by")
+    runs = windows.groupBy("by").applyInArrow(judged, SENT_SCHEMA)
+    return runs.repartition(tasks, "part").groupBy("part").applyInArrow(
         _document_runs, "doc_id long, tag long, runs array<struct<first: int, count: int>>")
 
 

@@ -358,3 +358,19 @@ def test_pipeline_against_plain_stages(spark):
     assert Counter(r["doc_id"] for r in rows) == times
     for row in rows:
         assert row["ids"] == library.encode(texts[row["doc_id"]]) and row["n_ids"] == len(row["ids"])
+
+
+def test_windows_need_both_hashes():
+    """Windows whose first hashes are equal differ if their second ones do, in whatever order they come."""
+    rng = np.random.default_rng(3)
+    for ordered in (True, False):
+        low, high = rng.integers(0, 3, 400).astype(np.uint64), rng.integers(0, 4, 400).astype(np.uint64)
+        ids, pos = (np.repeat(np.arange(40), 10), np.tile(np.arange(10), 40))
+        if not ordered:
+            mixed = rng.permutation(400)
+            ids, pos = ids[mixed], pos[mixed]
+        first: dict = {}
+        for key, place in zip(zip(low, high, strict=True), zip(ids, pos, strict=True), strict=True):
+            first[key] = min(first.get(key, place), place)
+        wanted = [first[k] != p for k, p in zip(zip(low, high, strict=True), zip(ids, pos, strict=True), strict=True)]
+        assert substrings.repeated(low, high, ids, pos, ordered).tolist() == wanted
