@@ -22,7 +22,7 @@ BUCKET_BYTES = 16 << 20
 MOST_TASKS = 100_000
 #: word hashes a worker remembers
 WORD_MEMORY = 400_000
-#: the first hash travels whole, with 32 bits of the second from this one on, whose upper bits pick the bucket
+#: the first hash travels whole, with 8 bits of the second from this one on, whose upper bits pick the bucket
 CHECK_SHIFT = 8
 
 
@@ -163,7 +163,7 @@ class Chunk:
         send = np.flatnonzero(~again)
         send = send[np.argsort(bucket[send].astype(np.uint32), kind="stable")]
         edges = np.flatnonzero(np.diff(bucket[send])) + 1
-        check = (high >> np.uint64(CHECK_SHIFT)).astype("<u4")
+        check = (high >> np.uint64(CHECK_SHIFT)).astype(np.uint8)
         rows = [self._packed(part, bucket, low, check, doc, pos, ids, tags) for part in np.split(send, edges) if len(part)]
         columns = dict(zip(("bucket", "n", "docs", "hashes", "places"), zip(*rows, strict=True), strict=True))
         yield _batch(len(rows), **{c: pa.array(v, SENT_TYPES.field(c).type) for c, v in columns.items()})
@@ -185,7 +185,7 @@ class Chunk:
 
 
 def _unpacked(n: int, docs: int, hashes: bytes, places: bytes) -> tuple[np.ndarray, ...]:
-    low, check = np.frombuffer(hashes, "<u8", n), np.frombuffer(hashes, "<u4", n, 8 * n)
+    low, check = np.frombuffer(hashes, "<u8", n), np.frombuffer(hashes, np.uint8, n, 8 * n)
     raw = pa.decompress(places, 16 * docs + 4 * n, "zstd", asbytes=True)
     ids = np.cumsum(np.frombuffer(raw, "<i8", docs))
     tags = np.frombuffer(raw, "<u4", docs, 8 * docs).astype(np.int64)
@@ -248,7 +248,7 @@ def repeated_runs(docs: DataFrame, *, id_col: str, text_col: str, window: int =
     """doc_id, tag and ``runs`` (first, count) of starts of repeated windows, one row per document that has some.
 
     A task compares the windows of a million words itself and sends one of each, so a passage in
-    a third of all documents reaches its bucket once per chunk. A window travels as 12 bytes of
+    a third of all documents reaches its bucket once per chunk. A window travels as 9 bytes of
     two rolling hashes, in a bucket that the second one picks, and its place in about two bytes. Both
     hashes must agree. Buckets and the tasks that take them grow in number with the text, so that one holds
     some two and a half million windows. What a bucket or a chunk finds
