@@ -790,15 +790,33 @@ def stored_state(spark, sf):
     return table.current(spark).select("doc_id", "group_id", "version")
 
 
-@query
-def seed_load(spark, sf):
-    """Documents as seed rows: id, path and the content with its header lines."""
-    rows = load(spark, sf, "documents").select(
+def _seed_rows(spark, sf):
+    return load(spark, sf, "documents").select(
         F.col("source").alias("group_id"), F.col("lang").alias("group_name"),
         F.concat("doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("Document "), "doc_id").alias("title"),
         F.lit("jira").alias("source"), F.col("text").alias("body"),
     )
-    return seed.seed_documents(rows)
+
+
+@query
+def seed_load(spark, sf):
+    """Documents as seed rows: id, path and the content with its header lines."""
+    return seed.seed_documents(_seed_rows(spark, sf))
+
+
+@query
+def seed_ingest(spark, sf):
+    """Seed rows ingested with their groups into an empty store: chunks per document, documents and summary per group."""
+    rows = _seed_rows(spark, sf).withColumn("group_id", F.concat_ws("-", "group_id", "group_name"))
+    state = {name: spark.createDataFrame([], schema) for name, schema in STATE_SCHEMAS.items()}
+    after = ingest(
+        seed.seed_documents(rows), {**state, "groups": seed.seed_groups(rows)},
+        embedding.hashed_terms(B.TEXT_DIM), B.TEXT_DIM, chunker=chunking.window_chunks,
+    )
+    chunks = after["chunks"].groupBy("doc_id").agg(
+        F.count("*").alias("n_chunks"), F.sum(T.word_count(F.col("chunk_text"))).alias("chunk_words"))
+    held = after["documents"].select("doc_id", "doc_path", "group_id").join(chunks, "doc_id", "left")
+    return held.join(after["groups"].select("group_id", "group_summary", "doc_count"), "group_id", "left")
 
 
 @query

@@ -917,6 +917,19 @@ SELECT source || ':' || doc_id || '.md' AS doc_id, doc_id || '.md' AS doc_path,
        || text || chr(10) AS content
 FROM documents""")
 
+_view("seeded", "", _analysis("""
+(SELECT source || '-' || lang || ':' || doc_id || '.md' AS doc_id, doc_id || '.md' AS doc_path, source || '-' || lang AS group_id, lang,
+        'Title: Document ' || doc_id || chr(10) || 'Group: ' || lang || chr(10) || 'Source: jira' || chr(10) || chr(10)
+        || text || chr(10) AS content
+ FROM documents)""", "doc_id, doc_path, group_id, lang", "content"))
+_sql("seed_ingest", "seeded", """
+SELECT doc_id, doc_path, group_id, 'Seed group for ' || lang AS group_summary, total AS n_chunks,
+       CAST(n_words + 2 + (total - 1) * overlap AS BIGINT) AS chunk_words, count(*) OVER (PARTITION BY group_id) AS doc_count
+FROM (SELECT *, CASE WHEN struct_type = 'short' THEN 1
+                     ELSE greatest(1, CAST(ceil((n_words + 2 - overlap) / (size - overlap)) AS BIGINT)) END AS total
+      FROM (SELECT *, CASE struct_type WHEN 'code' THEN 384 WHEN 'list' THEN 256 ELSE 512 END AS size,
+                   CASE struct_type WHEN 'code' THEN 48 WHEN 'list' THEN 32 ELSE 64 END AS overlap FROM seeded))""")
+
 # --- pages as new documents --------------------------------------------------------------
 
 _view("incoming", "page", """
