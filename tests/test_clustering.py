@@ -131,3 +131,24 @@ def test_sums_by_difference_equal_a_rebuild(spark):
     want = {r.g: (r._n, r._sum) for r in sum_vectors(frame([(g, d, v) for d, (g, v) in held.items()]), ["g"], 4).collect()}
     got = {r.g: (r._n, r._sum) for r in rows}
     assert set(got) == set(want) and all(got[g][0] == want[g][0] and np.allclose(got[g][1], want[g][1], atol=1e-12) for g in want)
+
+
+def test_a_round_of_blocks_is_one_short_job(spark, monkeypatch):
+    """No joins or broadcast relations per round; keys whose centroids don't fit together go in batches."""
+    points = _points(spark, {"hot": 400, "b": 90, "c": 70})
+    k = K.prototype_count(F.col("n"))
+    local = _sets(K.kmeans(points, ["group_id"], "id", k=k, dim=DIM))
+    context = spark.sparkContext
+
+    def jobs(iterations):
+        group = f"rounds-{iterations}"
+        context.setJobGroup(group, group)
+        try:
+            K.kmeans(points, ["group_id"], "id", k=k, dim=DIM, task_rows=30, block_rows=64, iterations=iterations)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(4) - jobs(1) <= 3 * 3
+    monkeypatch.setattr(K, "CENTROID_BYTES", 8 * DIM * 8, raising=False)
+    assert local == _sets(K.kmeans(points, ["group_id"], "id", k=k, dim=DIM, task_rows=30, block_rows=64))
