@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -34,11 +35,14 @@ from paperloom.session import write_through
 
 DIGITS = 6
 SLICE_CELLS = 4_000_000
+SLICE_ROWS = 8_192               # stored rows made unit vectors at once
+EXACT_CELLS = 2_000_000          # elements of the pairs compared in double precision at once
 FILTERED_GROUPS = 1_000          # a longer list is left to the tasks
 BATCH_BYTES = 64 << 20           # vectors of one batch of queries
 BATCH_FILL = 0.8                 # batches are dealt by hash, so they aim below their bound
 MOST_BATCHES = 8                 # together they hold no more than BATCH_BYTES
-BLOCK_HITS = 4_000_000           # hits that a block of queries may hold at once
+BLOCK_HITS = 2_000_000           # hits that a block of queries may keep at once
+KEPT = 2                         # times k hits a query keeps before they are cut to the k best
 BROADCAST_GROUPS = 100_000       # groups whose counts are broadcast; more are joined by a shuffle
 
 
@@ -46,7 +50,7 @@ def _unit_rows(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-    lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=float))
     with np.errstate(divide="ignore", invalid="ignore"):
         return rows / lengths[:, None]
 
@@ -56,18 +60,27 @@ class _Questions:
 
     def __init__(self, table: pa.Table, key: str, scope: str | None):
         self.ids = table.column(key).combine_chunks()
-        self.vectors = _unit_rows(table.column("_v")).T if table.num_rows else None
+        self.vectors = _unit_rows(table.column("_v")) if table.num_rows else None
         self.allowed = None
         if scope:
-            listed: dict = {}
-            everywhere = []
-            for position, groups in enumerate(table.column(scope).to_pylist()):
-                if groups is None:
-                    everywhere.append(position)
-                for group in dict.fromkeys(groups or []):
-                    listed.setdefault(group, []).append(position)
-            self.allowed = {g: np.array(everywhere + p) for g, p in listed.items()}
-            self.everywhere = np.array(everywhere, int)
+            lists = table.column(scope).combine_chunks()
+            self.everywhere = np.flatnonzero(lists.is_null().to_numpy(zero_copy_only=False))
+            owner, coded = pc.list_parent_indices(lists).to_numpy().astype(np.int32), lists.flatten().dictionary_encode()
+            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.lexsort((owner, codes))
+            owner, codes = owner[order], codes[order]
+            once = np.append(True, (np.diff(codes) != 0) | (np.diff(owner) != 0))[: len(codes)]
+            owner, codes = owner[once], codes[once]
+            starts = np.flatnonzero(np.diff(codes, prepend=-1))
+            values = [*coded.dictionary.to_pylist(), None]
+            self.allowed = {
+                values[codes[start]]: np.sort(np.append(self.everywhere, part))
+                for start, part in zip(starts, np.split(owner, starts[1:]))
+            }
+
+    def rows(self, asking: np.ndarray) -> np.ndarray:
+        """Unit vectors of some queries, in ascending order; those of all are not copied."""
+        return self.vectors if len(asking) == len(self.ids) else self.vectors[asking]
 
     def groups(self) -> list | None:
         """The only groups any query may see; null when some query sees all."""
@@ -95,29 +108,59 @@ def _best_rows(batch: pa.Table, questions: _Questions, keys, group, best_of_grou
 
     ``floors`` holds the lowest score per query that can still matter.
     """
-    step = max(1, SLICE_CELLS // max(1, len(questions.ids)))
-    for start in range(0, batch.num_rows, step):
-        part = batch.slice(start, step)
-        vectors, names = _unit_rows(part.column("_v")), part.select(keys)
-        codes, values = np.zeros(part.num_rows, int), [None]
-        if group:
-            coded = part.column(group).combine_chunks().dictionary_encode()
-            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
-            values = [*coded.dictionary.to_pylist(), None]
-        for rows, asking in _blocks(codes, values, questions):
-            scores = np.round(vectors[rows] @ questions.vectors[:, asking], DIGITS) + 0.0
-            scores[np.isnan(scores)] = -np.inf
-            if best_of_group:
-                order = np.argsort(codes[rows], kind="stable")
-                starts = np.flatnonzero(np.diff(codes[rows][order], prepend=-1))
-                scores, rows = np.maximum.reduceat(scores[order], starts, axis=0), rows[order[starts]]
-            cut = floors[asking]
-            if len(rows) > k:
-                cut = np.maximum(cut, np.partition(scores, len(rows) - k, axis=0)[len(rows) - k])
-            found, places = np.nonzero((scores >= cut) & np.isfinite(scores))
-            hits = names.take(pa.array(rows[found]))
-            hits = hits.append_column("_q", pa.array(asking[places]))
-            yield hits.append_column("similarity", pa.array(scores[found, places]))
+    vectors, names = _unit_rows(batch.column("_v")), batch.select(keys)
+    codes, values = np.zeros(batch.num_rows, int), [None]
+    if group:
+        coded = batch.column(group).combine_chunks().dictionary_encode()
+        codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+        values = [*coded.dictionary.to_pylist(), None]
+    scored = _group_scores if best_of_group else _row_scores
+    for rows, asking in _blocks(codes, values, questions):
+        asked = questions.rows(asking)
+        rough = None if best_of_group else asked.T.astype(np.float32)
+        step = max(1, SLICE_CELLS // max(1, len(asking)))
+        for start in range(0, len(rows), step):
+            part = rows[start:start + step]
+            for found, places, scores in scored(vectors, codes, part, asked, rough, floors[asking], k):
+                hits = names.take(pa.array(found))
+                hits = hits.append_column("_q", pa.array(asking[places].astype(np.int32)))
+                yield hits.append_column("similarity", pa.array(scores))
+
+
+def _group_scores(vectors, codes, rows, asked, rough, cut, k):
+    """Best score per group: (a row of the group, query position, score)."""
+    scores = np.round(vectors[rows] @ asked.T, DIGITS) + 0.0
+    scores[np.isnan(scores)] = -np.inf
+    order = np.argsort(codes[rows], kind="stable")
+    starts = np.flatnonzero(np.diff(codes[rows][order], prepend=-1))
+    scores, rows = np.maximum.reduceat(scores[order], starts, axis=0), rows[order[starts]]
+    if len(rows) > k:
+        cut = np.maximum(cut, np.partition(scores, len(rows) - k, axis=0)[len(rows) - k])
+    found, places = np.nonzero((scores >= cut) & np.isfinite(scores))
+    yield rows[found], places, scores[found, places]
+
+
+def _row_scores(vectors, codes, rows, asked, rough, cut, k):
+    """(row, query position, score): single precision leaves few pairs, which are compared in double precision."""
+    width = vectors.shape[1]
+    slack = (width + 16) * 1.2e-7 + 10.0 ** -DIGITS  # more than rounding in either precision can hide
+    rows = rows[np.isfinite(vectors[rows]).all(axis=1)]
+    if not len(rows):
+        return
+    near = vectors[rows].astype(np.float32) @ rough
+    open_ = np.flatnonzero(~np.isfinite(cut))
+    if len(rows) > k and len(open_):
+        some = near if len(open_) == len(cut) else near[:, open_]
+        cut = cut.copy()
+        cut[open_] = np.partition(some, len(rows) - k, axis=0)[len(rows) - k] - slack
+    found, places = np.nonzero(near >= (cut - slack).astype(np.float32))
+    del near
+    step = max(1, EXACT_CELLS // width)
+    for start in range(0, len(found), step):
+        r, q = rows[found[start:start + step]], places[start:start + step]
+        scores = np.round(np.einsum("ij,ij->i", vectors[r], asked[q]), DIGITS) + 0.0
+        kept = (scores >= cut[q]) & np.isfinite(scores)
+        yield r[kept], q[kept], scores[kept]
 
 
 def _shrink(parts: list, keys, best_of_group, k) -> pa.Table:
@@ -134,14 +177,20 @@ def _shrink(parts: list, keys, best_of_group, k) -> pa.Table:
     return table.filter(pa.array(np.arange(len(owner)) - first < k))
 
 
+def _parts(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def _search(batches, questions, keys, group, best_of_group, k, floor) -> pa.Table | None:
     """Best rows over all batches; the k-th best so far prunes what follows."""
     kept: list = []
     asked = len(questions.ids)
-    held, limit = 0, 4 * k * max(1, asked)
+    held, limit = 0, KEPT * k * max(1, asked)
     floors = np.full(asked, -np.inf if floor is None else floor)
-    for batch in batches if asked else ():
-        for hits in _best_rows(batch, questions, keys, group, best_of_group, k, floors):
+    for part in _parts(batches) if asked else ():
+        for hits in _best_rows(part, questions, keys, group, best_of_group, k, floors):
             kept.append(hits)
             held += hits.num_rows
             if held > limit:
@@ -168,7 +217,8 @@ class QuestionSet:
     A batch holds at most ``broadcast_rows`` queries and about ``batch_bytes`` (``BATCH_BYTES``) of vectors. One row
     more is asked for, which proves that one batch is enough; else the queries are written once and
     counted. Up to ``MOST_BATCHES`` with ``BATCH_BYTES`` in all are dealt by a hash of their key;
-    beyond, the driver reads no query.
+    beyond, the driver reads no query, and tasks compare blocks of about ``BATCH_BYTES`` on either side, whatever a
+    batch may hold: every row is sent once per block of the other side.
     """
 
     def __init__(
@@ -188,6 +238,7 @@ class QuestionSet:
         first = asked.limit(1).toArrow()
         width = len(first.column("_v")[0]) if first.num_rows else 1
         self.block_rows = max(1, (batch_bytes or BATCH_BYTES) // (8 * max(1, width)))
+        self.join_rows = max(self.block_rows, BATCH_BYTES // (8 * max(1, width)))
         most = max(1, min(broadcast_rows, self.block_rows))
         head = asked.limit(most + 1).toArrow()
         if head.num_rows <= most:
@@ -226,13 +277,18 @@ def _search_in_place(queries: QuestionSet, stored: pa.Table, schema: StructType,
     return queries.table.drop("_n").mapInArrow(scan, schema)
 
 
+def _block_copies(asked: int, stored: int, asked_rows: int, stored_rows: int) -> int:
+    """Rows that ``_search_blocks`` sends."""
+    return asked * math.ceil(stored / max(1, int(BATCH_FILL * stored_rows))) + stored * math.ceil(asked / max(1, int(BATCH_FILL * asked_rows)))
+
+
 def _search_blocks(queries: QuestionSet, stored: DataFrame, schema: StructType, how: tuple, k: int) -> DataFrame:
     """Every block of queries against every block of stored rows; a pair of blocks is a task's unit of memory."""
     key, scope, names = queries.key, queries.scope, schema.fieldNames()
     stored = _numbered(stored)
-    asked_rows = max(1, min(queries.block_rows, BLOCK_HITS // (4 * k)))
+    asked_rows = max(1, min(queries.join_rows, BLOCK_HITS // (KEPT * k)))
     asked_blocks = math.ceil(queries.count / max(1, int(BATCH_FILL * asked_rows)))
-    stored_blocks = math.ceil(stored.count() / max(1, int(BATCH_FILL * queries.block_rows)))
+    stored_blocks = math.ceil(stored.count() / max(1, int(BATCH_FILL * queries.join_rows)))
 
     def dealt(rows: DataFrame, own: str, count: int, other: str, copies: int) -> DataFrame:
         block = F.pmod(F.xxhash64("_n"), F.lit(count)).cast("int")
@@ -285,18 +341,24 @@ def group_units(asked: DataFrame, stored: DataFrame, group: str, asked_rows: int
 def _search_groups(
     queries: QuestionSet, stored: DataFrame, schema: StructType, how: tuple, k: int, group: str
 ) -> DataFrame:
-    """Every group's own queries against its rows; queries without a scope go against all rows."""
+    """Every group's own queries against its rows; queries without a scope go against all rows.
+
+    Queries that see so many groups each that copies per group outnumber those per block are compared by blocks.
+    """
     key, scope, names = queries.key, queries.scope, schema.fieldNames()
     asked = queries.table.where(F.col(scope).isNotNull())
+    asked_rows = max(1, min(queries.join_rows, BLOCK_HITS // (KEPT * k)))
+    copies, of_all = asked.agg(F.sum(F.size(F.array_distinct(scope))), F.count("*")).first()
+    if (copies or 0) > queries.join_rows and copies > _block_copies(of_all, stored.count(), asked_rows, queries.join_rows):
+        return _search_blocks(queries, stored, schema, how, k)
     everywhere = QuestionSet.__new__(QuestionSet)
     everywhere.__dict__ |= {**queries.__dict__, "scope": None, "table": queries.table.where(F.col(scope).isNull()).drop(scope)}
     everywhere.count = everywhere.table.count()
     rest = _search_blocks(everywhere, stored, schema, how, k) if everywhere.count else None
 
-    asked_rows = max(1, min(queries.block_rows, BLOCK_HITS // (4 * k)))
     each = asked.withColumn("_g", F.explode(F.array_distinct(scope))).drop(scope)
     stored = _numbered(stored)
-    units = write_through(group_units(each, stored, group, asked_rows, queries.block_rows))
+    units = write_through(group_units(each, stored, group, asked_rows, queries.join_rows))
     few = units.count() <= BROADCAST_GROUPS
 
     def cuts() -> DataFrame:

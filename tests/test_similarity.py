@@ -168,3 +168,48 @@ def test_a_group_nobody_may_see_is_never_shuffled(spark, monkeypatch):
     right = plan[plan.rindex("BroadcastHashJoin"):]
     assert "Exchange hashpartitioning" not in right.split("Scan parquet")[0].replace("BroadcastExchange", "")
     assert {r.row_id % 3 for r in found.collect()} == {1}
+
+
+def _spied(monkeypatch, name):
+    calls, own = [], getattr(similarity, name)
+    monkeypatch.setattr(similarity, name, lambda *a: calls.append(own(*a)) or calls[-1])
+    return calls
+
+
+def test_copies_do_not_follow_the_batches(spark, monkeypatch):
+    """Small broadcast batches make many queries stay in Spark, but rows are sent once per block of a task's memory."""
+    q, c, _, _ = _tables(spark)
+    how = {"k": 3, "keys": ["row_id"], "group": "group_id", "scope": "groups"}
+    q = q.where("groups IS NOT NULL")
+    expected, units = _ranked(nearest(q, c, **how)), _spied(monkeypatch, "group_units")
+    assert _ranked(nearest(q, c, broadcast_rows=2, batch_bytes=8 * DIM * 10, **how)) == expected
+    assert {(r["_qb"], r["_sb"]) for r in units[0].collect()} == {(1, 1)}
+
+
+def test_queries_that_see_many_groups_are_not_copied_per_group(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"g{i % 40}", [float(x) for x in rng.normal(size=DIM)]) for i in range(400)]
+    c = spark.createDataFrame(rows, "row_id int, group_id string, embedding array<double>").repartition(4)
+    q = c.select(F.col("row_id").alias("query_id"), "embedding", F.array(*[F.lit(f"g{g}") for g in range(1, 40)]).alias("groups"))
+    how = {"k": 3, "keys": ["row_id"], "group": "group_id", "scope": "groups"}
+    expected, units = _ranked(nearest(q, c, **how)), _spied(monkeypatch, "group_units")
+    monkeypatch.setattr(similarity, "BATCH_BYTES", 8 * DIM * 200)
+    assert _ranked(nearest(q, c, broadcast_rows=2, **how)) == expected
+    assert not units
+
+
+def test_rough_scores_lose_no_row(spark):
+    """Similarities that differ by less than single precision tells, around the k-th and at a floor."""
+    base = np.random.default_rng(4).normal(size=DIM)
+    rows = [(i, (base + 1e-4 * np.random.default_rng(i).normal(size=DIM)).tolist()) for i in range(3000)]
+    rows += [(5000, [0.0] * DIM), (5001, [float("nan")] * DIM), (5002, [1e-200] * DIM)]
+    c = spark.createDataFrame(rows, "row_id int, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(0, base.tolist()), (1, rows[7][1]), (2, [0.0] * DIM)], "query_id int, embedding array<double>")
+    for floor in (None, 1.0):
+        got = [(r.query_id, r["rank"], r.row_id) for r in nearest(q, c, k=50, keys=["row_id"], min_similarity=floor).collect()]
+        want = []
+        for i, v in enumerate([base, np.array(rows[7][1])]):
+            sims = np.round(_unit(np.array([r[1] for r in rows[:3000]])) @ (v / np.linalg.norm(v)), 6)
+            order = [j for j in sorted(range(3000), key=lambda j: (-sims[j], j)) if floor is None or sims[j] >= floor]
+            want += [(i, n + 1, j) for n, j in enumerate(order[:50])]
+        assert sorted(got) == want
