@@ -1,6 +1,7 @@
 """Batch models: loaded once per worker, called with batches; vectors that can't be stored."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paperloom.operators import embedding, retrieval
@@ -56,3 +57,15 @@ def test_hashed_terms(spark):
     for t in ("äpfel", "äpfel", "12", "x"):
         want[embedding._term_hash(t) % 16] += 1
     assert np.allclose(vectors[0], want / np.linalg.norm(want)) and np.isclose(np.linalg.norm(vectors[4]), 1)
+
+
+def test_terms_are_counted_in_slices(spark, monkeypatch):
+    """A worker holds the terms of few texts at once, whatever a batch of Spark's holds; the vectors are the same."""
+    texts = [None if i % 50 == 0 else "" if i % 60 == 0 else f"Word{i % 7} word{i} a b a" for i in range(1300)]
+    embed = embedding.hashed_terms(16).func
+    held, own = [], embedding.pc.split_pattern_regex
+    monkeypatch.setattr(embedding.pc, "split_pattern_regex", lambda a, *b: held.append(len(a)) or own(a, *b))
+    whole = embed(pa.array(texts, pa.string()))
+    assert max(held) < 1300 and sum(held) == 1300
+    assert whole.to_pylist() == [embed(pa.array([t], pa.string()))[0].as_py() for t in texts]
+    assert len(embed(pa.array([], pa.string()))) == 0
