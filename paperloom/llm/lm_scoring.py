@@ -12,14 +12,14 @@ the result is their mean, each row weighed by how often a shard trained it. One
 """
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from paperloom.llm.common import SUMS, added_blocks, byte_texts, slices
+from paperloom.llm.common import SUMS, added_blocks, slices
 from paperloom.session import write_through
 
 # fixed values of the base score and the split
@@ -39,6 +39,8 @@ LEAST_COUNT, VOCABULARY, NUMBER = 5, 65_000, np.uint16
 WIDTH, NOISE, BATCH, RATE, PASSES = 24, 64, 512, 0.1, 1
 #: tokens that a task trains on at once; tokens of a shard; first sums per block of rows; rows that are added together
 CHUNK, SHARD, SALTS, BLOCK = 1 << 20, 6_000_000, 64, 4_096
+#: batches whose rows and noise are looked up at once
+STRETCH = 64
 #: tokens scored together; tokens normalised over classes at once
 SCORED, NORMALISED = 1 << 18, 2_048
 #: bytes of text turned into numbers at once; words counted in a task before they are sent on
@@ -82,20 +84,27 @@ class Model:
         """The context vectors, with a one for the bias."""
         v = self.values
         out = np.ones((len(before2), WIDTH + 1), np.float32)
-        out[:, :-1] = v["c"][0] * v["r"][before2] + v["c"][1] * v["r"][before1]
+        out[:, :-1] = v["c"][0] * v["r"].take(before2, axis=0) + v["c"][1] * v["r"].take(before1, axis=0)
         return out
 
 
-def _log_sum(scores: np.ndarray) -> np.ndarray:
-    """log of the sum of exp of each row; the scores are overwritten."""
-    most = scores.max(axis=1)
-    scores -= most[:, None]
-    return most + np.log(np.exp(scores, out=scores).sum(axis=1))
+def _log_sums(hidden: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
+    """log of the sum, over the outcomes, of exp of their products with each context."""
+    scores = hidden @ outcomes.T
+    with np.errstate(over="ignore", divide="ignore"):
+        out = np.log(np.exp(scores, out=scores) @ np.ones(len(outcomes), np.float32))
+    beyond = np.flatnonzero(~(np.abs(out) < 60))  # near the range of floats
+    if len(beyond):
+        scores = hidden[beyond] @ outcomes.T
+        most = scores.max(axis=1)
+        out[beyond] = most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+    return out
 
 
 def _against(x: np.ndarray) -> np.ndarray:
     """The logistic of -x, in its place."""
-    np.exp(np.clip(x, -30, 30, out=x), out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)  # beyond the range of floats it is infinite, and the logistic 0
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -125,6 +134,8 @@ class Layout:
         self.parts = parts.astype(np.int32)
         self.class_parts, self.part_place = _runs((found // len(self.classes)).astype(np.int32), CLASSES)
         self.members, self.place = _runs(self.parts, len(found))
+        #: steps that a word takes: its part if its class has others, itself if its part has others
+        self.steps = [np.array([len(x) > 1 for x in runs]) for runs in (self.class_parts, self.members)]
         #: whether more than one word is in the class
         self.inner = np.bincount(self.classes, minlength=CLASSES)[self.classes] > 1
 
@@ -141,101 +152,158 @@ def log10_tokens(model: Model, layout: Layout, before2: np.ndarray, before1: np.
     """log10 P(token | two tokens before), by matrix products: all classes, the parts of each class met, the words of each part."""
     out = np.empty(len(target))
     k, s, w = (model.values[name] for name in "ksw")
+    by_class, by_part = layout.steps
+    # the steps of a word add up: its own score is one product with their sum
+    whole = k[layout.classes] + np.where(by_class[layout.classes], 1, 0)[:, None] * s[layout.parts]
+    whole += np.where(by_part[layout.parts], 1, 0)[:, None] * w
     for start in range(0, len(target), SCORED):
         part = slice(start, start + SCORED)
-        hidden, aim = model.hidden(before2[part], before1[part]), target[part]
-        kinds = layout.classes[aim]
-        got = np.empty(len(aim), np.float32)
+        # parts follow their classes, so tokens in order of parts are in order of classes too
+        order = np.argsort(layout.parts[target[part]], kind="stable")
+        aim = target[part][order]
+        hidden = model.hidden(before2[part][order], before1[part][order])
+        got = np.einsum("ij,ij->i", hidden, whole.take(aim, axis=0))
         for first in range(0, len(aim), NORMALISED):
             some = slice(first, first + NORMALISED)
-            scores = hidden[some] @ k.T
-            own = scores[np.arange(len(scores)), kinds[some]]
-            got[some] = own - _log_sum(scores)
-
-        def step(owners: np.ndarray, outcomes: list, places: np.ndarray, table: np.ndarray) -> None:
-            order = np.argsort(owners, kind="stable")
-            heads = np.flatnonzero(np.diff(owners[order], prepend=-1))
-            for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
-                held = outcomes[owners[order[a]]]
-                if len(held) > 1:
-                    rows = order[a:b]
-                    scores = hidden[rows] @ table[held].T
-                    own = scores[np.arange(b - a), places[rows]]
-                    got[rows] += own - _log_sum(scores)
-
-        parts = layout.parts[aim]
-        step(kinds, layout.class_parts, layout.part_place[parts], s)
-        step(parts, layout.members, layout.place[aim], w)
-        out[part] = got
+            got[some] -= _log_sums(hidden[some], k)
+
+        def step(owners: np.ndarray, more: np.ndarray, outcomes: list, table: np.ndarray) -> None:
+            heads = np.flatnonzero(np.diff(owners, prepend=-1))
+            for a, b in zip(heads, [*heads[1:], len(owners)], strict=True):
+                if more[owners[a]]:
+                    got[a:b] -= _log_sums(hidden[a:b], table.take(outcomes[owners[a]], axis=0))
+
+        step(layout.classes[aim], by_class, layout.class_parts, s)
+        step(layout.parts[aim], by_part, layout.members, w)
+        out[part][order] = got
     return out / np.log(10)
 
 
+def trigrams(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two tokens before, and each token but the first two; a text's first word follows two ends."""
+    return np.where(row[1:-1] == 0, 0, row[:-2]), row[1:-1], row[2:]
+
+
 class Trainer:
-    """A model in training, its squared gradients, and how often each row was trained."""
+    """A model in training, its squared gradients, and how often each row was trained.
+
+    The rows of words, classes, parts and word targets lie in one table, in this order, so that a batch gathers, adds and moves
+    all rows it meets at once. Context vectors have no bias: their last column stays 0.
+    """
+
+    TABLES = "rksw"
 
     def __init__(self, model: Model, layout: Layout, shares: dict[str, np.ndarray]):
-        self.model, self.layout = model.copy(), layout
-        self.squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.model.values.items()}
+        self.layout = layout
+        sizes = [len(model.values[name]) for name in self.TABLES]
+        self.first = dict(zip(self.TABLES, np.cumsum([0, *sizes]), strict=False))
+        self.rows = np.zeros((sum(sizes), WIDTH + 1), np.float32)
+        self.squares = np.full(self.rows.shape, 1e-6, np.float32)
+        views = {}
+        for name, size in zip(self.TABLES, sizes, strict=True):
+            given = model.values[name]
+            views[name] = self.rows[self.first[name] : self.first[name] + size, : given.shape[1]]
+            views[name][:] = given
+        self.model = Model({name: views.get(name, v.copy()) for name, v in model.values.items()})
+        self.c_squares = np.full((2, WIDTH), 1e-6, np.float32)
         self.seen = {k: np.zeros(len(v), np.int64) for k, v in self.model.values.items()}
         self.log_noise = {k: np.log(NOISE * s).astype(np.float32) for k, s in shares.items()}
         self.below = {k: np.cumsum(s) for k, s in shares.items()}
+        self.place = np.zeros(len(self.rows), np.int64)
 
-    def _step(self, name: str, ids: np.ndarray, grads: np.ndarray, rate: float) -> None:
+    def _met(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct rows among the ids, and which of them each id is."""
+        every = np.arange(len(ids))
+        self.place[ids] = every
+        kept = self.place[ids]  # one entry of each row stands for all of them
+        own = kept == every
+        return ids[own], (np.cumsum(own) - 1)[kept]
+
+    def _move(self, rows: np.ndarray, values: np.ndarray, of: np.ndarray, grads: np.ndarray, rate: float, whole: int) -> None:
         """AdaGrad on the rows met, gradients of a row added."""
-        order = np.argsort(ids, kind="stable")
-        starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        self._move(name, ids[order[starts]], np.add.reduceat(grads[order], starts, axis=0), rate)
-
-    def _move(self, name: str, rows: np.ndarray | slice, grad: np.ndarray, rate: float) -> None:
-        squares = self.squares[name][rows] + grad * grad
-        self.squares[name][rows] = squares
-        self.model.values[name][rows] += rate * grad / np.sqrt(squares)
-
-    def _tell(self, name: str, hidden: np.ndarray, target: np.ndarray, rng, rate: float, whole: int) -> np.ndarray:
-        """Tell the targets from noise drawn by their shares; trains the targets and returns the contexts' gradient."""
-        q, log_noise, below = self.model.values[name], self.log_noise[name], self.below[name]
-        noise = np.minimum(np.searchsorted(below, rng.random(NOISE) * below[-1], side="right"), len(below) - 1)
-        aimed, drawn = q[target], q[noise]
-        true = np.einsum("ij,ij->i", hidden, aimed) - log_noise[target]
-        false = hidden @ drawn.T
-        false -= log_noise[noise]
-        d_true, d_false = _against(true), -_against(np.negative(false, out=false))
-        d_hidden = d_true[:, None] * aimed + d_false @ drawn
-        if len(q) <= CLASSES:  # few rows: one product adds the gradients of all of them
-            told = np.zeros((len(q), len(target)), np.float32)
-            told[target, np.arange(len(target))] = d_true
-            np.add.at(told, noise, d_false.T)
-            self._move(name, slice(None), told @ hidden / np.float32(whole), rate)
-        else:
-            grads = np.concatenate([d_true[:, None] * hidden, d_false.T @ hidden]) / np.float32(whole)
-            self._step(name, np.concatenate([target, noise.astype(target.dtype)]), grads, rate)
-        return d_hidden[:, :-1] / np.float32(whole)
+        grad = np.empty_like(values)
+        for k in range(WIDTH + 1):
+            grad[:, k] = np.bincount(of, grads[:, k], len(rows))
+        grad /= np.float32(whole)
+        squares = self.squares.take(rows, axis=0)
+        squares += grad * grad
+        self.squares[rows] = squares
+        grad *= np.float32(rate)
+        grad /= np.sqrt(squares, out=squares)
+        values += grad
+        self.rows[rows] = values
+
+    def _batch(
+        self, two: np.ndarray, one: np.ndarray, aims: list[np.ndarray], noise: list[np.ndarray], log_aims: list[np.ndarray],
+        log_noise: list[np.ndarray], rate: float,
+    ) -> None:
+        """Tell targets from noise drawn by their shares, in all tables at once: the classes of all tokens, and parts and words of
+        the first ones, whose class has more than one."""
+        whole, inner, c = len(two), len(aims[1]), self.model.values["c"]
+        some = 3 if inner else 1  # tables
+        ids = np.concatenate([two, one, *aims[:some], *noise[:some]])
+        rows, of = self._met(ids)
+        values = self.rows.take(rows, axis=0)
+        got = values.take(of, axis=0)
+        grads = np.empty_like(got)
+        r2, r1 = got[:whole, :-1], got[whole : 2 * whole, :-1]
+        hidden = np.ones((whole, WIDTH + 1), np.float32)
+        hidden[:, :-1] = c[0] * r2 + c[1] * r1
+        d = np.zeros((whole, WIDTH + 1), np.float32)
+        start, last = 2 * whole, len(ids) - some * NOISE
+        for aim, log_aim in zip(aims[:some], log_aims, strict=False):
+            n, part = len(aim), slice(start, start + len(aim))
+            d_true = _against(np.einsum("ij,ij->i", hidden[:n], got[part]) - log_aim)[:, None]
+            d[:n] += d_true * got[part]
+            np.multiply(d_true, hidden[:n], out=grads[part])
+            start += n
+        for n, a, b, logs in ((whole, last, last + NOISE, log_noise[:1]), (inner, last + NOISE, len(ids), log_noise[1:])):
+            if n and b > a:
+                drawn, negated = got[a:b], -got[a:b]
+                negated[:, -1] += np.concatenate(logs)
+                false = _against(hidden[:n] @ negated.T)
+                d[:n] -= false @ drawn
+                np.negative(false.T @ hidden[:n], out=grads[a:b])
+        d[:, -1] = 0
+        np.multiply(d[:, :-1], c[0], out=grads[:whole, :-1])
+        np.multiply(d[:, :-1], c[1], out=grads[whole : 2 * whole, :-1])
+        grads[: 2 * whole, -1] = 0
+        d_c = np.stack([np.einsum("ij,ij->j", d[:, :-1], r) for r in (r2, r1)]) / np.float32(whole)
+        self._move(rows, values, of, grads, rate, whole)
+        self.c_squares += d_c * d_c
+        c += np.float32(rate) * d_c / np.sqrt(self.c_squares)
 
     def train(self, row: np.ndarray, passes: int, seed: int) -> None:
         """Passes of falling rate over the trigrams of a row of word numbers; a text's end starts the next."""
-        ends = row == 0
-        target, before1 = row[2:], row[1:-1]
-        # the first word of a text follows two ends
-        before2 = np.where(ends[1:-1], 0, row[:-2])
-        v, layout = self.model.values, self.layout
+        before2, before1, target = trigrams(row)
+        layout, outcomes = self.layout, self.TABLES[1:]
         for turn in range(passes):
             rng = np.random.default_rng((*seed, turn))
             order, rate = rng.permutation(len(target)), RATE / (1 + turn)
-            for start in range(0, len(order), BATCH):
-                rows = order[start : start + BATCH]
-                two, one, aim = before2[rows], before1[rows], target[rows]
-                hidden = self.model.hidden(two, one)
-                d = self._tell("k", hidden, layout.classes[aim], rng, rate, len(rows))
-                inner = np.flatnonzero(layout.inner[aim])
-                if len(inner):
-                    near, few = hidden[inner], aim[inner]
-                    d[inner] += self._tell("s", near, layout.parts[few], rng, rate, len(rows))
-                    d[inner] += self._tell("w", near, few, rng, rate, len(rows))
-                d_c = np.stack([(d * v["r"][two]).sum(0), (d * v["r"][one]).sum(0)])
-                self._step("r", np.concatenate([two, one]), np.concatenate([d * v["c"][0], d * v["c"][1]]), rate)
-                self._move("c", slice(None), d_c, rate)
+            for start in range(0, len(order), BATCH * STRETCH):
+                rows = order[start : start + BATCH * STRETCH]
+                batch, inner = np.arange(len(rows)) // BATCH, layout.inner[target[rows]]
+                rows = rows[np.argsort(2 * batch + ~inner, kind="stable")]
+                inner_n = np.bincount(batch[inner], minlength=batch[-1] + 1).tolist()
+                two, one, aim = (x[rows].astype(np.int64) for x in (before2, before1, target))
+                own = [layout.classes[aim], layout.parts[aim], aim]
+                log_aims = [self.log_noise[name][x] for name, x in zip(outcomes, own, strict=True)]
+                aims = [x + self.first[name] for name, x in zip(outcomes, own, strict=True)]
+                draws = rng.random((len(inner_n), len(outcomes), NOISE))
+                noise, log_noise = [], []
+                for k, name in enumerate(outcomes):
+                    below = self.below[name]
+                    drawn = np.minimum(np.searchsorted(below, draws[:, k] * below[-1], side="right"), len(below) - 1)
+                    noise.append(drawn + self.first[name])
+                    log_noise.append(self.log_noise[name][drawn])
+                for b, n in enumerate(inner_n):
+                    of = slice(b * BATCH, (b + 1) * BATCH)
+                    few = slice(b * BATCH, b * BATCH + n)
+                    self._batch(
+                        two[of], one[of], [x[part] for x, part in zip(aims, (of, few, few), strict=True)], [x[b] for x in noise],
+                        [x[part] for x, part in zip(log_aims, (of, few, few), strict=True)], [x[b] for x in log_noise], rate)
         for name, ids in (("k", layout.classes[target]), ("s", layout.parts[target]), ("w", target), ("r", before1), ("r", before2)):
-            self.seen[name] += np.bincount(ids, minlength=len(v[name]))
+            self.seen[name] += np.bincount(ids, minlength=len(self.seen[name]))
         self.seen["c"] += len(target)
 
 
@@ -260,24 +328,37 @@ def smoothed_shares(counts: np.ndarray) -> np.ndarray:
     return (counts + 1.0) / (counts.sum() + len(counts))
 
 
+def lowered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after the other, and how many each text has; a null text has none.
+
+    Arrow's ASCII white space is just the characters of ``BREAKS``. Breaks at an end of a text leave an empty word, which is dropped.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    below = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return words.filter(real), np.diff(below[lists.offsets.to_numpy()])
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word``, ``c``: lower-cased words and ends of all texts."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+    def added(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ends = [], 0
         for batch in slices(batches, "text"):
-            for text in byte_texts(batch.column("text")):
-                counts.update(text.lower().split())
-                if len(counts) > COUNTED:
-                    yield sent()
-                    counts.clear()
-            counts[b""] += batch.num_rows
-        if counts:
-            yield sent()
+            words, _ = lowered_words(batch.column("text"))
+            held.append(pa.table(words.value_counts().flatten(), ["word", "c"]))
+            ends += batch.num_rows
+            if sum(part.num_rows for part in held) > 2 * COUNTED:
+                held = [added(held)]
+                if held[0].num_rows > COUNTED:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from added(held).to_batches()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], ["word", "c"])
 
     return texts.mapInArrow(counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -392,26 +473,31 @@ def score(
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, number, head_base, head_own = known_words.value
-        words = {w: k for k, w in enumerate(heads)}
+        heads = pa.array(heads, pa.binary()).cast(pa.string())
         for batch in slices(batches, "text", SCORED_BYTES):
-            out = []
-            for text in byte_texts(batch.column("text")):
-                parts = text.lower().split()
-                at = np.fromiter((words.get(w, -1) for w in parts), np.int32, len(parts))
-                row = np.zeros(len(parts) + 1, np.int32)
-                known = at >= 0
-                if len(parts):
-                    row[:-1][known] = number[at[known]]
-                rare: dict[bytes, int] = {}
-                for k in np.flatnonzero(~known):
-                    word = parts[k]
-                    row[k] = size + group_of(word) - 1 - SINGLES
-                    rare[word] = rare.get(word, 0) + 1
-                out.append((
-                    len(parts) + 1, int(known.sum()) + (1 if total else 0), float(head_base[at[known]].sum()) + end_base,
-                    float(head_own[at[known]].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()], row.astype(NUMBER).tobytes(),
-                ))
-            new = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), PARTIAL.values(), strict=True)]
+            words, sizes = lowered_words(batch.column("text"))
+            of = np.repeat(np.arange(len(sizes)), sizes)  # the text of each word
+            at = pc.fill_null(pc.index_in(words, heads), -1).to_numpy()
+            known = at >= 0
+            own, at = of[known], at[known]
+            summed = lambda x: np.bincount(own, x, len(sizes))
+            rare = words.filter(pa.array(~known)).dictionary_encode()
+            code, names = rare.indices.to_numpy(), rare.dictionary
+            groups = np.array([group_of(word) for word in names.cast(pa.binary()).to_pylist()], np.int32)
+            row = np.zeros(len(words) + len(sizes), NUMBER)  # every text ends with an end
+            place = np.arange(len(words)) + of
+            row[place[known]] = number[at]
+            row[place[~known]] = size + groups[code] - 1 - SINGLES
+            pairs, times = np.unique(of[~known] * len(names) + code, return_counts=True)
+            in_text, word = np.divmod(pairs, max(1, len(names)))
+            found = pa.StructArray.from_arrays([names.take(pa.array(word)), pa.array(times, pa.int64())], ["word", "times"])
+            bounds = np.searchsorted(in_text, np.arange(len(sizes) + 1)).astype(np.int32)
+            ends = np.append(0, np.cumsum((sizes + 1) * row.itemsize)).astype(np.int32)
+            new = [
+                pa.array(sizes + 1, pa.int64()), pa.array(np.bincount(own, minlength=len(sizes)) + (1 if total else 0), pa.int64()),
+                pa.array(summed(head_base[at]) + end_base, pa.float64()), pa.array(summed(head_own[at]), pa.float64()), pa.ListArray.from_arrays(pa.array(bounds), found),
+                pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(row)]),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *new], ["id", *PARTIAL])
 
     schema = T.StructType([rows.schema["id"], *(
@@ -429,10 +515,7 @@ def score(
         model = Model(values)
         for batch in slices(batches, "ids", NUMBER().nbytes * SCORED):
             lists = [np.frombuffer(ids.as_buffer(), NUMBER) for ids in batch.column("ids")]
-            edge = np.zeros(2, NUMBER)
-            each = [np.concatenate([edge, ids]).astype(np.int32) for ids in lists]
-            found = log10_tokens(model, layout, *(
-                np.concatenate([row[k : len(row) - 2 + k] for row in each]) for k in range(3)))
+            found = log10_tokens(model, layout, *trigrams(np.concatenate([np.zeros(2, NUMBER), *lists]).astype(np.int32)))
             starts = np.cumsum([0, *(len(ids) for ids in lists[:-1])])
             own = batch.column("own").to_numpy() + np.add.reduceat(found, starts)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in KEPT] + [pa.array(own)], [*KEPT, "own"])
