@@ -42,6 +42,8 @@ BATCH_BYTES = 64 << 20           # vectors of one batch of queries
 BATCH_FILL = 0.8                 # batches are dealt by hash, so they aim below their bound
 MOST_BATCHES = 8                 # together they hold no more than BATCH_BYTES
 BLOCK_HITS = 2_000_000           # hits that a block of queries may keep at once
+BLOCK_GROUPS = 24_000_000        # groups that the queries of a block list in all, about
+MARKED_CELLS = 1_000_000         # listed groups that are marked at once
 KEPT = 2                         # times k hits a query keeps before they are cut to the k best
 BROADCAST_GROUPS = 100_000       # groups whose counts are broadcast; more are joined by a shuffle
 
@@ -65,18 +67,44 @@ class _Questions:
         if scope:
             lists = table.column(scope).combine_chunks()
             self.everywhere = np.flatnonzero(lists.is_null().to_numpy(zero_copy_only=False))
-            owner, coded = pc.list_parent_indices(lists).to_numpy().astype(np.int32), lists.flatten().dictionary_encode()
-            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
-            order = np.lexsort((owner, codes))
-            owner, codes = owner[order], codes[order]
-            once = np.append(True, (np.diff(codes) != 0) | (np.diff(owner) != 0))[: len(codes)]
-            owner, codes = owner[once], codes[once]
-            starts = np.flatnonzero(np.diff(codes, prepend=-1))
-            values = [*coded.dictionary.to_pylist(), None]
-            self.allowed = {
-                values[codes[start]]: np.sort(np.append(self.everywhere, part))
-                for start, part in zip(starts, np.split(owner, starts[1:]))
-            }
+            flat = lists.flatten()
+            names = pc.unique(flat)
+            # lists that name most groups are marks in a table, a byte each; others are sorted by group
+            dense = len(names) * len(lists) <= 4 * len(flat)
+            self.allowed = self._marked(lists, flat, names) if dense else self._sorted(lists, flat)
+
+    def _marked(self, lists: pa.Array, flat: pa.Array, names: pa.Array) -> dict:
+        """A row of marks per group, filled a slice of the lists at a time."""
+        seen = np.zeros((len(names), len(lists)), bool)
+        seen[:, self.everywhere] = True
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        bounds = np.append(0, np.cumsum(sizes))
+        step = max(1, MARKED_CELLS * len(lists) // max(1, len(flat)))
+        for start in range(0, len(lists), step):
+            some = sizes[start:start + step]
+            part = flat.slice(bounds[start], int(some.sum()))
+            seen[pc.index_in(part, names).to_numpy(), np.repeat(np.arange(start, start + len(some)), some)] = True
+        return dict(zip(names.to_pylist(), seen, strict=True))
+
+    def _sorted(self, lists: pa.Array, flat: pa.Array) -> dict:
+        """The queries of each group, in order."""
+        owner, coded = pc.list_parent_indices(lists).to_numpy().astype(np.int32), flat.dictionary_encode()
+        codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+        order = np.lexsort((owner, codes))
+        owner, codes = owner[order], codes[order]
+        once = np.append(True, (np.diff(codes) != 0) | (np.diff(owner) != 0))[: len(codes)]
+        owner, codes = owner[once], codes[once]
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        values = [*coded.dictionary.to_pylist(), None]
+        return {
+            values[codes[start]]: np.sort(np.append(self.everywhere, part))
+            for start, part in zip(starts, np.split(owner, starts[1:]))
+        }
+
+    def asking(self, group) -> np.ndarray:
+        """The queries that may see a group, in ascending order."""
+        found = self.allowed.get(group, self.everywhere)
+        return np.flatnonzero(found) if found.dtype == bool else found
 
     def rows(self, asking: np.ndarray) -> np.ndarray:
         """Unit vectors of some queries, in ascending order; those of all are not copied."""
@@ -98,7 +126,7 @@ def _blocks(codes, values, questions: _Questions):
     order = np.argsort(codes, kind="stable")
     starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
     for rows in np.split(order, starts[1:]):
-        asking = questions.allowed.get(values[codes[rows[0]]], questions.everywhere)
+        asking = questions.asking(values[codes[rows[0]]])
         if len(asking):
             yield np.sort(rows), asking
 
@@ -282,11 +310,20 @@ def _block_copies(asked: int, stored: int, asked_rows: int, stored_rows: int) ->
     return asked * math.ceil(stored / max(1, int(BATCH_FILL * stored_rows))) + stored * math.ceil(asked / max(1, int(BATCH_FILL * asked_rows)))
 
 
+def _asked_rows(queries: QuestionSet, k: int) -> int:
+    """Queries of a block: a task holds their vectors, hits and lists of groups."""
+    rows = min(queries.join_rows, BLOCK_HITS // (KEPT * k))
+    if queries.scope:
+        listed = queries.table.agg(F.sum(F.size(F.coalesce(queries.scope, F.array())))).first()[0]
+        rows = min(rows, BLOCK_GROUPS * queries.count // max(1, listed))
+    return max(1, rows)
+
+
 def _search_blocks(queries: QuestionSet, stored: DataFrame, schema: StructType, how: tuple, k: int) -> DataFrame:
     """Every block of queries against every block of stored rows; a pair of blocks is a task's unit of memory."""
     key, scope, names = queries.key, queries.scope, schema.fieldNames()
     stored = _numbered(stored)
-    asked_rows = max(1, min(queries.join_rows, BLOCK_HITS // (KEPT * k)))
+    asked_rows = _asked_rows(queries, k)
     asked_blocks = math.ceil(queries.count / max(1, int(BATCH_FILL * asked_rows)))
     stored_blocks = math.ceil(stored.count() / max(1, int(BATCH_FILL * queries.join_rows)))
 
