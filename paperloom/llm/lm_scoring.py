@@ -37,12 +37,14 @@ HEAD_PARTS = 8
 LEAST_COUNT, VOCABULARY, NUMBER = 5, 65_000, np.uint16
 #: model: width, noise samples per batch, examples per batch, learning rate, passes over a chunk
 WIDTH, NOISE, BATCH, RATE, PASSES = 24, 64, 512, 0.1, 1
+#: columns of a row in training: vector, bias, and one that makes pairs of them
+FILLED = WIDTH + 2
 #: tokens that a task trains on at once; tokens of a shard; first sums per block of rows; rows that are added together
 CHUNK, SHARD, SALTS, BLOCK = 1 << 20, 6_000_000, 64, 4_096
 #: batches whose rows and noise are looked up at once
 STRETCH = 64
-#: tokens scored together; tokens normalised over classes at once
-SCORED, NORMALISED = 1 << 18, 2_048
+#: tokens brought in order of their parts, to be scored together; tokens scored at once
+SCORED, NORMALISED = 1 << 20, 2_048
 #: bytes of text turned into numbers at once; words counted in a task before they are sent on
 SCORED_BYTES, COUNTED = 4 << 20, 400_000
 SEED = 11
@@ -80,33 +82,33 @@ class Model:
     def copy(self) -> "Model":
         return Model({name: v.copy() for name, v in self.values.items()})
 
-    def hidden(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
-        """The context vectors, with a one for the bias."""
+    def contexts(self) -> list[np.ndarray]:
+        """The shares of each word in a context, two and one before: their sum is the context's vector, with a one for the bias."""
         v = self.values
-        out = np.ones((len(before2), WIDTH + 1), np.float32)
-        out[:, :-1] = v["c"][0] * v["r"].take(before2, axis=0) + v["c"][1] * v["r"].take(before1, axis=0)
-        return out
+        return [np.column_stack([c * v["r"], np.full(len(v["r"]), bias, np.float32)]) for c, bias in zip(v["c"], (0, 1), strict=True)]
 
 
 def _log_sums(hidden: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
-    """log of the sum, over the outcomes, of exp of their products with each context."""
-    scores = hidden @ outcomes.T
+    """log of the sum, over the outcomes, of exp of their products with each context.
+
+    Products are made in double precision: single ones are rounded by how many contexts come together, and where one lies among them.
+    """
+    scores = (hidden.astype(np.float64, copy=False) @ outcomes.T.astype(np.float64)).astype(np.float32)
     with np.errstate(over="ignore", divide="ignore"):
-        out = np.log(np.exp(scores, out=scores) @ np.ones(len(outcomes), np.float32))
+        out = np.log(np.einsum("ij->i", np.exp(scores)), dtype=np.float64)
     beyond = np.flatnonzero(~(np.abs(out) < 60))  # near the range of floats
     if len(beyond):
-        scores = hidden[beyond] @ outcomes.T
-        most = scores.max(axis=1)
-        out[beyond] = most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+        some = scores[beyond]
+        most = some.max(axis=1)
+        out[beyond] = most + np.log(np.exp(some - most[:, None]).sum(axis=1))
     return out
 
 
 def _against(x: np.ndarray) -> np.ndarray:
     """The logistic of -x, in its place."""
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)  # beyond the range of floats it is infinite, and the logistic 0
+    np.exp(x, out=x)  # beyond the range of floats it is infinite, and the logistic 0
     x += 1
-    return np.reciprocal(x, out=x)
+    return np.divide(np.float32(1), x, out=x)
 
 
 def _runs(of: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -118,6 +120,11 @@ def _runs(of: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], place
 
 
+def _whole_rows(table: np.ndarray) -> np.ndarray:
+    """The rows of a table as one item each, so that they are stored at once."""
+    return table.view(np.dtype((np.void, table.itemsize * table.shape[1]))).ravel()
+
+
 class Layout:
     """Word numbers: 0 the end, then the vocabulary by falling count, then one per group for the words beyond it."""
 
@@ -148,35 +155,75 @@ class Layout:
         return {name: smoothed_shares(n) for name, n in counts.items()}
 
 
-def log10_tokens(model: Model, layout: Layout, before2: np.ndarray, before1: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log10 P(token | two tokens before), by matrix products: all classes, the parts of each class met, the words of each part."""
-    out = np.empty(len(target))
-    k, s, w = (model.values[name] for name in "ksw")
-    by_class, by_part = layout.steps
-    # the steps of a word add up: its own score is one product with their sum
-    whole = k[layout.classes] + np.where(by_class[layout.classes], 1, 0)[:, None] * s[layout.parts]
-    whole += np.where(by_part[layout.parts], 1, 0)[:, None] * w
-    for start in range(0, len(target), SCORED):
-        part = slice(start, start + SCORED)
-        # parts follow their classes, so tokens in order of parts are in order of classes too
-        order = np.argsort(layout.parts[target[part]], kind="stable")
-        aim = target[part][order]
-        hidden = model.hidden(before2[part][order], before1[part][order])
-        got = np.einsum("ij,ij->i", hidden, whole.take(aim, axis=0))
-        for first in range(0, len(aim), NORMALISED):
+class Scorer:
+    """Tables made once from a model, and the scores of tokens after them."""
+
+    def __init__(self, model: Model, layout: Layout):
+        self.layout = layout
+        # rows one after the other: of any other table, every look-up would copy all
+        self.k, self.s, self.w = (np.ascontiguousarray(model.values[name]) for name in "ksw")
+        self.two, self.one = (np.ascontiguousarray(x) for x in model.contexts())
+        by_class, by_part = layout.steps
+        # the steps of a word add up: its own score is one product with their sum
+        self.whole = self.k[layout.classes] + np.where(by_class[layout.classes], 1, 0).astype(np.float32)[:, None] * self.s[layout.parts]
+        self.whole += np.where(by_part[layout.parts], 1, 0).astype(np.float32)[:, None] * self.w
+        self.two_exp, self.two_most = self._exps(self.two)
+        self.one_exp, self.one_most = self._exps(self.one)
+
+    def _exps(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the products of words with all classes, over the greatest of each word, and the greatest products."""
+        out, most = np.empty((len(words), len(self.k)), np.float32), np.empty(len(words), np.float32)
+        for first in range(0, len(words), NORMALISED):
             some = slice(first, first + NORMALISED)
-            got[some] -= _log_sums(hidden[some], k)
+            scores = words[some] @ self.k.T
+            most[some] = scores.max(axis=1)
+            scores -= most[some, None]
+            np.exp(scores, out=out[some])
+        return out, most
+
+    def _class_sums(self, two: np.ndarray, one: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+        """``_log_sums`` over all classes: exp of a sum of two words' products is the product of their exps."""
+        with np.errstate(divide="ignore"):
+            out = np.log(np.einsum("ij,ij->i", self.two_exp.take(two, axis=0), self.one_exp.take(one, axis=0)), dtype=np.float64)
+        beyond = np.flatnonzero(~(out > -60))  # the greatest of the two words lie far apart
+        out += self.two_most.take(two)
+        out += self.one_most.take(one)
+        if len(beyond):
+            out[beyond] = _log_sums(hidden[beyond], self.k)
+        return out
+
+    def log10_tokens(self, before2: np.ndarray, before1: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log10 P(token | two tokens before), by matrix products: all classes, the parts of each class met, the words of each part."""
+        layout, out = self.layout, np.empty(len(target))
+        by_class, by_part = layout.steps
+        for start in range(0, len(target), SCORED):
+            part = slice(start, start + SCORED)
+            # parts follow their classes, so tokens in order of parts are in order of classes too
+            order = np.argsort(layout.parts.take(target[part]), kind="stable")
+            two, one, aim = (x[part].take(order) for x in (before2, before1, target))
+            classes, parts = layout.classes.take(aim), layout.parts.take(aim)
+            got = np.empty(len(aim))
+            for first in range(0, len(aim), NORMALISED):
+                some = slice(first, first + NORMALISED)
+                hidden = self.two.take(two[some], axis=0)
+                hidden += self.one.take(one[some], axis=0)
+                own = np.einsum("ij,ij->i", hidden, self.whole.take(aim[some], axis=0)).astype(np.float64)
+                own -= self._class_sums(two[some], one[some], hidden)
+                hidden = hidden.astype(np.float64)
+                for owners, more, outcomes, table in (
+                    (classes[some], by_class, layout.class_parts, self.s), (parts[some], by_part, layout.members, self.w),
+                ):
+                    heads = np.flatnonzero(np.diff(owners, prepend=-1)).tolist()
+                    for a, b in zip(heads, [*heads[1:], len(owners)], strict=True):
+                        if more[owners[a]]:
+                            own[a:b] -= _log_sums(hidden[a:b], table.take(outcomes[owners[a]], axis=0))
+                got[some] = own
+            out[start : start + len(aim)][order] = got
+        return out / np.log(10)
 
-        def step(owners: np.ndarray, more: np.ndarray, outcomes: list, table: np.ndarray) -> None:
-            heads = np.flatnonzero(np.diff(owners, prepend=-1))
-            for a, b in zip(heads, [*heads[1:], len(owners)], strict=True):
-                if more[owners[a]]:
-                    got[a:b] -= _log_sums(hidden[a:b], table.take(outcomes[owners[a]], axis=0))
 
-        step(layout.classes[aim], by_class, layout.class_parts, s)
-        step(layout.parts[aim], by_part, layout.members, w)
-        out[part][order] = got
-    return out / np.log(10)
+def log10_tokens(model: Model, layout: Layout, before2: np.ndarray, before1: np.ndarray, target: np.ndarray) -> np.ndarray:
+    return Scorer(model, layout).log10_tokens(before2, before1, target)
 
 
 def trigrams(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +235,7 @@ class Trainer:
     """A model in training, its squared gradients, and how often each row was trained.
 
     The rows of words, classes, parts and word targets lie in one table, in this order, so that a batch gathers, adds and moves
-    all rows it meets at once. Context vectors have no bias: their last column stays 0.
+    all rows it meets at once. Context vectors have no bias: their last columns stay 0, as do those that fill up a row.
     """
 
     TABLES = "rksw"
@@ -197,84 +244,104 @@ class Trainer:
         self.layout = layout
         sizes = [len(model.values[name]) for name in self.TABLES]
         self.first = dict(zip(self.TABLES, np.cumsum([0, *sizes]), strict=False))
-        self.rows = np.zeros((sum(sizes), WIDTH + 1), np.float32)
+        self.rows = np.zeros((sum(sizes), FILLED), np.float32)
         self.squares = np.full(self.rows.shape, 1e-6, np.float32)
-        views = {}
+        self.whole_rows, self.whole_squares = _whole_rows(self.rows), _whole_rows(self.squares)
+        self.c, self.c_squares = np.zeros((2, FILLED), np.float32), np.full((2, FILLED), 1e-6, np.float32)
+        self.c[:, :WIDTH] = model.values["c"]
+        views = {"c": self.c[:, :WIDTH]}
         for name, size in zip(self.TABLES, sizes, strict=True):
             given = model.values[name]
             views[name] = self.rows[self.first[name] : self.first[name] + size, : given.shape[1]]
             views[name][:] = given
-        self.model = Model({name: views.get(name, v.copy()) for name, v in model.values.items()})
-        self.c_squares = np.full((2, WIDTH), 1e-6, np.float32)
+        self.model = Model({name: views[name] for name in model.values})
         self.seen = {k: np.zeros(len(v), np.int64) for k, v in self.model.values.items()}
         self.log_noise = {k: np.log(NOISE * s).astype(np.float32) for k, s in shares.items()}
         self.below = {k: np.cumsum(s) for k, s in shares.items()}
         self.place = np.zeros(len(self.rows), np.int64)
-
-    def _met(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct rows among the ids, and which of them each id is."""
-        every = np.arange(len(ids))
+        # of a batch: its gathered rows and their gradients, and the places of each row's pairs of columns
+        most = 5 * BATCH + 3 * NOISE
+        self.every = np.arange(most)
+        self.got, self.grads = (np.empty((most, FILLED), np.float32) for _ in range(2))
+        self.pairs = np.arange(most * FILLED // 2).reshape(most, -1)
+
+    def _met(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct rows among the ids, which of them each id is, and the places of the ids that stand for a row and of the others."""
+        every = self.every[: len(ids)]
         self.place[ids] = every
-        kept = self.place[ids]  # one entry of each row stands for all of them
+        kept = self.place.take(ids)  # one entry of each row stands for all of them
         own = kept == every
-        return ids[own], (np.cumsum(own) - 1)[kept]
-
-    def _move(self, rows: np.ndarray, values: np.ndarray, of: np.ndarray, grads: np.ndarray, rate: float, whole: int) -> None:
-        """AdaGrad on the rows met, gradients of a row added."""
-        grad = np.empty_like(values)
-        for k in range(WIDTH + 1):
-            grad[:, k] = np.bincount(of, grads[:, k], len(rows))
-        grad /= np.float32(whole)
+        stand, others = np.flatnonzero(own), np.flatnonzero(~own)
+        return ids.take(stand), (np.cumsum(own) - 1).take(kept), stand, others
+
+    def _added(self, grads: np.ndarray, of: np.ndarray, stand: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Gradients of each row met, added; two columns at a time, as one complex number."""
+        out = grads.take(stand, axis=0)
+        places = self.pairs.take(of.take(others), axis=0)
+        np.add.at(out.view(np.complex64).ravel(), places.ravel(), grads.take(others, axis=0).view(np.complex64).ravel())
+        return out
+
+    def _move(self, rows: np.ndarray, values: np.ndarray, grad: np.ndarray, rate: float, whole: int) -> None:
+        """AdaGrad on the rows met."""
+        grad *= np.float32(1 / whole)
         squares = self.squares.take(rows, axis=0)
         squares += grad * grad
-        self.squares[rows] = squares
+        np.put(self.whole_squares, rows, _whole_rows(squares))
         grad *= np.float32(rate)
         grad /= np.sqrt(squares, out=squares)
         values += grad
-        self.rows[rows] = values
+        np.put(self.whole_rows, rows, _whole_rows(values))
 
     def _batch(
         self, two: np.ndarray, one: np.ndarray, aims: list[np.ndarray], noise: list[np.ndarray], log_aims: list[np.ndarray],
-        log_noise: list[np.ndarray], rate: float,
+        log_noise: list[np.ndarray], times: np.ndarray, rate: float,
     ) -> None:
         """Tell targets from noise drawn by their shares, in all tables at once: the classes of all tokens, and parts and words of
-        the first ones, whose class has more than one."""
-        whole, inner, c = len(two), len(aims[1]), self.model.values["c"]
+        the first ones, whose class has more than one. Noise classes are distinct, and drawn ``times``."""
+        whole, inner, c = len(two), len(aims[1]), self.c
         some = 3 if inner else 1  # tables
         ids = np.concatenate([two, one, *aims[:some], *noise[:some]])
-        rows, of = self._met(ids)
+        rows, of, stand, others = self._met(ids)
         values = self.rows.take(rows, axis=0)
-        got = values.take(of, axis=0)
-        grads = np.empty_like(got)
-        r2, r1 = got[:whole, :-1], got[whole : 2 * whole, :-1]
-        hidden = np.ones((whole, WIDTH + 1), np.float32)
-        hidden[:, :-1] = c[0] * r2 + c[1] * r1
-        d = np.zeros((whole, WIDTH + 1), np.float32)
-        start, last = 2 * whole, len(ids) - some * NOISE
-        for aim, log_aim in zip(aims[:some], log_aims, strict=False):
-            n, part = len(aim), slice(start, start + len(aim))
-            d_true = _against(np.einsum("ij,ij->i", hidden[:n], got[part]) - log_aim)[:, None]
-            d[:n] += d_true * got[part]
-            np.multiply(d_true, hidden[:n], out=grads[part])
-            start += n
-        for n, a, b, logs in ((whole, last, last + NOISE, log_noise[:1]), (inner, last + NOISE, len(ids), log_noise[1:])):
-            if n and b > a:
-                drawn, negated = got[a:b], -got[a:b]
-                negated[:, -1] += np.concatenate(logs)
+        got, grads = self.got[: len(ids)], self.grads[: len(ids)]
+        values.take(of, axis=0, out=got, mode="clip")
+        before = got[: 2 * whole].reshape(2, whole, FILLED)
+        hidden = np.add(*(c[:, None] * before))
+        hidden[:, WIDTH] = 1
+        start = 2 * whole
+        end = start + whole + (some - 1) * inner
+        parts = [slice(start, start + whole), slice(start + whole, start + whole + inner), slice(start + whole + inner, end)][:some]
+        own = np.concatenate([np.einsum("ij,ij->i", hidden[: part.stop - part.start], got[part]) for part in parts])
+        d_true = _against(own - np.concatenate(log_aims[:some]))[:, None]
+        d_own = d_true * got[start:end]
+        d = d_own[:whole]
+        for part in parts:
+            n = part.stop - part.start
+            if part.start > start:
+                d[:n] += d_own[part.start - start : part.stop - start]
+            np.multiply(d_true[part.start - start : part.stop - start], hidden[:n], out=grads[part])
+        for n, part, logs in ((whole, slice(end, end + len(times)), log_noise[0]), (inner, slice(end + len(times), len(ids)), log_noise[1])):
+            if n:
+                drawn = got[part]
+                negated = -drawn
+                negated[:, WIDTH] += logs
                 false = _against(hidden[:n] @ negated.T)
+                if part.start == end:
+                    false *= times
                 d[:n] -= false @ drawn
-                np.negative(false.T @ hidden[:n], out=grads[a:b])
-        d[:, -1] = 0
-        np.multiply(d[:, :-1], c[0], out=grads[:whole, :-1])
-        np.multiply(d[:, :-1], c[1], out=grads[whole : 2 * whole, :-1])
-        grads[: 2 * whole, -1] = 0
-        d_c = np.stack([np.einsum("ij,ij->j", d[:, :-1], r) for r in (r2, r1)]) / np.float32(whole)
-        self._move(rows, values, of, grads, rate, whole)
+                np.negative(false.T @ hidden[:n], out=grads[part])
+        np.multiply(d, c[:, None], out=grads[: 2 * whole].reshape(2, whole, FILLED))
+        d_c = np.full(whole, 1 / whole, np.float32) @ (d * before)
+        self._move(rows, values, self._added(grads, of, stand, others), rate, whole)
         self.c_squares += d_c * d_c
         c += np.float32(rate) * d_c / np.sqrt(self.c_squares)
 
     def train(self, row: np.ndarray, passes: int, seed: int) -> None:
         """Passes of falling rate over the trigrams of a row of word numbers; a text's end starts the next."""
+        with np.errstate(over="ignore"):
+            self._train(row, passes, seed)
+
+    def _train(self, row: np.ndarray, passes: int, seed: int) -> None:
         before2, before1, target = trigrams(row)
         layout, outcomes = self.layout, self.TABLES[1:]
         for turn in range(passes):
@@ -290,18 +357,24 @@ class Trainer:
                 log_aims = [self.log_noise[name][x] for name, x in zip(outcomes, own, strict=True)]
                 aims = [x + self.first[name] for name, x in zip(outcomes, own, strict=True)]
                 draws = rng.random((len(inner_n), len(outcomes), NOISE))
-                noise, log_noise = [], []
+                noise, log_noise, times = [], [], []
                 for k, name in enumerate(outcomes):
                     below = self.below[name]
                     drawn = np.minimum(np.searchsorted(below, draws[:, k] * below[-1], side="right"), len(below) - 1)
-                    noise.append(drawn + self.first[name])
-                    log_noise.append(self.log_noise[name][drawn])
+                    if name == "k":  # few classes: many are drawn more than once
+                        drawn += CLASSES * np.arange(len(drawn))[:, None]
+                        drawn_n = np.bincount(drawn.ravel(), minlength=CLASSES * len(drawn)).reshape(-1, CLASSES).astype(np.float32)
+                        drawn = [np.flatnonzero(n) for n in drawn_n]
+                        times = [n[x] for n, x in zip(drawn_n, drawn, strict=True)]
+                    noise.append([x + self.first[name] for x in drawn])
+                    log_noise.append([self.log_noise[name][x] for x in drawn])
+                log_noise = [log_noise[0], np.hstack(log_noise[1:])]
                 for b, n in enumerate(inner_n):
                     of = slice(b * BATCH, (b + 1) * BATCH)
                     few = slice(b * BATCH, b * BATCH + n)
                     self._batch(
                         two[of], one[of], [x[part] for x, part in zip(aims, (of, few, few), strict=True)], [x[b] for x in noise],
-                        [x[part] for x, part in zip(log_aims, (of, few, few), strict=True)], [x[b] for x in log_noise], rate)
+                        [x[part] for x, part in zip(log_aims, (of, few, few), strict=True)], [x[b] for x in log_noise], times[b], rate)
         for name, ids in (("k", layout.classes[target]), ("s", layout.parts[target]), ("w", target), ("r", before1), ("r", before2)):
             self.seen[name] += np.bincount(ids, minlength=len(self.seen[name]))
         self.seen["c"] += len(target)
@@ -512,10 +585,10 @@ def score(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, layout = shared.value
-        model = Model(values)
+        scorer = Scorer(Model(values), layout)
         for batch in slices(batches, "ids", NUMBER().nbytes * SCORED):
             lists = [np.frombuffer(ids.as_buffer(), NUMBER) for ids in batch.column("ids")]
-            found = log10_tokens(model, layout, *trigrams(np.concatenate([np.zeros(2, NUMBER), *lists]).astype(np.int32)))
+            found = scorer.log10_tokens(*trigrams(np.concatenate([np.zeros(2, NUMBER), *lists]).astype(np.int32)))
             starts = np.cumsum([0, *(len(ids) for ids in lists[:-1])])
             own = batch.column("own").to_numpy() + np.add.reduceat(found, starts)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in KEPT] + [pa.array(own)], [*KEPT, "own"])

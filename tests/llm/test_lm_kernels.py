@@ -70,3 +70,45 @@ def test_a_batch_moves_rows_like_plain_sums(layout):
         assert np.allclose(trainer.model.values[name], want, atol=2e-4), name
         assert np.abs(want - v[name]).max() > 0.01, name
     assert trainer.seen["w"].sum() == len(target) and trainer.seen["r"].sum() == 2 * len(target)
+
+
+def _model(layout, spread):
+    rng = np.random.default_rng(5)
+    model = lm.Model.start(layout.shares(rng.integers(1, 50, layout.size + lm.GROUPS)))
+    for name in "rksw":
+        model.values[name][:, : lm.WIDTH] = rng.normal(0, spread, (len(model.values[name]), lm.WIDTH))
+    return model
+
+
+def test_scores_do_not_follow_from_how_tokens_come_together(layout):
+    model, rng = _model(layout, 0.5), np.random.default_rng(6)
+    two, one, target = rng.integers(0, layout.size, (3, 6_000))
+    whole = lm.log10_tokens(model, layout, two, one, target)
+    cuts = [0, 1, 3, 10, 777, 2_900, 6_000]
+    pieces = [lm.log10_tokens(model, layout, two[a:b], one[a:b], target[a:b]) for a, b in zip(cuts, cuts[1:])]
+    assert np.abs(np.concatenate(pieces) - whole).max() < 1e-9
+
+
+def test_class_sums_of_words_that_lie_far_apart(layout):
+    """Products of exps leave the range of floats where two words point at different classes; the sums hold all the same."""
+    model = _model(layout, 0.5)
+    model.values["r"][1:3] = 0
+    model.values["r"][1, 0], model.values["r"][2, 0] = 400, -400
+    scorer = lm.Scorer(model, layout)
+    two, one = np.array([1, 1, 2, 2, 7, 1]), np.array([2, 1, 1, 2, 8, 9])
+    hidden = scorer.two[two] + scorer.one[one]
+    scores = hidden.astype(float) @ scorer.k.T.astype(float)
+    most = scores.max(axis=1)
+    want = most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+    assert scorer._class_sums(two, one, hidden) == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
+def test_noise_classes_drawn_again_count_again(layout):
+    """A batch gets each noise class once, with its times: as many as were drawn."""
+    seen, trainer = [], lm.Trainer(_model(layout, 0.1), layout, layout.shares(np.ones(layout.size + lm.GROUPS)))
+    trainer._batch = lambda two, one, aims, noise, log_aims, log_noise, times, rate: seen.append((noise[0], times, log_noise[0]))
+    trainer.train(np.random.default_rng(1).integers(0, layout.size, 2 * lm.BATCH).astype(np.int32), 1, (1, 2))
+    assert len(seen) == 2
+    for noise, times, logs in seen:
+        assert len(set(noise.tolist())) == len(noise) == len(times) == len(logs) < lm.NOISE and times.sum() == lm.NOISE
+        assert 0 <= noise.min() - trainer.first["k"] and noise.max() - trainer.first["k"] < lm.CLASSES
