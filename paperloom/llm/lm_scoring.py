@@ -223,6 +223,7 @@ class Scorer:
 
 
 def log10_tokens(model: Model, layout: Layout, before2: np.ndarray, before1: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Scores of tokens by a model that is used once."""
     return Scorer(model, layout).log10_tokens(before2, before1, target)
 
 
