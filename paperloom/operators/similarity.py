@@ -197,7 +197,7 @@ def _shrink(parts: list, keys, best_of_group, k) -> pa.Table:
         table = table.group_by(["_q", *keys]).aggregate([("similarity", "max")])
         table = table.rename_columns(
             ["similarity" if n == "similarity_max" else n for n in table.column_names]
-        )
+        ).select(parts[0].column_names)  # as the hits that follow
     order = [("_q", "ascending"), ("similarity", "descending")]
     table = table.sort_by(order + [(key, "ascending") for key in keys])
     owner = table.column("_q").to_numpy()
